@@ -1,11 +1,427 @@
-"""The registered queries over the driver's tables, with their SQL."""
+"""The registered queries over the driver's tables, with their SQL.
+
+Every query covers its whole table.  Names carry the operator; the SQL enumerates
+plainly what the operators reach by windows, pruning and shared passes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import budget as B
+from ..operators import compaction as C
+from ..operators import evaluate as E
+from ..operators import packing as P
+from ..operators import recall as R
+from ..operators.mining import merge_candidates, mine_chars, mine_lines, mine_ngrams
+from ..operators.paging import paginate
+from . import sql as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(oracle: str | None):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = (f, oracle)
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """One row group of text is one task; mining multiplies its rows, so deal it out first."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
+
+
+def log_line() -> Column:
+    """An event as a line of a log."""
+    return F.concat(
+        F.lit("2026-01-01T00:00:00Z INFO svc="), "event_type", F.lit(" user_id="), F.col("user_id").cast("string"), F.lit(" request_id="),
+        F.col("event_id").cast("string"), F.lit(" status=200 latency_ms="), F.floor("value").cast("string"),
+    )
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(user_id, text)``: each user's events as a log."""
+    lines = table(spark, sf_dir, "events").select("user_id", "event_id", log_line().alias("line"))
+    return lines.groupBy("user_id").agg(F.array_join(P.in_order(F.col("event_id"), F.col("line")), "\n").alias("text"))
+
+
+LOGS = """logs AS (
+  SELECT user_id, string_agg('2026-01-01T00:00:00Z INFO svc=' || event_type || ' user_id=' || user_id || ' request_id=' || event_id || ' status=200 latency_ms=' || floor(value)::BIGINT, chr(10) ORDER BY event_id) AS text
+  FROM events GROUP BY user_id)"""
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
+
+
+# --- scans, pages, scalar functions -----------------------------------------------------------------
+
+
+@query(f"""SELECT doc_id, length(text)::BIGINT AS n_code_points, {S.tokens('text')}::BIGINT AS tokens, len({S.units('text')})::BIGINT AS n_units,
+       len({S.lines('text')})::BIGINT AS n_lines FROM documents""")
+def token_estimate(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", T.length(text).alias("n_code_points"), T.token_estimate(text).alias("tokens"),
+        F.size(T.units(text)).cast("long").alias("n_units"), F.size(T.lines(text)).cast("long").alias("n_lines"),
+    )
+
+
+@query(f"""SELECT lang, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars_total, sum({S.tokens('text')})::BIGINT AS tokens,
+       count(DISTINCT text) AS n_texts FROM documents GROUP BY lang""")
+def corpus_totals(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    hashed = docs.withColumn("h", F.sha2("text", 256))
+    return hashed.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum(T.length(F.col("text"))).alias("n_chars_total"),
+        F.sum(T.token_estimate(F.col("text"))).alias("tokens"), F.countDistinct("h").alias("n_texts"),
+    )
+
+
+@query("""SELECT doc_id, (p0 // 500)::BIGINT AS page_id, substr(text, p0 + 1, 500) AS text
+FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 1, 0) + 1, 500)) AS p0 FROM documents)""")
+def page_split(spark, sf_dir):
+    return paginate(table(spark, sf_dir, "documents"), ["doc_id"], 500)
+
+
+@query(f"""SELECT page_id, p0 // 800 AS part, 'L' || length(text) || '|' || left(coalesce({S.filled('text')}[1], ''), 80) AS fingerprint
+FROM (SELECT page_id, p0, substr(html, p0 + 1, 800) AS text FROM (SELECT page_id, html, unnest(range(0, greatest(length(html) - 1, 0) + 1, 800)) AS p0 FROM pages))""")
+def page_split_html(spark, sf_dir):
+    source = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+    cut = paginate(source, ["id"], 800)
+    return cut.select(F.col("id").alias("page_id"), F.col("page_id").alias("part"), T.hierarchical_fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query(f"SELECT doc_id, left(sha1(text), 12) || '|' || left(coalesce({S.filled('text')}[1], ''), 60) AS fingerprint FROM documents")
+def page_fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.page_fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query(r"""WITH l AS (
+  SELECT event_id, '2026-01-01T00:00:00Z INFO svc=' || event_type || ' user_id=' || user_id || ' request_id=' || event_id || ' status=200 latency_ms=' || floor(value)::BIGINT AS line FROM events),
+t AS (SELECT event_id, line, left(sha1(regexp_replace(regexp_replace(line, '\d+', '#', 'g'), '[0-9a-fA-F]{8,}', '#hex#', 'g')), 16) AS template_id FROM l),
+g AS (SELECT template_id, count(*) AS n, min(event_id) AS first, arg_min(line, event_id) AS exemplar FROM t GROUP BY template_id)
+SELECT template_id, n, first, exemplar, '⟦T' || (row_number() OVER (ORDER BY n DESC, first) - 1) || '⟧' AS meta FROM g""")
+def template_counts(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").select(F.lit(1).alias("scope"), F.col("event_id").alias("page_id"), log_line().alias("exemplar"))
+    ranked = B.templates(lines.withColumn("template_id", T.template_id(F.col("exemplar"))), ["scope"])
+    return ranked.select("template_id", F.col("count").alias("n"), "first", "exemplar", F.concat(F.lit("⟦T"), F.col("rank").cast("string"), F.lit("⟧")).alias("meta"))
+
+
+@query("""SELECT doc_id, CASE WHEN (length(text) + 3) // 4 > 100 AND 360 < length(text)
+  THEN left(text, 200) || chr(10) || chr(10) || '…[TRUNCATED ' || (length(text) - 360) || ' chars]…' || chr(10) || chr(10) || right(text, 160) ELSE text END AS text FROM documents""")
+def head_tail_truncate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.head_tail(F.col("text"), F.lit(100)).alias("text"))
+
+
+# --- mining and codebooks -----------------------------------------------------------------------------
+
+
+@query(f"WITH {S.whole_lines('documents', 'doc_id', 'text', 2)} SELECT doc_id, pattern, cnt, len::BIGINT AS len, score::BIGINT AS score, rank::INT AS rank FROM lines")
+def line_patterns(spark, sf_dir):
+    return mine_lines(table(spark, sf_dir, "documents"), ["doc_id"], min_freq=2).drop("src")
+
+
+@query(f"WITH {S.ngrams('documents', 'doc_id', 'text', 3, 10)} SELECT doc_id, pattern, cnt, len::BIGINT AS len, score::BIGINT AS score, rank::INT AS rank FROM ngrams")
+def ngram_patterns(spark, sf_dir):
+    return mine_ngrams(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"], max_len=10, min_freq=3).drop("src")
+
+
+@query(f"WITH {S.ngrams('pages', 'page_id', 'html', 3, 12)} SELECT page_id, pattern, cnt, len::BIGINT AS len, score::BIGINT AS score, rank::INT AS rank FROM ngrams")
+def ngram_patterns_html(spark, sf_dir):
+    return mine_ngrams(spread(html(spark, sf_dir)), ["page_id"], max_len=12, min_freq=3).drop("src")
+
+
+@query(f"WITH {S.chars('pages', 'page_id', 'html', 3)} SELECT page_id, pattern, cnt, len::BIGINT AS len, score::BIGINT AS score, rank::INT AS rank FROM chars")
+def char_ngrams(spark, sf_dir):
+    return mine_chars(spread(html(spark, sf_dir)), ["page_id"], min_freq=3).drop("src")
+
+
+_HTML_MERGED = ",".join([S.ngrams("pages", "page_id", "html", 3, 10), S.whole_lines("pages", "page_id", "html", 2), S.chars("pages", "page_id", "html", 3), S.merged("page_id", ["ngrams", "lines", "chars"])])
+
+
+@query(f"WITH {_HTML_MERGED} SELECT page_id, pattern, cnt, len::BIGINT AS len, score::BIGINT AS score, rank::INT AS rank FROM merged")
+def merged_candidates(spark, sf_dir):
+    texts = spread(html(spark, sf_dir))
+    groups = [mine_ngrams(texts, ["page_id"], max_len=10), mine_lines(texts, ["page_id"]), mine_chars(texts, ["page_id"])]
+    return merge_candidates(groups, ["page_id"])
+
+
+@query(f"WITH {_HTML_MERGED}, {S.gated('pages', 'page_id', 'html', 256)} SELECT page_id, ord::INT AS ord, meta, pattern, cnt FROM entries")
+def dictionary_select(spark, sf_dir):
+    return P.build_dictionary(spread(html(spark, sf_dir)), ["page_id"], P.FlatOptions(use_char_ngrams=True))
+
+
+_FLAT_DOCS = S.flat("documents", "doc_id", "text", 3, 10, 256)
+
+
+@query(f"WITH {_FLAT_DOCS} SELECT doc_id, encoded, dictionary_entries::BIGINT AS dictionary_entries, system_dictionary || chr(10) || chr(10) || 'ENCODED_BODY:' || chr(10) || encoded AS packed_prompt FROM packed")
+def flat_encode(spark, sf_dir):
+    return P.flat_pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"]).select("doc_id", "encoded", "dictionary_entries", "packed_prompt")
+
+
+@query("SELECT page_id, html AS text FROM pages")
+def flat_roundtrip(spark, sf_dir):
+    from ..operators.codebook import decode
+
+    packed = P.flat_pack(spread(html(spark, sf_dir)), ["page_id"])
+    return packed.select("page_id", decode(F.col("encoded"), F.col("dictionary")).alias("text"))
+
+
+@query(f"""WITH {S.flat("pages", "page_id", "html", 3, 10, 256)},
+m AS (SELECT page_id, {S.tokens('text')} AS o, {S.tokens('encoded')} AS c, {S.tokens('plain')} AS d, {S.tokens("(system_dictionary || chr(10) || chr(10) || 'ENCODED_BODY:' || chr(10) || encoded)")} AS p, dictionary_entries FROM packed)
+SELECT page_id, o::BIGINT AS original_tokens, c::BIGINT AS compressed_tokens, d::BIGINT AS dictionary_tokens, p::BIGINT AS packed_tokens,
+       round({S.ratio('p', 'o')}, 6) AS ratio, round({S.factor('p', 'o')}, 6) AS compression_factor, dictionary_entries::BIGINT AS dictionary_entries FROM m""")
+def compression_metrics(spark, sf_dir):
+    packed = P.flat_pack(spread(html(spark, sf_dir)), ["page_id"])
+    return packed.select(
+        "page_id", "original_tokens", "compressed_tokens", "dictionary_tokens", "packed_tokens",
+        F.round("ratio", 6).alias("ratio"), F.round("compression_factor", 6).alias("compression_factor"), "dictionary_entries",
+    )
+
+
+@query(f"""WITH {LOGS}, {S.flat("logs", "user_id", "text", 2, 10, 128)} SELECT user_id, encoded, dictionary_entries::BIGINT AS dictionary_entries FROM packed""")
+def flat_encode_logs(spark, sf_dir):
+    return P.flat_pack(logs(spark, sf_dir), ["user_id"], P.FlatOptions(min_freq=2, max_dict_size=128)).select("user_id", "encoded", "dictionary_entries")
+
+
+# --- hierarchical and budgeted packs ------------------------------------------------------------------
+
+
+@query("SELECT doc_id, text FROM documents")
+def hierarchical_roundtrip(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return P.hierarchical_unpack(P.encode_pages(docs, ["doc_id"], P.HierarchicalOptions(page_size=2000)), ["doc_id"])
+
+
+@query(None)
+def hierarchical_pack(spark, sf_dir):
+    return P.hierarchical_pack(spread(html(spark, sf_dir)).withColumnRenamed("page_id", "id"), ["id"], P.HierarchicalOptions(page_size=800))
+
+
+def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of their source, with what budgets look at."""
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "source", F.col("doc_id").alias("page_id"), T.template_id(text).alias("template_id"), T.token_estimate(text).alias("original_tokens_est"),
+    )
+
+
+_ROWS = r"""rows AS (
+  SELECT source, doc_id AS page_id, left(sha1(regexp_replace(regexp_replace(text, '\d+', '#', 'g'), '[0-9a-fA-F]{8,}', '#hex#', 'g')), 16) AS template_id,
+         (length(text) + 3) // 4 AS original_tokens_est FROM documents)"""
+
+
+@query(f"""WITH {_ROWS},
+f AS (SELECT *, min(page_id) OVER (PARTITION BY source, template_id) AS first, count(*) OVER (PARTITION BY source) AS n FROM rows),
+m AS (SELECT *, page_id <> first AND page_id <= max(first) OVER (PARTITION BY source) AS late FROM f)
+SELECT source, page_id, template_id FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY late, page_id) <= greatest(1, floor(n * 0.25::DOUBLE))""")
+def hot_pages(spark, sf_dir):
+    return B.hot_pages(source_rows(spark, sf_dir), ["source"], 0.25).where("hot").select("source", "page_id", "template_id")
+
+
+@query(f"""WITH {_ROWS}, c AS (SELECT *, coalesce(sum(original_tokens_est) OVER (PARTITION BY source ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM rows)
+SELECT source, page_id, original_tokens_est::BIGINT AS original_tokens_est FROM c WHERE spent < 10000""")
+def input_cap(spark, sf_dir):
+    return B.input_cap(source_rows(spark, sf_dir), ["source"], 10_000).select("source", "page_id", "original_tokens_est")
+
+
+def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cold store of all documents, one page each."""
+    docs = spread(table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page_id"), "text"))
+    return B.cold_rows(docs, ["source"])
+
+
+@query(None)
+def budget_pack(spark, sf_dir):
+    options = B.BudgetOptions(output_token_budget=4000, input_token_budget=100_000, hot_page_fraction=0.2, max_global_dict=64)
+    return B.budget_pack(store(spark, sf_dir), ["source"], options)
+
+
+@query("SELECT source, string_agg(text, '' ORDER BY doc_id) AS text FROM documents GROUP BY source")
+def cold_store_decode(spark, sf_dir):
+    return B.decoded_texts(store(spark, sf_dir), ["source"])
+
+
+# --- recall ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT ord, doc_id AS page_id, 1.0::DOUBLE AS score, text FROM (VALUES (0, 7), (1, 3), (2, 7), (3, 100)) a(ord, id) JOIN documents ON doc_id = id""")
+def recall_by_id(spark, sf_dir):
+    return R.recall_by_ids(store(spark, sf_dir).drop("source"), [7, "3", 7, 100]).select("ord", "page_id", "score", "text")
+
+
+_QUERY = "the licence de tion idiot"
+
+
+def _scored(q: str) -> str:
+    parts = [f"(length(l) - length(replace(l, '{t}', ''))) // {len(t)} + CASE WHEN contains(b, '{t}') THEN 2.0 ELSE 0.0 END" for t in q.split()]
+    return rf"""scored AS (
+  SELECT doc_id AS page_id, text, ({" + ".join(parts)})::DOUBLE AS score FROM (
+    SELECT doc_id, text, lower(text) AS l,
+           lower(left(sha1(text), 12) || '|' || left(coalesce({S.filled('text')}[1], ''), 60) || ' ' || left(sha1(regexp_replace(regexp_replace(text, '\d+', '#', 'g'), '[0-9a-fA-F]{{8,}}', '#hex#', 'g')), 16)) AS b
+    FROM documents))"""
+
+
+@query(f"WITH {_scored(_QUERY)} SELECT page_id, score, text FROM scored WHERE score > 0 ORDER BY score DESC, page_id LIMIT 20")
+def keyword_topk(spark, sf_dir):
+    return R.keyword_search(store(spark, sf_dir).drop("source"), _QUERY, 20).select("page_id", "score", "text")
+
+
+@query(f"WITH {_scored(_QUERY)} SELECT page_id, score FROM scored WHERE score > 0")
+def keyword_scores(spark, sf_dir):
+    return R.keyword_scores(store(spark, sf_dir).drop("source"), _QUERY).select("page_id", "score")
+
+
+@query(f"""WITH {_scored(_QUERY)},
+k AS (SELECT page_id, score, row_number() OVER (ORDER BY score DESC, page_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 10)
+SELECT ord::INT AS ord, doc_id AS page_id, 1.0::DOUBLE AS score FROM (VALUES (0, 7), (1, 3)) a(ord, id) JOIN documents ON doc_id = id
+UNION ALL SELECT (rank + 2)::INT, page_id, score FROM k WHERE page_id NOT IN (7, 3)""")
+def recall_union(spark, sf_dir):
+    return R.recall(store(spark, sf_dir).drop("source"), [7, 3], _QUERY, 10).select("ord", "page_id", "score")
+
+
+# --- conversations --------------------------------------------------------------------------------------
+
+
+_MERGED = f"""c AS (SELECT conv_id, turn, role, text AS content FROM conversations WHERE turn % 3 <> 1),
+i AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM i),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) AS a, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn DESC) AS b FROM r),
+m AS (
+  SELECT conv_id, min(turn) AS turn, any_value(role) AS role,
+         string_agg(CASE WHEN a = 1 AND b = 1 THEN content WHEN a = 1 THEN regexp_replace(content, '{S.SPACE}+$', '') WHEN b = 1 THEN regexp_replace(content, '^{S.SPACE}+', '') ELSE {S.strip('content')} END, chr(10) || chr(10) ORDER BY turn) AS content
+  FROM e GROUP BY conv_id, run)"""
+
+
+@query(f"WITH {_MERGED} SELECT conv_id, turn, role, content FROM m")
+def merge_turns(spark, sf_dir):
+    # the table has no runs of one role; leaving out every third turn makes some
+    return C.merge_turns(turns(spark, sf_dir).where("turn % 3 <> 1"), ["conv_id"])
+
+
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn DESC) AS back FROM conversations)
+SELECT conv_id, turn, CASE WHEN role = 'system' THEN 0 WHEN back <= 2 THEN 2 ELSE 1 END::INT AS part FROM p""")
+def protect_last_n(spark, sf_dir):
+    return C.split_turns(turns(spark, sf_dir), ["conv_id"], True, 2).select("conv_id", "turn", "part")
+
+
+_FILLED = f"list_filter({S.lines('text')}, lambda x: {S.strip('x')} <> '')"
+
+
+@query(rf"""SELECT doc_id, length(text) >= 200 AND ((len({_FILLED}) >= 8 AND len(list_distinct({_FILLED}))::DOUBLE / greatest(len({_FILLED}), 1) < 0.55)
+  OR (regexp_matches(text, '(?i)(tool[_ ]?result|function[_ ]?response|observation|```json|status=\d{{3}}|request_id=|latency_ms=)') AND {S.tokens('text')} >= 80)) AS repetitive FROM documents""")
+def repetitive_turns(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.looks_repetitive(F.col("text")).alias("repetitive"))
+
+
+@query(f"""WITH f AS (SELECT conv_id, turn, text, {S.filled('text')} AS l FROM conversations),
+s AS (SELECT *, array_to_string(list_concat(l[1:2], CASE WHEN len(l) > 3 THEN l[-1:] ELSE [] END), ' | ') AS shown FROM f)
+SELECT conv_id, turn, '[compacted stub: ~' || {S.tokens('text')} || ' tokens, ' || len(l) || ' lines; recoverable detail omitted] ' ||
+  CASE WHEN length(shown) > 240 THEN left(shown, 239) || '…' ELSE shown END AS stub FROM s""")
+def lossy_stub(spark, sf_dir):
+    return turns(spark, sf_dir).select("conv_id", "turn", T.lossy_stub(F.col("content")).alias("stub"))
+
+
+def _evicting(budget: int, keep: int) -> str:
+    stub = f"""'[compacted stub: ~' || {S.tokens('text')} || ' tokens, ' || len(l) || ' lines; recoverable detail omitted] ' || CASE WHEN length(shown) > 240 THEN left(shown, 239) || '…' ELSE shown END"""
+    return f"""
+p AS (SELECT conv_id, turn, role, text, {S.filled('text')} AS l, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn DESC) AS back FROM conversations),
+q AS (SELECT *, CASE WHEN role = 'system' THEN 0 WHEN back <= {keep} THEN 2 ELSE 1 END AS part, array_to_string(list_concat(l[1:2], CASE WHEN len(l) > 3 THEN l[-1:] ELSE [] END), ' | ') AS shown FROM p),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn) - 1 AS nth, sum(length(role) + 7 + length(text) + 2) OVER (PARTITION BY conv_id) - 2 AS size FROM q),
+t AS (SELECT *, '[cold_ref:c' || nth || '] ' || {stub} AS stub FROM s),
+v AS (SELECT *, size + coalesce(sum(length(stub) - length(text)) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS now FROM t),
+w AS (SELECT *, part = 1 AND min(CASE WHEN (now + 3) // 4 > {budget} THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS UNBOUNDED PRECEDING) = 1 AS evicted FROM v),
+o AS (SELECT *, CASE WHEN evicted THEN stub ELSE text END AS final, row_number() OVER (PARTITION BY conv_id ORDER BY part, turn) - 1 AS ord FROM w)"""
+
+
+_EVICT = C.CompactOptions(budget=150, keep_last_n=1)
+
+
+@query(f"WITH {_evicting(150, 1)} SELECT conv_id, ord::INT AS ord, role, final AS content FROM o")
+def evict_to_budget(spark, sf_dir):
+    # no turn of the table is bulky and repetitive, so the SQL has eviction alone
+    return C.compact_messages(turns(spark, sf_dir), ["conv_id"], _EVICT).messages
+
+
+@query(f"""WITH {_evicting(150, 1)},
+g AS (SELECT conv_id, string_agg('<<<' || upper(role) || '>>>' || chr(10) || final, chr(10) || chr(10) ORDER BY ord) AS packed_prompt, count(*) FILTER (evicted) AS n_cold_refs,
+        string_agg('<<<' || upper(role) || '>>>' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS original FROM o GROUP BY conv_id)
+SELECT conv_id, packed_prompt, n_cold_refs, {S.tokens('original')}::BIGINT AS original_tokens_est, {S.tokens('packed_prompt')}::BIGINT AS compacted_tokens_est, {S.tokens('packed_prompt')} <= 150 AS fits_budget FROM g""")
+def compact_pack(spark, sf_dir):
+    done = C.compact_messages(turns(spark, sf_dir), ["conv_id"], _EVICT)
+    return done.summary.select("conv_id", "packed_prompt", "n_cold_refs", "original_tokens_est", "compacted_tokens_est", "fits_budget")
+
+
+@query(f"WITH {_evicting(150, 1)} SELECT conv_id, ord::INT AS ord, role, text AS content FROM o")
+def cold_ref_expand(spark, sf_dir):
+    return C.expand_messages(C.compact_messages(turns(spark, sf_dir), ["conv_id"], _EVICT), ["conv_id"])
+
+
+@query(None)
+def compact_logs(spark, sf_dir):
+    """Conversations with a bulky tool turn: what a user's log says, between a question and an answer."""
+    log = logs(spark, sf_dir).select("user_id", F.lit(1).alias("turn"), F.lit("tool").alias("role"), F.col("text").alias("content"))
+    ends = [(0, "user", "What happened?"), (2, "assistant", "Looking."), (3, "user", "And now?"), (4, "assistant", "Nothing."), (5, "user", "Thanks.")]
+    rest = log.select("user_id", F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), F.lit(r).alias("role"), F.lit(c).alias("content")) for t, r, c in ends])).alias("m"))
+    return C.compact_messages(log.unionByName(rest.select("user_id", "m.*")), ["user_id"], C.CompactOptions(budget=2000)).summary
+
+
+# --- evaluation -----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '{S.SPACE}+', ' ', 'g')) AS t FROM documents),
+b AS (SELECT item_id % 3 AS type, trim(regexp_replace(lower(left(text, 60)), '{S.SPACE}+', ' ', 'g')) AS p FROM benchmark)
+SELECT doc_id, ('k' || type) AS type, count(*) FILTER (contains(t, p)) AS hit, count(*) AS total, round(count(*) FILTER (contains(t, p))::DOUBLE / count(*), 4) AS recall FROM d, b GROUP BY doc_id, type""")
+def phrase_coverage(spark, sf_dir):
+    gold = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("k"), (F.col("item_id") % 3).cast("string")).alias("type"), F.left("text", F.lit(60)).alias("phrase"))
+    return E.phrase_coverage(table(spark, sf_dir, "documents").select("doc_id", "text"), gold, ["doc_id"])
+
+
+@query(None)
+def typology_jaccard(spark, sf_dir):
+    whole = C.pack_messages(turns(spark, sf_dir), ["conv_id"]).select("conv_id", "packed")
+    cut = T.head_tail(F.col("packed"), F.lit(100))
+    return whole.select("conv_id", E.typology_jaccard(F.col("packed"), cut).alias("typology_jaccard"))
+
+
+@query(None)
+def protect_compact(spark, sf_dir):
+    whole = C.pack_messages(turns(spark, sf_dir), ["conv_id"]).select("conv_id", F.col("packed").alias("text"))
+    return E.protect_sentences(whole, ["conv_id"])
+
 
-def queries() -> dict:
-    return {}
+def gold_phrases(messages: DataFrame) -> DataFrame:
+    """The first words of a conversation's user turns as its goals, of its other turns as outcomes."""
+    kind = F.when(F.col("role") == "user", "goal").otherwise("outcome")
+    return messages.where("role <> 'system'").select("conv_id", kind.alias("type"), F.left("content", F.lit(40)).alias("phrase"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query(None)
+def condition_summary(spark, sf_dir):
+    talk = turns(spark, sf_dir)
+    scored = E.score_conditions(E.run_conditions(talk, ["conv_id"], budget=200), gold_phrases(talk), talk, ["conv_id"])
+    return E.summarise(scored)

@@ -44,11 +44,15 @@ def _ranked(name: str, src: int, key: str, min_freq: int, limit: int, found: str
 
 def ngrams(source: str, key: str, text: str, min_freq: int, max_len: int, limit: int = 500) -> str:
     """CTEs up to ``ngrams``: the n-grams of each text of ``source``, all lengths counted in full."""
+    ahead = ", ".join(f"lead(u, {k}) OVER w AS u{k}" for k in range(1, max_len))
+    each = " UNION ALL ".join(
+        f"SELECT {key}, i, {n} AS n, u || {' || '.join(f"' ' || u{k}" for k in range(1, n))} AS pattern FROM ngrams_ahead WHERE u{n - 1} IS NOT NULL"
+        for n in range(2, max_len + 1)
+    )
     return f"""
-ngrams_units AS (SELECT {key}, {units(text)} AS u FROM {source}),
-ngrams_all AS (
-  SELECT {key}, i, n, array_to_string(u[i:i + n - 1], ' ') AS pattern
-  FROM (SELECT {key}, u, n, unnest(range(1, greatest(len(u) - n + 2, 1))) AS i FROM ngrams_units, (SELECT unnest(range(2, {max_len + 1})) AS n))),
+ngrams_units AS (SELECT {key}, unnest({units(text)}) AS u, unnest(range(len({units(text)}))) AS i FROM {source}),
+ngrams_ahead AS (SELECT {key}, i, u, {ahead} FROM ngrams_units WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+ngrams_all AS ({each}),
 ngrams_counted AS (
   SELECT {key}, pattern, count(*) AS cnt, length(pattern) AS len, min(-n * 100000000 + i) AS found FROM ngrams_all WHERE length(pattern) >= 8 GROUP BY {key}, pattern),
 {_ranked("ngrams", 0, key, min_freq, limit, "found")}"""
@@ -75,9 +79,9 @@ def merged(key: str, groups: list[str]) -> str:
     every = " UNION ALL ".join(f"SELECT * FROM {g}" for g in groups)
     return f"""
 merged AS (
-  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, len DESC, cnt DESC, at) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, len DESC, cnt DESC, place) AS rank FROM (
     SELECT *, (cnt - 1) * (len - 6) - 6 AS score FROM (
-      SELECT {key}, pattern, max(cnt) AS cnt, max(len) AS len, min(src * 10000 + rank) AS at FROM ({every}) GROUP BY {key}, pattern)))"""
+      SELECT {key}, pattern, max(cnt) AS cnt, max(len) AS len, min(src * 10000 + rank) AS place FROM ({every}) GROUP BY {key}, pattern)))"""
 
 
 def gated(source: str, key: str, text: str, max_size: int, candidates: str = "merged") -> str:
