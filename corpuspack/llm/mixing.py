@@ -82,7 +82,7 @@ def mix_sources(
     kept = [c for c in thin.columns if c not in ("doc_id", "source", "size", "own", "u")]
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("skey")
     sizes = thin.groupBy("source").agg(
-        F.sum("size").alias("source_size"), (F.sum(F.col("own") * F.col("size")) / F.sum("size")).alias("mean")
+        F.sum("size").alias("source_size"), F.try_divide(F.sum(F.col("own") * F.col("size")), F.sum("size")).alias("mean")
     )
     targets = source_targets(sizes, weights, max_repeat)
     targets = targets.select(key, "source_size", "target").join(sizes.select(key, "mean"), "skey")
