@@ -22,7 +22,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Parts whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 
 
 @dataclass
@@ -134,7 +134,7 @@ def build(spec: Spec):
     tokenizer = Tokenizer(model)
     steps = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
     if spec.remove_extra_whitespaces:
-        steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if spec.add_dummy_prefix:
         steps.append(normalizers.Prepend(" "))
     if spec.escape_whitespaces:
@@ -188,12 +188,16 @@ class Codec:
             self._known.clear()
         known = self._known
         new = list({p for x in parts for p in x if p not in known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            said = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
             truth = self.judge.encode(some, num_threads=threads)
+            if self.cuts:  # what the normaliser does is then known, and the model is asked directly
+                tokenize = self.tokenizer.model.tokenize
+                said = [[t.id for t in tokenize(MARK + p.replace(" ", MARK))] if p else [] for p in some]
+            else:
+                said = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             for part, mine, right in zip(some, said, truth):
-                known[part] = (array("I", right).tobytes(), mine.ids != right)
+                known[part] = (array("I", right).tobytes(), mine != right)
         out = []
         for x in parts:
             found = [known[p] for p in x]
@@ -236,8 +240,8 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 1, keep: t
 
         codec = _codec(model_path, threads)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 found = codec.encode(part.column(part.num_columns - 1).to_pylist(), threads)
                 lengths = np.array([len(x) // 4 for x, _ in found], dtype=np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
@@ -263,8 +267,8 @@ def decode_documents(rows: DataFrame, model_path: str, threads: int = 1) -> Data
 
         codec = _codec(model_path, threads)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 ids = part.column(at).to_pylist()
                 said = iter(codec.decode([x for x in ids if x is not None]))
                 texts = [None if x is None else next(said) for x in ids]
