@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.session import cut
 from .codebook import EMPTY, decode, dictionary_arrays, encode
 from .packing import FlatOptions, apply_dictionary, build_dictionary, dictionary_lines, in_order
 
@@ -97,6 +98,8 @@ def _scoped(dictionary: Column, apart: bool) -> Column:
 def budget_pack(rows: DataFrame, keys: Sequence[str], options: BudgetOptions = BudgetOptions()) -> DataFrame:
     """One prompt a scope from its cold rows, in at most ``output_token_budget`` tokens where dictionaries and directory leave room.
 
+    The rows are read several times: give a stored or checkpointed table, not the plan of :func:`cold_rows`.
+
     Returns the keys, ``packed_prompt``, ``prompt_tokens_est``, ``prompt_fits_budget``, ``input_tokens_est``,
     ``compression_factor_vs_prompt``, ``n_pages``, ``n_templates``, ``global_dict_size``, ``hot_pages``,
     ``cold_pages``, ``global_dictionary`` and ``hot_ids``.
@@ -109,7 +112,7 @@ def budget_pack(rows: DataFrame, keys: Sequence[str], options: BudgetOptions = B
     top = FlatOptions(min_freq=1, max_dict_size=options.max_global_dict)
     arrays = dictionary_arrays(build_dictionary(blob, keys, top), keys)
     # a codebook that doesn't give its own exemplars back isn't used
-    arrays = apply_dictionary(blob, arrays, keys, top).select(*keys, _scoped(F.col("dictionary"), options.scoped_metas).alias("global_dictionary"))
+    arrays = cut(apply_dictionary(blob, arrays, keys, top).select(*keys, _scoped(F.col("dictionary"), options.scoped_metas).alias("global_dictionary")))
 
     book = template_codebook(ranked, keys, options.max_global_dict)
     line = F.concat(F.lit("  "), "meta", F.lit(" → template "), "template_id", F.lit(" (count="), F.col("count").cast("string"), F.lit(")"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.session import cut
 from .codebook import EMPTY, decode
 from .packing import FlatOptions, flat_pack, in_order
 
@@ -120,7 +121,8 @@ def compact_messages(messages: DataFrame, keys: Sequence[str], options: CompactO
     still = F.min(F.col("over").cast("int")).over(middle.rowsBetween(Window.unboundedPreceding, 0)) == 1
     turns = turns.withColumn("evicted", (F.col("part") == 1) & still)
     turns = turns.withColumn("final", F.when(F.col("evicted"), F.col("stub")).otherwise(F.col("shown")))
-    turns = turns.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("part", "turn")) - 1)
+    # messages, references and summary are all read off this table
+    turns = cut(turns.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("part", "turn")) - 1))
 
     out = turns.select(*keys, "ord", "role", F.col("final").alias("content"))
     payload = "struct<encoded:string,dictionary:array<struct<ord:int,meta:string,pattern:string>>,packed_prompt:string,original:string>"

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.session import cut
 from .compaction import CompactOptions, compact_messages, expand_messages, pack_messages
 from .packing import FlatOptions, flat_pack, in_order
 
@@ -90,18 +91,16 @@ def run_conditions(traces: DataFrame, keys: Sequence[str], budget: int = 1200, k
     done = compact_messages(traces, keys, CompactOptions(budget=budget, mode="lossless_dict", keep_last_n=keep_last_n))
     whole = expand_messages(done, keys).groupBy(*keys).agg(F.array_join(in_order(F.col("ord"), F.col("content")), "\n\n").alias("restored"))
     sizes = done.summary.select(*keys, F.col("packed_prompt").alias("visible"), "compacted_tokens_est")
-    met = packed.join(sizes, keys).join(whole, keys)
+    met = cut(packed.join(sizes, keys).join(whole, keys))
     compact = row(met, "compact", F.col("visible"), F.col("restored"), F.col("compacted_tokens_est"), F.lit(False))
     allowed = met.select(*keys, "text", F.greatest(F.lit(200), F.col("compacted_tokens_est")).cast("long").alias("allowed"))
 
-    from pyspark.sql import Window
-
     scope = Window.partitionBy(*keys)
     ends = traces.withColumn("_i", F.row_number().over(scope.orderBy("turn"))).withColumn("_n", F.count(F.lit(1)).over(scope))
     ends = ends.where("_n <= 4 or _i <= 2 or _i > _n - 2")
     short = pack_messages(ends, keys).select(*keys, F.col("packed").alias("_short"))
-    cut = allowed.join(short, keys).withColumn("_cut", T.head_tail(F.col("_short"), F.col("allowed")))
-    truncate = row(cut, "lossy_truncate", F.col("_cut"), F.col("_cut"), T.token_estimate(F.col("_cut")), F.col("_cut") == text)
+    ends = allowed.join(short, keys).withColumn("_cut", T.head_tail(F.col("_short"), F.col("allowed")))
+    truncate = row(ends, "lossy_truncate", F.col("_cut"), F.col("_cut"), T.token_estimate(F.col("_cut")), F.col("_cut") == text)
 
     parts = protect_sentences(packed, keys)
     filler = flat_pack(parts.where(T.strip(F.col("rest_blob")) != "").select(*keys, F.col("rest_blob").alias("text")), keys, FlatOptions(min_freq=2, max_dict_size=128))
@@ -123,6 +122,7 @@ def score_conditions(conditions: DataFrame, gold: DataFrame, traces: DataFrame,
     """A row a trace and condition with ``token_ratio``, phrase recalls (visible, restored, constraints only) and ``mean_typology_jaccard``."""
     keys = list(keys)
     on = [*keys, "condition"]
+    conditions = cut(conditions)
 
     def recall(column: str, name: str, phrases: DataFrame) -> DataFrame:
         cover = phrase_coverage(conditions.select(*on, F.col(column).alias("text")), phrases, on, keys)

@@ -28,11 +28,12 @@ def recall_by_ids(rows: DataFrame, page_ids: Sequence[int | str]) -> DataFrame:
     asked = spark.createDataFrame([(i, str(p)) for i, p in enumerate(page_ids)], "ord int, asked string")
     wanted = sorted({str(p) for p in page_ids})
     found = unique_pages(rows.where(F.col("page_id").cast("string").isin(wanted) | F.col("page_id").isin([int(w) for w in wanted if w.lstrip("-").isdigit()])))
-    met = F.broadcast(asked).join(found, F.coalesce(F.expr("try_cast(asked as bigint)") == F.col("page_id"), F.lit(False)) | (F.col("asked") == F.col("page_id").cast("string")), "inner")
+    same = F.coalesce(F.expr("try_cast(asked as bigint)") == F.col("page_id"), F.lit(False)) | (F.col("asked") == F.col("page_id").cast("string"))
+    met = F.broadcast(asked).join(found, same)
     there = {r.asked for r in met.select("asked").distinct().collect()}  # as many rows as ids were asked for
     if missing := [w for w in wanted if w not in there]:
         raise KeyError(f"page_id {missing[0]!r} not found")
-    text = decoded_pages(met.withColumn("page_id", F.col("page_id")), ["ord"]).select("ord", "page_id", "text")
+    text = decoded_pages(met, ["ord"])
     return text.select("ord", "page_id", F.lit(1.0).alias("score"), "text", F.lit("").alias("fingerprint"), F.lit("").alias("template_id"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.session import cut
 from ..operators import budget as B
 from ..operators import compaction as C
 from ..operators import evaluate as E
@@ -252,7 +253,7 @@ def input_cap(spark, sf_dir):
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cold store of all documents, one page each."""
     docs = spread(table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page_id"), "text"))
-    return B.cold_rows(docs, ["source"])
+    return cut(B.cold_rows(docs, ["source"]))
 
 
 @query(None)
@@ -398,7 +399,7 @@ b AS (SELECT item_id % 3 AS type, trim(regexp_replace(lower(left(text, 60)), '{S
 SELECT doc_id, ('k' || type) AS type, count(*) FILTER (contains(t, p)) AS hit, count(*) AS total, round(count(*) FILTER (contains(t, p))::DOUBLE / count(*), 4) AS recall FROM d, b GROUP BY doc_id, type""")
 def phrase_coverage(spark, sf_dir):
     gold = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("k"), (F.col("item_id") % 3).cast("string")).alias("type"), F.left("text", F.lit(60)).alias("phrase"))
-    return E.phrase_coverage(table(spark, sf_dir, "documents").select("doc_id", "text"), gold, ["doc_id"])
+    return E.phrase_coverage(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), gold, ["doc_id"])
 
 
 @query(None)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import cut
 from ..operators import budget as B
 from ..operators import compaction as C
 from ..operators import packing as P
@@ -45,6 +46,8 @@ class PromptMemory:
         if self.cold_store:
             rows.write.mode("overwrite").parquet(self.cold_store)  # read again below, so pages are encoded once
             rows = self.spark.read.parquet(self.cold_store)
+        else:
+            rows = cut(rows)
         return B.budget_pack(rows, keys, options)
 
     def pack_files(self, path: str) -> DataFrame:
@@ -65,4 +68,4 @@ class PromptMemory:
         options = B.BudgetOptions(
             input_token_budget=self.input_budget, output_token_budget=self.output_budget, hot_page_fraction=0.08, max_global_dict=256, simulated_input_tokens=target_in
         )
-        return B.budget_pack(B.cold_rows(pages, ["scope"], options), ["scope"], options).drop("scope")
+        return B.budget_pack(cut(B.cold_rows(pages, ["scope"], options)), ["scope"], options).drop("scope")
