@@ -22,10 +22,13 @@ WINDOW = 16
 #: Bytes of the dictionaries of ordinary and of toxic text.
 ORDINARY_BYTES, TOXIC_BYTES = 128 * 1024, 4096
 LEVEL = 12
+#: How many times as much as precision recall counts for the threshold.
+RECALL = 1.5
 #: About so many labelled documents of each kind, at most, are learned from.
 TOXIC_DOCS, ORDINARY_DOCS = 2000, 5000
-#: A word counts as typical of toxic text if so many toxic documents of the sample have it and no ordinary one has.
-LEAST_DOCS = 5
+#: A word counts as typical of toxic text if so many toxic documents of the sample have it, or one of its beginnings
+#: of so many bytes, and no ordinary one has.
+LEAST_DOCS, STEMS = 5, (4, 5, 6)
 
 _MARKS = re.compile(rb"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+")
 
@@ -38,6 +41,11 @@ def words(text: str | bytes | None) -> list[bytes]:
     return _MARKS.sub(b" ", text.lower().encode("utf-8", "replace")).split()
 
 
+def beginnings(word: bytes) -> tuple[bytes, ...]:
+    """What a word is known by: itself, and its beginnings if it is longer, so that endings don't hide a stem."""
+    return (word + b" ", *(word[:n] for n in STEMS if len(word) >= n))
+
+
 def windows(of: list[bytes], size: int = WINDOW) -> list[bytes]:
     """The words in windows of ``size`` that cover them all; the last one reaches back to be full."""
     if len(of) <= size:
@@ -94,42 +102,48 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from two thirds of the texts, weights and threshold from the rest.
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
+    """The two dictionaries of tokenised texts.
 
-    Ordinary windows are sampled by the trainer as they are.  Toxic ones are first
-    reduced to the words that several toxic documents have and no ordinary one has,
-    since most of a toxic document is ordinary text.
+    Ordinary windows are given to the trainer as they are, evenly chosen.  Toxic ones are
+    first reduced to the words that several toxic documents have, as a whole or by their
+    beginning, and no ordinary one has, since most of a toxic document is ordinary text.
     """
     import zstandard
 
-    toxic_words, ordinary_words = [words(t) for t in toxic], [words(t) for t in ordinary]
-    learn_t = [x for i, x in enumerate(toxic_words) if i % 3]
-    learn_o = [x for i, x in enumerate(ordinary_words) if i % 3]
-    common = {w for x in learn_o for w in x}
-    seen = Counter(w for x in learn_t for w in set(x) - common)
-    least = min(LEAST_DOCS, max(1, len(learn_t) // 50))
-    typical = [[w for w in x if seen[w] >= least] for x in learn_t]
+    least = min(LEAST_DOCS, max(2, len(toxic) // 80))
+    counts = Counter(b for x in toxic for b in {b for w in x for b in beginnings(w)})
+    marks = {b for b, n in counts.items() if n >= least}
+    del counts
+    for x in ordinary:
+        marks.difference_update(b for w in x for b in beginnings(w))
+    typical = [[w for w in x if not marks.isdisjoint(beginnings(w))] for x in toxic]
     toxic_windows = [w for x in typical if x for w in windows(x, 4) if len(w) >= 8]
-    ordinary_windows = [w for x in learn_o for w in windows(x)]
-    every = max(1, len(ordinary_windows) * WINDOW * 6 // (100 * ORDINARY_BYTES))
+    every = max(1, sum(map(len, ordinary)) * 6 // (100 * ORDINARY_BYTES))  # about a hundred times the dictionary
+    ordinary_windows = [w for i, w in enumerate(w for x in ordinary for w in windows(x)) if i % every == 0]
 
     def dictionary(size: int, samples: list[bytes], k: int) -> bytes:
-        whole = b"".join(samples)
         try:
             return zstandard.train_dictionary(size, samples, k=k, d=6).as_bytes()
         except zstandard.ZstdError:  # too few samples to choose from: they are the dictionary
-            return whole[-size:] or b" "
+            return b"".join(samples)[-size:] or b" "
 
-    model = Model(dictionary(ORDINARY_BYTES, ordinary_windows[::every], 64), dictionary(TOXIC_BYTES, toxic_windows, 32))
-    rest = [(t, 1) for t in toxic[::3]] + [(t, 0) for t in ordinary[::3]]
+    return Model(dictionary(ORDINARY_BYTES, ordinary_windows, 64), dictionary(TOXIC_BYTES, toxic_windows, 32))
+
+
+def fit(toxic: list[str], ordinary: list[str]) -> Model:
+    """Dictionaries of all texts; weights and threshold from a third of them, under dictionaries of the other two."""
+    toxic_words, ordinary_words = [words(t) for t in toxic], [words(t) for t in ordinary]
+    model = dictionaries(toxic_words, ordinary_words)
     if toxic and ordinary:
-        _calibrate(model, [model.features(t) for t, _ in rest], [y for _, y in rest])
+        apart = dictionaries([x for i, x in enumerate(toxic_words) if i % 3], [x for i, x in enumerate(ordinary_words) if i % 3])
+        rest = [(t, 1) for t in toxic[::3]] + [(t, 0) for t in ordinary[::3]]
+        _calibrate(model, [apart.features(t) for t, _ in rest], [y for _, y in rest])
     return model
 
 
 def _calibrate(model: Model, features, truth, steps: int = 60, ridge: float = 1e-2) -> None:
-    """Logistic regression by Newton steps, then the intercept that makes 0.5 the threshold of the best F1."""
+    """Logistic regression by Newton steps, then the intercept that makes 0.5 the threshold of the best F score."""
     import numpy as np
 
     x, y = np.array(features), np.array(truth, dtype=float)
@@ -146,7 +160,7 @@ def _calibrate(model: Model, features, truth, steps: int = 60, ridge: float = 1e
     said = design @ w
     order = np.argsort(-said, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    f1 = (1 + RECALL**2) * hits / (np.arange(1, len(y) + 1) + RECALL**2 * y.sum())
     best = int(np.argmax(f1))
     low = said[order[best]]
     below = said[order[best + 1]] if best + 1 < len(said) else low - 1
