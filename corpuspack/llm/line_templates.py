@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Documents that must share a template.
 LEAST_DOCS = 3
 #: Lines of fewer tokens have no tail: they are compared whole.
@@ -59,7 +61,7 @@ def drop_recurring_lines(
     """
     plain = docs.drop("n_lines", "n_dropped")
     hashes = F.transform(F.split(normalised(F.col("text")), "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(template(x, depth, short))))
-    seen = plain.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull()))).alias("h"))
+    seen = cut(plain.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull()))).alias("h")))
     counted = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     recurring = counted.where(F.col("n") >= least_docs).select("h", "first")
     hit = seen.join(recurring, "h")
