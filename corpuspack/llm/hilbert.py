@@ -78,7 +78,7 @@ def shard_by_hilbert(docs: DataFrame, shards: int = 8, bits: int = BITS, slices:
     Returns ``(doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert)``, one
     row for each row of ``docs``.  The law is ``bytes``: the sizes (UTF-8 bytes of the
     text, none for null, plus 1) of the shards are nearly equal.  Equal texts are
-    one group, placed by the source and language of its smallest ``doc_id``, and share
+    one group, placed by the least of its members' source and language coordinates, and share
     a shard; a group goes to the run that holds its middle byte, so a shard's size
     misses its share by half a group at either end, at most.  ``slot`` counts a
     shard's rows from 0 along the curve.  ``grown_shard`` is null under this law.
@@ -93,25 +93,24 @@ def shard_by_hilbert(docs: DataFrame, shards: int = 8, bits: int = BITS, slices:
     """
     text = F.col("text")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+    top = (1 << bits) - 1
+
+    def level(c: str) -> Column:  # 0 is for null
+        return F.when(F.col(c).isNull(), 0).otherwise(1 + F.pmod(F.crc32(F.encode(F.col(c).cast("string"), "UTF-8")), F.lit(top))).cast("int")
+
     thin = cut(docs.select(
         "doc_id", size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.coalesce(F.md5(F.encode(text, "UTF-8")), F.lit("null")).alias("group"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), "source", "lang",
+        F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), level("source").alias("source"), level("lang").alias("lang"),
     ))
-    parts = thin.groupBy("group", "slice").agg(
-        F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang")).alias("first")
-    )
-    groups = parts.groupBy("group").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.min("first").alias("first"))
-
-    top = (1 << bits) - 1
+    parts = cut(thin.groupBy("group", "slice").agg(
+        F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min("source").alias("source"), F.min("lang").alias("lang")
+    ))
+    groups = parts.groupBy("group").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.min("source").alias("source"), F.min("lang").alias("lang"))
     magnitude = F.least(F.floor(F.log2("size") * 2), F.lit(top))  # half octaves
-
-    def level(c: str) -> Column:  # 0 is for null
-        return F.when(F.col(f"first.{c}").isNull(), 0).otherwise(1 + F.pmod(F.crc32(F.encode(f"first.{c}", "UTF-8")), F.lit(top)))
-
     groups = groups.select(
         "group", "n", (F.col("n") * F.col("size")).alias("bytes"),
-        hilbert_index([magnitude, level("source"), level("lang")], bits).alias("hilbert"),
+        hilbert_index([magnitude, F.col("source"), F.col("lang")], bits).alias("hilbert"),
         F.when(F.col("group") == "null", 0).otherwise(F.pmod(F.conv(F.substring("group", 1, 8), 16, 10).cast("long"), F.lit(slices))).alias("part"),
     )
     groups = cut(groups)
