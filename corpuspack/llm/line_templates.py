@@ -63,7 +63,8 @@ def drop_recurring_lines(
     hashes = F.transform(F.split(normalised(F.col("text")), "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(template(x, depth, short))))
     seen = cut(plain.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull()))).alias("h")))
     counted = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    recurring = counted.where(F.col("n") >= least_docs).select("h", "first")
+    # a table of its own, so that the join below can split a line that very many documents share
+    recurring = cut(counted.where(F.col("n") >= least_docs).select("h", "first"))
     hit = seen.join(recurring, "h")
     if keep_first:
         hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("first")))
