@@ -23,7 +23,7 @@ WINDOW = 16
 ORDINARY_BYTES, TOXIC_BYTES = 128 * 1024, 4096
 LEVEL = 12
 #: How many times as much as precision recall counts for the threshold.
-RECALL = 1.5
+RECALL = 1.0
 #: About so many labelled documents of each kind, at most, are learned from.
 TOXIC_DOCS, ORDINARY_DOCS = 2000, 5000
 #: A word counts as typical of toxic text if so many toxic documents of the sample have it, or one of its beginnings
@@ -111,7 +111,7 @@ def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model
     """
     import zstandard
 
-    least = min(LEAST_DOCS, max(2, len(toxic) // 80))
+    least = min(LEAST_DOCS, max(2, len(toxic) // 50))
     counts = Counter(b for x in toxic for b in {b for w in x for b in beginnings(w)})
     marks = {b for b, n in counts.items() if n >= least}
     del counts
@@ -132,13 +132,11 @@ def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries of all texts; weights and threshold from a third of them, under dictionaries of the other two."""
-    toxic_words, ordinary_words = [words(t) for t in toxic], [words(t) for t in ordinary]
-    model = dictionaries(toxic_words, ordinary_words)
+    """Dictionaries from two thirds of the texts; weights and threshold from the rest, which these haven't seen."""
+    model = dictionaries(*([words(t) for i, t in enumerate(texts) if i % 3] for texts in (toxic, ordinary)))
+    rest = [(t, 1) for t in toxic[::3]] + [(t, 0) for t in ordinary[::3]]
     if toxic and ordinary:
-        apart = dictionaries([x for i, x in enumerate(toxic_words) if i % 3], [x for i, x in enumerate(ordinary_words) if i % 3])
-        rest = [(t, 1) for t in toxic[::3]] + [(t, 0) for t in ordinary[::3]]
-        _calibrate(model, [apart.features(t) for t, _ in rest], [y for _, y in rest])
+        _calibrate(model, [model.features(t) for t, _ in rest], [y for _, y in rest])
     return model
 
 
