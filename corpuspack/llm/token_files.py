@@ -8,6 +8,7 @@ tokens of a few documents, or the counts of all, without the rest.
 
 from __future__ import annotations
 
+import functools
 import re
 from array import array
 from collections.abc import Iterator
@@ -18,11 +19,14 @@ from pyspark.sql import types as T
 
 #: Bytes of a row group and of a page, uncompressed; rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2000
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Parts of texts whose ids a worker remembers, about.
+REMEMBERED = 240_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
-_RUN = re.compile(r"\s\s|^\s|\s$")
+_RUN = re.compile(r"\s\s|^\s|\s\Z")
+#: Marks that are pieces of their own behind a letter, and letters that every Unicode version has as such.
+_MARKS = ",.!?;:"
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+")
 
 
 class Encoder:
@@ -31,15 +35,22 @@ class Encoder:
     Its pre-tokeniser begins a new piece at a single space or line end between two
     characters that aren't white space, and no merge crosses pieces.  So a text may be
     cut there, and the ids of its parts, each with what it begins with, are the text's.
+    A part of letters, and one of letters before a mark, is one piece, or two, and
+    goes to the library's BPE model directly; any other goes through the whole tokeniser.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        #: ids of first parts, and of parts that follow a space or begin with a line end
-        self._first: dict[str, bytes] = {}
+        self._model = self._tokenizer.model
+        #: ids of parts that follow a space or begin with a line end: those met lately, and those met before that
         self._inner: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        # how the byte-level alphabet writes a byte: printable ones as they are, the others from 256 on, in order
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self._written = {b: b if b in plain else next(others) for b in range(256)}
 
     def _parts(self, text: str) -> list[str]:
         """The text's parts; all but the first are without the space that they begin with."""
@@ -47,24 +58,62 @@ class Encoder:
             return text.replace("\n", " \n").split(" ")
         return _CUT.split(text)
 
-    def _learn(self, known: dict[str, bytes], parts: set[str], space: str) -> None:
-        new = [p for p in parts if p not in known]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            plain = [p if p.startswith("\n") else space + p for p in some]
-            for part, said in zip(some, self._tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-                known[part] = array("I", said.ids).tobytes()
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        said = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in said]
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a text that is one piece of the pre-tokeniser."""
+        written = piece.encode().decode("latin-1").translate(self._written)
+        return array("I", [t.id for t in self._model.tokenize(written)]).tobytes()
+
+    def _learn(self, parts: set[str]) -> None:
+        """Looks up inner parts that aren't known yet."""
+        known, older, whole = self._inner, self._older, []
+        for part in parts:
+            if (found := older.get(part)) is not None:
+                known[part] = found
+                continue
+            stem, mark = part, ""
+            if part[-1:] in _MARKS:
+                stem, mark = part[:-1], part[-1]
+            if _WORD.fullmatch(stem):
+                found = known.get(stem) if mark else None
+                if found is None:
+                    found = self._piece(" " + stem)
+                    if mark:
+                        known[stem] = found
+                known[part] = found + self._marks[mark] if mark else found
+            elif _WORD.fullmatch(stem, 1) and stem[0] == "\n":
+                known[part] = self._marks["\n"] + self._piece(stem[1:]) + (self._marks[mark] if mark else b"")
+            else:
+                whole.append(part)
+        for at in range(0, len(whole), 2000):
+            some = whole[at : at + 2000]
+            known.update(zip(some, self._whole([p if p.startswith("\n") else " " + p for p in some])))
+
+    @functools.cached_property
+    def _marks(self) -> dict[str, bytes]:
+        """Ids of a line end and of each mark, on its own."""
+        texts = ["\n", *_MARKS]
+        return dict(zip(texts, self._whole(texts)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for null and empty texts."""
         parts = [self._parts(t) if t else [] for t in texts]
-        for known in (self._first, self._inner):
-            if len(known) > REMEMBERED:
-                known.clear()
-        self._learn(self._first, {p[0] for p in parts if p}, "")
-        self._learn(self._inner, {x for p in parts for x in p[1:]}, " ")
-        inner = self._inner.__getitem__
-        return [self._first[p[0]] + b"".join(map(inner, p[1:])) if p else b"" for p in parts]
+        if len(self._inner) > REMEMBERED // 2:  # what isn't met again by the next time is forgotten
+            self._older, self._inner = self._inner, {}
+        inner = self._inner
+        first = iter(self._whole([p[0] for p in parts if p]))
+        self._learn({x for p in parts for x in p[1:] if x not in inner})
+        get = inner.__getitem__
+        return [next(first) + b"".join(map(get, p[1:])) if p else b"" for p in parts]
+
+
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, which the tasks that it runs share."""
+    return Encoder(path)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -74,11 +123,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        encoder, end = Encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        codec, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                ids = [x + end for x in codec.encode(part.column(1).to_pylist())]
                 lengths = np.array([len(x) // 4 for x in ids], dtype=np.int32)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
                 flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
