@@ -11,6 +11,8 @@ from .common import cut, word_count
 
 #: Slices of a source's ranking; only the slice that holds the cut is ranked row by row.
 SLICES = 4096
+#: Tables of so many sources are broadcast; larger ones are joined by shuffling.
+FEW_SOURCES = 10_000
 
 
 def source_targets(sources: DataFrame, weights: Sequence[float], max_repeat: float) -> DataFrame:
@@ -87,11 +89,14 @@ def mix_sources(
     targets = source_targets(sizes, weights, max_repeat)
     targets = targets.select(key, "source_size", "target").join(sizes.select(key, "mean"), "skey")
     targets = cut(targets)
+    # a row a source: broadcast if there are few, so that no task gets all rows of a hot one
+    few = targets.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    hinted = F.broadcast if few else lambda df: df
 
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     if weight:
         rate = F.when(F.col("mean") > 0, rate * F.col("own") / F.col("mean")).otherwise(rate)
-    rows = thin.withColumn("skey", key).join(targets, "skey").withColumn("rate", F.least(rate, F.lit(float(max_repeat))))
+    rows = thin.withColumn("skey", key).join(hinted(targets), "skey").withColumn("rate", F.least(rate, F.lit(float(max_repeat))))
     rows = rows.withColumn("sure", F.floor("rate")).withColumn("p", F.col("rate") - F.col("sure"))
     odds = F.col("u") / (1 - F.col("u"))
     rows = rows.withColumn("rank_by", F.when(F.col("p") > 0, odds / (F.col("p") / (1 - F.col("p")))))
@@ -117,13 +122,13 @@ def mix_sources(
 
     gaps = ranked.groupBy("skey").agg((F.max("lacking") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("gap"))
     misses = F.abs(F.col("size") - F.abs("gap"))
-    fits = ranked.where("p > 0").join(gaps, "skey").where(F.col("more") == (F.col("gap") < 0)).groupBy("skey")
+    fits = ranked.where("p > 0").join(hinted(gaps), "skey").where(F.col("more") == (F.col("gap") < 0)).groupBy("skey")
     fits = fits.agg(F.min(F.struct(misses.alias("misses"), "rank_by", "doc_id", "size")).alias("fit"), F.first("gap").alias("gap"))
     fits = fits.where(F.col("fit.misses") < F.abs("gap")).select("skey", "fit")
     turned = (F.col("p") > 0) & (F.col("rank_by") == F.col("fit.rank_by")) & F.col("doc_id").eqNullSafe(F.col("fit.doc_id")) & (F.col("size") == F.col("fit.size"))
     one_more = F.col("more") != F.coalesce(turned, F.lit(False))
     copies = (F.col("sure") + F.when(one_more, 1).otherwise(0)).cast("long")
-    return ranked.join(fits, "skey", "left").select(
+    return ranked.join(hinted(fits), "skey", "left").select(
         "doc_id", ranked["size"], "source_size", "target", (copies * ranked["size"]).alias("taken"), "source", copies.alias("copies"), *kept
     )
 
