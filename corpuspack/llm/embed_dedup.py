@@ -24,11 +24,17 @@ TRAIN_ROWS = 20_000
 BLOCK = 2048
 #: Aimed share of the pairs exactly at the threshold that meet in some table; closer pairs meet more surely.
 AIM = 0.995
+#: Parts of the sample's mean that may be taken off before coding; 0 keeps the angles of the vectors themselves.
+CENTRES = (1.0, 0.75, 0.5, 0.25, 0.0)
+#: What filing a vector in one more table costs, counted in comparisons.
+FILED = 32
+#: Vectors of the sample that plans are compared on.
+TRIED = 4_000
 
 
 @dataclass
 class Codes:
-    """What the tasks need to file a vector: the mean, the rotations and the tables' bits."""
+    """What the tasks need to file a vector: what is taken off, the rotations and the tables' bits."""
 
     mean: object  # (d,)
     rotations: object  # (d, bits)
@@ -53,19 +59,22 @@ def valid(vectors: DataFrame) -> DataFrame:
     )
 
 
-def learn(sample, bits: int, tables: int, rounds: int = 30, seed: int = 7) -> Codes:
+def learn(sample, bits: int, tables: int, rounds: int = 30, seed: int = 7, centre=None) -> Codes:
     """ITQ on the rows of ``sample`` (unit vectors): as many rotations as ``tables`` of ``bits`` need.
 
     Each rotation starts from another random one and alternates between the
     nearest binary codes and the rotation that fits them best (orthogonal
-    Procrustes), on the principal axes of the sample.
+    Procrustes), on the principal axes of the sample around ``centre`` (its mean
+    if not given).  With no bits all vectors have one key.
     """
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    mean = sample.mean(0)
+    mean = sample.mean(0) if centre is None else centre
     centred = sample - mean
     d = sample.shape[1]
+    if not bits:
+        return Codes(mean, np.zeros((d, 0)), tables, bits)
     _, axes = np.linalg.eigh(centred.T @ centred)
     projected = centred @ axes
     found = []
@@ -79,16 +88,63 @@ def learn(sample, bits: int, tables: int, rounds: int = 30, seed: int = 7) -> Co
     return Codes(mean, np.concatenate(found, axis=1), tables, bits)
 
 
-def plan_tables(largest: int, threshold: float, aim: float = AIM) -> tuple[int, int]:
+def plan_tables(largest: int, threshold: float, aim: float = AIM, norms=(1.0,), most: int = 1 << 20) -> tuple[int, int | None]:
     """Bits of a table's key and number of tables, for labels of up to ``largest`` vectors.
 
     The key grows with the logarithm of the label, so that a bucket stays small;
     the tables grow until a pair at the threshold misses all of them with
     probability ``1 - aim``, each bit differing with the probability angle / pi.
+    The angle is the widest that the pair's distance can have where the shorter
+    one of its centred vectors has one of the ``norms``; the probability is their
+    mean.  The number is None if ``most`` tables don't do.
     """
+    import numpy as np
+
     bits = min(24, max(8, math.ceil(math.log2(max(largest, 2)))))
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - aim) / math.log1p(-agree))
+    half = math.sqrt(max(0.0, (1 - threshold) / 2))  # of the distance of two unit vectors
+    angle = 2 * np.arcsin(np.minimum(1.0, half / np.maximum(np.asarray(norms, dtype=float), 1e-12)))
+    misses = np.log1p(-np.minimum((1 - angle / math.pi) ** bits, 1 - 1e-12))
+
+    def enough(tables: int) -> bool:
+        return np.exp(misses * tables).mean() <= 1 - aim
+
+    if not enough(most):
+        return bits, None
+    low, high = 0, most
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return bits, high
+
+
+def plan(sample, labels, largest: int, threshold: float, aim: float = AIM) -> Codes:
+    """The cheapest codes that let a pair at the threshold meet with the probability ``aim``.
+
+    Taking the mean of the ``sample`` (unit vectors, with their ``labels``) off
+    balances the codes but widens angles, so it asks for more tables; without it
+    buckets are fuller where vectors share a direction.  Parts of the mean are
+    tried, and one table of whole labels, which misses nothing.
+    """
+    import numpy as np
+
+    mean = sample.mean(0)
+    best, chosen = FILED + largest, (0, 1, mean)
+    tried, tried_labels = sample[:TRIED], np.asarray(labels)[:TRIED]
+    pairs = lambda rows: float((n := np.unique(rows, axis=0, return_counts=True)[1].astype(float)) @ (n - 1))
+    together = max(1.0, pairs(tried_labels[:, None]))
+    for part in CENTRES:
+        centre = part * mean
+        bits, tables = plan_tables(largest, threshold, aim, np.linalg.norm(sample - centre, axis=1))
+        if tables is None or tables * FILED >= best:
+            continue
+        some = max(1, sample.shape[1] // bits)
+        keys = learn(tried, bits, some, rounds=10, centre=centre).keys(tried)
+        full = np.mean([pairs(np.stack([tried_labels, keys[:, t]], axis=1)) for t in range(some)]) / together
+        cost = tables * (FILED + full * largest)
+        if cost < best:
+            best, chosen = cost, (bits, tables, centre)
+    bits, tables, centre = chosen
+    return learn(sample, bits, tables, centre=centre)
 
 
 def near_vectors(
@@ -117,17 +173,20 @@ def near_vectors(
 
     rows = valid(vectors)
     largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    picked = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(train_rows)
-    sample = [r[0] for r in picked.select("v").collect()]
+    label = F.col("label").cast("long").alias("label")
+    picked = rows.select("v", label, F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(train_rows)
+    sample = picked.select("v", "label").collect()
     alone = vectors.select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept")
     )
     if not sample:
         return alone
-    width = Counter(map(len, sample)).most_common(1)[0][0]
-    sample = np.array([x for x in sample if len(x) == width])
-    bits, tables = plan_tables(largest, threshold, aim)
-    codes = learn(sample / np.linalg.norm(sample, axis=1)[:, None], bits, tables)
+    width = Counter(len(r[0]) for r in sample).most_common(1)[0][0]
+    labels = [r[1] for r in sample if len(r[0]) == width]
+    sample = np.array([r[0] for r in sample if len(r[0]) == width])
+    sample = sample / np.abs(sample).max(1)[:, None]  # no overflow for huge ones
+    codes = plan(sample / np.linalg.norm(sample, axis=1)[:, None], labels, largest, threshold, aim)
+    tables = codes.tables
 
     def file(batches) -> Iterator:
         import pyarrow as pa

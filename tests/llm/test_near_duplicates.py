@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from corpuspack.llm.components import connected_components
-from corpuspack.llm.embed_dedup import learn, near_vectors, plan_tables
+from corpuspack.llm.embed_dedup import learn, near_vectors, plan, plan_tables
 from corpuspack.llm.simhash import anchors, fingerprint, simhash_groups
 
 
@@ -149,3 +149,37 @@ def test_recall_on_the_given_vectors(spark):
         total = int(want.sum()) - len(v)
         got = near_vectors(df, threshold).agg(F.sum("n_links")).first()[0]
         assert 0.9 * total <= got <= total
+
+
+def planted(rng, length, n, d=64):
+    """Unit vectors around a mean of about ``length``, one after the other in pairs of cosine 0.93 to 0.95."""
+    common = rng.normal(size=d)
+    u = rng.normal(size=(n, d))
+    u = u / np.linalg.norm(u, axis=1)[:, None] * np.sqrt(1 - length**2) + length * common / np.linalg.norm(common)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w = rng.normal(size=(n, d))
+    w -= (w * u).sum(1)[:, None] * u
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    cos = rng.uniform(0.9301, 0.95, size=n)[:, None]
+    return np.stack([u, cos * u + np.sqrt(1 - cos**2) * w], axis=1).reshape(-1, d)
+
+
+@pytest.mark.parametrize("length, largest", [(0.0, 5_000), (0.7, 5_000), (0.8, 5_000), (0.9, 5_000), (0.8, 100_000)])
+def test_planted_pairs_meet_around_any_mean(length, largest):
+    v = planted(np.random.default_rng(11), length, 2_500)
+    codes = plan(v, np.zeros(len(v), dtype=int), largest, 0.93)
+    keys = codes.keys(v)
+    assert (keys[::2] == keys[1::2]).any(1).mean() >= 0.99
+    if length < 0.9:  # not all vectors at once
+        assert codes.bits > 0
+
+
+@pytest.mark.parametrize("length", [0.0, 0.8])
+def test_links_of_vectors_with_a_common_direction(spark, length):
+    v = planted(np.random.default_rng(12), length, 2_500).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    v = v.astype(float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    want = int((v @ v.T >= 0.93).sum()) - len(v)
+    got = near_vectors(df, 0.93).agg(F.sum("n_links")).first()[0]
+    assert want >= 5_000 and 0.99 * want <= got <= want
