@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, merge_labels, sorted_runs, split_hot
@@ -53,8 +53,8 @@ def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
     return int(np.packbits((2 * ones.ravel() > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, fp)``, a row for each document; ``fp`` has the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int, hashed: bool = False) -> DataFrame:
+    """``(doc_id, fp)``, a row for each document; ``fp`` has the fingerprint's bits as a signed long.  ``hashed`` adds ``text_hash``."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -62,10 +62,11 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))})
+            more = {"text_hash": batch.column(2)} if hashed else {}
+            yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64)), **more})
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *([F.xxhash64("text")] if hashed else []))
+    return source.mapInArrow(run, "doc_id long, fp long" + (", text_hash long" if hashed else ""))
 
 
 def anchors(fps: DataFrame) -> DataFrame:
@@ -143,6 +144,32 @@ def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select(*keys, "fp", "own").mapInArrow(run, "a long, b long").distinct()
 
 
+def components(vertices: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(fp, first, component)`` for ``vertices(fp, first)``: the least fingerprint that each one reaches."""
+    component = connected_components(fingerprint_links(vertices, block))
+    group = vertices.join(component.withColumnRenamed("node", "fp"), "fp", "left")
+    return group.select("fp", "first", F.coalesce("component", "fp").alias("component"))
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 3, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row for each group of near-duplicates, whatever ids the rows have.
+
+    That with the smallest ``doc_id``, null ids last; of rows that repeat the id,
+    that with the smallest hash of its text.  Ids don't bring rows together: texts
+    that are not near each other stay, also where they share an id or have none.
+    """
+    seen = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    fps = fingerprints(docs, shingle, hashed=True)
+    group = components(cut(fps.groupBy("fp").agg(F.min(seen).alias("first"))), block)
+    first = group.groupBy("component").agg(F.min("first").alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    met = keyed.join(first, (F.col("_text") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy(*(rest or ["doc_id"])))  # equal rows stay once
+    return met.withColumn("_n", once).where("_n = 1").select(*docs.columns)
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, block: int = BLOCK) -> DataFrame:
     """Each document's fingerprint and group.
 
@@ -159,10 +186,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, block: int = BLOCK) -> Dat
     columns other than ``doc_id`` and ``text`` are ignored.
     """
     fps = cut(fingerprints(docs, shingle))
-    vertices = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    component = connected_components(fingerprint_links(vertices, block))
-    group = vertices.join(component.withColumnRenamed("node", "fp"), "fp", "left")
-    group = group.select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    group = components(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"))), block)
     least = group.groupBy("component").agg(F.min("first").alias("component_id"))
     named = group.join(least, "component").select("fp", "component_id")
     return fps.join(named, "fp").select(

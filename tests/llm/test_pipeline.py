@@ -36,6 +36,15 @@ def test_stages(spark):
     assert len(rows) == mixed.count() and all(r.ids == judge.encode(texts[r.doc_id]) and r.round_trip for r in rows)
 
 
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    text = [" ".join(f"w{n}x{i}" for i in range(60)) for n in range(6)]
+    rows = [(1, text[0]), (1, text[1]), (1, text[1]), (2, text[1]), (None, text[0]), (None, text[2]), (None, text[2]), (None, text[3]), (3, text[3]), (None, text[4]), (4, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    want = [(1, text[0]), (1, text[1]), (3, text[3]), (4, None), (None, text[2]), (None, text[4])]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want))
+
+
 def test_run(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixing", "sentencepiece"]
     out = corpus_pipeline.run(spark, SF)
