@@ -20,6 +20,11 @@ SHORT = 8
 #: Share of a longer line's tokens that the tree looks at.
 DEPTH = 0.75
 
+#: Lines of more tokens are also parsed sentence by sentence where passages are looked for.
+LONG = 50
+#: Where a sentence of a line ends; nothing is taken away there.
+SENTENCE = r"(?<=[.!?][ \t])"
+
 #: A token with a digit, and the white space inside a line (fixed values).
 VARIABLE = r"[^ \n]*[0-9][^ \n]*"
 BLANKS = r"[ \t\r\x0B\x0C]+"
@@ -39,6 +44,18 @@ def template(line: Column, depth: float = DEPTH, short: int = SHORT) -> Column:
     return F.concat(tokens.cast("string"), F.lit(" "), F.call_function("substring_index", line, F.lit(" "), looked_at))
 
 
+def _drops(docs: DataFrame, hashes: Column, least_docs: int, keep_first: bool = True) -> DataFrame:
+    """``(_id, _drop)``: the recurring template hashes that a document is to lose."""
+    seen = cut(docs.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull()))).alias("h")))
+    counted = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    # a table of its own, so that the join below can split a line that very many documents share
+    recurring = cut(counted.where(F.col("n") >= least_docs).select("h", "first"))
+    hit = seen.join(recurring, "h")
+    if keep_first:
+        hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    return hit.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h").alias("_drop"))
+
+
 def drop_recurring_lines(
     docs: DataFrame, least_docs: int = LEAST_DOCS, depth: float = DEPTH, short: int = SHORT, keep_first: bool = True
 ) -> DataFrame:
@@ -61,14 +78,7 @@ def drop_recurring_lines(
     """
     plain = docs.drop("n_lines", "n_dropped")
     hashes = F.transform(F.split(normalised(F.col("text")), "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(template(x, depth, short))))
-    seen = cut(plain.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull()))).alias("h")))
-    counted = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    # a table of its own, so that the join below can split a line that very many documents share
-    recurring = cut(counted.where(F.col("n") >= least_docs).select("h", "first"))
-    hit = seen.join(recurring, "h")
-    if keep_first:
-        hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    drops = hit.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h").alias("_drop"))
+    drops = _drops(plain, hashes, least_docs, keep_first)
 
     met = plain.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     lines, none = F.split("text", "\n"), F.array().cast("array<bigint>")
@@ -84,6 +94,46 @@ def drop_recurring_lines(
     return met.select(*out, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
+def drop_recurring_passages(docs: DataFrame, least_docs: int = 2, depth: float = DEPTH, short: int = SHORT, long: int = LONG) -> DataFrame:
+    """``docs`` without lines, and without sentences of long lines, whose template recurs in ``least_docs`` documents or more.
+
+    As :func:`drop_recurring_lines`, but a line of more than ``long`` tokens is also
+    parsed in sentences: those of ``short`` tokens or more have templates of their own,
+    which lines share, so that a passage is found wherever it stands in a line.  What is
+    left of a line stays one line.  No counts are added.
+    """
+    filled = lambda x: F.trim(x) != ""
+    tokens = lambda x: F.regexp_count(x, F.lit(r"[^ \t\r\x0B\x0C]+"))
+    code = lambda x: F.xxhash64(template(x, depth, short))
+
+    # a variable of a lambda is computed once, an expression wherever it stands
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+
+    def unit(part: Column) -> Column:
+        h = once(F.trim(normalised(part)), lambda plain: F.when(tokens(plain) >= short, code(plain)))
+        return F.struct(part.alias("part"), h.alias("h"))
+
+    def parsed(line: Column) -> Column:
+        h = once(F.trim(normalised(line)), lambda plain: F.when(filled(plain), code(plain)))
+        parts = F.when(tokens(line) > long, F.transform(F.split(line, SENTENCE), unit))
+        return F.struct(line.alias("line"), h.alias("h"), parts.alias("parts"))
+
+    lines = F.transform(F.split("text", "\n"), parsed)
+    whole = F.transform(lines, lambda x: x["h"])
+    inner = F.flatten(F.transform(lines, lambda x: F.coalesce(F.transform(x["parts"], lambda p: p["h"]), F.array().cast("array<bigint>"))))
+    drops = _drops(docs, F.concat(whole, inner), least_docs)
+
+    met = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    stays = lambda h: h.isNull() | ~F.array_contains("_drop", h)
+    stay = F.filter(lines, lambda x: stays(x["h"]))
+    rest = F.transform(stay, lambda x: F.when(x["parts"].isNull(), x["line"]).otherwise(
+        F.array_join(F.transform(F.filter(x["parts"], lambda p: stays(p["h"])), lambda p: p["part"]), "")))
+    # a line of which no sentence stays goes; blank lines stay
+    rest = F.filter(F.arrays_zip(rest.alias("rest"), F.transform(stay, lambda x: x["parts"].isNull()).alias("whole")), lambda x: x["whole"] | (x["rest"] != ""))
+    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(rest, lambda x: x["rest"]), "\n"))
+    return met.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
 ORACLE_SQL = r"""
 WITH l AS (
   SELECT doc_id, i, line, nullif(trim(norm), '') AS norm FROM (

@@ -45,6 +45,15 @@ def test_near_dedup_with_null_and_repeated_ids(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want))
 
 
+def test_passages_that_two_documents_share(spark):
+    said = lambda tag, n=12: " ".join(f"{tag}{chr(97 + i)}" for i in range(n)) + "."
+    passage = " ".join(said(f"p{chr(97 + i)}") for i in range(5))
+    rows = [(1, f"{said('own')} {passage}\nshort line"), (2, f"Other {said('word')} {passage} {said('tail')}\n\nlast"), (3, passage), (4, f"{said('alone')}\n"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert got == {1: rows[0][1], 2: f"Other {said('word')} {said('tail')}\n\nlast", 3: "", 4: rows[3][1], None: None}
+
+
 def test_run(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixing", "sentencepiece"]
     out = corpus_pipeline.run(spark, SF)
