@@ -16,9 +16,9 @@ from .langid import identify
 from .langid import train as train_langid
 from .line_templates import drop_recurring_lines
 from .mixing import mix_sources
-from .sentencepieces import decode_documents, encode_documents
+from .sentencepieces import encode_documents
 from .simhash import simhash_groups
-from .token_files import digests, file_digests, write_tokens
+from .token_files import file_digests, write_tokens
 from .toxicity import score_toxicity
 from .toxicity import train as train_toxicity
 from .vptree import nearest
@@ -36,10 +36,8 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes the ids and compares; the ids are given by their crc32."""
-    path = public_tokenizers.path(PIECE_MODEL)
-    rows = encode_documents(table(spark, sf_dir, "documents"), path, keep=("doc_id", "text"))
-    rows = decode_documents(rows, path).withColumn("round_trip", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))))
-    return digests(rows.select("doc_id", "n_tokens", "repaired", "round_trip", "ids"))
+    docs = table(spark, sf_dir, "documents")
+    return encode_documents(docs, public_tokenizers.path(PIECE_MODEL), add=("n_tokens", "repaired", "round_trip", "ids_crc32"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

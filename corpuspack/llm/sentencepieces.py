@@ -2,15 +2,15 @@
 
 The model file is a protobuf message; it is parsed here, and its normaliser, white
 space marker, unigram scores or BPE merges and byte fallback are rebuilt as a
-``tokenizers.Tokenizer``.  Parity with the sentencepiece library is verified for
-every distinct part that is encoded.
+``tokenizers.Tokenizer``, which encodes in multithreaded batches.  Parity with the
+sentencepiece library is verified for every distinct part that is encoded.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,8 +21,14 @@ MARK = "▁"
 #: Kinds of pieces and of models in the message (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Parts whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Parts whose ids a worker remembers, at most: half of them met lately, half before that.
+REMEMBERED = 400_000
+#: Parts longer than this are not remembered, so that the memory has a bound in bytes.
+LONGEST = 64
+#: Parts that are encoded as one text.
+TOGETHER = 100
+#: Threads that encode a batch; a task asks for as many cores with ``spark.task.cpus``.
+THREADS = 2
 
 
 @dataclass
@@ -152,18 +158,15 @@ class Codec:
 
     If no piece holds the marker behind another character, none holds a line end beside
     another, and the normaliser does no more than mark spaces, no piece spans the beginning
-    of a run of spaces or of a line end: texts are then cut there and each distinct part is
-    encoded, and verified, once.  Where the
-    libraries differ (a BPE piece that can be put together in overlapping ways, say)
-    the sentencepiece library is right, and the part counts as repaired.
+    of a run of spaces or of a line end: texts are then cut there and each distinct part
+    goes through the whole tokenizer, and is verified, once.  Where the libraries differ
+    (a BPE piece that can be put together in overlapping ways, say) the sentencepiece
+    library is right, and the part counts as repaired.
     """
 
     def __init__(self, message: bytes):
-        import sentencepiece
-
+        self._message = message
         self.spec = parse_model(message)
-        self.tokenizer = build(self.spec)
-        self.judge = sentencepiece.SentencePieceProcessor(model_proto=message)
         names = {p for p, _, _ in self.spec.pieces}
         self.cuts = (
             self.spec.add_dummy_prefix and self.spec.escape_whitespaces and not self.spec.charsmap
@@ -171,46 +174,131 @@ class Codec:
             and not any(re.search(f"[^{MARK}]{MARK}|.\n|\n.", p) for p in names)
             and not any(kind == USER_DEFINED for _, _, kind in self.spec.pieces)
         )
-        self._known: dict[str, tuple[bytes, bool]] = {}
-        self._odd = re.compile(f"  | \n|{MARK}|^[ \n]| \\Z")
+        self._recent: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        #: remembered parts in which the libraries differ
+        self._differing: set[str] = set()
         self._cut = re.compile(f"(?<=[^ {MARK}]) (?=[^\n])|(?<=(?s:.))(?=\n)")
 
-    def parts(self, text: str) -> list[str]:
-        """The parts of a text: each stands for itself behind a space, or begins with its line end."""
+    @functools.cached_property
+    def tokenizer(self):
+        return build(self.spec)
+
+    @functools.cached_property
+    def judge(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=self._message)
+
+    @functools.cached_property
+    def _bytes(self) -> list[bytes]:
+        """What each id stands for."""
+        return [
+            bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode()
+            for p, _, kind in self.spec.pieces
+        ]
+
+    def parts(self, text: str) -> tuple[list[str], bool]:
+        """The parts of a text, and whether they have no inner space or marker.
+
+        Each stands for itself behind a space, or begins with its line end.
+        """
         if not self.cuts:
-            return [text]
-        return text.replace("\n", " \n").split(" ") if self._odd.search(text) is None else self._cut.split(text)
+            return [text], False
+        if "  " in text or " \n" in text or MARK in text or text[:1] in " \n" or text[-1:] == " ":
+            return self._cut.split(text), False
+        return text.replace("\n", " \n").split(" "), True
+
+    @functools.cached_property
+    def _opens(self):
+        """Whether the piece of an id begins with the marker."""
+        import numpy as np
+
+        return np.array([p.startswith(MARK) for p, _, _ in self.spec.pieces])
+
+    def _both(self, texts: list[str], threads: int):
+        """For each text the ids of the backend, as an array, and whether the sentencepiece library gives others."""
+        import numpy as np
+
+        said = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for mine, right in zip(said, self.judge.encode(texts, num_threads=threads)):
+            differs = (mine := mine.ids) != right
+            yield np.array(right if differs else mine, dtype="<u4"), differs
 
-    def encode(self, texts: list[str | None], threads: int = 1) -> list[tuple[bytes, int]]:
+    def _learn(self, plain: set[str], odd: set[str], threads: int) -> dict[str, bytes]:
+        """Encodes parts that aren't remembered and verifies them; those too long to remember are returned.
+
+        ``plain`` parts have no inner space or marker: they are encoded many to a text, a
+        space between them, and a piece with the marker begins each one.
+        """
+        import numpy as np
+
+        recent, older, passing = self._recent, self._older, {}
+        again = older.keys() & plain | older.keys() & odd
+        recent.update(zip(again, map(older.__getitem__, again)))
+        new = list(plain - again)
+        alone = [p for p in new if len(p) > LONGEST]
+        alone += odd - plain - again
+        new = [p for p in new if len(p) <= LONGEST] if alone else new
+        rows = [new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)]
+        for some, (ids, differs) in zip(rows, self._both([" ".join(x) for x in rows], threads)):
+            starts = np.flatnonzero(self._opens[ids])
+            if differs or len(starts) != len(some):
+                alone += some
+                continue
+            raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+            # one that begins with its line end gets no marker of its own
+            recent.update((p, raw[a + 4 : b] if p[0] == "\n" else raw[a:b]) for p, a, b in zip(some, (4 * starts).tolist(), ends))
+        for at in range(0, len(alone), 2000):
+            some = alone[at : at + 2000]
+            for part, (ids, differs) in zip(some, self._both(some, threads)):
+                if differs:
+                    self._differing.add(part)
+                ids = ids[1:] if self.cuts and part[:1] == "\n" else ids
+                (recent if len(part) <= LONGEST else passing)[part] = ids.tobytes()
+        return passing
+
+    def encode(self, texts: list[str | None], threads: int = THREADS) -> list[tuple[bytes, int]]:
         """For each text its ids, as little-endian unsigned 32-bit integers, and how many of its parts were repaired."""
-        parts = [self.parts(t) if t else [] for t in texts]
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        known = self._known
-        new = list({p for x in parts for p in x if p not in known})
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            truth = self.judge.encode(some, num_threads=threads)
-            if self.cuts:  # what the normaliser does is then known, and the model is asked directly
-                tokenize = self.tokenizer.model.tokenize
-                said = [[t.id for t in tokenize(MARK + p.replace(" ", MARK))] if p else [] for p in some]
-            else:
-                said = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            for part, mine, right in zip(some, said, truth):
-                known[part] = (array("I", right).tobytes(), mine != right)
+        if len(self._recent) > REMEMBERED // 2:  # what isn't met again by the next time is forgotten
+            self._older, self._recent = self._recent, {}
+            self._differing &= self._older.keys()
+        known, bad = self._recent, self._differing
+        cut = [self.parts(t) if t else ([], True) for t in texts]
+        new = [set().union(*(x for x, plain in cut if plain is kind)).difference(known) for kind in (True, False)]
+        passing = self._learn(*new, threads)
+        get = known.__getitem__ if not passing else lambda p: known[p] if p in known else passing[p]
         out = []
-        for x in parts:
-            found = [known[p] for p in x]
-            # alone, a part that begins with a line end has got a marker first
-            ids = [y[4:] if i and p.startswith("\n") else y for i, (p, (y, _)) in enumerate(zip(x, found))]
-            out.append((b"".join(ids), sum(bad for _, bad in found)))
+        for x, plain in cut:
+            ids = b"".join(map(get, x))
+            if not plain and self.cuts and x[0][:1] == "\n":  # nothing stands before it to end with the marker
+                ids = self._marker + ids
+            out.append((ids, sum(p in bad for p in x) if bad else 0))
         return out
 
+    @functools.cached_property
+    def _marker(self) -> bytes:
+        """The id of the marker alone."""
+        return struct.pack("<I", [p for p, _, _ in self.spec.pieces].index(MARK))
+
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        """The texts of ids.  The decoder's steps are the same for every place of a piece, so a table says what each one gives.
+
+        Where the bytes of a text are not UTF-8, and for ids that the model hasn't, the backend's own decoder is asked.
+        """
+        out, get = [], self._bytes.__getitem__
+        for x in ids:
+            try:
+                text = b"".join(map(get, x)).decode()
+                out.append(text[1:] if self.spec.add_dummy_prefix and text[:1] == " " else text)
+            except (UnicodeDecodeError, IndexError):
+                out.append(self.tokenizer.decode(x, skip_special_tokens=False))
+        return out
 
 
-def _codec(path: str, threads: int) -> Codec:
+@functools.lru_cache(1)
+def codec(path: str, threads: int) -> Codec:
+    """A worker's codec, which the tasks that it runs share."""
     import os
 
     os.environ["RAYON_NUM_THREADS"] = str(threads)
@@ -219,42 +307,66 @@ def _codec(path: str, threads: int) -> Codec:
         return Codec(f.read())
 
 
-def encode_documents(docs: DataFrame, model_path: str, threads: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``n_tokens``, ``ids`` and ``repaired``, from whole texts.
+#: What :func:`encode_documents` can add, with its type.
+ADDED = {"n_tokens": "bigint", "ids": "array<int>", "ids_crc32": "bigint", "repaired": "bigint", "round_trip": "boolean", "decoded": "string"}
+
+
+def encode_documents(
+    docs: DataFrame, model_path: str, threads: int = THREADS, keep: tuple[str, ...] = ("doc_id",),
+    add: tuple[str, ...] = ("n_tokens", "ids", "repaired"),
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and those of ``add``, from whole texts:
+
+    ``n_tokens``; the list ``ids``; ``ids_crc32``, the unsigned crc32 of the ids as
+    little-endian 32-bit integers; ``repaired``, the number of parts of the text in which
+    the backend and the sentencepiece library differed; ``decoded``, the text that the ids
+    give, and ``round_trip``, whether it is the text.
 
     ``model_path`` is a SentencePiece model on every executor.  Batches are encoded with
-    ``threads`` threads a task (``spark.task.cpus`` should agree).  ``repaired`` counts the
-    parts of a text in which the backend and the sentencepiece library differed.
+    ``threads`` threads a task (``spark.task.cpus`` should agree).
 
-    Null and empty texts have no ids.  All rows come back, repeated ones too; an empty
-    table gives an empty result.  No special ids are added.
+    Null and empty texts have no ids, and are decoded as the empty text.  All rows come
+    back, repeated ones too; an empty table gives an empty result.  No special ids are
+    added.  A column of ``keep`` that has the name of an added one is replaced.
     """
     from pyspark.sql import types as T
 
-    kept = [docs.schema[c] for c in keep]
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("repaired", T.LongType())]
+    keep = tuple(c for c in keep if c not in add)
+    wanted = [T.StructField(c, T._parse_datatype_string(ADDED[c])) for c in add]
 
     def run(batches) -> Iterator:
+        import zlib
+
         import numpy as np
         import pyarrow as pa
 
-        codec = _codec(model_path, threads)
+        coder = codec(model_path, threads)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = codec.encode(part.column(part.num_columns - 1).to_pylist(), threads)
-                lengths = np.array([len(x) // 4 for x, _ in found], dtype=np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                flat = pa.array(np.frombuffer(b"".join([x for x, _ in found]), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(lengths), pa.ListArray.from_arrays(offsets, flat), pa.array([n for _, n in found], pa.int64())],
-                    names=[*keep, "n_tokens", "ids", "repaired"],
-                )
-
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, T.StructType([*kept, *added]))
-
-
-def decode_documents(rows: DataFrame, model_path: str, threads: int = 1) -> DataFrame:
+                texts = part.column(part.num_columns - 1).to_pylist()
+                said = coder.encode(texts, threads)
+                found = {
+                    "n_tokens": pa.array([len(x) // 4 for x, _ in said], pa.int64()),
+                    "repaired": pa.array([n for _, n in said], pa.int64()),
+                }
+                if "ids" in add:
+                    offsets = np.concatenate([[0], np.cumsum(found["n_tokens"].to_numpy())]).astype(np.int32)
+                    flat = pa.array(np.frombuffer(b"".join([x for x, _ in said]), dtype="<i4"))
+                    found["ids"] = pa.ListArray.from_arrays(pa.array(offsets), flat)
+                if "ids_crc32" in add:
+                    found["ids_crc32"] = pa.array([zlib.crc32(x) for x, _ in said], pa.int64())
+                if "decoded" in add or "round_trip" in add:
+                    decoded = coder.decode([np.frombuffer(x, dtype="<u4").tolist() for x, _ in said])
+                    found["decoded"] = pa.array(decoded, pa.string())
+                    found["round_trip"] = pa.array([(t or "") == d for t, d in zip(texts, decoded)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(found[c] for c in add)], names=[*keep, *add])
+
+    schema = T.StructType([*(docs.schema[c] for c in keep), *wanted])
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+
+
+def decode_documents(rows: DataFrame, model_path: str, threads: int = THREADS) -> DataFrame:
     """``rows`` with ``decoded``, the text of the list column ``ids``; null ids give null."""
     from pyspark.sql import types as T
 
@@ -265,12 +377,12 @@ def decode_documents(rows: DataFrame, model_path: str, threads: int = 1) -> Data
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        codec = _codec(model_path, threads)
+        coder = codec(model_path, threads)
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 ids = part.column(at).to_pylist()
-                said = iter(codec.decode([x for x in ids if x is not None]))
+                said = iter(coder.decode([x for x in ids if x is not None]))
                 texts = [None if x is None else next(said) for x in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
