@@ -8,12 +8,12 @@ the original vectors.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, merge_labels, sorted_runs, split_hot
 from .components import connected_components
@@ -26,8 +26,12 @@ BLOCK = 2048
 AIM = 0.995
 #: Parts of the sample's mean that may be taken off before coding; 0 keeps the angles of the vectors themselves.
 CENTRES = (1.0, 0.75, 0.5, 0.25, 0.0)
-#: What filing a vector in one more table costs, counted in comparisons.
-FILED = 32
+#: What filing a vector in one more table costs, counted in comparisons of two vectors.
+FILED = 200
+#: Whole labels are compared where they are no larger than a block, or where tables would cost more times as much.
+TOO_DEAR = 2.0
+#: Bits of a key, at most; vectors of one length that the rotations are learned from, at least.
+LONGEST_KEY, LEAST_SAMPLE = 24, 50
 #: Vectors of the sample that plans are compared on.
 TRIED = 4_000
 
@@ -41,22 +45,44 @@ class Codes:
     tables: int
     bits: int
 
+    def bits_of(self, units):
+        return (units - self.mean) @ self.rotations > 0
+
     def keys(self, units):
         """The bucket of each unit vector (row) in each table, as an array (rows, tables)."""
         import numpy as np
 
-        ones = (units - self.mean) @ self.rotations > 0
+        ones = self.bits_of(units)
         weights = np.int64(1) << np.arange(self.bits, dtype=np.int64)
         return ones[:, : self.tables * self.bits].reshape(len(units), self.tables, self.bits) @ weights
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, label, v)`` of the rows that can be linked: a label, and a vector that is neither null nor zero and holds only finite components."""
-    v = F.col("embedding").cast("array<double>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.select("vec_id", "label", v.alias("v")).where(
-        F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0)
-    )
+    """``(vec_id, grp, v, k1, k2)`` of all rows; all but ``vec_id`` are null where a row can't be linked.
+
+    That takes an id, a label, and a vector that is neither null nor zero and holds only
+    finite components.  ``grp`` stands for the label, of any type, and the vector's
+    length; ``k1`` and ``k2`` for these and the components.  ``v`` is as precise as the column.
+    """
+    held = vectors.schema["embedding"].dataType.elementType
+    v = F.col("embedding") if isinstance(held, T.FloatType) else F.col("embedding").cast("array<double>")
+    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
+    good = good & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    rows = vectors.select(F.col("vec_id").cast("long"), "label", v.alias("v"))
+    rows = rows.select("vec_id", "label", F.when(F.coalesce(good, F.lit(False)), F.col("v")).alias("v"))
+    grp = F.when(F.col("v").isNotNull(), F.xxhash64("label", F.size("v")))
+    rows = rows.select("vec_id", grp.alias("grp"), "v")
+    some = F.col("v").isNotNull()
+    return rows.select("*", F.when(some, F.xxhash64("grp", "v")).alias("k1"), F.when(some, F.xxhash64("v", F.lit(1))).alias("k2"))
+
+
+def to_units(v):
+    """The rows as unit vectors in double precision; scaled by the largest component first, so that huge ones don't overflow."""
+    import numpy as np
+
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(1)[:, None]
+    return v / np.linalg.norm(v, axis=1)[:, None]
 
 
 def learn(sample, bits: int, tables: int, rounds: int = 30, seed: int = 7, centre=None) -> Codes:
@@ -88,19 +114,15 @@ def learn(sample, bits: int, tables: int, rounds: int = 30, seed: int = 7, centr
     return Codes(mean, np.concatenate(found, axis=1), tables, bits)
 
 
-def plan_tables(largest: int, threshold: float, aim: float = AIM, norms=(1.0,), most: int = 1 << 20) -> tuple[int, int | None]:
-    """Bits of a table's key and number of tables, for labels of up to ``largest`` vectors.
+def plan_tables(bits: int, threshold: float, aim: float = AIM, norms=(1.0,), most: int = 1 << 20) -> int | None:
+    """Tables of keys of ``bits`` bits that let a pair at the threshold miss all of them with probability ``1 - aim``.
 
-    The key grows with the logarithm of the label, so that a bucket stays small;
-    the tables grow until a pair at the threshold misses all of them with
-    probability ``1 - aim``, each bit differing with the probability angle / pi.
-    The angle is the widest that the pair's distance can have where the shorter
-    one of its centred vectors has one of the ``norms``; the probability is their
-    mean.  The number is None if ``most`` tables don't do.
+    Each bit differs with the probability angle / pi.  The angle is the widest that the
+    pair's distance can have where the shorter one of its centred vectors has one of the
+    ``norms``; the probability is their mean.  None if ``most`` tables don't do.
     """
     import numpy as np
 
-    bits = min(24, max(8, math.ceil(math.log2(max(largest, 2)))))
     half = math.sqrt(max(0.0, (1 - threshold) / 2))  # of the distance of two unit vectors
     angle = 2 * np.arcsin(np.minimum(1.0, half / np.maximum(np.asarray(norms, dtype=float), 1e-12)))
     misses = np.log1p(-np.minimum((1 - angle / math.pi) ** bits, 1 - 1e-12))
@@ -109,40 +131,46 @@ def plan_tables(largest: int, threshold: float, aim: float = AIM, norms=(1.0,),
         return np.exp(misses * tables).mean() <= 1 - aim
 
     if not enough(most):
-        return bits, None
+        return None
     low, high = 0, most
     while high - low > 1:
         middle = (low + high) // 2
         low, high = (low, middle) if enough(middle) else (middle, high)
-    return bits, high
+    return high
 
 
 def plan(sample, labels, largest: int, threshold: float, aim: float = AIM) -> Codes:
     """The cheapest codes that let a pair at the threshold meet with the probability ``aim``.
 
-    Taking the mean of the ``sample`` (unit vectors, with their ``labels``) off
-    balances the codes but widens angles, so it asks for more tables; without it
-    buckets are fuller where vectors share a direction.  Parts of the mean are
-    tried, and one table of whole labels, which misses nothing.
+    Short keys need few tables, long ones leave few vectors in a bucket; how full buckets
+    get is measured on the ``sample`` (unit vectors, with their ``labels``).  Taking its
+    mean off balances the codes but widens angles, so it asks for more tables; without it
+    buckets are fuller where vectors share a direction.  Parts of the mean are tried, and
+    no bits at all: one table of whole labels, which misses nothing, where labels have few
+    vectors or ones so alike that no code parts them.
     """
     import numpy as np
 
     mean = sample.mean(0)
-    best, chosen = FILED + largest, (0, 1, mean)
-    tried, tried_labels = sample[:TRIED], np.asarray(labels)[:TRIED]
-    pairs = lambda rows: float((n := np.unique(rows, axis=0, return_counts=True)[1].astype(float)) @ (n - 1))
-    together = max(1.0, pairs(tried_labels[:, None]))
+    whole = FILED + largest
+    best, chosen = whole * (1.0 if largest <= BLOCK else TOO_DEAR), (0, 1, mean)
+    tried, tried_labels = sample[:TRIED], np.unique(np.asarray(labels)[:TRIED], return_inverse=True)[1]
+    pairs = lambda keys: float((n := np.unique(keys, return_counts=True)[1].astype(float)) @ (n - 1))
+    together = max(1.0, pairs(tried_labels))
     for part in CENTRES:
         centre = part * mean
-        bits, tables = plan_tables(largest, threshold, aim, np.linalg.norm(sample - centre, axis=1))
-        if tables is None or tables * FILED >= best:
-            continue
-        some = max(1, sample.shape[1] // bits)
-        keys = learn(tried, bits, some, rounds=10, centre=centre).keys(tried)
-        full = np.mean([pairs(np.stack([tried_labels, keys[:, t]], axis=1)) for t in range(some)]) / together
-        cost = tables * (FILED + full * largest)
-        if cost < best:
-            best, chosen = cost, (bits, tables, centre)
+        norms = np.linalg.norm(sample - centre, axis=1)
+        ones = learn(tried, sample.shape[1], 1, rounds=10, centre=centre).bits_of(tried)
+        for bits in range(2, min(LONGEST_KEY, ones.shape[1]) + 1):
+            tables = plan_tables(bits, threshold, aim, norms)
+            if tables is None or tables * FILED >= best:
+                break  # longer keys need more tables
+            keys = ones[:, :bits] @ (np.int64(1) << np.arange(bits, dtype=np.int64)) + (tried_labels.astype(np.int64) << LONGEST_KEY)
+            # at least what balanced bits would leave: a sample can't show less than one pair
+            full = max(pairs(keys) / together, 2.0**-bits)
+            cost = tables * (FILED + full * largest)
+            if cost < best:
+                best, chosen = cost, (bits, tables, centre)
     bits, tables, centre = chosen
     return learn(sample, bits, tables, centre=centre)
 
@@ -150,7 +178,7 @@ def plan(sample, labels, largest: int, threshold: float, aim: float = AIM) -> Co
 def near_vectors(
     vectors: DataFrame, threshold: float = 0.93, train_rows: int = TRAIN_ROWS, block: int = BLOCK, aim: float = AIM
 ) -> DataFrame:
-    """Near-duplicates among vectors of equal label.
+    """Near-duplicates among vectors of equal label and length.
 
     Returns ``(vec_id, n_links, component_id, kept)``, one row for each row of
     ``vectors``: how many other vectors of the label have a cosine of at least
@@ -158,76 +186,71 @@ def near_vectors(
     that meet in a table), the smallest ``vec_id`` reachable over such links, and
     whether that is the row itself.
 
+    Equal vectors of a label are one vertex with their number, however many there are.
     Pairs are never listed.  A pair is counted in the first table where its
     vectors meet, inside the task that compares the bucket; a bucket gives a count
     for each member and links that only span it.  Hot buckets are split in blocks.
 
-    Rows whose label is null and vectors that are null, zero or hold null or
-    non-finite components, or have another length than most of the sample, have no
-    links and stand for themselves.  ``vec_id`` is
-    taken to be unique; rows that repeat a ``vec_id`` count as one vector each and
-    are returned with the id's total; a null ``vec_id`` has no links and a null
+    Rows whose label is null, and vectors that are null, empty, zero or hold null or
+    non-finite components, have no links and stand for themselves.  Labels may be of any
+    type; vectors may differ in length, and then are not compared.  Rows that repeat a
+    ``vec_id`` count as one vector each and get their own vector's links, but are one
+    node where components are reached.  A null ``vec_id`` has no links and a null
     ``component_id``.  An empty table gives an empty result; other columns are ignored.
     """
     import numpy as np
 
     rows = valid(vectors)
-    largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    label = F.col("label").cast("long").alias("label")
-    picked = rows.select("v", label, F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(train_rows)
-    sample = picked.select("v", "label").collect()
-    alone = vectors.select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept")
-    )
-    if not sample:
-        return alone
-    width = Counter(len(r[0]) for r in sample).most_common(1)[0][0]
-    labels = [r[1] for r in sample if len(r[0]) == width]
-    sample = np.array([r[0] for r in sample if len(r[0]) == width])
-    sample = sample / np.abs(sample).max(1)[:, None]  # no overflow for huge ones
-    codes = plan(sample / np.linalg.norm(sample, axis=1)[:, None], labels, largest, threshold, aim)
-    tables = codes.tables
+    held = rows.schema["v"].dataType.elementType
+    kind = np.dtype("<f4" if isinstance(held, T.FloatType) else "<f8")
+    known = rows.where("v is not null").groupBy("k1", "k2")
+    vertices = cut(known.agg(F.any_value("grp").alias("grp"), F.any_value("v").alias("v"), F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    grps = vertices.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.any_value(F.size("v")).alias("width"))
+    largest = dict(grps.groupBy("width").agg(F.max("n")).collect())  # a row a vector length
+    picked = vertices.select("v", "grp", "k1", "k2").orderBy("k1", "k2").limit(train_rows).select("v", "grp").collect()
+    codes = {}
+    for width, most in largest.items():
+        of = [r for r in picked if len(r[0]) == width]
+        sample = np.array([r[0] for r in of], dtype=float).reshape(len(of), width)
+        # lengths that the sample has hardly any of are filed in one table of whole labels
+        codes[width] = plan(to_units(sample), [r[1] for r in of], most, threshold, aim) if len(of) >= LEAST_SAMPLE else Codes(np.zeros(width), np.zeros((width, 0)), 1, 0)
 
     def file(batches) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                part = part.filter(pc.equal(pc.list_value_length(part.column(2)), width))
-                if not part.num_rows:
-                    continue
-                v = part.column(2).flatten().to_numpy().reshape(-1, width)
-                # scaled by the largest component first: no overflow for huge ones
-                v = v / np.abs(v).max(1)[:, None]
-                unit = v / np.linalg.norm(v, axis=1)[:, None]
-                packed = pa.array([row.tobytes() for row in unit], pa.binary())
-                keys = codes.keys(unit)
-                for t in range(tables):
-                    yield pa.record_batch({
-                        "label": part.column(1), "tab": pa.array(np.full(len(v), t, dtype=np.int32)),
-                        "key": pa.array(keys[:, t]), "vec_id": part.column(0), "unit": packed,
-                    })
-
-    schema = "label long, tab int, key long, vec_id long, unit binary"
-    filed = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "v").mapInArrow(file, schema)
-    keys = ["label", "tab", "key"]
-    groups = split_hot(filed, keys, "vec_id", block)
+            lengths = pc.list_value_length(batch.column("v"))
+            for width in pc.unique(lengths).to_pylist():
+                of = codes[width]
+                chosen = batch.filter(pc.equal(lengths, width))
+                for at in range(0, chosen.num_rows, 2000):
+                    part = chosen.slice(at, 2000)
+                    v = part.column("v").flatten().to_numpy().astype(kind, copy=False).reshape(-1, width)
+                    packed = pa.array([row.tobytes() for row in v], pa.binary())
+                    filed = of.keys(to_units(v))
+                    for t in range(of.tables):
+                        yield pa.record_batch({
+                            "grp": part.column("grp"), "tab": pa.array(np.full(len(v), t, dtype=np.int32)), "key": pa.array(filed[:, t]),
+                            "first": part.column("first"), "k1": part.column("k1"), "n": part.column("n"), "vec": packed,
+                        })
+
+    filed = vertices.select("grp", "v", "first", "k1", "n").mapInArrow(file, "grp long, tab int, key long, first long, k1 long, n long, vec binary")
+    keys = ["grp", "tab", "key"]
+    groups = split_hot(filed, keys, "k1", block)
     runs = [*keys, "bi", "bj"]
 
     def compare(batches) -> Iterator:
         import pyarrow as pa
 
-        for table, starts in sorted_runs(batches, runs):
-            ids = table.column("vec_id").to_numpy()
-            tab = table.column("tab").to_numpy()
-            own = table.column("own").to_numpy()
+        def stretch(table, starts, width):
+            """Of runs of one vector length: how many vectors each row is linked to, and the least row of its component."""
+            of = codes[width]
+            tab, own, weight = (table.column(c).to_numpy() for c in ("tab", "own", "n"))
             split = table.column("bi").to_numpy() != table.column("bj").to_numpy()
-            unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), dtype=np.float64).reshape(-1, width)
-            filed = codes.keys(unit)
-            counts = np.zeros(len(ids), dtype=np.int64)
-            labels = np.arange(len(ids))
+            unit = to_units(np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=kind).reshape(-1, width))
+            places = of.keys(unit)
+            counts, labels = np.zeros(len(unit), dtype=np.int64), np.arange(len(unit))
             for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 t = tab[lo]
                 for at in range(lo, hi, 512):  # a stripe of rows against the group: bounded memory
@@ -241,22 +264,32 @@ def near_vectors(
                         continue
                     i, j = i + at, j + lo
                     if t:  # counted in the first table where the pair meets
-                        first = ~(filed[i, :t] == filed[j, :t]).any(1)
-                        i, j = i[first], j[first]
-                    np.add.at(counts, i, 1)
+                        fresh = ~(places[i, :t] == places[j, :t]).any(1)
+                        i, j = i[fresh], j[fresh]
+                    np.add.at(counts, i, weight[j])
                     merge_labels(labels, i, j)
             hit = np.flatnonzero(counts)
-            if len(hit):
-                yield pa.record_batch({"vec_id": pa.array(ids[hit]), "n": pa.array(counts[hit]), "to": pa.array(ids[labels[hit]])})
-
-    met = groups.repartition(*runs).sortWithinPartitions(*runs).select(*runs, "vec_id", "unit", "own")
-    found = cut(met.mapInArrow(compare, "vec_id long, n long, to long"))
-    counted = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    component = connected_components(found.select("vec_id", "to").distinct(), "vec_id", "to")
-    component = component.withColumnRenamed("node", "vec_id")
-    linked = counted.join(component, "vec_id", "left")
-    out = vectors.select(F.col("vec_id").cast("long")).join(linked, "vec_id", "left")
-    out = out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
+            first = table.column("first").to_numpy()
+            return pa.record_batch({
+                "first": pa.array(first[hit]), "k1": pa.array(table.column("k1").to_numpy()[hit]), "n": pa.array(counts[hit]),
+                "to": pa.array(first[labels[hit]]),
+            })
+
+        for table, starts in sorted_runs(batches, runs):
+            sizes = np.array([len(x) for x in table.column("vec").to_pylist()]) // kind.itemsize
+            ends = [*(i for i in range(1, len(starts) - 1) if sizes[starts[i]] != sizes[starts[i] - 1]), len(starts) - 1]
+            for a, b in zip([0, *ends], ends):  # almost always one
+                yield stretch(table.slice(starts[a], starts[b] - starts[a]), starts[a : b + 1] - starts[a], int(sizes[starts[a]]))
+
+    met = groups.repartition(*runs).sortWithinPartitions(*runs).select(*runs, "first", "k1", "n", "vec", "own")
+    found = cut(met.mapInArrow(compare, "first long, k1 long, n long, to long"))
+    counted = found.groupBy("first", "k1").agg(F.sum("n").alias("others"))
+    component = connected_components(found.select("first", "to").distinct(), "first", "to").withColumnRenamed("node", "first")
+    of_vertex = vertices.select("k1", "k2", "first", "n").join(counted, ["first", "k1"], "left").join(component, "first", "left")
+    of_vertex = cut(of_vertex.select(
+        "k1", "k2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_id")
+    ))
+    out = rows.select("vec_id", "k1", "k2").join(of_vertex, ["k1", "k2"], "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

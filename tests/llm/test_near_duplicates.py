@@ -98,8 +98,9 @@ def test_simhash_groups(spark, block):
 
 
 def test_plan_tables_and_rotation():
-    bits, tables = plan_tables(5000, 0.93)
-    assert bits == 13 and 1 - (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables >= 0.995
+    for bits in (3, 8, 13):
+        tables = plan_tables(bits, 0.93)
+        assert (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables <= 0.005 < (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** (tables - 1)
     rng = np.random.default_rng(1)
     sample = rng.normal(size=(500, 16))
     sample /= np.linalg.norm(sample, axis=1)[:, None]
@@ -108,6 +109,32 @@ def test_plan_tables_and_rotation():
     assert np.allclose(turn.T @ turn, np.eye(16), atol=1e-8) and codes.keys(sample).max() < 256
 
 
+def links_by_hand(rows, threshold=0.93):
+    """Links of each row, by its place, and the ids' components, over rows of ``(vec_id, vector, label)``."""
+    good = [(k, np.array(v, dtype=float) / np.abs(v).max()) for k, (i, v, lab) in enumerate(rows) if i is not None and lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    cos = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))
+    linked = [(k, m) for k, a in good for m, b in good if k < m and rows[k][2] == rows[m][2] and len(a) == len(b) and cos(a, b) >= threshold]
+    count = [0] * len(rows)
+    for k, m in linked:
+        count[k] += 1
+        count[m] += 1
+    ids = sorted({r[0] for r in rows if r[0] is not None})
+    return count, least_reachable(ids, [(rows[k][0], rows[m][0]) for k, m in linked])
+
+
+@pytest.mark.parametrize("rows", [
+    [(i, [1.0, 0.01 * i, 0.0], "b") for i in range(6)],
+    [(1, [1.0, 0.0, 0.0], "b"), (1, [1.0, 0.001, 0.0], "b"), (2, [1.0, 0.0, 0.001], "b")],
+    [(5, [1.0, 2.0], "x"), (4, [1.0, 2.0], "x"), (3, [1.0, 2.0], "x"), (2, [1.0, 2.0], "y"), (9, [2.0, 4.0], "x"), (1, [1.0, 2.0, 0.0], "x"), (0, [1.0, 2.0, 0.1], "x")],
+    [(i, [1e300 * (1 + i % 2), 1e300], "x") for i in range(4)] + [(7, [], "x"), (8, [1.0], "x"), (6, [-1.0], "x"), (10, [3.0], "x")],
+], ids=["tight", "repeated ids", "equal and several lengths", "huge"])
+def test_near_vectors_of_small_tables(spark, rows):
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label string, n int")
+    got = sorted(tuple(r) for r in near_vectors(df, 0.93).collect())
+    count, component = links_by_hand(rows)
+    assert got == sorted((i, n, component[i], component[i] == i) for (i, _, _), n in zip(rows, count))
+
+
 @pytest.mark.parametrize("block", [2048, 5])
 def test_near_vectors(spark, block):
     rng = np.random.default_rng(5)
@@ -125,14 +152,11 @@ def test_near_vectors(spark, block):
     rows.append((None, rows[0][1], 0, "extra"))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n_links string")
     got = {r.vec_id: r for r in near_vectors(df, 0.93, block=block, aim=0.99999).collect()}
-    good = [(i, np.array(v, dtype=float)) for i, v, lab, _ in rows if i is not None and lab is not None and v and len(v) == 12 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    label = {r[0]: r[2] for r in rows}
-    cos = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))
-    linked = [(i, j) for i, a in good for j, b in good if i < j and label[i] == label[j] and cos(a, b) >= 0.93]
-    want = least_reachable([r[0] for r in rows if r[0] is not None], linked)
-    assert len(linked) > 20 and len(got) == len(rows)
-    for i in want:
-        assert got[i].n_links == sum(i in e for e in linked) and got[i].component_id == want[i] and got[i].kept == (want[i] == i)
+    count, want = links_by_hand([r[:3] for r in rows])
+    assert sum(count) > 40 and len(got) == len(rows)
+    for (i, *_), n in zip(rows, count):
+        if i is not None:
+            assert got[i].n_links == n and got[i].component_id == want[i] and got[i].kept == (want[i] == i)
     assert got[None].n_links == 0 and got[None].component_id is None and not got[None].kept
     assert near_vectors(df.limit(0)).count() == 0
 
@@ -144,7 +168,7 @@ def test_recall_on_the_given_vectors(spark):
     v = np.array([r.embedding for r in rows], dtype=float)
     v /= np.linalg.norm(v, axis=1)[:, None]
     label = np.array([r.label for r in rows])
-    for threshold in (0.93, 0.4):  # few pairs reach the first
+    for threshold in (0.93, 0.4):  # none of these pairs reaches the first; the planted ones below do
         want = (v @ v.T >= threshold) & (label[:, None] == label[None])
         total = int(want.sum()) - len(v)
         got = near_vectors(df, threshold).agg(F.sum("n_links")).first()[0]
