@@ -95,7 +95,8 @@ def recurring(lines: DataFrame) -> DataFrame:
     same = leaves.where("not mixed").select("h", "first")
 
     mixed = lines.where("fields is not null").join(leaves.where("mixed").select("leaf"), "leaf")
-    forms = cut(mixed.groupBy("leaf", "h").agg(F.any_value("n").alias("n"), F.any_value("fields").alias("fields"), *_span(True)))
+    # by the line alone, which knows its leaf, so that a leaf of very many lines is dealt anew
+    forms = cut(mixed.groupBy("h").agg(F.any_value("leaf").alias("leaf"), F.any_value("n").alias("n"), F.any_value("fields").alias("fields"), *_span(True)))
     placed = forms.select("leaf", "h", "n", "lo", "hi", "none", F.size("fields").alias("k"), F.posexplode("fields").alias("j", "field"))
     constant = placed.groupBy("leaf", "j", "field").agg(*_span()).where(_recurs()).select("leaf", "j", "field")
     rest = F.col("n") - LEADING
