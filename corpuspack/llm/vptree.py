@@ -1,4 +1,10 @@
-"""Nearest neighbours by vantage-point trees, one per shard, with relaxed pruning."""
+"""Nearest neighbours by vantage-point trees, one per shard, with relaxed pruning.
+
+Shards are regions: the leaves of a small vantage-point tree over a sample, the router,
+which keeps how far the vectors of each region lie from its vantage points.  A query goes
+to its own region first, and with the distance found there only to regions that the
+triangle inequality doesn't rule out.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +12,18 @@ import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 #: Vectors of a shard, about; each shard has one tree.
 SHARD_ROWS = 20_000
-#: Queries of a block, about; a shard searches one block at a time.
-QUERY_BLOCK = 2000
+#: Queries of a block, about; a shard's tree is sent once for each block of the queries that need it.
+QUERY_BLOCK = 10_000
 LEAF = 64
+#: Vectors that the router is built on, at most: those with the smallest hash.
+ROUTER_ROWS = 20_000
 
 
 @dataclass
@@ -54,10 +62,10 @@ class Tree:
             todo += [(lo + 1 + middle, hi, (len(nodes) - 1, 2)), (lo + 1, lo + 1 + middle, (len(nodes) - 1, 1))]
         return Tree(ids[order], points[order], nodes)
 
-    def search(self, query_ids, queries, k: int, factor: float = 1.0):
+    def search(self, query_ids, queries, k: int, factor: float = 1.0, within=None):
         """For each query its ``k`` nearest rows: ``(ids, distances)``, nearest first, ties to smaller ids; -1 and inf where there are fewer.
 
-        A query's own id is no neighbour.  A child is skipped by the triangle
+        A query's own id is no neighbour, nor is a row farther than ``within`` (one number a query).  A child is skipped by the triangle
         inequality if its shell is farther than the k-th distance so far over
         ``factor``: 1 is exact, more prunes more and may miss some.
         All queries go down the tree together, each with its own bound.
@@ -66,10 +74,12 @@ class Tree:
 
         n = len(queries)
         best_d, best_i = np.full((n, k), np.inf), np.full((n, k), -1, dtype=np.int64)
+        within = np.full(n, np.inf) if within is None else within
 
         def offer(active, lo, hi):
             d = distances(queries[active], self.points[lo:hi])
             d[self.ids[None, lo:hi] == query_ids[active, None]] = np.inf
+            d[d > within[active, None]] = np.inf
             some = d.min(1) <= best_d[active, -1]
             active, d = active[some], d[some]
             if len(active):
@@ -87,7 +97,7 @@ class Tree:
                 if shell is not None:
                     to, (least, most) = shell
                     gap = np.maximum(np.maximum(least - to, to - most), 0) * factor
-                    active = active[gap <= best_d[active, -1] * (1 + 1e-9)]
+                    active = active[gap <= np.minimum(best_d[active, -1], within[active]) * (1 + 1e-9)]
                 if not len(active):
                     continue
                 node = self.nodes[at]
@@ -120,6 +130,71 @@ def distances(a, b):
     return out
 
 
+class Router:
+    """A tree over a sample whose leaves are regions, numbered from 0."""
+
+    def __init__(self, points, regions: int):
+        import numpy as np
+
+        self.tree = Tree.build(np.arange(len(points)), points, leaf=max(1, -(-len(points) // max(1, regions)))) if regions > 1 and len(points) > 1 else None
+        leaves = [i for i, node in enumerate(self.tree.nodes) if len(node) == 2] if self.tree else []
+        self.region = {node: i for i, node in enumerate(leaves)}
+        #: (node, child): least and greatest distance of the region's vectors from the node's vantage point
+        self.bounds: dict[tuple[int, int], tuple[float, float]] = {}
+
+    def place(self, points):
+        """The region of each point, and for each ``(node, child)`` that points pass their least and greatest distance."""
+        import numpy as np
+
+        home, passed = np.zeros(len(points), dtype=np.int32), []
+        todo = [(0, np.arange(len(points)))] if self.tree else []
+        while todo:
+            at, rows = todo.pop()
+            node = self.tree.nodes[at]
+            if len(node) == 2:
+                home[rows] = self.region[at]
+                continue
+            lo, inner, outer, inside, outside = node
+            to = distances(points[rows], self.tree.points[lo : lo + 1])[:, 0]
+            near = to <= (inside[1] + outside[0]) / 2
+            for child, side in ((inner, near), (outer, ~near)):
+                if side.any():
+                    passed.append((at, child, float(to[side].min()), float(to[side].max())))
+                    todo.append((child, rows[side]))
+        return home, passed
+
+    def reach(self, points, within, factor: float):
+        """Pairs of point and region that may hold something as near as ``within``: ``(rows, regions)``."""
+        import numpy as np
+
+        found, todo = [], [(0, np.arange(len(points)))] if self.tree else []
+        if not self.tree:
+            return np.arange(len(points)), np.zeros(len(points), dtype=np.int32)
+        while todo:
+            at, rows = todo.pop()
+            node = self.tree.nodes[at]
+            if len(node) == 2:
+                found.append((rows, np.full(len(rows), self.region[at], dtype=np.int32)))
+                continue
+            to = distances(points[rows], self.tree.points[node[0] : node[0] + 1])[:, 0]
+            for child in node[1:3]:
+                if (shell := self.bounds.get((at, child))) is not None:  # else no vector is there
+                    gap = np.maximum(np.maximum(shell[0] - to, to - shell[1]), 0) * factor
+                    left = rows[gap <= within[rows] * (1 + 1e-9)]
+                    if len(left):
+                        todo.append((child, left))
+        rows, regions = zip(*found) if found else ([np.zeros(0, dtype=int)], [np.zeros(0, dtype=np.int32)])
+        return np.concatenate(rows), np.concatenate(regions)
+
+
+def _points(column, rows: int):
+    """Vectors of one length as an array."""
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(rows, -1)
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK
 ) -> DataFrame:
@@ -127,64 +202,121 @@ def nearest(
 
     Returns ``(query_id, rank, vec_id, score)``: rank from 1, score the Euclidean
     distance of the original vectors in double precision, ties to smaller ids; all
-    candidates where there are fewer than ``k``.  The row of a query's own id is no
-    candidate.  ``factor`` 1 finds exactly the nearest; above, subtrees are skipped
-    sooner (see :meth:`Tree.search`).
+    candidates where there are fewer than ``k``.  Rows of a query's own id are no
+    candidates.  ``factor`` 1 finds exactly the nearest; above, regions and subtrees are
+    skipped sooner (see :meth:`Tree.search`).
 
-    Vectors are dealt to shards by a hash of their id and each shard builds one tree,
-    kept in a checkpoint.  The stated queries go to every shard in blocks, and only
-    ``k`` rows a shard and query come back.  A shard and a block have a bounded size.
+    Vectors are dealt to regions of about ``shard_rows`` by the router; larger regions are
+    split by hash.  Each shard builds one tree, kept in a checkpoint.  A query first
+    searches one shard of its own region; the distance of the k-th row found there bounds
+    the second search, in the regions within that distance.  A shard and a block of queries
+    have a bounded size.  Where all vectors lie about equally far apart no region can be
+    ruled out, and an exact search has to go everywhere.
 
     Null ids and vectors that are null, zero or hold null or non-finite components take
     no part; nor do vectors of another length than the query, with which no distance is
-    defined.  Rows that repeat an id are candidates each.  Empty tables give an empty
-    result; other columns are ignored.
+    defined.  Rows that repeat an id are candidates each, and each row of ``queries`` gets
+    its own ranks.  Empty tables give an empty result; other columns are ignored.
     """
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     def usable(df):
         v = F.col("embedding").cast("array<double>")
         good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & good).withColumn("width", F.size("v"))
 
-    base, asked = usable(vectors), usable(queries)
-    sizes = base.groupBy("width").count().collect()  # a row a vector length
-    shards = max([1, *(-(-r["count"] // shard_rows) for r in sizes)])
-    blocks = max(1, -(-asked.count() // query_block))
+    base, asked = usable(vectors), cut(usable(queries).withColumn("q", F.monotonically_increasing_id()))
+    sizes = dict(base.groupBy("width").count().collect())  # a row a vector length
+    sampled = base.select("v", F.xxhash64("vec_id", F.lit(9)).alias("h"), "vec_id").orderBy("h", "vec_id").limit(ROUTER_ROWS).collect()
+    routers = {w: Router(np.array([r[0] for r in sampled if len(r[0]) == w]).reshape(-1, w), -(-n // shard_rows)) for w, n in sizes.items()}
+
+    def by_width(batch):
+        widths = batch.column("width")
+        for w in pc.unique(widths).to_pylist():
+            if w in routers:
+                part = batch.filter(pc.equal(widths, w))
+                yield w, part, _points(part.column("v"), part.num_rows)
+
+    def shells(batches) -> Iterator:
+        for batch in batches:
+            for w, _, points in by_width(batch):
+                passed = routers[w].place(points)[1]
+                at, child, least, most = zip(*passed) if passed else ((), (), (), ())
+                yield pa.record_batch({
+                    "width": pa.array([w] * len(at), pa.int32()), "at": pa.array(at, pa.int32()), "child": pa.array(child, pa.int32()),
+                    "least": pa.array(least, pa.float64()), "most": pa.array(most, pa.float64()),
+                })
+
+    def place(batches) -> Iterator:
+        for batch in batches:
+            for w, part, points in by_width(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(routers[w].place(points)[0])], names=[*part.schema.names, "region"])
+
+    if any(r.tree for r in routers.values()):  # two rows a region
+        edges = base.mapInArrow(shells, "width int, at int, child int, least double, most double")
+        for r in edges.groupBy("width", "at", "child").agg(F.min("least").alias("least"), F.max("most").alias("most")).collect():
+            routers[r.width].bounds[r.at, r.child] = (r.least, r.most)
+
+    placed = base.mapInArrow(place, "vec_id long, v array<double>, width int, region int")
+    filled = placed.groupBy("width", "region").count().withColumn("subs", F.ceil(F.col("count") / (2 * shard_rows)).cast("int")).drop("count")
+    shards = placed.join(filled, ["width", "region"]).withColumn("sub", F.pmod(F.xxhash64("vec_id", "v"), "subs").cast("int"))
+    keys = ["width", "region", "sub"]
 
     def build(key, table):
-        import pyarrow as pa
-
         ids = table.column("vec_id").to_numpy()
-        points = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        points = _points(table.column("v"), len(ids))
         order = np.argsort(ids, kind="stable")
         tree = pickle.dumps(Tree.build(ids[order], points[order]))
-        return pa.table({"width": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([tree], pa.binary())})
+        return pa.table({**{n: pa.array([x.as_py()], pa.int32()) for n, x in zip(keys, key)}, "tree": pa.array([tree], pa.binary())})
 
-    placed = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    trees = cut(placed.groupBy("width", "shard").applyInArrow(build, "width int, shard int, tree binary"))
-    turn = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    sent = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    sent = sent.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    trees = cut(shards.groupBy(*keys).applyInArrow(build, "width int, region int, sub int, tree binary"))
 
-    def search(_, built, wanted):
-        import pyarrow as pa
+    def home(batches) -> Iterator:
+        for batch in batches:
+            for w, part, points in by_width(batch):
+                where = pa.array(routers[w].place(points)[0])
+                yield pa.RecordBatch.from_arrays([*part.columns, where, pa.array(np.full(len(points), np.inf))], names=[*part.schema.names, "region", "within"])
 
+    def reach(batches) -> Iterator:
+        for batch in batches:
+            for w, part, points in by_width(batch):
+                rows, regions = routers[w].reach(points, part.column("within").to_numpy(), factor)
+                for at in range(0, len(rows), 5000):  # a query may need very many regions
+                    some = part.take(pa.array(rows[at : at + 5000]))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(regions[at : at + 5000])], names=[*some.schema.names, "region"])
+
+    def search(_, built, wanted):
         if not built.num_rows or not wanted.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"q": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         tree = pickle.loads(built.column("tree")[0].as_py())
-        ids = wanted.column("vec_id").to_numpy()
-        points = wanted.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        found, far = tree.search(ids, points, k, factor)
-        hit = found >= 0 if len(found) == 0 or tree.ids.min() >= 0 else ~np.isinf(far)
-        return pa.table({"query_id": pa.array(np.repeat(ids, k)[hit.ravel()]), "vec_id": pa.array(found[hit]), "score": pa.array(far[hit])})
-
-    keys = ["width", "shard", "block"]
-    pairs = trees.select("*", turn).groupBy(*keys).cogroup(sent.groupBy(*keys))
-    found = pairs.applyInArrow(search, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
-    ranked = best.select("query_id", F.posexplode("best").alias("rank", "hit"))
-    return ranked.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+        q, ids = wanted.column("q").to_numpy(), wanted.column("vec_id").to_numpy()
+        found, far = tree.search(ids, _points(wanted.column("v"), len(ids)), k, factor, wanted.column("within").to_numpy())
+        hit = ~np.isinf(far)
+        every = np.nonzero(hit)[0]
+        return pa.table({"q": pa.array(q[every]), "query_id": pa.array(ids[every]), "vec_id": pa.array(found[hit]), "score": pa.array(far[hit])})
+
+    def searched(routed):
+        """What the routed queries find: each shard's queries in blocks, and its tree once for each."""
+        routed = cut(routed)
+        blocks = routed.groupBy(*keys).count().withColumn("blocks", F.ceil(F.col("count") / query_block).cast("int")).drop("count")
+        sent = routed.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("q"), "blocks").cast("int"))
+        copies = trees.join(blocks, keys).select(*keys, "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        dealt = [*keys, "block"]
+        sent = sent.select(*dealt, "q", "vec_id", "v", "within")
+        return cut(copies.groupBy(*dealt).cogroup(sent.groupBy(*dealt)).applyInArrow(search, "q long, query_id long, vec_id long, score double"))
+
+    columns = "vec_id long, v array<double>, width int, q long"
+    own = asked.mapInArrow(home, f"{columns}, region int, within double").withColumn("sub", F.lit(0))
+    near = searched(own)
+    bound = near.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).alias("within"))
+    bound = asked.join(bound, "q", "left").select("vec_id", "v", "width", "q", F.coalesce("within", F.lit(float("inf"))).alias("within"))
+    wide = bound.mapInArrow(reach, f"{columns}, within double, region int").join(filled, ["width", "region"])
+    wide = wide.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
+    wide = wide.join(own.select("q", *keys), ["q", *keys], "left_anti")
+    best = near.union(searched(wide)).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id")))
+    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuspack.llm.hilbert import hilbert_index, shard_by_hilbert, write_shards
-from corpuspack.llm.vptree import Tree, nearest
+from corpuspack.llm.vptree import Router, Tree, nearest
 
 
 def test_tree_is_exact_at_factor_one_and_close_above():
@@ -49,6 +49,36 @@ def test_nearest(spark, shard_rows, block):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_for_repeated_query_ids_and_clusters(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 5)) * 40
+    rows = [(i, (centres[i % 12] + rng.normal(size=5)).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = rows[:40:4] + [rows[8], (8, rows[9][1]), (9999, rows[5][1])]
+    got = {}
+    for r in nearest(df, spark.createDataFrame(asked, df.schema), 10, 1.0, 50).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    want = {}
+    for q, v in asked:
+        near = sorted((float(np.linalg.norm(np.array(v) - np.array(w))), i) for i, w in rows if i != q)[:10]
+        want.setdefault(q, []).extend((n + 1, i, round(d, 9)) for n, (d, i) in enumerate(near))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+
+
+def test_router_rules_regions_out():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 5)) * 40
+    points = np.concatenate([c + rng.normal(size=(100, 5)) for c in centres])
+    router = Router(points[::3], 12)
+    home, passed = router.place(points)
+    router.bounds = {(a, c): (lo, hi) for a, c, lo, hi in passed}
+    rows, regions = router.reach(points[:50], np.full(50, 3.0), 1.0)
+    assert set(zip(range(50), home[:50])) <= set(zip(rows, regions)) and len(rows) < 50 * 12 / 3
+    for q in range(50):  # every point within the distance lies in a region that the query reaches
+        near = np.linalg.norm(points - points[q], axis=1) <= 3
+        assert set(home[near]) <= set(regions[rows == q])
+
+
 def test_hilbert_index_walks_the_grid(spark):
     for n, bits in ((2, 3), (3, 2)):
         side = 1 << bits
