@@ -8,10 +8,14 @@ anchor, its home.  A half is replicated to every anchor within distance 2, the
 radius plus the one bit that may differ, so it meets its near-duplicates at
 their home.  Only anchors that are the home of some fingerprint are compared.
 The halves only bring candidates together; all 64 bits decide.
+
+Groups by similarity (:func:`first_of_groups`) take twice as wide a fingerprint, compare
+at every anchor within distance 2, and verify what is near by the sets of shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -24,37 +28,64 @@ from .components import connected_components
 THRESHOLD = 3
 #: Members of an anchor that are compared in one group.
 BLOCK = 4096
+#: Words of 64 bits in a wide fingerprint.
+WIDE = 2
+#: Bits by which fingerprints may differ beyond the average at the similarity asked for: one and a half standard deviations.
+SLACK = 6
 
 
-def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
-    """The SimHash of a text over its shingles of ``shingle`` words, repeats included, as unsigned number.
+def shingle_hashes(text: bytes | None, shingle: int, seed: int = 42):
+    """XXH64 of a text's shingles of ``shingle`` words, repeats included, as an array.
 
-    A-Z count as a-z.  A text of fewer words has them all as its one shingle; one
-    of no words, and null, give 0.
+    A-Z count as a-z.  A text of fewer words has them all as its one shingle; one of no
+    words, and null, have none.
     """
     import numpy as np
     import xxhash
 
     words = (text or b"").lower().split()  # bytes: ASCII letters and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], dtype="<u8")
     starts = np.zeros(len(words) + 1, dtype=np.int64)
     np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
     bounds = starts.tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[p : q - 1], seed) for p, q in zip(bounds, bounds[shingle:])], dtype="<u8")
+    return np.array([digest(joined[p : q - 1], seed) for p, q in zip(bounds, bounds[shingle:])], dtype="<u8")
+
+
+def majority(hashes) -> bytes:
+    """Eight bytes whose bits are set where over half of the hashes have them set; zeros for no hashes."""
+    import numpy as np
+
     # how often each byte value stands at each of the eight places, and from that how often each bit is set
     places = hashes.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
     seen = np.bincount(places.ravel(), minlength=2048).reshape(8, 256)
     ones = seen @ np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-    return int(np.packbits((2 * ones.ravel() > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+    return np.packbits((2 * ones.ravel() > len(hashes)).astype(np.uint8), bitorder="little").tobytes()
+
 
+def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
+    """The SimHash of a text over :func:`shingle_hashes`, as unsigned number; 0 for a text of no words, and null."""
+    return int.from_bytes(majority(shingle_hashes(text, shingle, seed)), "little")
 
-def fingerprints(docs: DataFrame, shingle: int, hashed: bool = False) -> DataFrame:
-    """``(doc_id, fp)``, a row for each document; ``fp`` has the fingerprint's bits as a signed long.  ``hashed`` adds ``text_hash``."""
+
+def wide_fingerprint(text: bytes | None, shingle: int) -> bytes:
+    """A SimHash of ``WIDE`` words of 64 bits: the first of the hashes themselves, the others of mixed ones."""
+    import numpy as np
+
+    hashes, found = shingle_hashes(text, shingle), []
+    for _ in range(WIDE):
+        found.append(majority(hashes))
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    return b"".join(found)
+
+
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, fp)``, a row for each document; ``fp`` has the fingerprint's bits as a signed long."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -62,11 +93,42 @@ def fingerprints(docs: DataFrame, shingle: int, hashed: bool = False) -> DataFra
 
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            more = {"text_hash": batch.column(2)} if hashed else {}
-            yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64)), **more})
+            yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))})
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *([F.xxhash64("text")] if hashed else []))
-    return source.mapInArrow(run, "doc_id long, fp long" + (", text_hash long" if hashed else ""))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, text_hash, fp)``, a row for each document, with its wide fingerprint."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            fps = [wide_fingerprint(t.as_py(), shingle) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], names=["doc_id", "text_hash", "fp"])
+
+    source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("binary"))
+    return source.mapInArrow(run, "doc_id long, text_hash long, fp binary")
+
+
+def covering(half):
+    """The anchors of each 32-bit half within distance 2, as ``(anchor, rows, home)`` arrays."""
+    import numpy as np
+
+    place = np.arange(1, 32, dtype=np.uint32)
+    flip = np.zeros(32, dtype=np.uint32)  # the bit at place s; none at 0
+    flip[1:] = np.uint32(1) << (place - 1)
+    low = (half & np.uint64(0x7FFFFFFF)).astype(np.uint32)
+    syndrome = np.zeros(len(low), dtype=np.uint32)
+    for s in place:
+        syndrome ^= np.where(low & flip[s], s, np.uint32(0))
+    yield low ^ flip[syndrome], np.arange(len(low)), True
+    for p in place:  # flips p and p ^ syndrome together also lead to a code word
+        q = syndrome ^ p
+        use = np.flatnonzero((syndrome != 0) & (q > p))
+        if len(use):
+            yield low[use] ^ flip[p] ^ flip[q[use]], use, False
 
 
 def anchors(fps: DataFrame) -> DataFrame:
@@ -76,32 +138,51 @@ def anchors(fps: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        place = np.arange(1, 32, dtype=np.uint32)
-        flip = np.zeros(32, dtype=np.uint32)  # the bit at place s; none at 0
-        flip[1:] = np.uint32(1) << (place - 1)
         for batch in batches:
             fp = batch.column(0).to_numpy().astype(np.int64)
             for half in (0, 1):
-                low = ((fp.view(np.uint64) >> np.uint64(32 * half)) & np.uint64(0x7FFFFFFF)).astype(np.uint32)
-                syndrome = np.zeros(len(low), dtype=np.uint32)
-                for s in place:
-                    syndrome ^= np.where(low & flip[s], s, np.uint32(0))
-                found = [(low ^ flip[syndrome], fp, True)]
-                for p in place:  # flips p and p ^ syndrome together also lead to a code word
-                    q = syndrome ^ p
-                    use = (syndrome != 0) & (q > p)
-                    found.append((low[use] ^ flip[p] ^ flip[q[use]], fp[use], False))
-                for word, who, home in found:
-                    if len(word):
-                        yield pa.record_batch({
-                            "anchor": pa.array(word.astype(np.int64) + (half << 31)),
-                            "fp": pa.array(who),
-                            "home": pa.array(np.full(len(word), home)),
-                        })
+                for word, rows, home in covering(fp.view(np.uint64) >> np.uint64(32 * half)):
+                    yield pa.record_batch({
+                        "anchor": pa.array(word.astype(np.int64) + (half << 31)), "fp": pa.array(fp[rows]), "home": pa.array(np.full(len(rows), home)),
+                    })
 
     return fps.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
 
 
+def wide_anchors(fps: DataFrame) -> DataFrame:
+    """``(anchor, fp)``: each wide fingerprint at every anchor of its halves within distance 2."""
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            fp = batch.column(0)
+            words = np.frombuffer(b"".join(fp.to_pylist()), dtype="<u8").reshape(-1, WIDE)
+            for half in range(2 * WIDE):
+                for word, rows, _ in covering(words[:, half // 2] >> np.uint64(32 * (half % 2))):
+                    yield pa.record_batch({"anchor": pa.array(word.astype(np.int64) + (half << 31)), "fp": fp.take(pa.array(rows))})
+
+    return fps.select("fp").mapInArrow(run, "anchor long, fp binary")
+
+
+def _near(table, starts, fp, bits: int) -> Iterator:
+    """Pairs of rows within a run whose fingerprints (rows of 64-bit words) differ in ``bits`` bits or fewer: ``(i, j, differing)`` arrays."""
+    import numpy as np
+
+    own = table.column("own").to_numpy()
+    split = table.column("bi").to_numpy() != table.column("bj").to_numpy()
+    ends = np.repeat(starts[1:], np.diff(starts))
+    rows, step = np.arange(len(fp)), 0
+    while len(rows):
+        step += 1
+        rows = rows[rows + step < ends[rows]]
+        i, j = rows, rows + step
+        differing = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64)
+        near = (differing <= bits) & (~split[i] | (own[i] != own[j]))
+        yield i[near], j[near], differing[near]
+
+
 def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(a, b)``: links that connect all fingerprints of ``fps`` (distinct) that differ in at most three bits.
 
@@ -117,24 +198,14 @@ def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
         for table, starts in sorted_runs(batches, keys):
             fp = table.column("fp").to_numpy().view(np.uint64)
-            own = table.column("own").to_numpy()
-            split = table.column("bi").to_numpy() != table.column("bj").to_numpy()
-            ends = np.repeat(starts[1:], np.diff(starts))
-            labels = np.arange(len(fp))
-            left, right, step, held = [], [], 0, 0
-            rows = np.arange(len(fp))
-            while len(rows):
-                step += 1
-                rows = rows[rows + step < ends[rows]]
-                i, j = rows, rows + step
-                near = np.bitwise_count(fp[i] ^ fp[j]) <= THRESHOLD
-                near &= ~split[i] | (own[i] != own[j])
-                left.append(i[near])
-                right.append(j[near])
-                held += len(left[-1])
-                if held > 1_000_000 or not len(rows):
-                    merge_labels(labels, np.concatenate(left), np.concatenate(right))
-                    left, right, held = [], [], 0
+            labels, held = np.arange(len(fp)), []
+            for i, j, _ in _near(table, starts, fp[:, None], THRESHOLD):
+                held.append((i, j))
+                if sum(len(i) for i, _ in held) > 1_000_000:
+                    merge_labels(labels, *map(np.concatenate, zip(*held)))
+                    held = []
+            if held:
+                merge_labels(labels, *map(np.concatenate, zip(*held)))
             linked = np.flatnonzero(labels != np.arange(len(fp)))
             if len(linked):
                 signed = fp.view(np.int64)
@@ -144,23 +215,95 @@ def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select(*keys, "fp", "own").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(vertices: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(fp, first, component)`` for ``vertices(fp, first)``: the least fingerprint that each one reaches."""
-    component = connected_components(fingerprint_links(vertices, block))
+def wide_links(fps: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``: pairs of wide fingerprints of ``fps`` (distinct) that share an anchor and differ in at most ``bits`` bits.
+
+    Not all pairs: in a group each member is linked with the nearest one before it and the nearest one after it.
+    """
+    groups = split_hot(wide_anchors(fps), ["anchor"], "fp", block)
+    keys = ["anchor", "bi", "bj"]
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for table, starts in sorted_runs(batches, keys):
+            column = table.column("fp").combine_chunks() if table.column("fp").num_chunks != 1 else table.column("fp").chunk(0)
+            fp = np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, WIDE)
+            after, before = np.full((2, len(fp)), bits + 1), np.full((2, len(fp)), -1)
+            for i, j, differing in _near(table, starts, fp, bits):
+                for side, (one, other) in enumerate(((i, j), (j, i))):  # each row stands once on a side
+                    nearer = differing < after[side, one]
+                    after[side, one[nearer]] = differing[nearer]
+                    before[side, one[nearer]] = other[nearer]
+            side, one = np.nonzero(before >= 0)
+            if len(one):
+                other = before[side, one]
+                yield pa.record_batch({"a": column.take(pa.array(np.minimum(one, other))), "b": column.take(pa.array(np.maximum(one, other)))})
+
+    dealt = groups.repartition(*keys).sortWithinPartitions(*keys)
+    found = dealt.select(*keys, "fp", "own").mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar(links: DataFrame, docs: DataFrame, vertices: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``links`` whose documents have at least this Jaccard similarity of their sets of shingles.
+
+    ``vertices(fp, first)`` names the document, ``docs`` has its text.  Only linked documents are read for it.
+    """
+    linked = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "fp")
+    named = vertices.join(linked, "fp").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    texts = texts.join(named, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("fp", "text")
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
+
+    sets = cut(texts.mapInArrow(run, "fp binary, set array<long>").dropDuplicates(["fp"]))
+    of = lambda end: sets.select(F.col("fp").alias(end), F.col("set").alias(f"set_{end}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    near = both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both)
+    return links.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
+
+
+def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """``(fp, first, component)`` for ``vertices(fp, first)``: the least fingerprint that each one reaches over ``links``."""
+    component = connected_components(links)
     group = vertices.join(component.withColumnRenamed("node", "fp"), "fp", "left")
     return group.select("fp", "first", F.coalesce("component", "fp").alias("component"))
 
 
-def first_of_groups(docs: DataFrame, shingle: int = 3, block: int = BLOCK) -> DataFrame:
+def differing_bits(similarity: float) -> int:
+    """Bits of a wide fingerprint that differ, on average, where two equally large sets of shingles have this Jaccard similarity."""
+    return math.ceil(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """``docs`` with one row for each group of near-duplicates, whatever ids the rows have.
 
-    That with the smallest ``doc_id``, null ids last; of rows that repeat the id,
+    Near are texts with at least this Jaccard ``similarity`` of their sets of shingles of
+    ``shingle`` words.  Pairs are looked for at the anchors of the four halves of wide
+    fingerprints, among those that differ in no more bits than such sets do, give or take;
+    the sets themselves decide.  Of pairs at a similarity of 0.8 the anchors bring about half
+    together, at 0.85 three quarters, at 0.9 nine tenths, at 0.95 nearly all.  In a group of
+    many near texts each is compared with the nearest ones only.  Copies are one vertex.
+
+    That with the smallest ``doc_id`` stays, null ids last; of rows that repeat the id,
     that with the smallest hash of its text.  Ids don't bring rows together: texts
-    that are not near each other stay, also where they share an id or have none.
+    that are not near each other stay, also where they share an id or have none.  Null and
+    empty texts are one group.  An empty table gives an empty result; all columns stay.
     """
     seen = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    fps = fingerprints(docs, shingle, hashed=True)
-    group = components(cut(fps.groupBy("fp").agg(F.min(seen).alias("first"))), block)
+    vertices = cut(wide_fingerprints(docs, shingle).groupBy("fp").agg(F.min(seen).alias("first")))
+    links = cut(wide_links(vertices, differing_bits(similarity) + SLACK, block))
+    group = components(vertices, similar(links, docs, vertices, shingle, similarity))
     first = group.groupBy("component").agg(F.min("first").alias("first"))
     first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     keyed = docs.withColumn("_text", F.xxhash64("text"))
@@ -186,7 +329,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, block: int = BLOCK) -> Dat
     columns other than ``doc_id`` and ``text`` are ignored.
     """
     fps = cut(fingerprints(docs, shingle))
-    group = components(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"))), block)
+    vertices = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    group = components(vertices, fingerprint_links(vertices, block))
     least = group.groupBy("component").agg(F.min("first").alias("component_id"))
     named = group.join(least, "component").select("fp", "component_id")
     return fps.join(named, "fp").select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuspack.llm.components import connected_components
 from corpuspack.llm.embed_dedup import learn, near_vectors, plan, plan_tables
-from corpuspack.llm.simhash import anchors, fingerprint, simhash_groups
+from corpuspack.llm.simhash import anchors, fingerprint, first_of_groups, shingle_hashes, simhash_groups
 
 
 def least_reachable(ids, linked):
@@ -97,6 +97,37 @@ def test_simhash_groups(spark, block):
     assert simhash_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_first_of_groups(spark, block):
+    """Copies with edits over a text of 300 words: those at 0.8 or more go, at 0.9 almost all do; others stay."""
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(3000)]
+    rows, base = [], {}
+    for k in range(40):
+        text = [rng.choice(words) for _ in range(300)]
+        rows.append((len(rows), " ".join(text), k))
+        for edits in (1, 3, 6, 40):
+            w = list(text)
+            for at in rng.sample(range(300), edits):
+                w[at] = "other"
+            base[len(rows)] = (len(rows) - 1 if edits == 1 else base[len(rows) - 1][0], edits)
+            rows.append((len(rows), " ".join(w), k))
+    rows += [(9000, None, 0), (9001, "", 0), (9002, "one two", 0), (9003, "One  two", 0), (9004, "one three", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
+    kept = {r.doc_id for r in first_of_groups(df, 5, 0.8, block).collect()}
+    sets = [set(shingle_hashes((t or "").encode(), 5).tolist()) for _, t, _ in rows]
+    at = {i: n for n, (i, _, _) in enumerate(rows)}
+    near = lambda a, b: len(sets[at[a]] & sets[at[b]]) >= 0.8 * len(sets[at[a]] | sets[at[b]])
+    for i, (of, edits) in base.items():
+        assert i in kept or any(near(i, j) for j in at if j < i and j != i)
+        if edits == 40:
+            assert i in kept
+    gone = [edits for i, (_, edits) in base.items() if i not in kept]
+    assert gone.count(1) == 40 and gone.count(3) >= 36 and gone.count(6) >= 25
+    assert {9000, 9002, 9004} <= kept and not {9001, 9003} & kept and all(k % 5 or k in kept for k in range(200))
+    assert first_of_groups(df.limit(0)).count() == 0
+
+
 def test_plan_tables_and_rotation():
     for bits in (3, 8, 13):
         tables = plan_tables(bits, 0.93)

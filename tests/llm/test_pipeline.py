@@ -7,27 +7,32 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuspack.llm import queries
-from corpuspack.llm.simhash import simhash_groups
+from corpuspack.llm import common, queries, simhash
 from tests.test_queries import compare
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark):
+    common.shared_dir(spark)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(9001, "12 34 !!", "en", "s", 8), (9002, None, None, "s", None), (9003, "", "en", "s", 0)], docs.schema)
-    docs = docs.unionByName(extra).localCheckpoint()
-    known = corpus_pipeline.language_id(spark, docs, SF).localCheckpoint()
+    docs = docs.unionByName(extra).checkpoint()
+    known = corpus_pipeline.language_id(spark, docs, SF).checkpoint()
     assert known.columns == docs.columns
     gone = docs.join(known, "doc_id", "left_anti")
     assert {9001, 9002, 9003} <= {r.doc_id for r in gone.collect()} and gone.count() <= 6
-    lines = corpus_pipeline.line_dedup(spark, known, SF).localCheckpoint()
+    lines = corpus_pipeline.line_dedup(spark, known, SF).checkpoint()
     assert lines.columns == docs.columns and lines.count() == known.count() and lines.where("n_chars <> length(text)").count() == 0
-    one = corpus_pipeline.near_dedup(spark, lines, SF).localCheckpoint()
-    groups = {r.component_id for r in simhash_groups(lines, 3).collect()}
-    assert {r.doc_id for r in one.collect()} == groups and one.count() == len(groups)
-    mixed = corpus_pipeline.mixing(spark, one, SF).localCheckpoint()
+    one = corpus_pipeline.near_dedup(spark, lines, SF).checkpoint()
+    sets = {r.doc_id: set(simhash.shingle_hashes((r.text or "").encode(), 5).tolist()) for r in lines.collect()}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    kept = {r.doc_id for r in one.collect()}
+    assert len(kept) == one.count()
+    for i in set(sets) - kept:  # what goes has a near text with a smaller id
+        assert any(alike(sets[i], sets[j]) for j in sets if j < i)
+    assert not any(alike(sets[i], sets[j]) for i in kept for j in kept if j < i)  # these tables' copies are close
+    mixed = corpus_pipeline.mixing(spark, one, SF).checkpoint()
     assert mixed.columns == docs.columns and mixed.join(one, "doc_id", "left_anti").count() == 0
     tokens = corpus_pipeline.sentencepiece(spark, mixed, SF)
     judge = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
