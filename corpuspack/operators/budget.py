@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.session import cut
 from .codebook import EMPTY, decode, dictionary_arrays, encode
 from .packing import FlatOptions, apply_dictionary, build_dictionary, dictionary_lines, in_order
+from .running import sums_before
 
 
 @dataclass(frozen=True)
@@ -23,8 +24,6 @@ class BudgetOptions:
     max_local_dict: int = 48
     hot_page_fraction: float = 0.05
     min_freq: int = 2
-    #: What the input counts as in the report, where pages only stand for it.
-    simulated_input_tokens: int | None = None
     #: Say ``in_prompt`` for pages that were chosen but trimmed again.
     flag_before_trim: bool = False
     #: Name global entries apart from the pages' own, which encoded bodies also hold.
@@ -33,9 +32,7 @@ class BudgetOptions:
 
 def input_cap(pages: DataFrame, keys: Sequence[str], budget: int) -> DataFrame:
     """The pages up to and with the one that reaches the input budget; ``pages`` has ``page_id`` and ``original_tokens_est``."""
-    before = Window.partitionBy(*keys).orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("original_tokens_est").over(before), F.lit(0))
-    return pages.withColumn("_spent", spent).where(F.col("_spent") < budget).drop("_spent")
+    return sums_before(pages, keys, "page_id", {"_spent": F.col("original_tokens_est")}).where(F.col("_spent") < budget).drop("_spent")
 
 
 def cold_rows(pages: DataFrame, keys: Sequence[str], options: BudgetOptions = BudgetOptions()) -> DataFrame:
@@ -79,13 +76,14 @@ def hot_pages(rows: DataFrame, keys: Sequence[str], fraction: float) -> DataFram
     come the pages passed over.
     """
     keys = list(keys)
-    scope = Window.partitionBy(*keys)
-    first = F.min("page_id").over(Window.partitionBy(*keys, "template_id"))
-    marked = rows.withColumn("_first", first)
-    marked = marked.withColumn("_late", (F.col("page_id") != F.col("_first")) & (F.col("page_id") <= F.max("_first").over(scope)))
-    marked = marked.withColumn("_n", F.count(F.lit(1)).over(scope))
-    place = F.row_number().over(scope.orderBy("_late", "page_id"))
-    return marked.withColumn("hot", place <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(fraction)))).drop("_first", "_late", "_n")
+    firsts = rows.groupBy(*keys, "template_id").agg(F.min("page_id").alias("_first"))
+    marked = rows.join(firsts, [*keys, "template_id"]).join(firsts.groupBy(*keys).agg(F.max("_first").alias("_end")), keys)
+    marked = marked.withColumn("_late", ((F.col("page_id") != F.col("_first")) & (F.col("page_id") <= F.col("_end"))).cast("long"))
+    marked = sums_before(marked, keys, "page_id", {"_lates": F.col("_late"), "_others": 1 - F.col("_late")})
+    sizes = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_late").alias("_all_late"))
+    place = F.when(F.col("_late") == 0, F.col("_others")).otherwise(F.col("_n") - F.col("_all_late") + F.col("_lates"))
+    hot = place < F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(fraction)))
+    return marked.join(sizes, keys).select(*rows.columns, hot.alias("hot"))
 
 
 def _scoped(dictionary: Column, apart: bool) -> Column:
@@ -105,8 +103,7 @@ def budget_pack(rows: DataFrame, keys: Sequence[str], options: BudgetOptions = B
     ``cold_pages``, ``global_dictionary`` and ``hot_ids``.
     """
     keys = list(keys)
-    if options.simulated_input_tokens is None:
-        rows = input_cap(rows, keys, options.input_token_budget)
+    rows = input_cap(rows, keys, options.input_token_budget)
     ranked = templates(rows, keys)
     blob = ranked.where(F.col("rank") < 2 * options.max_global_dict).groupBy(*keys).agg(F.array_join(in_order(F.col("rank"), F.col("exemplar")), "\n").alias("text"))
     top = FlatOptions(min_freq=1, max_dict_size=options.max_global_dict)
@@ -129,19 +126,19 @@ def budget_pack(rows: DataFrame, keys: Sequence[str], options: BudgetOptions = B
         )
 
     marked = marked.withColumn("body", body).withColumn("yes", index_row(F.lit(True))).withColumn("no", index_row(F.lit(False)))
-    scope = Window.partitionBy(*keys)
-    up_to = scope.orderBy("page_id").rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("upto", F.sum(F.when(F.col("hot"), F.length("body") + 1).otherwise(0)).over(up_to))
+    of_hot = F.when(F.col("hot"), F.length("body") + 1).otherwise(0)
+    marked = cut(sums_before(marked, keys, "page_id", {"upto": of_hot, "nth": F.col("hot").cast("int")}))
+    marked = marked.withColumn("upto", F.col("upto") + of_hot).withColumn("nth", F.col("nth") + F.col("hot").cast("int"))
     # trimming a page turns its flag to "false", one character more
-    index_size = F.sum(F.length(F.when(F.col("hot"), F.col("yes")).otherwise(F.col("no"))) + 2).over(scope)
-    marked = marked.withColumn("index_size", index_size).withColumn("nth", F.sum(F.col("hot").cast("int")).over(up_to)).withColumn("n_hot", F.sum(F.col("hot").cast("int")).over(scope))
+    listed = F.length(F.when(F.col("hot"), F.col("yes")).otherwise(F.col("no"))) + 2
 
-    totals = marked.groupBy(*keys).agg(F.sum("original_tokens_est").alias("streamed"), F.count(F.lit(1)).alias("n_pages"))
+    totals = marked.groupBy(*keys).agg(
+        F.sum("original_tokens_est").alias("streamed"), F.count(F.lit(1)).alias("n_pages"), F.sum(listed).alias("index_size"), F.count_if("hot").alias("n_hot")
+    )
     shares = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_templates"))
     level = totals.join(shares, keys).join(arrays, keys).join(book, keys, "left")
     level = level.withColumn("codebook", F.coalesce("codebook", F.array().cast("array<string>")))
-    reported = F.col("streamed") if options.simulated_input_tokens is None else F.lit(options.simulated_input_tokens)
-    level = level.withColumn("input_tokens_est", reported.cast("long"))
+    level = level.withColumn("input_tokens_est", F.col("streamed").cast("long"))
     head = [
         F.array(
             F.lit("BUDGETED PAGEINDEX PACK"),
@@ -154,7 +151,7 @@ def budget_pack(rows: DataFrame, keys: Sequence[str], options: BudgetOptions = B
     level = level.withColumn("head", F.array_join(F.concat(*head), "\n"))
     tail = ["", "HOT_ENCODED_PAGES:"]
     rest = len("\n" + "\n".join(tail)) + len("\n" + "\nCOLD_STORE_REF: cold_store.jsonl")
-    sized = marked.join(level.select(*keys, F.length("head").alias("head_size")), keys)
+    sized = marked.join(level.select(*keys, F.length("head").alias("head_size"), "index_size", "n_hot"), keys)
     # the directory in brackets, its rows joined by ", "
     base = F.col("head_size") + 1 + F.col("index_size") + rest
     flips = F.lit(0) if options.flag_before_trim else F.col("n_hot") - F.col("nth")

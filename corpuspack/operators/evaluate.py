@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.session import cut
+from .codebook import decode
 from .compaction import CompactOptions, compact_messages, expand_messages, pack_messages
 from .packing import FlatOptions, flat_pack, in_order
 
@@ -17,17 +18,52 @@ KINDS = ("goal", "constraint", "outcome")
 CONDITIONS = ("raw", "compress", "compact", "lossy_truncate", "protect_compact")
 
 
+#: Characters that a phrase of few words is looked up by, at most.
+HEAD = 8
+
+
 def phrase_coverage(texts: DataFrame, gold: DataFrame, keys: Sequence[str], on: Sequence[str] = ()) -> DataFrame:
     """How many of the phrases ``gold(type, phrase)`` each text has, both folded: ``(keys, type, hit, total, recall)``.
 
-    With ``on`` a text is held only against the phrases that agree in these keys; else against
-    all of them, which are broadcast where the optimiser finds them small enough.
+    With ``on`` a text is held only against the phrases that agree in these keys.  A phrase
+    of four words or more that stands in a text brings its second and third word there as
+    whole words, so texts and phrases meet by the hash of such a pair, once for each text
+    and pair; a shorter phrase meets by its first characters.  What meets is then looked
+    up in the text.  No text is held against phrases that it shares no such key with.
+
+    Equal phrases of a type count as often as they are given.  An empty phrase is in every
+    text, a null one in none; null texts have no row, nor has a text without phrases.
     """
-    folded = texts.select(*keys, T.folded(F.col("text")).alias("_t"))
+    on = list(on)
+    folded = texts.where(F.col("text").isNotNull()).select(*keys, T.folded(F.col("text")).alias("_t"))
     phrases = gold.select(*on, "type", T.folded(F.col("phrase")).alias("_p"))
-    met = folded.join(phrases, list(on)) if on else folded.crossJoin(phrases)
-    hits = met.groupBy(*keys, "type").agg(F.count_if(F.contains("_t", "_p")).alias("hit"), F.count(F.lit(1)).alias("total"))
-    return hits.withColumn("recall", F.round(F.col("hit") / F.col("total"), 4))
+    totals = phrases.groupBy(*on, "type").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("_p") == "").alias("empty"))
+    each = phrases.where("_p <> ''").groupBy(*on, "type", "_p").agg(F.count(F.lit(1)).alias("times")).withColumn("_w", F.split("_p", " "))
+    long = each.where(F.size("_w") >= 4).withColumn("_k", F.xxhash64(F.get("_w", F.lit(1)), F.get("_w", F.lit(2))))
+    short = each.where(F.size("_w") < 4).withColumn("_c", F.least(F.length("_p"), F.lit(HEAD))).withColumn("_k", F.xxhash64(F.left("_p", F.col("_c"))))
+
+    words = folded.select(*keys, F.split("_t", " ").alias("_w")).where(F.size("_w") >= 4)
+    pair = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))
+    pairs = words.select(*keys, F.explode(F.array_distinct(F.element_at(F.transform(F.array("_w"), pair), 1))).alias("_k"))
+    # the lengths that short phrases have, HEAD at most; without any, no text is cut
+    sizes = F.broadcast(short.select("_c").distinct())
+    starts = folded.select(*keys, "_t", F.explode(F.sequence(F.lit(1), F.lit(HEAD))).alias("_c")).join(sizes, "_c").where(F.length("_t") >= F.col("_c"))
+    block = F.explode(F.sequence(F.lit(0), F.length("_t") - F.col("_c"), F.lit(1024))).alias("_b")
+    blocks = starts.select(*keys, "_c", F.length("_t").alias("_n"), "_t", block).select(*keys, "_c", (F.col("_n") - F.col("_b")).alias("_n"), F.substring("_t", F.col("_b") + 1, F.lit(1024 + HEAD)).alias("_t"))
+    cut = lambda x: F.transform(F.sequence(F.lit(1), F.least(x["n"] - x["c"] + 1, F.lit(1024))), lambda i: F.xxhash64(F.substring(x["t"], i, x["c"])))
+    heads = F.element_at(F.transform(F.array(F.struct(F.col("_t").alias("t"), F.col("_n").alias("n"), F.col("_c").alias("c"))), cut), 1)
+    heads = blocks.select(*keys, "_c", F.explode(F.array_distinct(heads)).alias("_k")).distinct()
+
+    columns = [*dict.fromkeys([*keys, "type", "_p", "times"])]
+    near = pairs.join(long, [*on, "_k"]).select(*columns).union(heads.join(short, [*on, "_c", "_k"]).select(*columns)).distinct()
+    hits = near.join(folded, list(keys)).where(F.contains("_t", "_p")).groupBy(*keys, "type").agg(F.sum("times").alias("hit"))
+    if on:
+        every = folded.select(*keys).join(totals, on)
+    else:  # a row a type: one row for all of them
+        types = totals.agg(F.collect_list(F.struct("type", "total", "empty")).alias("_all"), F.lit(1).alias("_one"))
+        every = folded.select(*keys, F.lit(1).alias("_one")).join(F.broadcast(types), "_one").select(*keys, F.inline("_all"))
+    hit = F.col("empty") + F.coalesce("hit", F.lit(0))
+    return every.join(hits, [*keys, "type"], "left").select(*keys, "type", hit.alias("hit"), "total", F.round(hit / F.col("total"), 4).alias("recall"))
 
 
 def micro_recall(coverage: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -85,14 +121,14 @@ def run_conditions(traces: DataFrame, keys: Sequence[str], budget: int = 1200, k
     text = F.col("text")
     raw = row(packed, "raw", text, text, before, F.lit(True))
     flat = flat_pack(packed, keys, FlatOptions(min_freq=2, max_dict_size=128))
-    # encoding is checked as it is made, so decoding gives the text
-    compress = row(flat, "compress", F.col("packed_prompt"), text, T.token_estimate(F.col("packed_prompt")), F.lit(True))
+    flat = flat.withColumn("_back", decode(F.col("encoded"), F.col("dictionary")))
+    compress = row(flat, "compress", F.col("packed_prompt"), F.col("_back"), T.token_estimate(F.col("packed_prompt")), F.col("_back") == text)
 
     done = compact_messages(traces, keys, CompactOptions(budget=budget, mode="lossless_dict", keep_last_n=keep_last_n))
     whole = expand_messages(done, keys).groupBy(*keys).agg(F.array_join(in_order(F.col("ord"), F.col("content")), "\n\n").alias("restored"))
     sizes = done.summary.select(*keys, F.col("packed_prompt").alias("visible"), "compacted_tokens_est")
     met = cut(packed.join(sizes, keys).join(whole, keys))
-    compact = row(met, "compact", F.col("visible"), F.col("restored"), F.col("compacted_tokens_est"), F.lit(False))
+    compact = row(met, "compact", F.col("visible"), F.col("restored"), F.col("compacted_tokens_est"), F.col("restored") == text)
     allowed = met.select(*keys, "text", F.greatest(F.lit(200), F.col("compacted_tokens_est")).cast("long").alias("allowed"))
 
     scope = Window.partitionBy(*keys)
@@ -104,16 +140,16 @@ def run_conditions(traces: DataFrame, keys: Sequence[str], budget: int = 1200, k
 
     parts = protect_sentences(packed, keys)
     filler = flat_pack(parts.where(T.strip(F.col("rest_blob")) != "").select(*keys, F.col("rest_blob").alias("text")), keys, FlatOptions(min_freq=2, max_dict_size=128))
-    filler = filler.select(*keys, "dictionary", F.col("packed_prompt").alias("_filler"), "packed_tokens")
+    filler = filler.select(*keys, "dictionary", decode(F.col("encoded"), F.col("dictionary")).alias("_rest"), F.col("packed_prompt").alias("_filler"), "packed_tokens")
     kept = allowed.join(parts, keys).join(filler, keys, "left")
     coded = F.coalesce(F.size("dictionary") > 0, F.lit(False))
     plain = F.concat("keep_blob", F.when(F.col("rest_blob") != "", F.concat(F.lit("\n"), "rest_blob")).otherwise(""))
     seen = F.when(coded, F.concat("keep_blob", F.lit("\n\n<<<COMPACTED_FILLER dict-encoded>>>\n"), "_filler")).otherwise(plain)
-    back = F.when(coded, F.concat("keep_blob", F.lit("\n"), "rest_blob")).otherwise(plain)
+    back = F.when(coded, F.concat("keep_blob", F.lit("\n"), "_rest")).otherwise(plain)
     kept = kept.withColumn("_seen", seen).withColumn("_back", back)
     over = (T.token_estimate(F.col("_seen")) > F.col("allowed")) & F.col("_filler").isNotNull()
     omitted = F.concat("keep_blob", F.lit("\n\n[filler dict cold ~"), F.col("packed_tokens").cast("string"), F.lit(" tok omitted from hot set]"))
-    kept = kept.withColumn("_exact", ~over).withColumn("_seen", F.when(over, omitted).otherwise(F.col("_seen")))
+    kept = kept.withColumn("_exact", ~over & (~coded | (F.col("_rest") == F.col("rest_blob")))).withColumn("_seen", F.when(over, omitted).otherwise(F.col("_seen")))
     protect = row(kept, "protect_compact", F.col("_seen"), F.col("_back"), T.token_estimate(F.col("_seen")), F.col("_exact"))
     return reduce(DataFrame.unionByName, (raw, compress, compact, truncate, protect))
 

@@ -1,7 +1,8 @@
 """Repeated patterns of each text: n-grams of units, whole lines, strided character windows.
 
 A scope is what patterns are counted in, one text each, named by key columns.  Every
-miner deals its exploded rows by scope once and does the rest in that partitioning.
+miner deals the texts by scope and does the rest in that partitioning, so no exploded
+row is shuffled; patterns are found inside the row of their text.
 Results have the keys and ``src`` (0 n-grams, 1 lines, 2 characters), ``pattern``,
 ``cnt``, ``len``, ``score`` and ``rank``, the place in the miner's order.
 """
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Characters of a block that windows are taken from.
+BLOCK = 1024
+
 MINED = ("src", "pattern", "cnt", "len", "score", "rank")
 
 
@@ -28,27 +32,44 @@ def _ranked(counted: DataFrame, keys: Sequence[str], src: int, min_freq: int, li
     return ranked.select(*keys, F.lit(src).alias("src"), "pattern", "cnt", "len", "score", "rank")
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once; an expression in a lambda would be computed at every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def mine_ngrams(
     corpus: DataFrame, keys: Sequence[str], text: str = "text", min_len: int = 2, max_len: int = 12, min_freq: int = 3, limit: int = 500
 ) -> DataFrame:
     """Overlapping n-grams of white-space units, joined by single spaces, of eight characters or more.
 
-    An n-gram is only as frequent as its bigrams, so bigrams are counted first and longer
-    ones are built only along runs of positions whose bigrams are frequent: exact, and far
-    fewer rows.  A single occurrence saves nothing, so a ``min_freq`` of 1 acts as 2.
+    An n-gram is only as frequent as its bigrams, so the positions of frequent bigrams are
+    found first, in a sorted array, and longer ones are built only along runs of such
+    positions: exact, and far fewer rows.  A single occurrence saves nothing, so a
+    ``min_freq`` of 1 acts as 2.  Null texts have no patterns.
     """
     keys, need = list(keys), max(2, min_freq)
-    placed = corpus.where(F.col(text).isNotNull()).select(*keys, F.posexplode(T.units(F.col(text))).alias("pos", "u")).repartition(*keys)
-    along = Window.partitionBy(*keys).orderBy("pos")
-    pairs = placed.withColumn("pair", F.concat("u", F.lit(" "), F.lead("u").over(along)))
-    pairs = pairs.withColumn("often", F.col("pair").isNotNull() & (F.count(F.lit(1)).over(Window.partitionBy(*keys, "pair")) >= need))
-    ahead = pairs.withColumn("us", F.collect_list("u").over(along.rowsBetween(0, max_len - 1)))
-    ahead = ahead.withColumn("run", F.collect_list("often").over(along.rowsBetween(0, max_len - 2))).where("often")
-    stop = F.array_position("run", False)
-    longest = F.when(stop > 0, stop).otherwise(F.size("run") + 1).cast("int")
-    grams = ahead.withColumn("longest", F.least(longest, F.lit(max_len))).where(F.col("longest") >= min_len)
-    grams = grams.withColumn("n", F.explode(F.sequence(F.lit(min_len), F.col("longest"))))
-    grams = grams.select(*keys, "n", "pos", F.array_join(F.slice("us", F.lit(1), F.col("n")), " ").alias("pattern")).where(F.length("pattern") >= 8)
+    texts = corpus.where(F.col(text).isNotNull()).select(*keys, T.units(F.col(text)).alias("us")).where(F.size("us") >= 2).repartition(*keys)
+    pair = lambda us, i: F.struct(F.concat(F.get(us, i), F.lit(" "), F.get(us, i + 1)).alias("p"), i.alias("at"))
+    pairs = _once(F.col("us"), lambda us: F.array_sort(F.transform(F.sequence(F.lit(0), F.size(us) - 2), lambda i: pair(us, i))))
+
+    def often(s: Column) -> Column:
+        """Places of the pairs of which a sorted array has ``need`` or more, in the order of the text."""
+        return F.array_sort(F.transform(F.filter(s, lambda x, i: F.exists(
+            F.sequence(F.lit(0), F.lit(need - 1)),
+            # beyond its ends the array gives null
+            lambda d: F.coalesce(F.get(s, i - d)["p"] == F.get(s, i - d + (need - 1))["p"], F.lit(False)),
+        )), lambda x: x["at"]))
+
+    def runs(at: Column, us: Column) -> Column:
+        """For each place the units from there on, as long as the pairs are frequent."""
+        ahead = lambda p, k: F.size(F.filter(F.sequence(F.lit(1), F.lit(max_len)), lambda j: F.coalesce(F.get(at, k + j) == p + j, F.lit(False))))
+        return F.transform(at, lambda p, k: F.struct(p.alias("pos"), F.slice(us, p + 1, F.least(ahead(p, k) + 2, F.lit(max_len))).alias("run")))
+
+    found = texts.select(*keys, "us", _once(pairs, often).alias("at")).where(F.size("at") > 0)
+    both = _once(F.struct("at", "us"), lambda x: runs(x["at"], x["us"]))
+    grams = found.select(*keys, F.inline(both)).where(F.size("run") >= min_len)
+    grams = grams.select(*keys, "pos", "run", F.explode(F.sequence(F.lit(min_len), F.size("run"))).alias("n"))
+    grams = grams.select(*keys, "n", "pos", F.array_join(F.slice("run", F.lit(1), F.col("n")), " ").alias("pattern")).where(F.length("pattern") >= 8)
     counted = grams.groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct((-F.col("n")).alias("n"), "pos")).alias("found"))
     return _ranked(counted, keys, 0, min_freq, limit, [F.col("found.n"), F.col("found.pos")])
 
@@ -56,8 +77,8 @@ def mine_ngrams(
 def mine_lines(corpus: DataFrame, keys: Sequence[str], text: str = "text", min_freq: int = 2, min_line_len: int = 16, limit: int = 300) -> DataFrame:
     """Whole lines that repeat."""
     keys = list(keys)
-    found = corpus.where(F.col(text).isNotNull()).select(*keys, F.posexplode(T.lines(F.col(text))).alias("pos", "pattern"))
-    found = found.where(F.length("pattern") >= min_line_len).repartition(*keys)
+    texts = corpus.where(F.col(text).isNotNull()).select(*keys, text).repartition(*keys)
+    found = texts.select(*keys, F.posexplode(T.lines(F.col(text))).alias("pos", "pattern")).where(F.length("pattern") >= min_line_len)
     counted = found.groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("found"))
     return _ranked(counted, keys, 1, min_freq, limit, [F.col("found")])
 
@@ -67,11 +88,16 @@ def mine_chars(
 ) -> DataFrame:
     """Windows of characters, each length sampled at a quarter of it."""
     keys = list(keys)
+    texts = corpus.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("t"), F.length(text).alias("size")).repartition(*keys)
+    # a substring is counted from the start of its string, so windows are taken from blocks of the text
+    block = F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(BLOCK))).alias("from")
+    blocks = texts.select(*keys, "t", "size", block).select(*keys, "size", "from", F.substring("t", F.col("from") + 1, F.lit(BLOCK + max(lengths))).alias("b"))
     sized = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("n"), F.lit(max(1, n // 4)).alias("step")) for i, n in enumerate(lengths)]))
-    texts = corpus.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("t"), sized.alias("w")).where(F.length("t") >= F.col("w.n"))
-    start = F.explode(F.sequence(F.lit(0), F.length("t") - F.col("w.n"), F.col("w.step")))
-    cut = texts.select(*keys, "t", "w", start.alias("pos"))
-    cut = cut.select(*keys, F.substring("t", F.col("pos") + 1, F.col("w.n")).alias("pattern"), F.struct("w.at", "pos").alias("found")).repartition(*keys)
+    first = (F.ceil(F.col("from") / F.col("w.step")) * F.col("w.step")).cast("int")
+    last = F.least(F.col("size") - F.col("w.n"), F.col("from") + BLOCK - 1)
+    cut = blocks.select("*", sized.alias("w")).select("*", first.alias("first"), last.alias("last")).where("first <= last")
+    cut = cut.select(*keys, "b", "from", "w", F.explode(F.sequence("first", "last", "w.step")).alias("pos"))
+    cut = cut.select(*keys, F.substring("b", F.col("pos") - F.col("from") + 1, F.col("w.n")).alias("pattern"), F.struct("w.at", "pos").alias("found"))
     counted = cut.groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("cnt"), F.min("found").alias("found"))
     return _ranked(counted, keys, 2, min_freq, limit, [F.col("found.at"), F.col("found.pos")])
 

@@ -25,11 +25,12 @@ def recall_by_ids(rows: DataFrame, page_ids: Sequence[int | str]) -> DataFrame:
     Ids may be numbers or strings that stand for them.  ``KeyError`` if one isn't stored.
     """
     spark = rows.sparkSession
-    asked = spark.createDataFrame([(i, str(p)) for i, p in enumerate(page_ids)], "ord int, asked string")
+    number = {str(p): int(p) for p in page_ids if isinstance(p, int) or str(p).strip().lstrip("-").isdigit()}
+    asked = spark.createDataFrame([(i, str(p), number.get(str(p))) for i, p in enumerate(page_ids)], "ord int, asked string, page_id long")
     wanted = sorted({str(p) for p in page_ids})
-    found = unique_pages(rows.where(F.col("page_id").cast("string").isin(wanted) | F.col("page_id").isin([int(w) for w in wanted if w.lstrip("-").isdigit()])))
-    same = F.coalesce(F.expr("try_cast(asked as bigint)") == F.col("page_id"), F.lit(False)) | (F.col("asked") == F.col("page_id").cast("string"))
-    met = F.broadcast(asked).join(found, same)
+    # the ids as numbers, on the column as it is stored: the filter reaches the scan
+    found = unique_pages(rows.where(F.col("page_id").isin(sorted(set(number.values())))))
+    met = F.broadcast(asked).join(found, "page_id")
     there = {r.asked for r in met.select("asked").distinct().collect()}  # as many rows as ids were asked for
     if missing := [w for w in wanted if w not in there]:
         raise KeyError(f"page_id {missing[0]!r} not found")

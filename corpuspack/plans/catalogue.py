@@ -6,13 +6,15 @@ plainly what the operators reach by windows, pruning and shared passes.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.session import cut
+from ..functions.session import shared_dir
 from ..operators import budget as B
 from ..operators import compaction as C
 from ..operators import evaluate as E
@@ -20,6 +22,7 @@ from ..operators import packing as P
 from ..operators import recall as R
 from ..operators.mining import merge_candidates, mine_chars, mine_lines, mine_ngrams
 from ..operators.paging import paginate
+from ..sources import tables
 from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,21 +253,30 @@ def input_cap(spark, sf_dir):
     return B.input_cap(source_rows(spark, sf_dir), ["source"], 10_000).select("source", "page_id", "original_tokens_est")
 
 
+@functools.lru_cache(8)
+def _stored(application: str, sf_dir: str) -> str:
+    """Writes the cold store of all documents, one page each, once a session."""
+    spark = SparkSession.active()
+    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page_id"), "text")
+    path = f"{shared_dir(spark).rstrip('/')}/cold-{uuid.uuid4().hex}"
+    tables.write_cold_store(B.cold_rows(docs, ["source"]), path)
+    return path
+
+
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cold store of all documents, one page each."""
-    docs = spread(table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page_id"), "text"))
-    return cut(B.cold_rows(docs, ["source"]))
+    """The cold store of all documents as it is read back: sorted by ``page_id``."""
+    return spark.read.parquet(_stored(spark.sparkContext.applicationId, sf_dir))
 
 
 @query(None)
 def budget_pack(spark, sf_dir):
-    options = B.BudgetOptions(output_token_budget=4000, input_token_budget=100_000, hot_page_fraction=0.2, max_global_dict=64)
+    options = B.BudgetOptions(output_token_budget=4000, input_token_budget=1 << 62, hot_page_fraction=0.2, max_global_dict=64)
     return B.budget_pack(store(spark, sf_dir), ["source"], options)
 
 
-@query("SELECT source, string_agg(text, '' ORDER BY doc_id) AS text FROM documents GROUP BY source")
+@query("SELECT source, doc_id AS page_id, text FROM documents")
 def cold_store_decode(spark, sf_dir):
-    return B.decoded_texts(store(spark, sf_dir), ["source"])
+    return B.decoded_pages(store(spark, sf_dir), ["source"])
 
 
 # --- recall ---------------------------------------------------------------------------------------------
@@ -308,7 +320,7 @@ def recall_union(spark, sf_dir):
 # --- conversations --------------------------------------------------------------------------------------
 
 
-_MERGED = f"""c AS (SELECT conv_id, turn, role, text AS content FROM conversations WHERE turn % 3 <> 1),
+_MERGED = f"""c AS (SELECT conv_id, turn, CASE WHEN turn % 4 < 2 THEN 'user' ELSE 'assistant' END AS role, text AS content FROM conversations),
 i AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM i),
 e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) AS a, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn DESC) AS b FROM r),
@@ -320,8 +332,9 @@ m AS (
 
 @query(f"WITH {_MERGED} SELECT conv_id, turn, role, content FROM m")
 def merge_turns(spark, sf_dir):
-    # the table has no runs of one role; leaving out every third turn makes some
-    return C.merge_turns(turns(spark, sf_dir).where("turn % 3 <> 1"), ["conv_id"])
+    # the table has no runs of one role: every turn is kept, two and two of them by one speaker
+    speaker = F.when(F.col("turn") % 4 < 2, "user").otherwise("assistant")
+    return C.merge_turns(turns(spark, sf_dir).withColumn("role", speaker), ["conv_id"])
 
 
 @query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn DESC) AS back FROM conversations)
@@ -395,11 +408,11 @@ def compact_logs(spark, sf_dir):
 
 
 @query(f"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '{S.SPACE}+', ' ', 'g')) AS t FROM documents),
-b AS (SELECT item_id % 3 AS type, trim(regexp_replace(lower(left(text, 60)), '{S.SPACE}+', ' ', 'g')) AS p FROM benchmark)
+b AS (SELECT item_id % 3 AS type, trim(regexp_replace(lower(text), '{S.SPACE}+', ' ', 'g')) AS p FROM benchmark)
 SELECT doc_id, ('k' || type) AS type, count(*) FILTER (contains(t, p)) AS hit, count(*) AS total, round(count(*) FILTER (contains(t, p))::DOUBLE / count(*), 4) AS recall FROM d, b GROUP BY doc_id, type""")
 def phrase_coverage(spark, sf_dir):
-    gold = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("k"), (F.col("item_id") % 3).cast("string")).alias("type"), F.left("text", F.lit(60)).alias("phrase"))
-    return E.phrase_coverage(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), gold, ["doc_id"])
+    gold = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("k"), (F.col("item_id") % 3).cast("string")).alias("type"), F.col("text").alias("phrase"))
+    return E.phrase_coverage(table(spark, sf_dir, "documents").select("doc_id", "text"), gold, ["doc_id"])
 
 
 @query(None)
@@ -416,9 +429,9 @@ def protect_compact(spark, sf_dir):
 
 
 def gold_phrases(messages: DataFrame) -> DataFrame:
-    """The first words of a conversation's user turns as its goals, of its other turns as outcomes."""
+    """A conversation's user turns as its goals, its other turns as outcomes."""
     kind = F.when(F.col("role") == "user", "goal").otherwise("outcome")
-    return messages.where("role <> 'system'").select("conv_id", kind.alias("type"), F.left("content", F.lit(40)).alias("phrase"))
+    return messages.where("role <> 'system'").select("conv_id", kind.alias("type"), F.col("content").alias("phrase"))
 
 
 @query(None)

@@ -44,7 +44,7 @@ class PromptMemory:
         options = B.BudgetOptions(input_token_budget=self.input_budget, output_token_budget=self.output_budget, page_chars=self.page_chars)
         rows = B.cold_rows(pages, keys, options)
         if self.cold_store:
-            rows.write.mode("overwrite").parquet(self.cold_store)  # read again below, so pages are encoded once
+            tables.write_cold_store(rows, self.cold_store)  # read again below, so pages are encoded once
             rows = self.spark.read.parquet(self.cold_store)
         else:
             rows = cut(rows)
@@ -61,11 +61,3 @@ class PromptMemory:
         if not self.cold_store:
             raise ValueError("no cold store is named")
         return R.recall(tables.read_cold_store(self.spark, self.cold_store), page_ids, query, top_k, method)
-
-    def scale_demo(self, n_pages: int = 400, target_in: int | None = None) -> DataFrame:
-        """Packs generated pages; ``target_in`` is what the input is said to count as."""
-        pages = tables.generate_pages(self.spark, min(n_pages, 2000), 50, 24).withColumn("scope", F.lit(1))
-        options = B.BudgetOptions(
-            input_token_budget=self.input_budget, output_token_budget=self.output_budget, hot_page_fraction=0.08, max_global_dict=256, simulated_input_tokens=target_in
-        )
-        return B.budget_pack(cut(B.cold_rows(pages, ["scope"], options)), ["scope"], options).drop("scope")

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpuspack.functions.session import shared_dir
 from corpuspack.operators import budget as B
 from corpuspack.operators import compaction as C
 from corpuspack.operators import evaluate as E
@@ -17,13 +18,20 @@ from corpuspack.streaming.ingest import finalise, ingest_pages
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    made = tables.generate_pages(spark, 20, 30, 8).withColumn("text", F.when(F.col("page_id") == 3, F.concat("text", F.lit("UNIQUE_MARKER zebra\n"))).otherwise(F.col("text")))
-    return made.withColumn("scope", F.lit(1)).localCheckpoint()
+    rng = random.Random(42)
+    lines = ["GET /users/{} took {} ms and was answered", "queue {} is waiting for worker {} again", "level={} count={} state=ready region=north"]
+
+    def page(i):
+        own = [rng.choice(lines).format(rng.randint(1, 50), rng.randint(1, 200)) for _ in range(30)]
+        return "\n".join(own) + "\n" + ("UNIQUE_MARKER zebra\n" if i == 3 else "")
+
+    shared_dir(spark)
+    return spark.createDataFrame([(i, page(i), 1) for i in range(20)], "page_id long, text string, scope int").checkpoint()
 
 
 @pytest.fixture(scope="module")
 def rows(pages):
-    return B.cold_rows(pages, ["scope"]).localCheckpoint()
+    return B.cold_rows(pages, ["scope"]).checkpoint()
 
 
 def test_pages_come_back(pages, rows):
@@ -33,12 +41,6 @@ def test_pages_come_back(pages, rows):
     assert B.decoded_page(rows, 3).first().text == want[3] and B.decoded_page(rows, 99).first() is None
 
 
-def test_generator_is_repeatable(spark):
-    a = tables.generate_pages(spark, 3, 5).collect()
-    assert a == tables.generate_pages(spark, 3, 5).collect() and all(r.text.endswith("\n") for r in a)
-    assert tables.estimate_pages(spark, 30, 5) > 0
-
-
 @pytest.mark.parametrize("budget", [100, 3000, 4200, 1_000_000])
 def test_budget(rows, budget):
     options = B.BudgetOptions(output_token_budget=budget, hot_page_fraction=0.5)
