@@ -19,94 +19,102 @@ from pyspark.sql import types as T
 
 #: Bytes of a row group and of a page, uncompressed; rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2000
-#: Parts of texts whose ids a worker remembers, about.
-REMEMBERED = 240_000
+#: Parts of texts whose ids a worker remembers, at most: half of them met lately, half before that.
+REMEMBERED = 500_000
+#: Parts longer than this aren't remembered, so that the memory has a bound in bytes; parts that are encoded as one text.
+LONGEST, TOGETHER = 64, 200
 
 _CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
-_RUN = re.compile(r"\s\s|^\s|\s\Z")
-#: Marks that are pieces of their own behind a letter, and letters that every Unicode version has as such.
-_MARKS = ",.!?;:"
-_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+")
+#: White space but the space and the line end.
+_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+def _even(text: str) -> bool:
+    """Whether all white space of a text is single spaces and line ends between other characters."""
+    return not (
+        "  " in text or " \n" in text or "\n" in text and ("\n\n" in text or "\n " in text)
+        or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in _OTHER)
+    )
 
 
 class Encoder:
-    """Encodes whole texts with a byte-level BPE file of the tokenizers library, each distinct piece once.
+    """Encodes whole texts with a byte-level BPE file of the tokenizers library, each distinct part once.
 
     Its pre-tokeniser begins a new piece at a single space or line end between two
     characters that aren't white space, and no merge crosses pieces.  So a text may be
     cut there, and the ids of its parts, each with what it begins with, are the text's.
-    A part of letters, and one of letters before a mark, is one piece, or two, and
-    goes to the library's BPE model directly; any other goes through the whole tokeniser.
+    Parts without an inner space are encoded many to a text, a space between them: the
+    byte of a space stands only where a piece begins, so the pieces that begin with it
+    show where each part does.
+
+    The text ``<|endoftext|>`` is the added token of that name, as the library has it.
     """
 
     def __init__(self, path: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._model = self._tokenizer.model
         #: ids of parts that follow a space or begin with a line end: those met lately, and those met before that
-        self._inner: dict[str, bytes] = {}
+        self._recent: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-        # how the byte-level alphabet writes a byte: printable ones as they are, the others from 256 on, in order
-        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        others = iter(range(256, 512))
-        self._written = {b: b if b in plain else next(others) for b in range(256)}
-
-    def _parts(self, text: str) -> list[str]:
-        """The text's parts; all but the first are without the space that they begin with."""
-        if _RUN.search(text) is None:
-            return text.replace("\n", " \n").split(" ")
-        return _CUT.split(text)
+        names = self._tokenizer.get_vocab()
+        self._opens = np.zeros(max(names.values()) + 1, dtype=bool)  # whether a piece begins with a space
+        self._opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         said = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in said]
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a text that is one piece of the pre-tokeniser."""
-        written = piece.encode().decode("latin-1").translate(self._written)
-        return array("I", [t.id for t in self._model.tokenize(written)]).tobytes()
-
-    def _learn(self, parts: set[str]) -> None:
-        """Looks up inner parts that aren't known yet."""
-        known, older, whole = self._inner, self._older, []
-        for part in parts:
-            if (found := older.get(part)) is not None:
-                known[part] = found
+    def _learn(self, plain: set[str], odd: set[str]) -> dict[str, bytes]:
+        """Looks up inner parts that aren't remembered; those too long to remember are returned."""
+        import numpy as np
+
+        recent, older, passing = self._recent, self._older, {}
+        again = older.keys() & plain | older.keys() & odd
+        recent.update(zip(again, map(older.__getitem__, again)))
+        new, alone = list(plain - again), list(odd - plain - again)
+        alone += [p for p in new if len(p) > LONGEST]
+        new = [p for p in new if len(p) <= LONGEST]
+        rows = [(x[at : at + TOGETHER], skip) for x, skip in (
+            ([p for p in new if p[0] != "\n"], 0), ([p for p in new if p[0] == "\n"], 4),  # these have no space before them
+        ) for at in range(0, len(x), TOGETHER)]
+        said = self._tokenizer.encode_batch_fast([" " + " ".join(x) for x, _ in rows], add_special_tokens=False)
+        for (some, skip), found in zip(rows, said):
+            ids = np.array(found.ids, dtype="<u4")
+            starts = np.flatnonzero(self._opens[ids])
+            if len(starts) != len(some):
+                alone += some
                 continue
-            stem, mark = part, ""
-            if part[-1:] in _MARKS:
-                stem, mark = part[:-1], part[-1]
-            if _WORD.fullmatch(stem):
-                found = known.get(stem) if mark else None
-                if found is None:
-                    found = self._piece(" " + stem)
-                    if mark:
-                        known[stem] = found
-                known[part] = found + self._marks[mark] if mark else found
-            elif _WORD.fullmatch(stem, 1) and stem[0] == "\n":
-                known[part] = self._marks["\n"] + self._piece(stem[1:]) + (self._marks[mark] if mark else b"")
-            else:
-                whole.append(part)
-        for at in range(0, len(whole), 2000):
-            some = whole[at : at + 2000]
-            known.update(zip(some, self._whole([p if p.startswith("\n") else " " + p for p in some])))
-
-    @functools.cached_property
-    def _marks(self) -> dict[str, bytes]:
-        """Ids of a line end and of each mark, on its own."""
-        texts = ["\n", *_MARKS]
-        return dict(zip(texts, self._whole(texts)))
+            raw, ends = ids.tobytes(), (4 * np.append(starts[1:], len(ids))).tolist()
+            recent.update(zip(some, [raw[a:b] for a, b in zip((4 * starts + skip).tolist(), ends)]))
+        for at in range(0, len(alone), 2000):
+            some = alone[at : at + 2000]
+            for part, ids in zip(some, self._whole([p if p.startswith("\n") else " " + p for p in some])):
+                (recent if len(part) <= LONGEST else passing)[part] = ids
+        return passing
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for null and empty texts."""
-        parts = [self._parts(t) if t else [] for t in texts]
-        if len(self._inner) > REMEMBERED // 2:  # what isn't met again by the next time is forgotten
-            self._older, self._inner = self._inner, {}
-        inner = self._inner
+        plain, odd, parts = [], [], []
+        for text in texts:
+            if not text:
+                parts.append([])
+                continue
+            even = _even(text)
+            found = text.replace("\n", " \n").split(" ") if even else _CUT.split(text)
+            parts.append(found)
+            (plain if even else odd).append(found)
+        if len(self._recent) > REMEMBERED // 2:  # what isn't met again by the next time is forgotten
+            self._older, self._recent = self._recent, {}
+        known = self._recent
         first = iter(self._whole([p[0] for p in parts if p]))
-        self._learn({x for p in parts for x in p[1:] if x not in inner})
-        get = inner.__getitem__
+        # the first parts are learned as inner ones as well: most are met as such
+        new = [set().union(*x).difference(known) for x in (plain, odd)]
+        new[1] |= {p for p in new[0] if not p}
+        new[0].discard("")
+        passing = self._learn(*new)
+        get = known.__getitem__ if not passing else lambda p: known[p] if p in known else passing[p]
         return [next(first) + b"".join(map(get, p[1:])) if p else b"" for p in parts]
 
 
