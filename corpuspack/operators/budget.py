@@ -24,6 +24,8 @@ class BudgetOptions:
     max_local_dict: int = 48
     hot_page_fraction: float = 0.05
     min_freq: int = 2
+    #: What the prompt calls the cold store (fixed wording by default).
+    store_ref: str = "cold_store.jsonl"
     #: Say ``in_prompt`` for pages that were chosen but trimmed again.
     flag_before_trim: bool = False
     #: Name global entries apart from the pages' own, which encoded bodies also hold.
@@ -139,18 +141,18 @@ def budget_pack(rows: DataFrame, keys: Sequence[str], options: BudgetOptions = B
     level = totals.join(shares, keys).join(arrays, keys).join(book, keys, "left")
     level = level.withColumn("codebook", F.coalesce("codebook", F.array().cast("array<string>")))
     level = level.withColumn("input_tokens_est", F.col("streamed").cast("long"))
-    head = [
+    head = [  # headings and wording of the prompt (fixed values)
         F.array(
             F.lit("BUDGETED PAGEINDEX PACK"),
             F.concat(F.lit("input_tokens_est="), F.col("input_tokens_est").cast("string"), F.lit(f" input_budget={options.input_token_budget} output_budget={options.output_token_budget}")),
-            F.lit("Lossless full decode requires cold_store.jsonl + this pack."), F.lit("Prompt holds dictionaries, directory, and HOT pages only."),
+            F.lit(f"Lossless full decode requires {options.store_ref} + this pack."), F.lit("Prompt holds dictionaries, directory, and HOT pages only."),
             F.lit(""), F.lit("GLOBAL_DICT:"),
         ),
         dictionary_lines(F.col("global_dictionary")), F.array(F.lit(""), F.lit("TEMPLATE_CODEBOOK:")), F.col("codebook"), F.array(F.lit(""), F.lit("PAGE_INDEX:")),
     ]
     level = level.withColumn("head", F.array_join(F.concat(*head), "\n"))
     tail = ["", "HOT_ENCODED_PAGES:"]
-    rest = len("\n" + "\n".join(tail)) + len("\n" + "\nCOLD_STORE_REF: cold_store.jsonl")
+    rest = len("\n" + "\n".join(tail)) + len("\n" + f"\nCOLD_STORE_REF: {options.store_ref}")
     sized = marked.join(level.select(*keys, F.length("head").alias("head_size"), "index_size", "n_hot"), keys)
     # the directory in brackets, its rows joined by ", "
     base = F.col("head_size") + 1 + F.col("index_size") + rest
@@ -163,7 +165,7 @@ def budget_pack(rows: DataFrame, keys: Sequence[str], options: BudgetOptions = B
     )
     out = level.join(pages, keys)
     bodies = F.transform("bodies", lambda b: b["body"])
-    parts = F.concat(F.array(F.col("head"), F.concat(F.lit("["), "index", F.lit("]")), *map(F.lit, tail)), bodies, F.array(F.lit(""), F.lit("COLD_STORE_REF: cold_store.jsonl")))
+    parts = F.concat(F.array(F.col("head"), F.concat(F.lit("["), "index", F.lit("]")), *map(F.lit, tail)), bodies, F.array(F.lit(""), F.lit(f"COLD_STORE_REF: {options.store_ref}")))
     out = out.withColumn("packed_prompt", F.array_join(parts, "\n")).withColumn("prompt_tokens_est", T.token_estimate(F.col("packed_prompt")))
     return out.select(
         *keys, "packed_prompt", "prompt_tokens_est", (F.col("prompt_tokens_est") <= options.output_token_budget).alias("prompt_fits_budget"),

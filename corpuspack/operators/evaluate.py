@@ -59,9 +59,9 @@ def phrase_coverage(texts: DataFrame, gold: DataFrame, keys: Sequence[str], on:
     hits = near.join(folded, list(keys)).where(F.contains("_t", "_p")).groupBy(*keys, "type").agg(F.sum("times").alias("hit"))
     if on:
         every = folded.select(*keys).join(totals, on)
-    else:  # a row a type: one row for all of them
-        types = totals.agg(F.collect_list(F.struct("type", "total", "empty")).alias("_all"), F.lit(1).alias("_one"))
-        every = folded.select(*keys, F.lit(1).alias("_one")).join(F.broadcast(types), "_one").select(*keys, F.inline("_all"))
+    else:  # a row a type: its name and two numbers
+        types = [F.struct(F.lit(r.type).cast(gold.schema["type"].dataType).alias("type"), F.lit(r.total).alias("total"), F.lit(r.empty).alias("empty")) for r in totals.collect()]
+        every = folded.select(*keys, F.inline(F.array(*types))) if types else folded.select(*keys).join(totals, F.lit(False))
     hit = F.col("empty") + F.coalesce("hit", F.lit(0))
     return every.join(hits, [*keys, "type"], "left").select(*keys, "type", hit.alias("hit"), "total", F.round(hit / F.col("total"), 4).alias("recall"))
 
@@ -188,3 +188,44 @@ def summarise(scored: DataFrame) -> DataFrame:
         mean("gold_phrase_recall_visible", "avg_gold_phrase_recall_visible"), mean("gold_phrase_recall_restored", "avg_gold_phrase_recall_restored"),
         mean("mid_constraint_recall_visible", "avg_mid_constraint_recall_visible"), mean("mean_typology_jaccard", "avg_typology_jaccard"),
     )
+
+
+def layer_path_match(found: Column, expected: Column) -> Column:
+    """Whether an expected path of layers stands, in this order, within the one found; both are lists of names."""
+    low = lambda c: F.concat(F.lit(">"), F.array_join(F.transform(c, F.lower), ">"), F.lit(">"))
+    return F.contains(low(found), low(expected))
+
+
+#: How far apart two recalls are for one to count as better; what counts as exact, and as alike.
+MARGIN, EXACT, ALIKE = 0.05, 0.99, 0.9
+
+
+def verdicts(summary: DataFrame) -> list[str]:
+    """What the means of :func:`summarise` say, a row a condition, in a few sentences."""
+    by = {r.condition: r.asDict() for r in summary.collect()}  # five conditions
+
+    def of(condition: str, name: str) -> float:
+        return by.get(condition, {}).get(name) or 0.0
+
+    gap = of("compact", "avg_mid_constraint_recall_visible") - of("lossy_truncate", "avg_mid_constraint_recall_visible")
+    said = ["Constraints: compaction keeps more of them in sight than truncation to the same size." if gap > MARGIN else
+            "Constraints: truncation keeps more of them in sight than compaction; look at which turns were evicted." if gap < -MARGIN else
+            "Constraints: compaction and truncation keep about as many in sight."]
+    exact = of("compress", "lossless_exact_rate") >= EXACT
+    said.append("Round trip: compression gives every text back." if exact else "Round trip: compression doesn't give every text back; look at the patterns mined.")
+    if of("compress", "avg_typology_jaccard") >= ALIKE:
+        said.append("Structure: what decompression gives back has the typology of the text.")
+    if of("protect_compact", "avg_mid_constraint_recall_visible") > of("compact", "avg_mid_constraint_recall_visible") + MARGIN:
+        said.append("Protection: sentences set aside keep more constraints in sight than compaction alone.")
+    return said
+
+
+def write_report(summary: DataFrame, path: str) -> None:
+    """Writes the means as JSON lines to ``path/json``, and as a Markdown table with the verdicts to ``path/markdown``."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    rows = [r.asDict() for r in summary.orderBy("condition").collect()]
+    names = summary.columns
+    shown = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    lines = [f"| {' | '.join(names)} |", f"|{' --- |' * len(names)}", *(f"| {' | '.join(shown(r[n]) for n in names)} |" for r in rows), "", *(f"- {v}" for v in verdicts(summary))]
+    spark = summary.sparkSession
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")

@@ -146,7 +146,7 @@ def hierarchical_pack(corpus: DataFrame, keys: Sequence[str], options: Hierarchi
     top = FlatOptions(min_freq=max(2, options.min_freq), max_dict_size=options.max_global_dict, use_char_ngrams=True)
     arrays = dictionary_arrays(build_dictionary(level.select(*keys, "text"), keys, top), keys)
     met = apply_dictionary(level, arrays, keys, top)
-    parts = [
+    parts = [  # headings and wording of the prompt (fixed values)
         F.array(F.lit("HIERARCHICAL PAGEINDEX DICTIONARY-ENCODED CORPUS"), F.lit("Decode order: expand GLOBAL_DICT, then each PAGE_n_DICT on that page body."), F.lit(""), F.lit("GLOBAL_DICT:")),
         dictionary_lines(F.col("dictionary")), F.array(F.lit(""), F.lit("PAGE_INDEX:"), F.col("page_index"), F.lit("")),
         F.col("page_dicts"), F.array(F.lit(""), F.lit("ENCODED_CORPUS:"), F.col("encoded")),

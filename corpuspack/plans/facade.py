@@ -41,7 +41,7 @@ class PromptMemory:
         return self.pack_pages(paginate(texts, keys, self.page_chars), keys)
 
     def pack_pages(self, pages: DataFrame, keys: Sequence[str]) -> DataFrame:
-        options = B.BudgetOptions(input_token_budget=self.input_budget, output_token_budget=self.output_budget, page_chars=self.page_chars)
+        options = B.BudgetOptions(input_token_budget=self.input_budget, output_token_budget=self.output_budget, page_chars=self.page_chars, store_ref="cold_store")
         rows = B.cold_rows(pages, keys, options)
         if self.cold_store:
             tables.write_cold_store(rows, self.cold_store)  # read again below, so pages are encoded once

@@ -50,11 +50,42 @@ def read_cold_store(spark: SparkSession, path: str, form: str = "parquet") -> Da
 
 
 def page_index(rows: DataFrame) -> DataFrame:
-    """The directory of a cold store: its rows without the bodies."""
-    return rows.select(
-        "page_id", "template_id", "fingerprint", "original_chars", "original_tokens_est",
-        F.size("local_dictionary").cast("long").alias("local_dict_size"), F.length("encoded").cast("long").alias("encoded_chars"),
-    )
+    """The directory of a cold store: its rows, with their keys, without the bodies."""
+    keys = [c for c in rows.columns if c not in ("encoded", "local_dictionary", "exemplar")]
+    return rows.select(*keys, F.size("local_dictionary").cast("long").alias("local_dict_size"), F.length("encoded").cast("long").alias("encoded_chars"))
+
+
+def write_page_index(rows: DataFrame, path: str) -> None:
+    """Writes the directory in ranges of ``page_id``, sorted, as Parquet."""
+    page_index(rows).repartitionByRange("page_id").sortWithinPartitions("page_id").write.mode("overwrite").parquet(path)
+
+
+def write_hierarchical(pages: DataFrame, packed: DataFrame, path: str) -> None:
+    """Writes a hierarchical pack: ``pages`` (of ``encode_pages``) as Parquet, sorted, and the packed rows as JSON beside them."""
+    pages.repartitionByRange("page_id").sortWithinPartitions("page_id").write.mode("overwrite").parquet(f"{path}/pages")
+    write_packed(packed, f"{path}/packs")
+
+
+def read_hierarchical(spark: SparkSession, path: str) -> DataFrame:
+    """The pages of a stored hierarchical pack, which give the texts back."""
+    return spark.read.parquet(f"{path}/pages")
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether there is a file or folder of this name or pattern, in whatever store it names."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(there.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(there))
+
+
+def kind_of(spark: SparkSession, path: str) -> str:
+    """What was stored at ``path``: ``hierarchical``, ``budgeted``, ``cold_store`` or ``flat``; ``ValueError`` if there is nothing."""
+    if not exists(spark, path):
+        raise ValueError(f"nothing at {path}")
+    if exists(spark, f"{path}/pages"):
+        return "hierarchical"
+    if exists(spark, f"{path}/cold_store"):
+        return "budgeted"
+    return "cold_store" if exists(spark, f"{path}/*.parquet") or exists(spark, f"{path}/batch=*/*.parquet") else "flat"
 
 
 def write_packed(packed: DataFrame, path: str, pretty: bool = False) -> None:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
-from ..operators.budget import BudgetOptions, budget_pack, cold_rows
-from ..sources.tables import read_cold_store
+from ..operators.budget import BudgetOptions, budget_pack, cold_rows, input_cap
+from ..sources.tables import COLD_STORE, exists, read_cold_store
 
 
 def ingest_pages(pages: DataFrame, path: str, checkpoint: str, options: BudgetOptions = BudgetOptions(), once: bool = True) -> StreamingQuery:
@@ -17,10 +17,20 @@ def ingest_pages(pages: DataFrame, path: str, checkpoint: str, options: BudgetOp
     Pages are encoded one by one, so a micro-batch needs nothing of the others.  Each is
     written to a folder of its own number: a batch that is run again after a failure
     replaces what it wrote.  With ``once`` the query ends when all that is there has been taken.
+
+    What earlier batches stored counts against the input budget; a batch takes its pages,
+    in order, up to and with the one that reaches it, and later batches take none.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = cold_rows(batch.select("page_id", "text"), [], options)
+        spark, spent = batch.sparkSession, 0
+        if exists(spark, path):
+            stored = spark.read.schema(f"{COLD_STORE}, batch int").parquet(path).where(F.col("batch") != number)
+            spent = stored.agg(F.sum("original_tokens_est")).first()[0] or 0  # of the counts alone
+        pages = batch.select("page_id", "text").where("text is not null")
+        sized = pages.select("page_id", F.lit(1).alias("scope"), T.token_estimate(F.col("text")).alias("original_tokens_est"))
+        taken = input_cap(sized, ["scope"], options.input_token_budget - spent).select("page_id")
+        rows = cold_rows(pages.join(taken, "page_id", "left_semi"), [], options)
         rows.drop("exemplar").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
