@@ -221,9 +221,25 @@ def hierarchical_roundtrip(spark, sf_dir):
     return P.hierarchical_unpack(P.encode_pages(docs, ["doc_id"], P.HierarchicalOptions(page_size=2000)), ["doc_id"])
 
 
-@query(None)
+@query(f"""WITH cut AS (
+  SELECT page_id AS id, p0 // 800 AS page, page_id * 1000000 + p0 // 800 AS k, substr(html, p0 + 1, 800) AS text FROM (SELECT page_id, html, unnest(range(0, greatest(length(html) - 1, 0) + 1, 800)) AS p0 FROM pages)),
+{S.nested("own", S.flat("cut", "k", "text", 2, 10, 64), f"SELECT k, encoded, dictionary_entries AS n, {S.LISTED} AS listed FROM packed")},
+pg AS (SELECT id, page, text, encoded, n, listed, 'L' || length(text) || '|' || left(coalesce({S.filled('text')}[1], ''), 80) AS fp FROM cut JOIN own USING (k)),
+lv AS (
+  SELECT id, string_agg('<<<PAGE ' || page || '>>>' || chr(10) || encoded, chr(10) || chr(10) ORDER BY page) AS text, count(*) AS n_pages, sum(n) AS total, sum(length(text)) AS chars,
+         '[' || string_agg('{{"page_id": ' || page || ', "fingerprint": ' || to_json(fp)::VARCHAR || ', "original_chars": ' || length(text) || ', "local_dict_size": ' || n || '}}', ', ' ORDER BY page) || ']' AS page_index,
+         string_agg(CASE WHEN n > 0 THEN 'PAGE_' || page || '_DICT:' || listed || chr(10) ELSE '' END, '' ORDER BY page) AS dicts
+  FROM pg GROUP BY id),
+{S.nested("top", S.flat("lv", "id", "text", 2, 10, 128, True), f"SELECT id, encoded, dictionary_entries AS n, {S.LISTED} AS listed FROM packed")},
+ou AS (SELECT lv.*, top.encoded, top.n, 'HIERARCHICAL PAGEINDEX DICTIONARY-ENCODED CORPUS' || chr(10) || 'Decode order: expand GLOBAL_DICT, then each PAGE_n_DICT on that page body.' || chr(10) || chr(10) || 'GLOBAL_DICT:' || top.listed || chr(10)
+         || chr(10) || 'PAGE_INDEX:' || chr(10) || page_index || chr(10) || chr(10) || dicts || chr(10) || 'ENCODED_CORPUS:' || chr(10) || top.encoded AS packed_prompt FROM lv JOIN top USING (id)),
+fi AS (SELECT *, (chars + 3) // 4 AS o, {S.tokens('packed_prompt')} AS p FROM ou)
+SELECT id, encoded AS encoded_corpus, page_index, packed_prompt, chars::BIGINT AS original_chars, o::BIGINT AS original_tokens_est, p::BIGINT AS packed_tokens_est, round({S.factor('p', 'o')}, 6) AS compression_factor,
+       round({S.ratio('p', 'o')}, 6) AS ratio, n_pages, 800::INT AS page_size, n::BIGINT AS global_dict_size, total::BIGINT AS local_dict_total FROM fi""")
 def hierarchical_pack(spark, sf_dir):
-    return P.hierarchical_pack(spread(html(spark, sf_dir)).withColumnRenamed("page_id", "id"), ["id"], P.HierarchicalOptions(page_size=800))
+    packed = P.hierarchical_pack(spread(html(spark, sf_dir)).withColumnRenamed("page_id", "id"), ["id"], P.HierarchicalOptions(page_size=800))
+    # the dictionary is in the prompt as well
+    return packed.drop("global_dictionary").withColumn("ratio", F.round("ratio", 6)).withColumn("compression_factor", F.round("compression_factor", 6))
 
 
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,7 +411,19 @@ def cold_ref_expand(spark, sf_dir):
     return C.expand_messages(C.compact_messages(turns(spark, sf_dir), ["conv_id"], _EVICT), ["conv_id"])
 
 
-@query(None)
+@query(rf"""WITH {LOGS}, {S.nested("fl", S.flat("logs", "user_id", "text", 2, 10, 128), f"SELECT user_id, text, dictionary_entries AS n, {S.PROMPT} AS p FROM packed")},
+b AS (SELECT *, {S.tokens('text')} AS tok, {S.tokens('p')} AS ptok, length(text) >= 200 AND {S.tokens('text')} >= 120 AND ((len({_FILLED}) >= 8 AND len(list_distinct({_FILLED}))::DOUBLE / greatest(len({_FILLED}), 1) < 0.55)
+  OR (regexp_matches(text, '{T.RECOVERABLE}') AND {S.tokens('text')} >= 80)) AS bulky FROM fl),
+a AS (SELECT *, CASE WHEN NOT bulky THEN NULL WHEN n > 0 AND ptok < tok * 0.92::DOUBLE THEN 'lossless_dict' ELSE 'lossy_stub' END AS action FROM b),
+h AS (SELECT *, CASE action WHEN 'lossless_dict' THEN '[cold_ref:c0 dict-encoded ~' || ptok || ' tok; full lossless body in cold_refs]' || chr(10) || p WHEN 'lossy_stub' THEN '[cold_ref:c0] ' || {S.stub('text')} ELSE text END AS shown,
+             CASE WHEN action IS NULL THEN 0 ELSE 1 END AS refs FROM a),
+k AS (SELECT *, chr(10) || chr(10) || '<<<ASSISTANT>>>' || chr(10) || 'Looking.' || chr(10) || chr(10) || '<<<USER>>>' || chr(10) || 'And now?' || chr(10) || chr(10) || '<<<ASSISTANT>>>' || chr(10) || 'Nothing.' || chr(10) || chr(10) || '<<<USER>>>' || chr(10) || 'Thanks.' AS rest FROM h),
+o AS (SELECT *, '<<<USER>>>' || chr(10) || 'What happened?' || chr(10) || chr(10) || '<<<TOOL>>>' || chr(10) AS head, '<<<USER>>>' || chr(10) || '[cold_ref:c' || refs || '] ' || {S.stub("'What happened?'")} || chr(10) || chr(10) || '<<<TOOL>>>' || chr(10) AS stubbed,
+             '[cold_ref:c' || (refs + 1) || '] ' || {S.stub('shown')} AS last FROM k),
+e AS (SELECT *, CASE WHEN {S.tokens('(head || shown || rest)')} <= 2000 THEN 0 WHEN {S.tokens('(stubbed || shown || rest)')} <= 2000 THEN 1 ELSE 2 END AS gone FROM o),
+q AS (SELECT *, CASE gone WHEN 0 THEN head || shown || rest WHEN 1 THEN stubbed || shown || rest ELSE stubbed || last || rest END AS packed_prompt, {S.tokens('(head || text || rest)')} AS was FROM e)
+SELECT user_id, packed_prompt, was::BIGINT AS original_tokens_est, 6::BIGINT AS n_input_messages, coalesce(action, 'auto') AS mode, 6::BIGINT AS n_output_messages, (refs + gone)::BIGINT AS n_cold_refs,
+       {S.tokens('packed_prompt')}::BIGINT AS compacted_tokens_est, {S.tokens('packed_prompt')} <= 2000 AS fits_budget, round({S.factor(S.tokens('packed_prompt'), 'was')}, 4) AS compression_factor FROM q""")
 def compact_logs(spark, sf_dir):
     """Conversations with a bulky tool turn: what a user's log says, between a question and an answer."""
     log = logs(spark, sf_dir).select("user_id", F.lit(1).alias("turn"), F.lit("tool").alias("role"), F.col("text").alias("content"))
@@ -415,14 +443,22 @@ def phrase_coverage(spark, sf_dir):
     return E.phrase_coverage(table(spark, sf_dir, "documents").select("doc_id", "text"), gold, ["doc_id"])
 
 
-@query(None)
+_PACKED = """pk AS (SELECT conv_id, string_agg('<<<' || upper(role) || '>>>' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS t, count(*) AS n FROM conversations GROUP BY conv_id)"""
+
+
+@query(f"WITH {_PACKED}, h AS (SELECT conv_id, t, {S.head_tail('t', '100')} AS c FROM pk) SELECT conv_id, {S.typology('t', 'c', T.CUES)} AS typology_jaccard FROM h")
 def typology_jaccard(spark, sf_dir):
     whole = C.pack_messages(turns(spark, sf_dir), ["conv_id"]).select("conv_id", "packed")
     cut = T.head_tail(F.col("packed"), F.lit(100))
     return whole.select("conv_id", E.typology_jaccard(F.col("packed"), cut).alias("typology_jaccard"))
 
 
-@query(None)
+_PROTECTED = f"""{_PACKED}, se AS (SELECT conv_id, t, {S.sentences('t')} AS s FROM pk),
+pr AS (SELECT conv_id, t, list_filter(s, lambda x: {S.worth('x', T.HIGH_VALUE)}) AS k, list_filter(s, lambda x: NOT {S.worth('x', T.HIGH_VALUE)}) AS r FROM se),
+pt AS (SELECT conv_id, t, array_to_string(k, chr(10)) AS keep_blob, array_to_string(r, chr(10)) AS rest_blob, len(k)::INT AS n_keep, len(r)::INT AS n_rest FROM pr)"""
+
+
+@query(f"WITH {_PROTECTED} SELECT conv_id, keep_blob, rest_blob, n_keep, n_rest FROM pt")
 def protect_compact(spark, sf_dir):
     whole = C.pack_messages(turns(spark, sf_dir), ["conv_id"]).select("conv_id", F.col("packed").alias("text"))
     return E.protect_sentences(whole, ["conv_id"])
@@ -434,7 +470,32 @@ def gold_phrases(messages: DataFrame) -> DataFrame:
     return messages.where("role <> 'system'").select("conv_id", kind.alias("type"), F.col("content").alias("phrase"))
 
 
-@query(None)
+@query(f"""WITH {_PROTECTED}, {_evicting(200, 3)},
+{S.nested("cm", S.flat("pk", "conv_id", "t", 2, 10, 128), f"SELECT conv_id, {S.PROMPT} AS p FROM packed")},
+fr AS (SELECT * FROM pt WHERE {S.strip('rest_blob')} <> ''),
+{S.nested("fi", S.flat("fr", "conv_id", "rest_blob", 2, 10, 128), f"SELECT conv_id, dictionary_entries AS n, {S.PROMPT} AS p FROM packed")},
+ev AS (SELECT conv_id, string_agg('<<<' || upper(role) || '>>>' || chr(10) || final, chr(10) || chr(10) ORDER BY ord) AS v, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS r FROM o GROUP BY conv_id),
+al AS (SELECT conv_id, greatest(200, {S.tokens('v')}) AS allowed FROM ev),
+en AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+sh AS (SELECT conv_id, string_agg('<<<' || upper(role) || '>>>' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS s FROM en WHERE n <= 4 OR i <= 2 OR i > n - 2 GROUP BY conv_id),
+tr AS (SELECT conv_id, {S.head_tail('s', 'allowed')} AS v FROM sh JOIN al USING (conv_id)),
+se2 AS (SELECT pt.*, allowed, coalesce(fi.n, 0) > 0 AS coded, fi.p AS filler, keep_blob || CASE WHEN rest_blob <> '' THEN chr(10) || rest_blob ELSE '' END AS plain FROM pt JOIN al USING (conv_id) LEFT JOIN fi USING (conv_id)),
+vi AS (SELECT *, CASE WHEN coded THEN keep_blob || chr(10) || chr(10) || '<<<COMPACTED_FILLER dict-encoded>>>' || chr(10) || filler ELSE plain END AS v, CASE WHEN coded THEN keep_blob || chr(10) || rest_blob ELSE plain END AS r FROM se2),
+ov AS (SELECT *, {S.tokens('v')} > allowed AND filler IS NOT NULL AS over FROM vi),
+co AS (
+  SELECT conv_id, 'raw' AS condition, t AS v, t AS r, {S.tokens('t')} AS after, true AS exact FROM pk
+  UNION ALL SELECT conv_id, 'compress', p, t, {S.tokens('p')}, true FROM cm JOIN pk USING (conv_id)
+  UNION ALL SELECT conv_id, 'compact', v, r, {S.tokens('v')}, r = t FROM ev JOIN pk USING (conv_id)
+  UNION ALL SELECT conv_id, 'lossy_truncate', v, v, {S.tokens('v')}, v = t FROM tr JOIN pk USING (conv_id)
+  UNION ALL SELECT conv_id, 'protect_compact', w, r, {S.tokens('w')}, NOT over FROM (
+    SELECT *, CASE WHEN over THEN keep_blob || chr(10) || chr(10) || '[filler dict cold ~' || {S.tokens('filler')} || ' tok omitted from hot set]' ELSE v END AS w FROM ov)),
+go AS (SELECT conv_id, {S.folded('text')} AS p FROM conversations WHERE role <> 'system'),
+fo AS (SELECT *, {S.folded('v')} AS fv, {S.folded('r')} AS fr2 FROM co),
+re AS (SELECT conv_id, condition, round(count(*) FILTER (contains(fv, p))::DOUBLE / count(*), 4) AS rv, round(count(*) FILTER (contains(fr2, p))::DOUBLE / count(*), 4) AS rr FROM fo JOIN go USING (conv_id) GROUP BY conv_id, condition),
+sc AS (SELECT co.condition, {S.tokens('t')} AS before, after, round({S.factor('after', S.tokens('t'))}, 4) AS ratio, exact, coalesce(rv, 1.0::DOUBLE) AS rv, coalesce(rr, 1.0::DOUBLE) AS rr,
+              {S.typology('t', "(CASE WHEN co.condition = 'compress' THEN r ELSE v END)", T.CUES)} AS ty FROM co JOIN pk USING (conv_id) LEFT JOIN re ON re.conv_id = co.conv_id AND re.condition = co.condition)
+SELECT condition, count(*) AS n, round(avg(before), 4) AS avg_tokens_before, round(avg(after), 4) AS avg_tokens_after, round(avg(ratio), 4) AS avg_token_ratio, round(avg(exact::INT), 4) AS lossless_exact_rate,
+       round(avg(rv), 4) AS avg_gold_phrase_recall_visible, round(avg(rr), 4) AS avg_gold_phrase_recall_restored, 1.0::DOUBLE AS avg_mid_constraint_recall_visible, round(avg(ty), 4) AS avg_typology_jaccard FROM sc GROUP BY condition""")
 def condition_summary(spark, sf_dir):
     talk = turns(spark, sf_dir)
     scored = E.score_conditions(E.run_conditions(talk, ["conv_id"], budget=200), gold_phrases(talk), talk, ["conv_id"])

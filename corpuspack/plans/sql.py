@@ -137,3 +137,54 @@ def flat(source: str, key: str, text: str, min_freq: int, max_ngram: int, max_si
         parts.append(chars(source, key, text, min_freq))
         groups.append("chars")
     return ",".join([*parts, merged(key, groups), gated(source, key, text, max_size), encoded(source, key, text)])
+
+
+def folded(t: str) -> str:
+    return f"trim(regexp_replace(lower({t}), '{SPACE}+', ' ', 'g'))"
+
+
+def sentences(t: str) -> str:
+    """A text cut behind ends of sentences and lines, where white space follows."""
+    return rf"string_split(regexp_replace({t}, '([.!?\n]){SPACE}+', '\1' || chr(1), 'g'), chr(1))"
+
+
+def worth(x: str, high_value: str) -> str:
+    return f"(regexp_matches({x}, '{high_value}') OR starts_with({x}, '<<<SYSTEM') OR starts_with({x}, '<<<USER'))"
+
+
+def cues(t: str, pattern: str) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"list_distinct(list_transform(regexp_extract_all({t}, '{pattern}', 0), lambda x: {folded('left(x, 100)')}))"
+
+
+def jaccard(a: str, b: str) -> str:
+    both = f"len(list_distinct(list_concat({a}, {b})))"
+    return f"(CASE WHEN {both} = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / {both} END)"
+
+
+def typology(a: str, b: str, patterns: dict[str, str]) -> str:
+    each = [f"round({jaccard(cues(a, p), cues(b, p))}, 4)" for p in patterns.values()]
+    return f"round(({' + '.join(each)}) / {len(each)}, 4)"
+
+
+def head_tail(t: str, budget: str) -> str:
+    chars = f"greatest(200, {budget} * 4)"
+    head, tail = f"floor({chars} * 0.5::DOUBLE)::INT", f"floor({chars} * 0.4::DOUBLE)::INT"
+    cut = f"left({t}, {head}) || chr(10) || chr(10) || '…[TRUNCATED ' || (length({t}) - {head} - {tail}) || ' chars]…' || chr(10) || chr(10) || right({t}, {tail})"
+    return f"(CASE WHEN {tokens(t)} > {budget} AND {head} + {tail} < length({t}) THEN {cut} ELSE {t} END)"
+
+
+def stub(t: str) -> str:
+    """The one-line stand-in for a turn."""
+    shown = f"array_to_string(list_concat({filled(t)}[1:2], CASE WHEN len({filled(t)}) > 3 THEN {filled(t)}[-1:] ELSE [] END), ' | ')"
+    return f"('[compacted stub: ~' || {tokens(t)} || ' tokens, ' || len({filled(t)}) || ' lines; recoverable detail omitted] ' || CASE WHEN length({shown}) > 240 THEN left({shown}, 239) || '…' ELSE {shown} END)"
+
+
+def nested(name: str, ctes: str, select: str) -> str:
+    """A table from CTEs of its own, so that a packing can stand in a query more than once."""
+    return f"{name} AS (WITH {ctes} {select})"
+
+
+PROMPT = "(system_dictionary || chr(10) || chr(10) || 'ENCODED_BODY:' || chr(10) || encoded)"
+#: The dictionary's lines, each behind a line feed.
+LISTED = "substr(system_dictionary, position('DICTIONARY:' IN system_dictionary) + 11)"
