@@ -284,15 +284,50 @@ def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_stored(spark.sparkContext.applicationId, sf_dir))
 
 
-@query(None)
+_INPUT, _OUTPUT = 1 << 62, 20_000
+
+
+def _index_row(flag: str) -> str:
+    return f"""'{{"page_id": ' || page_id || ', "template_id": ' || to_json(template_id)::VARCHAR || ', "fingerprint": ' || to_json(fp)::VARCHAR || ', "tokens_est": ' || tok || ', "in_prompt": {flag}}}'"""
+
+
+@query(rf"""WITH {S.nested("own", S.flat("documents", "doc_id", "text", 2, 10, 48), "SELECT doc_id, encoded FROM packed")},
+rw AS (
+  SELECT d.source, d.doc_id AS page_id, d.text, encoded, {S.tokens('d.text')} AS tok, left(sha1(d.text), 12) || '|' || left(coalesce({S.filled('d.text')}[1], ''), 60) AS fp,
+         left(sha1(regexp_replace(regexp_replace(d.text, '\d+', '#', 'g'), '[0-9a-fA-F]{{8,}}', '#hex#', 'g')), 16) AS template_id FROM documents d JOIN own USING (doc_id)),
+te AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, first) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n_templates FROM (
+    SELECT source, template_id, count(*) AS n, min(page_id) AS first, left(arg_min(text, page_id), 2000) AS exemplar FROM rw GROUP BY source, template_id)),
+bl AS (SELECT source, string_agg(exemplar, chr(10) ORDER BY rank) AS text FROM te WHERE rank < 128 GROUP BY source),
+{S.nested("gl", S.flat("bl", "source", "text", 1, 10, 64), f"SELECT packed.source, dictionary_entries AS n_dict, {S.LISTED} AS listed, CASE WHEN dictionary_entries > 0 THEN there ELSE [] END AS there FROM packed LEFT JOIN books ON books.source = packed.source")},
+cb AS (SELECT source, any_value(n_templates) AS n_templates, coalesce(string_agg(chr(10) || '  ⟦T' || rank || '⟧ → template ' || template_id || ' (count=' || n || ')', '' ORDER BY rank) FILTER (rank < 64 AND (n >= 2 OR n_templates <= 8)), '') AS codebook FROM te GROUP BY source),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY source, template_id) AS first, count(*) OVER (PARTITION BY source) AS n FROM rw),
+m AS (SELECT *, page_id <> first AND page_id <= max(first) OVER (PARTITION BY source) AS late FROM f),
+ho AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY late, page_id) <= greatest(1, floor(n * 0.2::DOUBLE)) AS hot FROM m),
+bo AS (SELECT ho.*, CASE WHEN hot THEN '<<<PAGE ' || page_id || ' T=' || template_id || '>>>' || chr(10) || CASE WHEN n_dict > 0 THEN {S.fold('encoded', 'there')} ELSE encoded END END AS body FROM ho JOIN gl USING (source)),
+ix AS (SELECT *, {_index_row('true')} AS yes, {_index_row('false')} AS no FROM bo),
+su AS (
+  SELECT *, sum(CASE WHEN hot THEN length(body) + 1 ELSE 0 END) OVER w AS upto, sum(hot::INT) OVER w AS nth, sum(hot::INT) OVER (PARTITION BY source) AS n_hot,
+         sum(length(CASE WHEN hot THEN yes ELSE no END) + 2) OVER (PARTITION BY source) AS index_size, sum(tok) OVER (PARTITION BY source) AS streamed
+  FROM ix WINDOW w AS (PARTITION BY source ORDER BY page_id ROWS UNBOUNDED PRECEDING)),
+he AS (
+  SELECT source, n_dict, n_templates, 'BUDGETED PAGEINDEX PACK' || chr(10) || 'input_tokens_est=' || streamed || ' input_budget={_INPUT} output_budget={_OUTPUT}' || chr(10)
+         || 'Lossless full decode requires cold_store.jsonl + this pack.' || chr(10) || 'Prompt holds dictionaries, directory, and HOT pages only.' || chr(10) || chr(10) || 'GLOBAL_DICT:' || listed || chr(10) || chr(10)
+         || 'TEMPLATE_CODEBOOK:' || codebook || chr(10) || chr(10) || 'PAGE_INDEX:' AS head
+  FROM gl JOIN cb USING (source) JOIN (SELECT source, any_value(streamed) AS streamed FROM su GROUP BY source) USING (source)),
+se AS (
+  SELECT su.*, head, n_dict, n_templates,
+         hot AND (length(head) + 1 + index_size + length(chr(10) || chr(10) || 'HOT_ENCODED_PAGES:') + length(chr(10) || chr(10) || 'COLD_STORE_REF: cold_store.jsonl') + n_hot - nth + upto + 3) // 4 <= {_OUTPUT} AS shown FROM su JOIN he USING (source)),
+ou AS (
+  SELECT source, any_value(head) || chr(10) || '[' || string_agg(CASE WHEN shown THEN yes ELSE no END, ', ' ORDER BY page_id) || ']' || chr(10) || chr(10) || 'HOT_ENCODED_PAGES:'
+         || coalesce(string_agg(chr(10) || body, '' ORDER BY page_id) FILTER (shown), '') || chr(10) || chr(10) || 'COLD_STORE_REF: cold_store.jsonl' AS packed_prompt,
+         any_value(streamed) AS streamed, count(*) AS n_pages, any_value(n_templates) AS n_templates, any_value(n_dict) AS n_dict, count(*) FILTER (shown) AS shown FROM se GROUP BY source)
+SELECT source, packed_prompt, {S.tokens('packed_prompt')}::BIGINT AS prompt_tokens_est, {S.tokens('packed_prompt')} <= {_OUTPUT} AS prompt_fits_budget, streamed::BIGINT AS input_tokens_est,
+       round({S.factor(S.tokens('packed_prompt'), 'streamed')}, 6) AS compression_factor_vs_prompt, n_pages, n_templates, n_dict::BIGINT AS global_dict_size, shown AS hot_pages, n_pages - shown AS cold_pages FROM ou""")
 def budget_pack(spark, sf_dir):
-    options = B.BudgetOptions(output_token_budget=4000, input_token_budget=1 << 62, hot_page_fraction=0.2, max_global_dict=64)
-    return B.budget_pack(store(spark, sf_dir), ["source"], options)
-
-
-@query("SELECT source, doc_id AS page_id, text FROM documents")
-def cold_store_decode(spark, sf_dir):
-    return B.decoded_pages(store(spark, sf_dir), ["source"])
+    options = B.BudgetOptions(output_token_budget=_OUTPUT, input_token_budget=_INPUT, hot_page_fraction=0.2, max_global_dict=64)
+    packed = B.budget_pack(store(spark, sf_dir), ["source"], options).drop("global_dictionary", "hot_ids")
+    return packed.withColumn("compression_factor_vs_prompt", F.round("compression_factor_vs_prompt", 6))
 
 
 # --- recall ---------------------------------------------------------------------------------------------
