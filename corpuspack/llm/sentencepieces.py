@@ -22,7 +22,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Parts whose ids a worker remembers, at most: half of them met lately, half before that.
-REMEMBERED = 280_000
+REMEMBERED = 200_000
 #: Parts longer than this are not remembered, so that the memory has a bound in bytes.
 LONGEST = 64
 #: Parts that are encoded as one text.
