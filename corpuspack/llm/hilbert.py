@@ -72,6 +72,17 @@ def hilbert_index(coordinates: list[Column], bits: int = BITS) -> Column:
     return with_state(with_state(state, gray), interleave)
 
 
+def levels(rows: DataFrame, column: str, top: int) -> DataFrame:
+    """``(column, level)``: the values of a column that aren't null, cut in up to ``top`` levels from 1 on of about equal numbers of rows.
+
+    Values keep their order, so a run of levels is a range of values.  Only the table of distinct values is ordered as a whole.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = 1 + F.floor(before * top / F.sum("count").over(Window.partitionBy()))
+    return counts.select(column, F.least(level, F.lit(top)).cast("int").alias("level"))
+
+
 def shard_by_hilbert(docs: DataFrame, shards: int = 8, bits: int = BITS, slices: int = SLICES) -> DataFrame:
     """Puts every document into one of ``shards`` runs of the Hilbert order.
 
@@ -95,16 +106,16 @@ def shard_by_hilbert(docs: DataFrame, shards: int = 8, bits: int = BITS, slices:
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     top = (1 << bits) - 1
 
-    def level(c: str) -> Column:  # 0 is for null
-        return F.when(F.col(c).isNull(), 0).otherwise(1 + F.pmod(F.crc32(F.encode(F.col(c).cast("string"), "UTF-8")), F.lit(top))).cast("int")
-
     thin = cut(docs.select(
         "doc_id", size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.coalesce(F.md5(F.encode(text, "UTF-8")), F.lit("null")).alias("group"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), level("source").alias("source"), level("lang").alias("lang"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), F.col("source").cast("string"), F.col("lang").cast("string"),
     ))
-    parts = cut(thin.groupBy("group", "slice").agg(
-        F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min("source").alias("source"), F.min("lang").alias("lang")
+    graded = thin.select("group", "slice", "size", "source", "lang")
+    for c in ("source", "lang"):
+        graded = graded.join(levels(graded, c, top), c, "left").withColumn(f"_{c}", F.coalesce("level", F.lit(0))).drop("level")  # 0 is for null
+    parts = cut(graded.groupBy("group", "slice").agg(
+        F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min("_source").alias("source"), F.min("_lang").alias("lang")
     ))
     groups = parts.groupBy("group").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.min("source").alias("source"), F.min("lang").alias("lang"))
     magnitude = F.least(F.floor(F.log2("size") * 2), F.lit(top))  # half octaves

@@ -105,9 +105,11 @@ class Model:
 def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
     """The two dictionaries of tokenised texts.
 
-    Ordinary windows are given to the trainer as they are, evenly chosen.  Toxic ones are
+    Ordinary windows are given to the trainer as they are; of more than about a hundred
+    times the dictionary's bytes every n-th is, which bounds the trainer's memory.  Toxic ones are
     first reduced to the words that several toxic documents have, as a whole or by their
     beginning, and no ordinary one has, since most of a toxic document is ordinary text.
+    Where there are too few windows to choose from, they are the dictionary themselves.
     """
     import zstandard
 

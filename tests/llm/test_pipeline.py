@@ -79,7 +79,7 @@ def test_toxic_documents_held_out(spark):
     counts = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
     hit, missed, false = (counts.get(k, 0) for k in ((1, 1), (1, 0), (0, 1)))
     # 0.82 and 0.02 as measured with the few hundred toxic documents here to learn from; 0.96 and 0.014 at ten times as many
-    assert hit / (hit + missed) >= 0.75 and false / (false + counts[0, 0]) <= 0.05
+    assert hit / (hit + missed) >= 0.8 and false / (false + counts[0, 0]) <= 0.03
     assert got.agg(F.min("score"), F.max("score")).first()[0] >= 0
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuspack.llm.hilbert import hilbert_index, shard_by_hilbert, write_shards
+from corpuspack.llm.hilbert import hilbert_index, levels, shard_by_hilbert, write_shards
 from corpuspack.llm.vptree import Router, Tree, nearest
 
 
@@ -90,6 +90,39 @@ def test_hilbert_index_walks_the_grid(spark):
             assert sum(abs(x - y) for x, y in zip(a[1:], b[1:])) == 1
 
 
+def test_levels_keep_the_order(spark):
+    rows = [(x,) for x in "a" * 50 + "b" * 5 + "c" * 30 + "d" * 15] + [(None,)]
+    df = spark.createDataFrame(rows, "lang string")
+    assert {r.lang: r.level for r in levels(df, "lang", 10).collect()} == {"a": 1, "b": 6, "c": 6, "d": 9}
+    assert levels(df.limit(0), "lang", 10).count() == 0
+
+
+def placed_by_hand(rows, shards):
+    """Shard of each text: groups in the order of the curve, each where its middle byte falls."""
+    size = {t: len((t or "").encode()) + 1 for t, _ in rows}
+    total, at, out = sum(size[t] * n for (t, _), n in rows.items()), 0, {}
+    for (t, _), n in sorted(rows.items(), key=lambda x: x[0][1]):
+        out[t] = min(int((at + size[t] * n / 2) * shards / total), shards - 1)
+        at += size[t] * n
+    return out
+
+
+def test_shards_by_hand(spark):
+    rng = random.Random(4)
+    texts = ["x" * rng.randint(0, 900) + str(i) for i in range(120)]
+    rows = [(i, rng.choice(texts), rng.choice("abc"), rng.choice(["en", "de", None])) for i in range(500)]
+    got = shard_by_hilbert(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), shards=5).collect()
+    text = {i: t for i, t, _, _ in rows}
+    order = {}
+    for n, r in enumerate(sorted(got, key=lambda r: (r.shard, r.slot))):  # the order that the slots say
+        order.setdefault(text[r.doc_id], n)
+    counts = {}
+    for t in text.values():
+        counts[t] = counts.get(t, 0) + 1
+    want = placed_by_hand({(t, order[t]): n for t, n in counts.items()}, 5)
+    assert {text[r.doc_id]: r.shard for r in got} == want
+
+
 def test_shards(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, "x" * rng.randint(0, 300) + str(i), rng.choice("abc"), rng.choice(["en", "de", None])) for i in range(400)]

@@ -138,6 +138,64 @@ def test_language_id(spark):
     assert langid.identify(odd, empty).where("lang_pred = 'und'").count() == 5
 
 
+def plain_ftrl(samples, languages, epochs, alpha, beta, l1, l2, seed):
+    """Follow the regularised leader, a coordinate at a time, over dictionaries."""
+    import math
+
+    learn = [x for i, x in enumerate(samples) if i % 5]
+    z, n = {}, {}
+
+    def weight(key):
+        pull = 0.0 if key[0] == "bias" else l1  # the bias isn't penalised
+        if abs(z.get(key, 0.0)) <= pull:
+            return 0.0
+        return -(z[key] - math.copysign(pull, z[key])) / ((beta + math.sqrt(n[key])) / alpha + l2)
+
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in rng.permutation(len(learn)):
+            x, truth = learn[i]
+            w = {(b, k): weight((b, k)) for b in x for k in range(languages)}
+            logits = [sum(v * w[b, k] for b, v in x.items()) for k in range(languages)]
+            e = [math.exp(v - max(logits)) for v in logits]
+            for b, v in x.items():
+                for k in range(languages):
+                    g = v * (e[k] / sum(e) - (k == truth))
+                    key, old = (b, k), n.get((b, k), 0.0)
+                    z[key] = z.get(key, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[key]
+                    n[key] = old + g * g
+    return weight
+
+
+def test_language_model_by_hand(spark):
+    """Frequencies, TF-IDF and weights against a plain statement of them."""
+    import math
+
+    texts = ["the cat and the dog", "la casa y el perro", "der hund und die katze", "a dog of the house", "el gato de la casa", "das haus und der garten"] * 4
+    grams = [langid.ngram_counts(t) for t in texts]
+    df = {}
+    for seen, _ in grams:
+        for b in seen.tolist():
+            df[b] = df.get(b, 0) + 1
+    langs = ["en", "es", "de"] * 8
+    docs = spark.createDataFrame([(i, t, langs[i]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True))
+    assert model.languages == ["de", "en", "es"]
+    for b in range(0, langid.BUCKETS, 7):
+        assert np.isclose(model.idf[b], math.log((1 + len(texts)) / (1 + df[b])) + 1 if b in df else 0.0)
+    plain, truth = [], [model.languages.index(x) for x in langs]
+    for (seen, counts), k in zip(grams, truth):
+        x = {b: (1 + math.log(c)) * model.idf[b] for b, c in zip(seen.tolist(), counts.tolist())}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        plain.append(({b: v / norm for b, v in x.items()} | {"bias": 1.0}, k))
+    weight = plain_ftrl([(x, k) for x, k in plain], 3, 4, 1.0, 1.0, 2e-3, 1e-3, 3)
+    fitted = langid.fit([(s, c, k) for (s, c), k in zip(grams, truth)], model.languages, model.idf)
+    for b in list(df)[::5]:
+        for k in range(3):
+            assert abs(fitted.weights[b, k] - weight((b, k))) < 1e-9
+    assert all(abs(fitted.bias[k] - weight(("bias", k))) < 1e-9 for k in range(3))
+
+
 def test_ngrams_of_letters_only():
     same = [langid.ngram_counts(t) for t in ("Ab, c", "ab c", " AB 12 C!")]
     for other in same[1:]:
@@ -174,6 +232,37 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_score_by_hand():
+    """Windows, savings and score from their definitions, with compressors made anew for every window."""
+    import math
+
+    import zstandard
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    ordinary = [" ".join(word() for _ in range(rng.randint(5, 120))) for _ in range(90)]
+    toxic = [f"{t} grumblewort snivelhack grumblewort" for t in ordinary[:30]]
+    model = toxicity.fit(toxic, ordinary[30:])
+
+    def size(window, raw):
+        settings = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+        held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=settings)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=settings).compress(window))
+
+    for text in [*toxic[:4], *ordinary[:4], "", None]:
+        of = toxicity.words(text)
+        starts = [0] if len(of) <= 16 else [*range(0, len(of) - 16, 16), len(of) - 16]
+        saved = []
+        for a in starts:
+            window = b" " + b" ".join(of[a : a + 16]) + b" "
+            saved.append(size(window, model.ordinary) - size(window, model.toxic + model.ordinary))
+        top = sorted(saved)[-3:]
+        features = (sum(saved) / len(saved), sum(s >= 2 for s in saved) / len(saved), sum(top) / len(top), math.log1p(sum(s >= 4 for s in saved)))
+        x = model.intercept + sum(w * f for w, f in zip(model.weights, features))
+        assert abs(model.score(text) - 1 / (1 + math.exp(-x))) < 1e-9
+
+
 def test_windows_cover_the_text():
     words = [str(i).encode() for i in range(37)]
     seen = {w for x in toxicity.windows(words) for w in x.split()}
