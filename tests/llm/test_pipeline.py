@@ -50,6 +50,33 @@ def test_near_dedup_with_null_and_repeated_ids(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want))
 
 
+def test_stages_on_odd_tables(spark):
+    """Nulls in any column, repeated rows and ids, very long and empty texts, columns with clashing names, an empty table."""
+    text = "the house is in the garden and it is old and the tree is by the water, and the light was "
+    rows = [(1, text + "green", "en", "a", 5, "x"), (1, text + "green", "en", "a", 5, "x"), (None, text + "red and blue", None, None, None, None),
+            (None, None, "en", "a", None, None), (4, "", None, "b", 0, None), (5, text * 3000, "en", "b", 9, "x"), (6, "12 34", "en", "b", 5, "x"),
+            (7, "el perro y la casa de la luz en la calle de agua", "es", "b", 5, None), (7, "otro texto que no es el de antes y no se repite", "es", None, 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids string")
+    docs = docs.select("*", F.lit(1).alias("score"), F.lit(2).alias("copies"), F.lit("z").alias("fp"))
+    columns = list(corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF).toPandas()
+        assert len(stage(spark, docs.limit(0), SF).take(1)) == 0, name
+        if name == "sentencepiece":
+            assert len(out) == len(rows) and out.round_trip.all()
+            continue
+        assert list(out.columns) == columns, name
+        kept = out.text.map(lambda t: None if t is None else t[:40]).tolist()
+        if name == "language_id":
+            assert len(out) == 6 and out.lang.notna().all()
+        elif name == "line_dedup":
+            assert len(out) == len(rows)
+        elif name == "near_dedup":
+            assert len(out) == 6 and kept.count(text[:40]) == 2  # copies and a near copy are one, null and empty texts are
+        else:
+            assert set(out.text.dropna()) <= {r[1] for r in rows}
+
+
 def test_passages_that_two_documents_share(spark):
     said = lambda tag, n=12: " ".join(f"{tag}{chr(97 + i)}" for i in range(n)) + "."
     passage = " ".join(said(f"p{chr(97 + i)}") for i in range(5))
