@@ -15,12 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (local tests) a new temporary folder is taken.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and the
+    session is local (tests) a new temporary folder is taken; ``ValueError`` on a cluster.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return named or sc.getCheckpointDir()
 

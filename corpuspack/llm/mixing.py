@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, word_count
 
-#: Slices of a source's ranking; only the slice that holds the cut is ranked row by row.
+#: Slices of a source's ranking: their totals are summed first, then each is ranked on its own.
 SLICES = 4096
 #: Tables of so many sources are broadcast; larger ones are joined by shuffling.
 FEW_SOURCES = 10_000
