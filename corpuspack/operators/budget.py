@@ -56,12 +56,20 @@ def cold_rows(pages: DataFrame, keys: Sequence[str], options: BudgetOptions = Bu
 
 
 def templates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys, template_id, count, first, exemplar, rank)``: rank from 0 by count, ties to the template seen first."""
-    grouped = rows.groupBy(*keys, "template_id").agg(
+    """``(keys, template_id, count, first, exemplar, rank)``: rank from 0 by count, ties to the template seen first.
+
+    A template's rank is the number of those counted more often, from a table of counts, and of
+    those counted as often that were seen before, summed in slices; no task orders all templates.
+    """
+    keys = list(keys)
+    grouped = cut(rows.groupBy(*keys, "template_id").agg(
         F.count(F.lit(1)).alias("count"), F.min("page_id").alias("first"), F.min_by("exemplar", "page_id").alias("exemplar")
-    )
-    order = Window.partitionBy(*keys).orderBy(F.desc("count"), "first")
-    return grouped.withColumn("rank", F.row_number().over(order) - 1)
+    ))
+    sizes = grouped.groupBy(*keys, "count").agg(F.count(F.lit(1)).alias("_n"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
+    above = sizes.select(*keys, "count", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    level = sums_before(grouped, [*keys, "count"], "first", {"_before": F.lit(1)}).join(above, [*keys, "count"])
+    return level.select(*keys, "template_id", "count", "first", "exemplar", (F.col("_above") + F.col("_before")).alias("rank"))
 
 
 def template_codebook(ranked: DataFrame, keys: Sequence[str], max_entries: int) -> DataFrame:
