@@ -26,14 +26,14 @@ LONGEST, TOGETHER = 64, 200
 
 _CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 #: White space but the space and the line end.
-_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_OTHER = re.compile(r"[^\S \n]")
 
 
 def _even(text: str) -> bool:
     """Whether all white space of a text is single spaces and line ends between other characters."""
     return not (
         "  " in text or " \n" in text or "\n" in text and ("\n\n" in text or "\n " in text)
-        or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in _OTHER)
+        or text[0] in " \n" or text[-1] in " \n" or _OTHER.search(text) is not None
     )
 
 
@@ -74,8 +74,9 @@ class Encoder:
         again = older.keys() & plain | older.keys() & odd
         recent.update(zip(again, map(older.__getitem__, again)))
         new, alone = list(plain - again), list(odd - plain - again)
-        alone += [p for p in new if len(p) > LONGEST]
-        new = [p for p in new if len(p) <= LONGEST]
+        if new and max(map(len, new)) > LONGEST:
+            alone += [p for p in new if len(p) > LONGEST]
+            new = [p for p in new if len(p) <= LONGEST]
         rows = [(x[at : at + TOGETHER], skip) for x, skip in (
             ([p for p in new if p[0] != "\n"], 0), ([p for p in new if p[0] == "\n"], 4),  # these have no space before them
         ) for at in range(0, len(x), TOGETHER)]
@@ -94,28 +95,52 @@ class Encoder:
                 (recent if len(part) <= LONGEST else passing)[part] = ids
         return passing
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; none for null and empty texts."""
-        plain, odd, parts = [], [], []
-        for text in texts:
-            if not text:
-                parts.append([])
-                continue
-            even = _even(text)
-            found = text.replace("\n", " \n").split(" ") if even else _CUT.split(text)
-            parts.append(found)
-            (plain if even else odd).append(found)
+    def encode(self, texts: list[str | None], end: bytes = b""):
+        """The ids of all texts one after the other, each followed by ``end``, and the offsets of each text's ids, as arrays."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if len(self._recent) > REMEMBERED // 2:  # what isn't met again by the next time is forgotten
             self._older, self._recent = self._recent, {}
         known = self._recent
-        first = iter(self._whole([p[0] for p in parts if p]))
-        # the first parts are learned as inner ones as well: most are met as such
-        new = [set().union(*x).difference(known) for x in (plain, odd)]
-        new[1] |= {p for p in new[0] if not p}
-        new[0].discard("")
-        passing = self._learn(*new)
+        even = [bool(t) and _even(t) for t in texts]
+        cut = pc.split_pattern(pa.array([t.replace("\n", " \n") for t, e in zip(texts, even) if e], pa.large_string()), " ")
+        parts = cut.flatten().dictionary_encode()
+        words = parts.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        odd = [_CUT.split(t) for t, e in zip(texts, even) if t and not e]
+        passing = self._learn(set(words).difference(known), set().union(*(x[1:] for x in odd)).difference(known))
         get = known.__getitem__ if not passing else lambda p: known[p] if p in known else passing[p]
-        return [next(first) + b"".join(map(get, p[1:])) if p else b"" for p in parts]
+
+        # what texts are put together from: inner parts, the parts that texts begin with, whole odd texts, and the end
+        starts = cut.offsets.to_numpy()
+        places = parts.indices.to_numpy()
+        opening = parts.take(pa.array(starts[:-1])).cast(pa.large_string()).to_pylist() if len(starts) > 1 else []
+        first = self._whole(opening + [x[0] for x in odd])
+        whole = [f + b"".join(map(get, x[1:])) for f, x in zip(first[len(opening) :], odd)]
+        pieces = [*map(get, words), *first[: len(opening)], *whole, end]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        ids, at = np.frombuffer(b"".join(pieces), dtype="<u4"), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+
+        # the pieces of each text, an end behind them
+        counts = np.ones(len(texts), dtype=np.int64)
+        counts[even] += np.diff(starts)
+        isodd = np.array([bool(t) and not e for t, e in zip(texts, even)], dtype=bool)
+        counts[isodd] += 1
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        order = np.empty(bounds[-1], dtype=np.int64)
+        inner = np.ones(len(order), dtype=bool)
+        inner[bounds[1:] - 1] = False
+        inner[bounds[:-1][isodd]] = False
+        order[inner] = places
+        order[bounds[:-1][even]] = len(words) + np.arange(len(opening))
+        order[bounds[:-1][isodd]] = len(words) + len(opening) + np.arange(len(odd))
+        order[bounds[1:] - 1] = len(pieces) - 1
+
+        lengths = sizes[order]
+        ends = np.cumsum(lengths)
+        flat = ids[np.repeat(at[order] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        return flat, np.concatenate([[0], ends])[bounds]
 
 
 @functools.lru_cache(1)
@@ -133,14 +158,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         codec, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                ids = [x + end for x in codec.encode(part.column(1).to_pylist())]
-                lengths = np.array([len(x) // 4 for x in ids], dtype=np.int32)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                flat, offsets = codec.encode(part.column(1).to_pylist(), end)
                 yield pa.record_batch({
-                    "doc_id": part.column(0), "n_tokens": pa.array(lengths), "ids": pa.ListArray.from_arrays(offsets, flat),
+                    "doc_id": part.column(0), "n_tokens": pa.array(np.diff(offsets).astype(np.int32)),
+                    "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view("<i4"))),
                 })
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")

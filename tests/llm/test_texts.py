@@ -36,9 +36,11 @@ def test_byte_bpe_parts_give_the_ids_of_the_text():
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole, mine = Tokenizer.from_file(path), Encoder(path)
     texts = odd_texts(3000)
-    for text, ids in zip(texts, mine.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
-    assert mine.encode([None]) == [b""]
+    for some in (texts, texts[::-1], [None, *texts[:40], None, "", "long" * 4000 + " x"]):
+        flat, at = mine.encode(some, b"\x02\0\0\0")
+        for text, a, b in zip(some, at, at[1:]):
+            assert flat[a:b].tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 2], repr(text)
+    assert [x.tolist() for x in mine.encode([None])] == [[], [0, 0]] and [x.tolist() for x in mine.encode([])] == [[], [0]]
 
 
 def test_piece_parts_give_the_ids_of_the_text():
