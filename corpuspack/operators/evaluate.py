@@ -191,9 +191,8 @@ def summarise(scored: DataFrame) -> DataFrame:
 
 
 def layer_path_match(found: Column, expected: Column) -> Column:
-    """Whether an expected path of layers stands, in this order, within the one found; both are lists of names."""
-    low = lambda c: F.concat(F.lit(">"), F.array_join(F.transform(c, F.lower), ">"), F.lit(">"))
-    return F.contains(low(found), low(expected))
+    """Whether all layers of an expected path are among those found, in whatever order; both are lists of names."""
+    return F.size(F.array_except(F.transform(expected, F.lower), F.transform(found, F.lower))) == 0
 
 
 #: How far apart two recalls are for one to count as better; what counts as exact, and as alike.

@@ -139,6 +139,6 @@ def test_report(spark, tmp_path):
     E.write_report(spark.createDataFrame(rows, names), str(tmp_path / "r"))
     text = stored_text(spark, str(tmp_path / "r" / "markdown"))
     assert text.count("\n- ") == 4 and "| compact | 2 | 10.000 |" in text and spark.read.json(str(tmp_path / "r" / "json")).count() == 5
-    paths = spark.createDataFrame([(["A", "b", "c"], ["B", "C"], ["a", "c"])], "f array<string>, x array<string>, y array<string>")
+    paths = spark.createDataFrame([(["A", "b", "c"], ["C", "B"], ["a", "d"])], "f array<string>, x array<string>, y array<string>")
     got = paths.select(E.layer_path_match(F.col("f"), F.col("x")), E.layer_path_match(F.col("f"), F.col("y"))).first()
     assert tuple(got) == (True, False)
