@@ -24,6 +24,9 @@ REMEMBERED = 500_000
 #: Parts longer than this aren't remembered, so that the memory has a bound in bytes; parts that are encoded as one text.
 LONGEST, TOGETHER = 64, 200
 
+#: Marks that are pieces of their own behind a letter; letters up to this one are such in every Unicode version.
+MARKS, LAST_LETTER = ",.!?;:", "\u017f"
+
 _CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 #: White space but the space and the line end.
 _OTHER = re.compile(r"[^\S \n]")
@@ -61,6 +64,7 @@ class Encoder:
         names = self._tokenizer.get_vocab()
         self._opens = np.zeros(max(names.values()) + 1, dtype=bool)  # whether a piece begins with a space
         self._opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True
+        self._marks = dict(zip(MARKS, self._whole(list(MARKS))))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         said = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -73,7 +77,15 @@ class Encoder:
         recent, older, passing = self._recent, self._older, {}
         again = older.keys() & plain | older.keys() & odd
         recent.update(zip(again, map(older.__getitem__, again)))
-        new, alone = list(plain - again), list(odd - plain - again)
+        plain = plain - again
+        alone = list(odd - plain - again)
+        # letters before a mark, and the mark, are pieces of their own: such a part is put together from its letters'
+        marked = [p for p in plain if p[-1:] in self._marks and p[:-1].isalpha() and (p.isascii() or max(p) <= LAST_LETTER)]
+        plain.difference_update(marked)
+        plain.update({p[:-1] for p in marked}.difference(recent))
+        again = older.keys() & plain
+        recent.update(zip(again, map(older.__getitem__, again)))
+        new = list(plain - again)
         if new and max(map(len, new)) > LONGEST:
             alone += [p for p in new if len(p) > LONGEST]
             new = [p for p in new if len(p) <= LONGEST]
@@ -93,6 +105,9 @@ class Encoder:
             some = alone[at : at + 2000]
             for part, ids in zip(some, self._whole([p if p.startswith("\n") else " " + p for p in some])):
                 (recent if len(part) <= LONGEST else passing)[part] = ids
+        for part in marked:
+            stem = part[:-1]
+            (recent if len(part) <= LONGEST else passing)[part] = (recent.get(stem) or passing[stem]) + self._marks[part[-1]]
         return passing
 
     def encode(self, texts: list[str | None], end: bytes = b""):
