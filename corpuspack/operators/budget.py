@@ -195,5 +195,5 @@ def decoded_page(rows: DataFrame, page_id: int) -> DataFrame:
 
 
 def decoded_texts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys, text)``: the pages of each scope in order."""
+    """``(keys, text)``: the pages of each scope in order, one value a scope; larger scopes are read as :func:`decoded_pages`."""
     return decoded_pages(rows, keys).groupBy(*keys).agg(F.array_join(in_order(F.col("page_id"), F.col("text")), "").alias("text"))

@@ -398,7 +398,7 @@ _FILLED = f"list_filter({S.lines('text')}, lambda x: {S.strip('x')} <> '')"
 
 
 @query(rf"""SELECT doc_id, length(text) >= 200 AND ((len({_FILLED}) >= 8 AND len(list_distinct({_FILLED}))::DOUBLE / greatest(len({_FILLED}), 1) < 0.55)
-  OR (regexp_matches(text, '(?i)(tool[_ ]?result|function[_ ]?response|observation|```json|status=\d{{3}}|request_id=|latency_ms=)') AND {S.tokens('text')} >= 80)) AS repetitive FROM documents""")
+  OR (regexp_matches(text, '{T.RECOVERABLE}') AND {S.tokens('text')} >= 80)) AS repetitive FROM documents""")
 def repetitive_turns(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.looks_repetitive(F.col("text")).alias("repetitive"))
 

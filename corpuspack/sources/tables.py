@@ -60,6 +60,11 @@ def write_page_index(rows: DataFrame, path: str) -> None:
     page_index(rows).repartitionByRange("page_id").sortWithinPartitions("page_id").write.mode("overwrite").parquet(path)
 
 
+def read_page_index(spark: SparkSession, path: str) -> DataFrame:
+    """A stored directory; filters on ``page_id`` reach the scan."""
+    return spark.read.parquet(path)
+
+
 def write_hierarchical(pages: DataFrame, packed: DataFrame, path: str) -> None:
     """Writes a hierarchical pack: ``pages`` (of ``encode_pages``) as Parquet, sorted, and the packed rows as JSON beside them."""
     pages.repartitionByRange("page_id").sortWithinPartitions("page_id").write.mode("overwrite").parquet(f"{path}/pages")
