@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import cut
+
 ENTRY = "struct<ord:int,meta:string,pattern:string>"
 COLD_STORE = f"page_id bigint, template_id string, fingerprint string, original_chars bigint, original_tokens_est bigint, encoded string, local_dictionary array<{ENTRY}>"
 BLOCK = "struct<type:string,text:string>"
@@ -41,7 +43,7 @@ def write_cold_store(rows: DataFrame, path: str, form: str = "parquet") -> None:
 
     Key columns of the rows are kept, and in Parquet ``exemplar``, which a prompt over the store is made from.
     """
-    own = rows if form == "parquet" else rows.drop("exemplar")
+    own = cut(rows if form == "parquet" else rows.drop("exemplar"))  # ranges are sampled first: encode once
     own.repartitionByRange("page_id").sortWithinPartitions("page_id").write.mode("overwrite").format(form).save(path)
 
 
