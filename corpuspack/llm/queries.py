@@ -8,14 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_templates, mixing, vptree
+from . import bond, line_templates, mixing, vptree
+from .bond import hard_negatives
 from .common import held_out, scratch_path
 from .embed_dedup import near_vectors
 from .hilbert import shard_by_hilbert
+from .imatch import edit_robustness
 from .langid import identify
 from .langid import train as train_langid
 from .line_templates import drop_recurring_lines
 from .mixing import mix_sources
+from .resampling import resample
 from .sentencepieces import encode_documents
 from .simhash import simhash_groups
 from .token_files import file_digests, write_tokens
@@ -81,9 +84,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_robustness(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the labels is moved on by one, so that labels and vectors don't simply agree."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES = (
     op1_embedding_near_dedup, op2_sentencepiece, op3_source_mixing, op4_language_id, op5_simhash_near_dedup,
     op6_line_dedup, op7_nearest_neighbours, op8_hilbert_sharding, op9_token_files, op10_toxicity,
+    op11_document_fingerprints, op12_importance_resampling, op13_hard_negatives,
 )
 
 
@@ -97,4 +116,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_source_mixing": mixing.ORACLE_SQL,
         "op6_line_dedup": line_templates.ORACLE_SQL,
         "op7_nearest_neighbours": vptree.ORACLE_SQL,
+        "op13_hard_negatives": bond.ORACLE_SQL,
     }
