@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.session import cut
 from .codebook import EMPTY, decode, dictionary_arrays, encode
 from .packing import FlatOptions, apply_dictionary, build_dictionary, dictionary_lines, in_order
-from .running import sums_before
+from .running import join_on, sums_before
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def templates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     sizes = grouped.groupBy(*keys, "count").agg(F.count(F.lit(1)).alias("_n"))
     above = Window.partitionBy(*keys).orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
     above = sizes.select(*keys, "count", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
-    level = sums_before(grouped, [*keys, "count"], "first", {"_before": F.lit(1)}).join(above, [*keys, "count"])
+    level = join_on(sums_before(grouped, [*keys, "count"], "first", {"_before": F.lit(1)}), above, [*keys, "count"])
     return level.select(*keys, "template_id", "count", "first", "exemplar", (F.col("_above") + F.col("_before")).alias("rank"))
 
 
@@ -87,13 +87,13 @@ def hot_pages(rows: DataFrame, keys: Sequence[str], fraction: float) -> DataFram
     """
     keys = list(keys)
     firsts = rows.groupBy(*keys, "template_id").agg(F.min("page_id").alias("_first"))
-    marked = rows.join(firsts, [*keys, "template_id"]).join(firsts.groupBy(*keys).agg(F.max("_first").alias("_end")), keys)
+    marked = join_on(join_on(rows, firsts, [*keys, "template_id"]), firsts.groupBy(*keys).agg(F.max("_first").alias("_end")), keys)
     marked = marked.withColumn("_late", ((F.col("page_id") != F.col("_first")) & (F.col("page_id") <= F.col("_end"))).cast("long"))
     marked = sums_before(marked, keys, "page_id", {"_lates": F.col("_late"), "_others": 1 - F.col("_late")})
     sizes = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_late").alias("_all_late"))
     place = F.when(F.col("_late") == 0, F.col("_others")).otherwise(F.col("_n") - F.col("_all_late") + F.col("_lates"))
     hot = place < F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(fraction)))
-    return marked.join(sizes, keys).select(*rows.columns, hot.alias("hot"))
+    return join_on(marked, sizes, keys).select(*rows.columns, hot.alias("hot"))
 
 
 def _scoped(dictionary: Column, apart: bool) -> Column:
@@ -124,7 +124,7 @@ def budget_pack(rows: DataFrame, keys: Sequence[str], options: BudgetOptions = B
     book = template_codebook(ranked, keys, options.max_global_dict)
     line = F.concat(F.lit("  "), "meta", F.lit(" → template "), "template_id", F.lit(" (count="), F.col("count").cast("string"), F.lit(")"))
     book = book.groupBy(*keys).agg(in_order(F.col("rank"), line).alias("codebook"))
-    marked = hot_pages(rows, keys, options.hot_page_fraction).join(arrays, keys)
+    marked = join_on(hot_pages(rows, keys, options.hot_page_fraction), arrays, keys)
     header = F.concat(F.lit("<<<PAGE "), F.col("page_id").cast("string"), F.lit(" T="), "template_id", F.lit(">>>\n"))
     body = F.when(F.col("hot"), F.concat(header, encode(F.col("encoded"), F.col("global_dictionary"))))
 
@@ -146,7 +146,7 @@ def budget_pack(rows: DataFrame, keys: Sequence[str], options: BudgetOptions = B
         F.sum("original_tokens_est").alias("streamed"), F.count(F.lit(1)).alias("n_pages"), F.sum(listed).alias("index_size"), F.count_if("hot").alias("n_hot")
     )
     shares = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_templates"))
-    level = totals.join(shares, keys).join(arrays, keys).join(book, keys, "left")
+    level = join_on(join_on(join_on(totals, shares, keys), arrays, keys), book, keys, "left")
     level = level.withColumn("codebook", F.coalesce("codebook", F.array().cast("array<string>")))
     level = level.withColumn("input_tokens_est", F.col("streamed").cast("long"))
     head = [  # headings and wording of the prompt (fixed values)
@@ -161,7 +161,7 @@ def budget_pack(rows: DataFrame, keys: Sequence[str], options: BudgetOptions = B
     level = level.withColumn("head", F.array_join(F.concat(*head), "\n"))
     tail = ["", "HOT_ENCODED_PAGES:"]
     rest = len("\n" + "\n".join(tail)) + len("\n" + f"\nCOLD_STORE_REF: {options.store_ref}")
-    sized = marked.join(level.select(*keys, F.length("head").alias("head_size"), "index_size", "n_hot"), keys)
+    sized = join_on(marked, level.select(*keys, F.length("head").alias("head_size"), "index_size", "n_hot"), keys)
     # the directory in brackets, its rows joined by ", "
     base = F.col("head_size") + 1 + F.col("index_size") + rest
     flips = F.lit(0) if options.flag_before_trim else F.col("n_hot") - F.col("nth")
@@ -171,7 +171,7 @@ def budget_pack(rows: DataFrame, keys: Sequence[str], options: BudgetOptions = B
         F.array_join(in_order(F.col("page_id"), F.when(flag, F.col("yes")).otherwise(F.col("no"))), ", ").alias("index"),
         F.sort_array(F.collect_list(F.when(F.col("in_prompt"), F.struct("page_id", "body")))).alias("bodies"),
     )
-    out = level.join(pages, keys)
+    out = join_on(level, pages, keys)
     bodies = F.transform("bodies", lambda b: b["body"])
     parts = F.concat(F.array(F.col("head"), F.concat(F.lit("["), "index", F.lit("]")), *map(F.lit, tail)), bodies, F.array(F.lit(""), F.lit(f"COLD_STORE_REF: {options.store_ref}")))
     out = out.withColumn("packed_prompt", F.array_join(parts, "\n")).withColumn("prompt_tokens_est", T.token_estimate(F.col("packed_prompt")))

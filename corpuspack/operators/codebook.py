@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import join_on
+
 # Brackets of meta tokens (fixed values): the usual ones, and those for texts that hold one of them.
 PREFIX, SUFFIX = "⟦", "⟧"
 ASCII_PREFIX, ASCII_SUFFIX = "<<PD", ">>"
@@ -44,7 +46,7 @@ def select_dictionary(candidates: DataFrame, styles: DataFrame, keys: Sequence[s
     letter; behind the last of them up to 676 that pass with two; behind these, three.
     """
     keys = list(keys)
-    rows = candidates.join(styles, keys)
+    rows = join_on(candidates, styles, keys)
     ascii_ = F.col("style") != "unicode"
     bracket = [F.when(ascii_, b).otherwise(a) for a, b in ((PREFIX, ASCII_PREFIX), (SUFFIX, ASCII_SUFFIX))]
     rows = rows.where(~F.contains("pattern", bracket[0]) & ~F.contains("pattern", bracket[1]))

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.session import cut
 from .codebook import EMPTY, decode
 from .packing import FlatOptions, flat_pack, in_order
+from .running import join_on
 
 MODES = ("auto", "lossless_dict", "lossy_stub")
 
@@ -96,7 +97,7 @@ def compact_messages(messages: DataFrame, keys: Sequence[str], options: CompactO
     else:
         encoded = flat_pack(bulky, [*keys, "turn"], FlatOptions(min_freq=options.min_freq, max_dict_size=options.max_dict_size))
         encoded = encoded.select(*keys, "turn", "dictionary", "encoded", "packed_prompt", "packed_tokens")
-    turns = turns.join(encoded, [*keys, "turn"], "left")
+    turns = join_on(turns, encoded, [*keys, "turn"], "left")
     saves = F.coalesce((F.size("dictionary") > 0) & (F.col("packed_tokens") < F.col("tok") * 0.92), F.lit(False))
     action = F.when(F.col("bulky") & saves, "dict_encoded").when(F.col("bulky") & F.lit(options.mode != "lossless_dict"), "summary_stub")
     turns = turns.withColumn("action", action)
@@ -149,7 +150,7 @@ def compact_messages(messages: DataFrame, keys: Sequence[str], options: CompactO
     if options.mode != "auto":
         counts = counts.withColumn("mode", F.lit(options.mode))
     packed = pack_messages(out, keys, "ord").select(*keys, F.col("packed").alias("packed_prompt"))
-    summary = packed.join(original, keys).join(counts, keys).withColumn("compacted_tokens_est", T.token_estimate(F.col("packed_prompt")))
+    summary = join_on(join_on(packed, original, keys), counts, keys).withColumn("compacted_tokens_est", T.token_estimate(F.col("packed_prompt")))
     summary = summary.withColumn("fits_budget", F.col("compacted_tokens_est") <= options.budget)
     summary = summary.withColumn("compression_factor", F.round(T.factor(F.col("compacted_tokens_est"), F.col("original_tokens_est")), 4))
     return Compacted(out, first.unionByName(second), summary)
@@ -165,7 +166,7 @@ def expand_messages(compacted: Compacted, keys: Sequence[str]) -> DataFrame:
     """``(keys, ord, role, content)``: the messages with what their cold references stand for, one level deep."""
     refs = compacted.cold_refs.select(*keys, F.col("ref_id").alias("_ref"), expand_cold_ref(F.col("kind"), F.col("payload"), F.col("preview")).alias("_text"))
     rows = compacted.messages.withColumn("_ref", F.nullif(F.regexp_extract("content", r"\[cold_ref:(c\d+)", 1), F.lit("")))
-    met = rows.join(refs, [*keys, "_ref"], "left")
+    met = join_on(rows, refs, [*keys, "_ref"], "left")
     return met.select(*keys, "ord", "role", F.coalesce("_text", "content").alias("content"))
 
 

@@ -20,16 +20,19 @@ from ..functions import text as T
 #: Characters of a block that windows are taken from.
 BLOCK = 1024
 
+#: How many patterns of each kind are ranked: n-grams, lines, characters.
+LIMITS = {0: 500, 1: 300, 2: 200}
+
 MINED = ("src", "pattern", "cnt", "len", "score", "rank")
 
 
-def _ranked(counted: DataFrame, keys: Sequence[str], src: int, min_freq: int, limit: int, found: Sequence[Column]) -> DataFrame:
+def ranked(counted: DataFrame, keys: Sequence[str], src: int, min_freq: int, limit: int, found: Sequence[Column]) -> DataFrame:
     """Keeps frequent patterns that save something, best first: score, length, count, then order of discovery."""
     size = T.length(F.col("pattern"))
     kept = counted.where(F.col("cnt") >= min_freq).select(*keys, "pattern", "cnt", size.alias("len"), T.savings(F.col("cnt"), size).alias("score"), "found")
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("len"), F.desc("cnt"), *found)
-    ranked = kept.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return ranked.select(*keys, F.lit(src).alias("src"), "pattern", "cnt", "len", "score", "rank")
+    best = kept.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return best.select(*keys, F.lit(src).alias("src"), "pattern", "cnt", "len", "score", "rank")
 
 
 def _once(value: Column, f) -> Column:
@@ -71,7 +74,7 @@ def mine_ngrams(
     grams = grams.select(*keys, "pos", "run", F.explode(F.sequence(F.lit(min_len), F.size("run"))).alias("n"))
     grams = grams.select(*keys, "n", "pos", F.array_join(F.slice("run", F.lit(1), F.col("n")), " ").alias("pattern")).where(F.length("pattern") >= 8)
     counted = grams.groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct((-F.col("n")).alias("n"), "pos")).alias("found"))
-    return _ranked(counted, keys, 0, min_freq, limit, [F.col("found.n"), F.col("found.pos")])
+    return ranked(counted, keys, 0, min_freq, limit, [F.col("found.n"), F.col("found.pos")])
 
 
 def mine_lines(corpus: DataFrame, keys: Sequence[str], text: str = "text", min_freq: int = 2, min_line_len: int = 16, limit: int = 300) -> DataFrame:
@@ -80,7 +83,7 @@ def mine_lines(corpus: DataFrame, keys: Sequence[str], text: str = "text", min_f
     texts = corpus.where(F.col(text).isNotNull()).select(*keys, text).repartition(*keys)
     found = texts.select(*keys, F.posexplode(T.lines(F.col(text))).alias("pos", "pattern")).where(F.length("pattern") >= min_line_len)
     counted = found.groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("found"))
-    return _ranked(counted, keys, 1, min_freq, limit, [F.col("found")])
+    return ranked(counted, keys, 1, min_freq, limit, [F.col("found")])
 
 
 def mine_chars(
@@ -99,7 +102,7 @@ def mine_chars(
     cut = cut.select(*keys, "b", "from", "w", F.explode(F.sequence("first", "last", "w.step")).alias("pos"))
     cut = cut.select(*keys, F.substring("b", F.col("pos") - F.col("from") + 1, F.col("w.n")).alias("pattern"), F.struct("w.at", "pos").alias("found"))
     counted = cut.groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("cnt"), F.min("found").alias("found"))
-    return _ranked(counted, keys, 2, min_freq, limit, [F.col("found.at"), F.col("found.pos")])
+    return ranked(counted, keys, 2, min_freq, limit, [F.col("found.at"), F.col("found.pos")])
 
 
 def merge_candidates(groups: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import text as T
 from .codebook import EMPTY, decode, dictionary_arrays, encode, meta_style, select_dictionary
 from .mining import merge_candidates, mine_chars, mine_lines, mine_ngrams
 from .paging import paginate
+from .running import join_on
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,7 @@ def candidates(corpus: DataFrame, keys: Sequence[str], options: FlatOptions) ->
         groups.append(mine_chars(corpus, keys, min_freq=options.min_freq))
     found = merge_candidates(groups, keys)
     if options.literal_only:
-        found = found.join(corpus.select(*keys, "text"), list(keys)).where(F.contains("text", "pattern")).drop("text")
+        found = join_on(found, corpus.select(*keys, "text"), keys).where(F.contains("text", "pattern")).drop("text")
     return found
 
 
@@ -74,7 +75,7 @@ def metrics(text: Column, encoded: Column, dictionary: Column, packed: Column) -
 
 def apply_dictionary(corpus: DataFrame, dictionaries: DataFrame, keys: Sequence[str], options: FlatOptions = FlatOptions()) -> DataFrame:
     """Encodes each text with its scope's array ``dictionary``; where decoding doesn't give it back it stays as it is."""
-    met = corpus.join(dictionaries, list(keys), "left").withColumn("dictionary", F.coalesce("dictionary", F.array().cast(EMPTY)))
+    met = join_on(corpus, dictionaries, keys, "left").withColumn("dictionary", F.coalesce("dictionary", F.array().cast(EMPTY)))
     met = met.withColumn("encoded", encode(F.col("text"), F.col("dictionary")))
     met = met.withColumn("exact", decode(F.col("encoded"), F.col("dictionary")) == F.col("text"))
     met = met.withColumn("dictionary", F.when(F.col("exact"), F.col("dictionary")).otherwise(F.array().cast(EMPTY)))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.session import shared_dir
+from ..functions.session import cut, shared_dir
 from ..operators import budget as B
 from ..operators import compaction as C
 from ..operators import evaluate as E
@@ -22,6 +22,7 @@ from ..operators import packing as P
 from ..operators import recall as R
 from ..operators.mining import merge_candidates, mine_chars, mine_lines, mine_ngrams
 from ..operators.paging import paginate
+from ..operators.scope import ScopeOptions, encode_scopes, scope_dictionary
 from ..sources import tables
 from . import sql as S
 
@@ -212,6 +213,33 @@ def flat_encode_logs(spark, sf_dir):
     return P.flat_pack(logs(spark, sf_dir), ["user_id"], P.FlatOptions(min_freq=2, max_dict_size=128)).select("user_id", "encoded", "dictionary_entries")
 
 
+# --- one dictionary for many rows ------------------------------------------------------------------------
+
+_JOINED = "joined AS (SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source)"
+_SCOPE = f"{_JOINED}, {S.flat('joined', 'source', 'text', 3, 10, 256)}"
+
+
+def _source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page_id"), "text")
+
+
+#: Small parts, so that the sources of the given tables have many of them.
+_SCOPE_OPTIONS = ScopeOptions(min_freq=3, max_dict_size=256, part_chars=50_000)
+
+
+@query(f"WITH {_SCOPE} SELECT source, ord::INT AS ord, meta, pattern, cnt FROM entries")
+def scope_dictionary_select(spark, sf_dir):
+    """The dictionary of all documents of a source, as of their joined text."""
+    return scope_dictionary(_source_pages(spark, sf_dir), ["source"], _SCOPE_OPTIONS)
+
+
+@query(f"WITH {_SCOPE} SELECT source, doc_id AS page_id, CASE WHEN there IS NULL THEN d.text ELSE {S.fold('d.text', 'there')} END AS encoded, there IS NOT NULL AS coded FROM documents d LEFT JOIN books USING (source)")
+def scope_encode(spark, sf_dir):
+    """Every document behind its source's dictionary."""
+    pages = _source_pages(spark, sf_dir)
+    return encode_scopes(pages, cut(scope_dictionary(pages, ["source"], _SCOPE_OPTIONS)), ["source"])
+
+
 # --- hierarchical and budgeted packs ------------------------------------------------------------------
 
 
