@@ -6,20 +6,19 @@ plainly what the operators reach by windows, pruning and shared passes.
 
 from __future__ import annotations
 
-import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.session import cut, shared_dir
+from ..functions.session import cut, scratch_path
 from ..operators import budget as B
 from ..operators import compaction as C
 from ..operators import evaluate as E
 from ..operators import packing as P
 from ..operators import recall as R
+from ..operators.gram_index import keyword_scores_many, keyword_search_many, read_gram_index, recall_by_table, write_gram_index
 from ..operators.mining import merge_candidates, mine_chars, mine_lines, mine_ngrams
 from ..operators.paging import paginate
 from ..operators.scope import ScopeOptions, encode_scopes, scope_dictionary
@@ -297,19 +296,35 @@ def input_cap(spark, sf_dir):
     return B.input_cap(source_rows(spark, sf_dir), ["source"], 10_000).select("source", "page_id", "original_tokens_est")
 
 
-@functools.lru_cache(8)
-def _stored(application: str, sf_dir: str) -> str:
-    """Writes the cold store of all documents, one page each, once a session."""
-    spark = SparkSession.active()
-    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page_id"), "text")
-    path = f"{shared_dir(spark).rstrip('/')}/cold-{uuid.uuid4().hex}"
-    tables.write_cold_store(B.cold_rows(docs, ["source"]), path)
+def _files(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Names, times and sizes of a table's files, in whatever store they lie."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/{name}.parquet").select("path", "modificationTime", "length")
+    return tuple(sorted(tuple(map(str, r)) for r in found.collect()))
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, kind: str, write: Callable[[str], None]) -> str:
+    """The path of what ``write`` makes of the documents: written again if their files have changed or it is gone."""
+    key = (spark.sparkContext.applicationId, kind, _files(spark, sf_dir, "documents"))
+    path = _STORED.get(key)
+    if path is None or not tables.exists(spark, path):
+        path = scratch_path(spark, kind)
+        write(path)
+        _STORED[key] = path
     return path
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cold store of all documents as it is read back: sorted by ``page_id``."""
-    return spark.read.parquet(_stored(spark.sparkContext.applicationId, sf_dir))
+    """The cold store of all documents, one page each, as it is read back: sorted by ``page_id``."""
+    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page_id"), "text")
+    return spark.read.parquet(_kept(spark, sf_dir, "cold", lambda path: tables.write_cold_store(B.cold_rows(docs, ["source"]), path)))
+
+
+def gram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gram index of that store."""
+    return read_gram_index(spark, _kept(spark, sf_dir, "grams", lambda path: write_gram_index(store(spark, sf_dir), path)))
 
 
 _INPUT, _OUTPUT = 1 << 62, 20_000
@@ -401,6 +416,40 @@ def recall_union(spark, sf_dir):
     return R.recall(store(spark, sf_dir).drop("source"), [7, 3], _QUERY, 10).select("ord", "page_id", "score")
 
 
+_MANY = rf"""q AS (
+  SELECT item_id AS query_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 2)) AS t FROM benchmark) GROUP BY item_id, t),
+d AS (
+  SELECT doc_id, lower(text) AS l,
+         lower(left(sha1(text), 12) || '|' || left(coalesce({S.filled('text')}[1], ''), 60) || ' ' || left(sha1(regexp_replace(regexp_replace(text, '\d+', '#', 'g'), '[0-9a-fA-F]{{8,}}', '#hex#', 'g')), 16)) AS b FROM documents),
+s AS (
+  SELECT t, doc_id, (length(l) - length(replace(l, t, ''))) // length(t) + CASE WHEN contains(b, t) THEN 2 ELSE 0 END AS s
+  FROM (SELECT DISTINCT t FROM q), d WHERE contains(l, t) OR contains(b, t)),
+m AS (SELECT query_id, doc_id AS page_id, sum(times * s)::DOUBLE AS score FROM q JOIN s USING (t) GROUP BY query_id, doc_id)"""
+
+
+def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query(f"WITH {_MANY} SELECT query_id, page_id, score FROM m")
+def keyword_scores_by_index(spark, sf_dir):
+    """Every benchmark text as a query over all documents."""
+    return keyword_scores_many(gram_index(spark, sf_dir), store(spark, sf_dir).drop("source"), _many(spark, sf_dir))
+
+
+@query(f"WITH {_MANY} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id)::INT AS rank, page_id, score FROM m QUALIFY rank <= 10")
+def keyword_topk_by_index(spark, sf_dir):
+    return keyword_search_many(gram_index(spark, sf_dir), store(spark, sf_dir).drop("source"), _many(spark, sf_dir), 10)
+
+
+@query("SELECT conv_id AS request, turn AS ord, doc_id AS page_id, 1.0::DOUBLE AS score, d.text FROM conversations c JOIN documents d ON doc_id = conv_id + turn")
+def recall_requests(spark, sf_dir):
+    """Every turn asks for the page whose number is that of its conversation and its own together."""
+    asked = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request"), F.col("turn").alias("ord"), (F.col("conv_id") + F.col("turn")).alias("page_id"))
+    return recall_by_table(store(spark, sf_dir).drop("source"), asked)
+
+
 # --- conversations --------------------------------------------------------------------------------------
 
 
