@@ -172,11 +172,34 @@ def json_text(c: Column) -> Column:
     return F.substring(whole, F.lit(6), F.length(whole) - 6)
 
 
+_ENTRIES = "ARRAY<STRUCT<ord: INT, meta: STRING, pattern: STRING>>"
+
+
 def register(spark: SparkSession) -> None:
-    """Makes ``token_est``, ``template_id`` and ``page_fingerprint`` SQL functions of the session."""
+    """Makes SQL functions of the session: ``token_est``, ``template_id``, ``page_fingerprint``, ``encode_dict``, ``decode_dict``, and the table function ``line_pager``.
+
+    ``encode_dict(text, dictionary)`` and ``decode_dict(encoded, dictionary)`` take the entries of a dictionary as they are packed.
+    ``line_pager(TABLE(texts) PARTITION BY (path), page_chars)`` gives ``path``, ``page_id`` and ``text`` of a table with ``path`` and ``text``.
+    """
+    from ..operators.paging import LinePager
+
+    def folded_replace(name: str, take: str, give: str) -> str:
+        order = f"array_sort(transform(d, e -> named_struct('by', -length(e.{take}), 'ord', e.ord, 'take', e.{take}, 'give', e.{give})))"
+        return (
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING, d {_ENTRIES}) RETURNS STRING RETURN "
+            f"aggregate({order}, t, (acc, e) -> CASE WHEN e.take = '' THEN acc ELSE replace(acc, e.take, e.give) END)"
+        )
+
     # SQL user-defined functions are expanded by the optimiser; nothing runs outside the JVM
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION token_est(t STRING) RETURNS BIGINT RETURN (length(t) + 3) div 4")
-    spark.sql(
+    shown = f"filter(transform(split(t, r'{LINE_BREAK}'), x -> regexp_replace(x, r'^{SPACE}+|{SPACE}+$', '')), x -> x <> '')"
+    for sql in (
+        "CREATE OR REPLACE TEMPORARY FUNCTION token_est(t STRING) RETURNS BIGINT RETURN (length(t) + 3) div 4",
         "CREATE OR REPLACE TEMPORARY FUNCTION template_id(t STRING) RETURNS STRING RETURN "
-        r"left(sha1(encode(regexp_replace(regexp_replace(t, r'\p{Nd}+', '#'), r'(?i)[0-9a-f]{8,}', '#hex#'), 'UTF-8')), 16)"
-    )
+        r"left(sha1(encode(regexp_replace(regexp_replace(t, r'\p{Nd}+', '#'), r'(?i)[0-9a-f]{8,}', '#hex#'), 'UTF-8')), 16)",
+        "CREATE OR REPLACE TEMPORARY FUNCTION page_fingerprint(t STRING) RETURNS STRING RETURN "
+        f"concat(left(sha1(encode(t, 'UTF-8')), 12), '|', coalesce(substring(get({shown}, 0), 1, 60), ''))",
+        folded_replace("encode_dict", "pattern", "meta"),
+        folded_replace("decode_dict", "meta", "pattern"),
+    ):
+        spark.sql(sql)
+    spark.udtf.register("line_pager", LinePager)

@@ -13,6 +13,7 @@ from ..functions.session import cut
 from .codebook import decode
 from .compaction import CompactOptions, compact_messages, expand_messages, pack_messages
 from .packing import FlatOptions, flat_pack, in_order
+from .running import join_on
 
 KINDS = ("goal", "constraint", "outcome")
 CONDITIONS = ("raw", "compress", "compact", "lossy_truncate", "protect_compact")
@@ -26,10 +27,11 @@ def phrase_coverage(texts: DataFrame, gold: DataFrame, keys: Sequence[str], on:
     """How many of the phrases ``gold(type, phrase)`` each text has, both folded: ``(keys, type, hit, total, recall)``.
 
     With ``on`` a text is held only against the phrases that agree in these keys.  A phrase
-    of four words or more that stands in a text brings its second and third word there as
-    whole words, so texts and phrases meet by the hash of such a pair, once for each text
-    and pair; a shorter phrase meets by its first characters.  What meets is then looked
-    up in the text.  No text is held against phrases that it shares no such key with.
+    of four words or more that stands in a text brings the words between its first and its last there as whole
+    words, in pairs.  The pairs that phrases have are counted over all texts, and a phrase meets
+    texts by the hash of the pair that fewest of them have; one with a pair that no text has meets none.
+    A shorter phrase meets by its first characters.  What meets is then looked
+    up in the text.  A group is a pair and the texts that have it, and no phrase has a pair that is rarer than its own.
 
     Equal phrases of a type count as often as they are given.  An empty phrase is in every
     text, a null one in none; null texts have no row, nor has a text without phrases.
@@ -39,31 +41,36 @@ def phrase_coverage(texts: DataFrame, gold: DataFrame, keys: Sequence[str], on:
     phrases = gold.select(*on, "type", T.folded(F.col("phrase")).alias("_p"))
     totals = phrases.groupBy(*on, "type").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("_p") == "").alias("empty"))
     each = phrases.where("_p <> ''").groupBy(*on, "type", "_p").agg(F.count(F.lit(1)).alias("times")).withColumn("_w", F.split("_p", " "))
-    long = each.where(F.size("_w") >= 4).withColumn("_k", F.xxhash64(F.get("_w", F.lit(1)), F.get("_w", F.lit(2))))
+    inner = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))))
     short = each.where(F.size("_w") < 4).withColumn("_c", F.least(F.length("_p"), F.lit(HEAD))).withColumn("_k", F.xxhash64(F.left("_p", F.col("_c"))))
+    long = cut(each.where(F.size("_w") >= 4).select(*on, "type", "_p", "times", inner(F.col("_w")).alias("_ks")))
+    keyed = long.select("*", F.explode("_ks").alias("_k"))
 
     words = folded.select(*keys, F.split("_t", " ").alias("_w")).where(F.size("_w") >= 4)
-    pair = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))
-    pairs = words.select(*keys, F.explode(F.array_distinct(F.element_at(F.transform(F.array("_w"), pair), 1))).alias("_k"))
+    pairs = words.select(*keys, F.explode(F.element_at(F.transform(F.array("_w"), inner), 1)).alias("_k"))
+    # of the pairs of the texts those that a phrase has, once a text
+    met = cut(join_on(pairs, keyed.select(*on, "_k").distinct(), [*on, "_k"]))
+    often = met.groupBy(*on, "_k").agg(F.count(F.lit(1)).alias("_n"))
+    rare = join_on(keyed, often, [*on, "_k"]).groupBy(*on, "type", "_p", "times").agg(F.min(F.struct("_n", "_k"))["_k"].alias("_k"), (F.count(F.lit(1)) == F.size(F.first("_ks"))).alias("_all"))
     # the lengths that short phrases have, HEAD at most; without any, no text is cut
     sizes = F.broadcast(short.select("_c").distinct())
     starts = folded.select(*keys, "_t", F.explode(F.sequence(F.lit(1), F.lit(HEAD))).alias("_c")).join(sizes, "_c").where(F.length("_t") >= F.col("_c"))
     block = F.explode(F.sequence(F.lit(0), F.length("_t") - F.col("_c"), F.lit(1024))).alias("_b")
     blocks = starts.select(*keys, "_c", F.length("_t").alias("_n"), "_t", block).select(*keys, "_c", (F.col("_n") - F.col("_b")).alias("_n"), F.substring("_t", F.col("_b") + 1, F.lit(1024 + HEAD)).alias("_t"))
-    cut = lambda x: F.transform(F.sequence(F.lit(1), F.least(x["n"] - x["c"] + 1, F.lit(1024))), lambda i: F.xxhash64(F.substring(x["t"], i, x["c"])))
-    heads = F.element_at(F.transform(F.array(F.struct(F.col("_t").alias("t"), F.col("_n").alias("n"), F.col("_c").alias("c"))), cut), 1)
+    snip = lambda x: F.transform(F.sequence(F.lit(1), F.least(x["n"] - x["c"] + 1, F.lit(1024))), lambda i: F.xxhash64(F.substring(x["t"], i, x["c"])))
+    heads = F.element_at(F.transform(F.array(F.struct(F.col("_t").alias("t"), F.col("_n").alias("n"), F.col("_c").alias("c"))), snip), 1)
     heads = blocks.select(*keys, "_c", F.explode(F.array_distinct(heads)).alias("_k")).distinct()
 
     columns = [*dict.fromkeys([*keys, "type", "_p", "times"])]
-    near = pairs.join(long, [*on, "_k"]).select(*columns).union(heads.join(short, [*on, "_c", "_k"]).select(*columns)).distinct()
-    hits = near.join(folded, list(keys)).where(F.contains("_t", "_p")).groupBy(*keys, "type").agg(F.sum("times").alias("hit"))
+    near = join_on(met, rare.where("_all"), [*on, "_k"]).select(*columns).union(join_on(heads, short, [*on, "_c", "_k"]).select(*columns)).distinct()
+    hits = join_on(near, folded, keys).where(F.contains("_t", "_p")).groupBy(*keys, "type").agg(F.sum("times").alias("hit"))
     if on:
-        every = folded.select(*keys).join(totals, on)
+        every = join_on(folded.select(*keys), totals, on)
     else:  # a row a type: its name and two numbers
         types = [F.struct(F.lit(r.type).cast(gold.schema["type"].dataType).alias("type"), F.lit(r.total).alias("total"), F.lit(r.empty).alias("empty")) for r in totals.collect()]
         every = folded.select(*keys, F.inline(F.array(*types))) if types else folded.select(*keys).join(totals, F.lit(False))
     hit = F.col("empty") + F.coalesce("hit", F.lit(0))
-    return every.join(hits, [*keys, "type"], "left").select(*keys, "type", hit.alias("hit"), "total", F.round(hit / F.col("total"), 4).alias("recall"))
+    return join_on(every, hits, [*keys, "type"], "left").select(*keys, "type", hit.alias("hit"), "total", F.round(hit / F.col("total"), 4).alias("recall"))
 
 
 def micro_recall(coverage: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -91,6 +98,18 @@ def label_matches(labels: DataFrame, gold: DataFrame, keys: Sequence[str]) -> Da
     return out.select(*on, "tp", "fp", "fn", share("fp").alias("precision"), share("fn").alias("recall"))
 
 
+def micro_precision_recall(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, tp, fp, fn, micro_precision, micro_recall)`` over all types of :func:`label_matches`; 1 where there is nothing to divide by."""
+    sums = matches.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    share = lambda rest: F.when(F.col("tp") + F.col(rest) > 0, F.round(F.col("tp") / (F.col("tp") + F.col(rest)), 4)).otherwise(1.0)
+    return sums.withColumn("micro_precision", share("fp")).withColumn("micro_recall", share("fn"))
+
+
+def proxy_precision_recall(coverage: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What stands in where there are no labels: the recall of phrases (:func:`phrase_coverage`), as precision too."""
+    return micro_recall(coverage, keys).select(*keys, F.col("micro_recall").alias("micro_precision"), "micro_recall")
+
+
 def typology_jaccard(a: Column, b: Column) -> Column:
     """Mean over the typologies of how alike the cue phrases of two texts are."""
     each = [F.round(T.jaccard(T.cues(a, k), T.cues(b, k)), 4) for k in KINDS]
@@ -191,8 +210,14 @@ def summarise(scored: DataFrame) -> DataFrame:
 
 
 def layer_path_match(found: Column, expected: Column) -> Column:
-    """Whether all layers of an expected path are among those found, in whatever order; both are lists of names."""
-    return F.size(F.array_except(F.transform(expected, F.lower), F.transform(found, F.lower))) == 0
+    """The share of the distinct layers of an expected path that are among those found, to four digits, in whatever order; both are lists of names.
+
+    Without an expected path 1 if nothing was found either, else 0; a null list is an empty one.
+    """
+    none = F.array().cast("array<string>")
+    there, wanted = F.coalesce(found, none), F.array_distinct(F.coalesce(expected, none))
+    share = F.round(F.size(F.array_intersect(wanted, there)) / F.size(wanted), 4)
+    return F.when(F.size(wanted) > 0, share).when(F.size(there) == 0, 1.0).otherwise(0.0)
 
 
 #: How far apart two recalls are for one to count as better; what counts as exact, and as alike.

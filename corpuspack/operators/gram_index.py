@@ -24,6 +24,8 @@ FOLDERS, LIST_PAGES, GRAMS = 64, 65_536, 3
 END = "\x00"
 #: Pages verified for a query before the others are held against the worst of its best, as a multiple of those asked for.
 FIRST = 4
+#: Ids that are sent to the scan as a list.
+LISTED = 1000
 
 POSTINGS = "folder int, gram string, field int, shard int, n int, pages array<long>, counts array<int>"
 
@@ -217,9 +219,15 @@ def keyword_search_many(index: DataFrame, rows: DataFrame, queries: DataFrame, t
 def recall_by_table(rows: DataFrame, requests: DataFrame) -> DataFrame:
     """``(request, ord, page_id, score, text)``: a hit for every row of ``requests(request, ord, page_id)`` whose page is stored.
 
-    The requests may be of any number; they meet the store in a join, which Spark filters by the ids asked for where they are few.  Of stored rows that share an
-    id the one with the smallest fingerprint counts, as in :func:`recall.recall_by_ids`.
+    The requests may be of any number.  Up to :data:`LISTED` different ids are a filter of their own; more of them meet the store in a join, behind
+    a filter by the least and the greatest.  Either reaches the scan, and a store is sorted by id.  Requests without an id, and ids that aren't
+    stored, have no row.  Of stored rows that share an id the one with the smallest fingerprint counts, as in :func:`recall.recall_by_ids`.
     """
-    asked = requests.select("request", "ord", F.col("page_id").cast("long").alias("page_id"))
-    there = unique_pages(rows.join(asked.select("page_id").distinct(), "page_id", "left_semi"))
-    return decoded_pages(asked.join(there, "page_id"), ["request", "ord"]).select("request", "ord", "page_id", F.lit(1.0).alias("score"), "text")
+    asked = cut(requests.select("request", "ord", F.col("page_id").cast("long").alias("page_id")).where("page_id is not null"))
+    ids = cut(asked.select("page_id").distinct())
+    ends = ids.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    if ends.n <= LISTED:
+        there = rows.where(F.col("page_id").isin([r.page_id for r in ids.collect()]))
+    else:
+        there = rows.where(F.col("page_id").between(ends.low, ends.high)).join(ids, "page_id", "left_semi")
+    return decoded_pages(asked.join(unique_pages(there), "page_id"), ["request", "ord"]).select("request", "ord", "page_id", F.lit(1.0).alias("score"), "text")

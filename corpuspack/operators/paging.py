@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 
 
 def paginate(corpus: DataFrame, keys: Sequence[str], page_size: int, text: str = "text") -> DataFrame:
@@ -21,6 +23,35 @@ def paginate(corpus: DataFrame, keys: Sequence[str], page_size: int, text: str =
     return starts.select(*keys, F.floor(F.col("_at") / page_size).alias("page_id"), F.substring("_t", F.col("_at") + 1, F.lit(page_size)).alias("text"))
 
 
+def whole_line_pages(content: str, page_chars: int) -> Iterator[str]:
+    """Whole lines gathered until a page has ``page_chars`` characters."""
+    held, size = [], 0
+    for line in io.StringIO(content, newline="\n"):
+        held.append(line)
+        size += len(line)
+        if size >= page_chars:
+            yield "".join(held)
+            held, size = [], 0
+    if held:
+        yield "".join(held)
+
+
+@udtf(returnType="path string, page_id bigint, text string")
+class LinePager:
+    """The pages of :func:`line_pages` as a table function, for SQL: ``line_pager(TABLE(texts) PARTITION BY (path), page_chars)``.
+
+    Rows that share a path are one text after the other, whose pages are numbered through; a null text has none.
+    """
+
+    def __init__(self):
+        self.page = 0
+
+    def eval(self, row: Row, page_chars: int):
+        for page in whole_line_pages(row["text"] or "", page_chars):
+            yield row["path"], self.page, page
+            self.page += 1
+
+
 def line_pages(files: DataFrame, keys: Sequence[str], page_chars: int = 16_000, text: str = "text") -> DataFrame:
     """``(keys, page_id, text)``: whole lines gathered until a page has ``page_chars`` characters.
 
@@ -30,22 +61,10 @@ def line_pages(files: DataFrame, keys: Sequence[str], page_chars: int = 16_000,
     schema = T.StructType([*(files.schema[k] for k in keys), T.StructField("page_id", T.LongType()), T.StructField("text", T.StringType())])
 
     def run(batches) -> Iterator:
-        import io
-
         import pandas as pd
 
         for frame in batches:
-            pages = []
-            for *key, content in frame.itertuples(index=False, name=None):
-                held, size, page = [], 0, 0
-                for line in io.StringIO(content, newline="\n"):
-                    held.append(line)
-                    size += len(line)
-                    if size >= page_chars:
-                        pages.append((*key, page, "".join(held)))
-                        held, size, page = [], 0, page + 1
-                if held:
-                    pages.append((*key, page, "".join(held)))
+            pages = [(*key, i, page) for *key, content in frame.itertuples(index=False, name=None) for i, page in enumerate(whole_line_pages(content, page_chars))]
             yield pd.DataFrame(pages, columns=schema.names)
 
     return files.where(F.col(text).isNotNull()).select(*keys, text).mapInPandas(run, schema)

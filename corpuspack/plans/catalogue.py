@@ -141,6 +141,19 @@ def head_tail_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.head_tail(F.col("text"), F.lit(100)).alias("text"))
 
 
+@query("""WITH RECURSIVE l AS (SELECT doc_id, text, CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN s[:-2] ELSE s END AS l FROM (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM documents)),
+e AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) || CASE WHEN unnest(range(1, len(l) + 1)) < len(l) OR text LIKE '%' || chr(10) THEN chr(10) ELSE '' END AS line FROM l),
+r AS (
+  SELECT doc_id, i, line, 0 AS page, length(line) AS size FROM e WHERE i = 1
+  UNION ALL SELECT e.doc_id, e.i, e.line, CASE WHEN size >= 1000 THEN page + 1 ELSE page END, CASE WHEN size >= 1000 THEN length(e.line) ELSE size + length(e.line) END FROM r JOIN e ON e.doc_id = r.doc_id AND e.i = r.i + 1)
+SELECT doc_id::VARCHAR AS path, page::BIGINT AS page_id, string_agg(line, '' ORDER BY i) AS text FROM r GROUP BY doc_id, page""")
+def line_pager_sql(spark, sf_dir):
+    """The line pager as a table function, called from SQL."""
+    T.register(spark)
+    table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text").createOrReplaceTempView("corpuspack_texts")
+    return spark.sql("SELECT path, page_id, text FROM line_pager(TABLE(corpuspack_texts) PARTITION BY (path), 1000)")
+
+
 # --- mining and codebooks -----------------------------------------------------------------------------
 
 
@@ -212,6 +225,17 @@ def flat_encode_logs(spark, sf_dir):
     return P.flat_pack(logs(spark, sf_dir), ["user_id"], P.FlatOptions(min_freq=2, max_dict_size=128)).select("user_id", "encoded", "dictionary_entries")
 
 
+@query(rf"""WITH {S.flat("pages", "page_id", "html", 3, 10, 256)}
+SELECT page_id, encoded, text AS decoded, {S.tokens('encoded')}::BIGINT AS tokens, left(sha1(text), 12) || '|' || left(coalesce({S.filled('text')}[1], ''), 60) AS fingerprint,
+       left(sha1(regexp_replace(regexp_replace(text, '\d+', '#', 'g'), '[0-9a-fA-F]{{8,}}', '#hex#', 'g')), 16) AS template FROM packed""")
+def dictionary_sql(spark, sf_dir):
+    """Encoding and decoding by dictionaries, estimates, fingerprints and templates by SQL functions."""
+    T.register(spark)
+    P.flat_pack(spread(html(spark, sf_dir)), ["page_id"]).select("page_id", "text", "dictionary").createOrReplaceTempView("corpuspack_packed")
+    return spark.sql("""SELECT page_id, encoded, decode_dict(encoded, dictionary) AS decoded, token_est(encoded) AS tokens, page_fingerprint(text) AS fingerprint, template_id(text) AS template
+      FROM (SELECT *, encode_dict(text, dictionary) AS encoded FROM corpuspack_packed)""")
+
+
 # --- one dictionary for many rows ------------------------------------------------------------------------
 
 _JOINED = "joined AS (SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source)"
@@ -560,6 +584,33 @@ def phrase_coverage(spark, sf_dir):
     return E.phrase_coverage(table(spark, sf_dir, "documents").select("doc_id", "text"), gold, ["doc_id"])
 
 
+@query("""WITH p AS (SELECT conv_id, list(DISTINCT role) AS raw, list(DISTINCT role) FILTER (length(text) <= 200) AS kept FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN kept IS NULL THEN 0.0::DOUBLE ELSE round(len(list_intersect(raw, kept))::DOUBLE / len(raw), 4) END AS layer_path_match FROM p""")
+def layer_path_share(spark, sf_dir):
+    """Which share of a conversation's roles is left if its turns of over 200 characters go."""
+    paths = turns(spark, sf_dir).groupBy("conv_id").agg(F.collect_set("role").alias("raw"), F.collect_set(F.when(F.length("content") <= 200, F.col("role"))).alias("kept"))
+    return paths.select("conv_id", E.layer_path_match(F.col("kept"), F.col("raw")).alias("layer_path_match"))
+
+
+@query(f"""WITH g AS (SELECT conv_id, CASE WHEN role = 'user' THEN 'goal' ELSE 'outcome' END AS type, turn, {S.folded('text')} AS g FROM conversations),
+l AS (SELECT conv_id, type, i, {S.folded('s')} AS l FROM (
+  SELECT conv_id, CASE WHEN turn % 2 = 0 THEN 'goal' ELSE 'outcome' END AS type, turn * 100000 + unnest(range(len({S.sentences('text')}))) AS i, unnest({S.sentences('text')}) AS s FROM conversations)),
+m AS (SELECT l.conv_id, type, i, min(turn) AS turn FROM l JOIN g USING (conv_id, type) WHERE contains(l, g) OR contains(g, l) OR (length(g) > 12 AND contains(l, left(g, 20))) GROUP BY l.conv_id, type, i),
+t AS (
+  SELECT conv_id, sum(tp) AS tp, sum(said - good) AS fp, sum(gold - tp) AS fn FROM (
+    SELECT conv_id, type, coalesce(said, 0) AS said, coalesce(gold, 0) AS gold, coalesce(tp, 0) AS tp, coalesce(good, 0) AS good
+    FROM (SELECT conv_id, type, count(*) AS said FROM l GROUP BY ALL) FULL JOIN (SELECT conv_id, type, count(*) AS gold FROM g GROUP BY ALL) USING (conv_id, type)
+    LEFT JOIN (SELECT conv_id, type, count(DISTINCT turn) AS tp, count(*) AS good FROM m GROUP BY ALL) USING (conv_id, type)) GROUP BY conv_id)
+SELECT conv_id, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, CASE WHEN tp + fp > 0 THEN round(tp::DOUBLE / (tp + fp), 4) ELSE 1.0 END AS micro_precision, CASE WHEN tp + fn > 0 THEN round(tp::DOUBLE / (tp + fn), 4) ELSE 1.0 END AS micro_recall FROM t""")
+def label_micro(spark, sf_dir):
+    """The sentences of even turns as goals, of odd ones as outcomes, against what the roles say."""
+    talk = turns(spark, sf_dir)
+    kind = F.when(F.col("turn") % 2 == 0, "goal").otherwise("outcome")
+    labels = talk.select("conv_id", kind.alias("type"), F.explode(T.sentences(F.col("content"))).alias("label"))
+    gold = talk.select("conv_id", F.when(F.col("role") == "user", "goal").otherwise("outcome").alias("type"), F.col("turn").alias("ord"), F.col("content").alias("phrase"))
+    return E.micro_precision_recall(E.label_matches(labels, gold, ["conv_id"]), ["conv_id"])
+
+
 _PACKED = """pk AS (SELECT conv_id, string_agg('<<<' || upper(role) || '>>>' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS t, count(*) AS n FROM conversations GROUP BY conv_id)"""
 
 

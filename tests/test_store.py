@@ -1,6 +1,7 @@
 """Stored packs, the command line, streams under an input budget, and reports."""
 
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -160,6 +161,49 @@ def test_report(spark, tmp_path):
     E.write_report(spark.createDataFrame(rows, names), str(tmp_path / "r"))
     text = stored_text(spark, str(tmp_path / "r" / "markdown"))
     assert text.count("\n- ") == 4 and "| compact | 2 | 10.000 |" in text and spark.read.json(str(tmp_path / "r" / "json")).count() == 5
-    paths = spark.createDataFrame([(["A", "b", "c"], ["C", "B"], ["a", "d"])], "f array<string>, x array<string>, y array<string>")
-    got = paths.select(E.layer_path_match(F.col("f"), F.col("x")), E.layer_path_match(F.col("f"), F.col("y"))).first()
-    assert tuple(got) == (True, False)
+    paths = [(["a", "b"], ["a", "b", "c"], 0.6667), ([], [], 1.0), (["a"], [], 0.0), ([], ["a"], 0.0), (["c", "A", "b"], ["b", "c", "b"], 1.0), (["A"], ["a"], 0.0), (None, ["a"], 0.0), (None, None, 1.0)]
+    got = spark.createDataFrame(paths, "f array<string>, x array<string>, want double").select("want", E.layer_path_match(F.col("f"), F.col("x")).alias("is")).collect()
+    assert [r["is"] for r in got] == [r.want for r in got]
+
+
+def test_micro_precision_and_recall_as_counted_one_by_one(spark):
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(14)]
+    phrase = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(1, n)))
+    gold = [(c, t, i, phrase(6)) for c in range(12) for t in "gco" for i in range(rng.randrange(4))]
+    labels = [(c, t, phrase(9)) for c in range(13) for t in "gco" for _ in range(rng.randrange(4))]
+    matches = E.label_matches(spark.createDataFrame(labels, "c int, type string, label string"), spark.createDataFrame(gold, "c int, type string, ord int, phrase string"), ["c"])
+    got = {r.c: (r.tp, r.fp, r.fn, r.micro_precision, r.micro_recall) for r in E.micro_precision_recall(matches, ["c"]).collect()}
+    want = {}
+    for c in range(13):
+        tp = fp = fn = 0
+        for t in "gco":
+            g = [x[3] for x in gold if x[:2] == (c, t)]
+            hit, wrong = set(), 0
+            for label in (x[2] for x in labels if x[:2] == (c, t)):
+                at = next((j for j, x in enumerate(g) if x in label or label in x or (len(x) > 12 and x[:20] in label)), None)
+                hit, wrong = (hit, wrong + 1) if at is None else (hit | {at}, wrong)
+            tp, fp, fn = tp + len(hit), fp + wrong, fn + len(g) - len(hit)
+        want[c] = (tp, fp, fn, round(tp / (tp + fp), 4) if tp + fp else 1.0, round(tp / (tp + fn), 4) if tp + fn else 1.0)
+    assert {c: got.get(c, (0, 0, 0, 1.0, 1.0)) for c in want} == want
+    cover = spark.createDataFrame([(1, 3, 4), (2, 0, 0)], "c int, hit long, total long")
+    assert [tuple(r) for r in E.proxy_precision_recall(cover, ["c"]).orderBy("c").collect()] == [(1, 0.75, 0.75), (2, 1.0, 1.0)]
+
+
+def test_phrases_that_share_their_second_and_third_word(spark):
+    texts = [(i, " ".join(["so", "of", "the", f"thing{i}", f"name{i % 50}", "end"])) for i in range(400)]
+    phrases = [("t", f"x of the thing{i} name{i % 50} y") for i in range(300)] + [("t", f"so of the thing{i} name{i % 50} end") for i in range(200)]
+    df, gold = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(phrases, "type string, phrase string")
+    assert {r.id: r.hit for r in E.phrase_coverage(df, gold, ["id"]).collect()} == {i: int(i < 200) for i in range(400)}
+    # a phrase meets the texts of its rarest pair alone: one each, though all share a pair
+    seen = []
+    real = E.join_on
+    E.join_on = lambda left, right, keys, how="inner": seen.append(real(left, right, keys, how)) or seen[-1]
+    try:
+        E.phrase_coverage(df, gold, ["id"]).count()
+    finally:
+        E.join_on = real
+    met = [d for d in seen if {"id", "_k", "_p", "times"} <= set(d.columns) and "_c" not in d.columns]
+    assert len(met) == 1 and met[0].groupBy("_k").count().agg(F.max("count")).first()[0] <= 2
+    nulls = spark.createDataFrame([(None, "one two three four five")], "id long, text string")
+    assert [tuple(r) for r in E.phrase_coverage(nulls, spark.createDataFrame([("t", "one two three four")], "type string, phrase string"), ["id"]).collect()] == [(None, "t", 1, 1, 1.0)]
