@@ -1,8 +1,8 @@
 """Embedding near-duplicates by iterative quantisation.
 
-A rotation is learned for balanced binary codes (ITQ), the codes are filed in
-multi-index Hamming tables, and what meets in a table is compared by cosine on
-the original vectors.
+Rotations are learned for balanced binary codes (ITQ).  A vector's code, the bits of all rotations, is cut into
+substrings, each filed in a table of its own: a multi-index of the code, in which vectors meet that
+agree in a whole substring.  What meets is compared by cosine on the original vectors.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ AIM = 0.995
 CENTRES = (1.0, 0.75, 0.5, 0.25, 0.0)
 #: What filing a vector in one more table costs, counted in comparisons of two vectors.
 FILED = 200
-#: Whole labels are compared where they are no larger than a block, or where tables would cost more times as much.
+#: Whole labels are compared where no code parts the vectors: where all tables together would compare every pair more than so many times.
 TOO_DEAR = 2.0
-#: Bits of a key, at most; vectors of one length that the rotations are learned from, at least.
-LONGEST_KEY, LEAST_SAMPLE = 24, 50
+#: Bits of a key, at least and at most; vectors of one length that the rotations are learned from, at least.
+SHORTEST_KEY, LONGEST_KEY, LEAST_SAMPLE = 4, 24, 50
 #: Vectors of the sample that plans are compared on.
 TRIED = 4_000
 
@@ -145,15 +145,13 @@ def plan(sample, labels, largest: int, threshold: float, aim: float = AIM) -> Co
     Short keys need few tables, long ones leave few vectors in a bucket; how full buckets
     get is measured on the ``sample`` (unit vectors, with their ``labels``).  Taking its
     mean off balances the codes but widens angles, so it asks for more tables; without it
-    buckets are fuller where vectors share a direction.  Parts of the mean are tried, and
-    no bits at all: one table of whole labels, which misses nothing, where labels have few
-    vectors or ones so alike that no code parts them.
+    buckets are fuller where vectors share a direction.  Parts of the mean are tried.  Labels of every size go
+    through codes; where the vectors are so alike that none parts them there are no bits at all: one table of whole labels, which misses nothing.
     """
     import numpy as np
 
     mean = sample.mean(0)
-    whole = FILED + largest
-    best, chosen = whole * (1.0 if largest <= BLOCK else TOO_DEAR), (0, 1, mean)
+    best, chosen = math.inf, (0, 1, mean)
     tried, tried_labels = sample[:TRIED], np.unique(np.asarray(labels)[:TRIED], return_inverse=True)[1]
     pairs = lambda keys: float((n := np.unique(keys, return_counts=True)[1].astype(float)) @ (n - 1))
     together = max(1.0, pairs(tried_labels))
@@ -161,7 +159,7 @@ def plan(sample, labels, largest: int, threshold: float, aim: float = AIM) -> Co
         centre = part * mean
         norms = np.linalg.norm(sample - centre, axis=1)
         ones = learn(tried, sample.shape[1], 1, rounds=10, centre=centre).bits_of(tried)
-        for bits in range(2, min(LONGEST_KEY, ones.shape[1]) + 1):
+        for bits in range(min(SHORTEST_KEY, ones.shape[1]), min(LONGEST_KEY, ones.shape[1]) + 1):
             tables = plan_tables(bits, threshold, aim, norms)
             if tables is None or tables * FILED >= best:
                 break  # longer keys need more tables
@@ -169,7 +167,7 @@ def plan(sample, labels, largest: int, threshold: float, aim: float = AIM) -> Co
             # at least what balanced bits would leave: a sample can't show less than one pair
             full = max(pairs(keys) / together, 2.0**-bits)
             cost = tables * (FILED + full * largest)
-            if cost < best:
+            if cost < best and tables * full <= TOO_DEAR:
                 best, chosen = cost, (bits, tables, centre)
     bits, tables, centre = chosen
     return learn(sample, bits, tables, centre=centre)
@@ -293,3 +291,16 @@ def near_vectors(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, least(a, min(b)) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(vec_id = coalesce(component_id, vec_id), false) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bond, line_templates, mixing, vptree
+from . import bond, embed_dedup, line_templates, mixing, vptree
 from .bond import hard_negatives
 from .common import held_out, scratch_path
 from .embed_dedup import near_vectors
@@ -113,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator; the others are tested against brute force."""
     return {
+        "op1_embedding_near_dedup": embed_dedup.ORACLE_SQL,
         "op3_source_mixing": mixing.ORACLE_SQL,
         "op6_line_dedup": line_templates.ORACLE_SQL,
         "op7_nearest_neighbours": vptree.ORACLE_SQL,

@@ -238,3 +238,28 @@ def test_links_of_vectors_with_a_common_direction(spark, length):
     want = int((v @ v.T >= 0.93).sum()) - len(v)
     got = near_vectors(df, 0.93).agg(F.sum("n_links")).first()[0]
     assert want >= 5_000 and 0.99 * want <= got <= want
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_the_given_labels_go_through_codes(spark, sf):
+    """Pairs at the threshold planted into the given vectors are found by codes that leave most pairs apart."""
+    path = f"/root/testdata/sf{sf}/embeddings.parquet"
+    rows = spark.read.parquet(path).collect()
+    rng = np.random.default_rng(4)
+    v = np.array([r.embedding for r in rows], dtype=float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    w = rng.normal(size=v.shape)
+    w -= (w * v).sum(1)[:, None] * v
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    near = 0.9301 * v + np.sqrt(1 - 0.9301**2) * w
+    label = [r.label for r in rows]
+    largest = max(label.count(x) for x in set(label))
+    codes = plan(v, label, largest, 0.93)
+    mine, theirs = codes.keys(v), codes.keys(near)
+    assert codes.bits >= 4 and codes.tables > 1 and (mine == theirs).any(1).mean() >= 0.98
+    apart = ~(mine[:, None] == mine[None]).any(2) if len(v) < 1000 else ~(mine[:500, None] == mine[None, :500]).any(2)
+    assert apart.mean() > 0.5
+    every = [(r.vec_id, x.tolist(), r.label) for r, x in zip(rows, v)] + [(1_000_000 + r.vec_id, x.tolist(), r.label) for r, x in zip(rows, near)]
+    got = near_vectors(spark.createDataFrame(every, "vec_id long, embedding array<double>, label int"), 0.93)
+    found = got.where("vec_id >= 1000000 and component_id = vec_id - 1000000").count()
+    assert found >= 0.98 * len(rows)
