@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.session import cut
 from .codebook import EMPTY, decode, dictionary_arrays, encode
-from .packing import FlatOptions, apply_dictionary, build_dictionary, dictionary_lines, in_order
+from .packing import FlatOptions, apply_dictionary, build_dictionary, dictionary_lines, encode_texts, in_order
 from .running import join_on, sums_before
 
 
@@ -46,9 +46,8 @@ def cold_rows(pages: DataFrame, keys: Sequence[str], options: BudgetOptions = Bu
     within = [*keys, "page_id"]
     texts = pages.where("text is not null").select(*within, "text")
     local = FlatOptions(min_freq=options.min_freq, max_dict_size=options.max_local_dict)
-    arrays = dictionary_arrays(build_dictionary(texts, within, local), within)
     text = F.col("text")
-    return apply_dictionary(texts, arrays, within, local).select(
+    return encode_texts(texts, within, local).select(
         *within, T.template_id(text).alias("template_id"), T.page_fingerprint(text).alias("fingerprint"),
         T.length(text).alias("original_chars"), T.token_estimate(text).alias("original_tokens_est"),
         "encoded", F.col("dictionary").alias("local_dictionary"), F.left(text, F.lit(2000)).alias("exemplar"),

@@ -35,6 +35,11 @@ def ranked(counted: DataFrame, keys: Sequence[str], src: int, min_freq: int, lim
     return best.select(*keys, F.lit(src).alias("src"), "pattern", "cnt", "len", "score", "rank")
 
 
+def dealt(corpus: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """The texts, dealt by scope.  Whatever starts from the same table shares one shuffle of it."""
+    return corpus.where(F.col(text).isNotNull()).select(*keys, text).repartition(*keys)
+
+
 def _once(value: Column, f) -> Column:
     """``f`` of a value that is computed once; an expression in a lambda would be computed at every element."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -51,9 +56,11 @@ def mine_ngrams(
     ``min_freq`` of 1 acts as 2.  Null texts have no patterns.
     """
     keys, need = list(keys), max(2, min_freq)
-    texts = corpus.where(F.col(text).isNotNull()).select(*keys, T.units(F.col(text)).alias("us")).where(F.size("us") >= 2).repartition(*keys)
+    # no filter on what is computed from a text: it would be computed once more, ahead of the shuffle
+    texts = dealt(corpus, keys, text).select(*keys, T.units(F.col(text)).alias("us"))
+    starts = lambda us: F.when(F.size(us) >= 2, F.sequence(F.lit(0), F.size(us) - 2)).otherwise(F.array().cast("array<int>"))
     pair = lambda us, i: F.struct(F.concat(F.get(us, i), F.lit(" "), F.get(us, i + 1)).alias("p"), i.alias("at"))
-    pairs = _once(F.col("us"), lambda us: F.array_sort(F.transform(F.sequence(F.lit(0), F.size(us) - 2), lambda i: pair(us, i))))
+    pairs = _once(F.col("us"), lambda us: F.array_sort(F.transform(starts(us), lambda i: pair(us, i))))
 
     def often(s: Column) -> Column:
         """Places of the pairs of which a sorted array has ``need`` or more, in the order of the text."""
@@ -68,7 +75,7 @@ def mine_ngrams(
         ahead = lambda p, k: F.size(F.filter(F.sequence(F.lit(1), F.lit(max_len)), lambda j: F.coalesce(F.get(at, k + j) == p + j, F.lit(False))))
         return F.transform(at, lambda p, k: F.struct(p.alias("pos"), F.slice(us, p + 1, F.least(ahead(p, k) + 2, F.lit(max_len))).alias("run")))
 
-    found = texts.select(*keys, "us", _once(pairs, often).alias("at")).where(F.size("at") > 0)
+    found = texts.select(*keys, "us", _once(pairs, often).alias("at"))
     both = _once(F.struct("at", "us"), lambda x: runs(x["at"], x["us"]))
     grams = found.select(*keys, F.inline(both)).where(F.size("run") >= min_len)
     grams = grams.select(*keys, "pos", "run", F.explode(F.sequence(F.lit(min_len), F.size("run"))).alias("n"))
@@ -80,7 +87,7 @@ def mine_ngrams(
 def mine_lines(corpus: DataFrame, keys: Sequence[str], text: str = "text", min_freq: int = 2, min_line_len: int = 16, limit: int = 300) -> DataFrame:
     """Whole lines that repeat."""
     keys = list(keys)
-    texts = corpus.where(F.col(text).isNotNull()).select(*keys, text).repartition(*keys)
+    texts = dealt(corpus, keys, text)
     found = texts.select(*keys, F.posexplode(T.lines(F.col(text))).alias("pos", "pattern")).where(F.length("pattern") >= min_line_len)
     counted = found.groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("found"))
     return ranked(counted, keys, 1, min_freq, limit, [F.col("found")])
@@ -91,7 +98,7 @@ def mine_chars(
 ) -> DataFrame:
     """Windows of characters, each length sampled at a quarter of it."""
     keys = list(keys)
-    texts = corpus.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("t"), F.length(text).alias("size")).repartition(*keys)
+    texts = dealt(corpus, keys, text).select(*keys, F.col(text).alias("t"), F.length(text).alias("size"))
     # a substring is counted from the start of its string, so windows are taken from blocks of the text
     block = F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(BLOCK))).alias("from")
     blocks = texts.select(*keys, "t", "size", block).select(*keys, "size", "from", F.substring("t", F.col("from") + 1, F.lit(BLOCK + max(lengths))).alias("b"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .codebook import EMPTY, decode, dictionary_arrays, encode, meta_style, select_dictionary
-from .mining import merge_candidates, mine_chars, mine_lines, mine_ngrams
+from .mining import dealt, merge_candidates, mine_chars, mine_lines, mine_ngrams
 from .paging import paginate
 from .running import join_on
 
@@ -42,7 +42,7 @@ def candidates(corpus: DataFrame, keys: Sequence[str], options: FlatOptions) ->
 
 def build_dictionary(corpus: DataFrame, keys: Sequence[str], options: FlatOptions = FlatOptions()) -> DataFrame:
     """The entries ``(keys, ord, meta, pattern, cnt)`` of each scope of ``corpus(keys, text)``."""
-    styles = corpus.select(*keys, meta_style(F.col("text"), options.meta_style).alias("style"))
+    styles = dealt(corpus, keys).select(*keys, meta_style(F.col("text"), options.meta_style).alias("style"))
     return select_dictionary(candidates(corpus, keys, options), styles, keys, options.max_dict_size)
 
 
@@ -83,15 +83,24 @@ def apply_dictionary(corpus: DataFrame, dictionaries: DataFrame, keys: Sequence[
     return met.withColumn("meta_style", meta_style(F.col("text"), options.meta_style))
 
 
+def encode_texts(corpus: DataFrame, keys: Sequence[str], options: FlatOptions = FlatOptions()) -> DataFrame:
+    """``(keys, text, dictionary, encoded, meta_style)``: every text of ``corpus(keys, text)`` behind a dictionary of its own.
+
+    Keys are taken to be unique; null texts are left out.  The texts are shuffled once, by all keys
+    together; mining, choice and encoding follow where they lie.
+    """
+    texts = corpus.where("text is not null").select(F.struct(*keys).alias("_scope"), "text")
+    arrays = dictionary_arrays(build_dictionary(texts, ["_scope"], options), ["_scope"])
+    return apply_dictionary(dealt(texts, ["_scope"]), arrays, ["_scope"], options).select("_scope.*", "text", "dictionary", "encoded", "meta_style")
+
+
 def flat_pack(corpus: DataFrame, keys: Sequence[str], options: FlatOptions = FlatOptions()) -> DataFrame:
     """Packs every text of ``corpus(keys, text)`` behind a dictionary of its own, losslessly.
 
     Adds ``dictionary`` (ordered entries), ``encoded``, ``meta_style``, ``system_dictionary``,
     ``packed_prompt`` and the token figures.  Keys are taken to be unique; null texts are left out.
     """
-    texts = corpus.where("text is not null").select(*keys, "text")
-    arrays = dictionary_arrays(build_dictionary(texts, keys, options), keys)
-    packed = apply_dictionary(texts, arrays, keys, options)
+    packed = encode_texts(corpus, keys, options)
     packed = packed.withColumn("system_dictionary", system_dictionary(F.col("dictionary")))
     packed = packed.withColumn("packed_prompt", F.concat("system_dictionary", F.lit("\n\nENCODED_BODY:\n"), "encoded"))
     return packed.select("*", *metrics(*map(F.col, ("text", "encoded", "dictionary", "packed_prompt"))))
@@ -110,8 +119,7 @@ def encode_pages(corpus: DataFrame, keys: Sequence[str], options: HierarchicalOp
     pages = paginate(corpus, keys, options.page_size)
     local = FlatOptions(min_freq=options.min_freq, max_dict_size=options.max_local_dict)
     within = [*keys, "page_id"]
-    arrays = dictionary_arrays(build_dictionary(pages, within, local), within)
-    encoded = apply_dictionary(pages, arrays, within, local)
+    encoded = encode_texts(pages, within, local)
     return encoded.select(
         *within, "encoded", F.col("dictionary").alias("local_dictionary"), T.length(F.col("text")).alias("original_chars"),
         T.hierarchical_fingerprint(F.col("text")).alias("fingerprint"),
@@ -169,6 +177,6 @@ def hierarchical_unpack(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 __all__ = [
-    "FlatOptions", "HierarchicalOptions", "apply_dictionary", "build_dictionary", "candidates", "encode_pages",
+    "FlatOptions", "HierarchicalOptions", "apply_dictionary", "build_dictionary", "candidates", "encode_pages", "encode_texts",
     "flat_pack", "hierarchical_pack", "hierarchical_unpack",
 ]

@@ -12,10 +12,14 @@ from ..functions.session import cut
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Joins on equal keys, of which null equals null; the keys come from ``left``."""
+    """Joins on equal keys, of which null equals null; the keys come from ``left``.
+
+    Keys that can't be null, such as a struct of all keys, are joined plainly: rows that are dealt by them stay where they are.
+    """
     theirs = {k: f"_right_{k}" for k in keys}
     named = right.select(*[F.col(k).alias(n) for k, n in theirs.items()], *[c for c in right.columns if c not in theirs])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in theirs.items()])
+    null = lambda k: left.schema[k].nullable or right.schema[k].nullable
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) if null(k) else F.col(k) == F.col(n) for k, n in theirs.items()])
     return left.join(named, same, how).drop(*theirs.values())
 
 

@@ -164,17 +164,17 @@ def line_patterns(spark, sf_dir):
 
 @query(f"WITH {S.ngrams('documents', 'doc_id', 'text', 3, 10)} SELECT doc_id, pattern, cnt, len::BIGINT AS len, score::BIGINT AS score, rank::INT AS rank FROM ngrams")
 def ngram_patterns(spark, sf_dir):
-    return mine_ngrams(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"], max_len=10, min_freq=3).drop("src")
+    return mine_ngrams(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], max_len=10, min_freq=3).drop("src")
 
 
 @query(f"WITH {S.ngrams('pages', 'page_id', 'html', 3, 12)} SELECT page_id, pattern, cnt, len::BIGINT AS len, score::BIGINT AS score, rank::INT AS rank FROM ngrams")
 def ngram_patterns_html(spark, sf_dir):
-    return mine_ngrams(spread(html(spark, sf_dir)), ["page_id"], max_len=12, min_freq=3).drop("src")
+    return mine_ngrams(html(spark, sf_dir), ["page_id"], max_len=12, min_freq=3).drop("src")
 
 
 @query(f"WITH {S.chars('pages', 'page_id', 'html', 3)} SELECT page_id, pattern, cnt, len::BIGINT AS len, score::BIGINT AS score, rank::INT AS rank FROM chars")
 def char_ngrams(spark, sf_dir):
-    return mine_chars(spread(html(spark, sf_dir)), ["page_id"], min_freq=3).drop("src")
+    return mine_chars(html(spark, sf_dir), ["page_id"], min_freq=3).drop("src")
 
 
 _HTML_MERGED = ",".join([S.ngrams("pages", "page_id", "html", 3, 10), S.whole_lines("pages", "page_id", "html", 2), S.chars("pages", "page_id", "html", 3), S.merged("page_id", ["ngrams", "lines", "chars"])])
@@ -182,14 +182,14 @@ _HTML_MERGED = ",".join([S.ngrams("pages", "page_id", "html", 3, 10), S.whole_li
 
 @query(f"WITH {_HTML_MERGED} SELECT page_id, pattern, cnt, len::BIGINT AS len, score::BIGINT AS score, rank::INT AS rank FROM merged")
 def merged_candidates(spark, sf_dir):
-    texts = spread(html(spark, sf_dir))
+    texts = html(spark, sf_dir)
     groups = [mine_ngrams(texts, ["page_id"], max_len=10), mine_lines(texts, ["page_id"]), mine_chars(texts, ["page_id"])]
     return merge_candidates(groups, ["page_id"])
 
 
 @query(f"WITH {_HTML_MERGED}, {S.gated('pages', 'page_id', 'html', 256)} SELECT page_id, ord::INT AS ord, meta, pattern, cnt FROM entries")
 def dictionary_select(spark, sf_dir):
-    return P.build_dictionary(spread(html(spark, sf_dir)), ["page_id"], P.FlatOptions(use_char_ngrams=True))
+    return P.build_dictionary(html(spark, sf_dir), ["page_id"], P.FlatOptions(use_char_ngrams=True))
 
 
 _FLAT_DOCS = S.flat("documents", "doc_id", "text", 3, 10, 256)
@@ -197,14 +197,14 @@ _FLAT_DOCS = S.flat("documents", "doc_id", "text", 3, 10, 256)
 
 @query(f"WITH {_FLAT_DOCS} SELECT doc_id, encoded, dictionary_entries::BIGINT AS dictionary_entries, system_dictionary || chr(10) || chr(10) || 'ENCODED_BODY:' || chr(10) || encoded AS packed_prompt FROM packed")
 def flat_encode(spark, sf_dir):
-    return P.flat_pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"]).select("doc_id", "encoded", "dictionary_entries", "packed_prompt")
+    return P.flat_pack(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).select("doc_id", "encoded", "dictionary_entries", "packed_prompt")
 
 
 @query("SELECT page_id, html AS text FROM pages")
 def flat_roundtrip(spark, sf_dir):
     from ..operators.codebook import decode
 
-    packed = P.flat_pack(spread(html(spark, sf_dir)), ["page_id"])
+    packed = P.flat_pack(html(spark, sf_dir), ["page_id"])
     return packed.select("page_id", decode(F.col("encoded"), F.col("dictionary")).alias("text"))
 
 
@@ -213,7 +213,7 @@ m AS (SELECT page_id, {S.tokens('text')} AS o, {S.tokens('encoded')} AS c, {S.to
 SELECT page_id, o::BIGINT AS original_tokens, c::BIGINT AS compressed_tokens, d::BIGINT AS dictionary_tokens, p::BIGINT AS packed_tokens,
        round({S.ratio('p', 'o')}, 6) AS ratio, round({S.factor('p', 'o')}, 6) AS compression_factor, dictionary_entries::BIGINT AS dictionary_entries FROM m""")
 def compression_metrics(spark, sf_dir):
-    packed = P.flat_pack(spread(html(spark, sf_dir)), ["page_id"])
+    packed = P.flat_pack(html(spark, sf_dir), ["page_id"])
     return packed.select(
         "page_id", "original_tokens", "compressed_tokens", "dictionary_tokens", "packed_tokens",
         F.round("ratio", 6).alias("ratio"), F.round("compression_factor", 6).alias("compression_factor"), "dictionary_entries",
@@ -231,7 +231,7 @@ SELECT page_id, encoded, text AS decoded, {S.tokens('encoded')}::BIGINT AS token
 def dictionary_sql(spark, sf_dir):
     """Encoding and decoding by dictionaries, estimates, fingerprints and templates by SQL functions."""
     T.register(spark)
-    P.flat_pack(spread(html(spark, sf_dir)), ["page_id"]).select("page_id", "text", "dictionary").createOrReplaceTempView("corpuspack_packed")
+    P.flat_pack(html(spark, sf_dir), ["page_id"]).select("page_id", "text", "dictionary").createOrReplaceTempView("corpuspack_packed")
     return spark.sql("""SELECT page_id, encoded, decode_dict(encoded, dictionary) AS decoded, token_est(encoded) AS tokens, page_fingerprint(text) AS fingerprint, template_id(text) AS template
       FROM (SELECT *, encode_dict(text, dictionary) AS encoded FROM corpuspack_packed)""")
 

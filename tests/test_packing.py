@@ -124,3 +124,16 @@ def test_template_and_fingerprint(spark):
     assert a.t != b.t and b.f == hashlib.sha1(b" id 7 ffffffff\nx").hexdigest()[:12] + "|id 7 ffffffff"
     T.register(spark)
     assert spark.sql("select token_est('abcde'), template_id('id 5')").first() == (2, hashlib.sha1(b"id #").hexdigest()[:16])
+
+
+def test_packing_shuffles_the_texts_once(spark, tmp_path):
+    """Miners, styles and encoding start from one shuffle; nothing is computed from a text ahead of it."""
+    path = str(tmp_path / "t")
+    rows(spark, [LOG] * 20).write.parquet(path)
+    packed = P.flat_pack(spark.read.parquet(path), ["id"], P.FlatOptions(use_char_ngrams=True)).select("id", "packed_prompt")
+    packed.collect()
+    plan = packed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shuffles = [x for x in plan.split("\n") if "Exchange" in x and "BroadcastExchange" not in x]
+    assert sum("ReusedExchange" not in x for x in shuffles) == 1 and len(shuffles) >= 4
+    below = plan.split("REPARTITION_BY_COL")[-1]
+    assert "split(" not in below.split("FileScan")[0]
