@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
 from .functions import text as T
 from .functions.session import cut
 from .operators import packing as P
@@ -19,16 +20,21 @@ from .sources import tables
 
 
 # Names of commands and options, and their defaults, are those of an interface (fixed values).
+#: Where results go if it isn't said (folders, as Spark writes).
+OUT = {"compress": "packed", "decompress": "decompressed", "hierarchical": "hierarchical_packed", "scale-compress": "budgeted_packed", "compact": "compacted"}
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="corpuspack", description=__doc__)
+    top.add_argument("--version", action="version", version=f"corpuspack {__version__}")
     sub = top.add_subparsers(dest="command", required=True)
 
-    def command(name: str, out: bool = True) -> argparse.ArgumentParser:
+    def command(name: str) -> argparse.ArgumentParser:
         one = sub.add_parser(name)
         if name not in ("recall", "suite"):
-            one.add_argument("--file", required=True)
-        if out:
-            one.add_argument("--out", required=True)
+            one.add_argument("--file", "-f", required=True)
+        if name in OUT:
+            one.add_argument("--out", "-o", default=OUT[name])
         return one
 
     one = command("compress")
@@ -37,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--no-lines", action="store_true")
     command("decompress")
     command("hierarchical").add_argument("--page-size", type=int, default=4000)
-    command("metrics", out=False)
+    command("metrics")
     one = command("scale-compress")
     one.add_argument("--input-budget", type=int, default=10_000_000)
     one.add_argument("--output-budget", type=int, default=1_000_000)
@@ -46,15 +52,15 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--budget", type=int, default=8000)
     one.add_argument("--mode", default="auto", choices=["auto", "lossless_dict", "lossy_stub"])
     one.add_argument("--keep-last", type=int, default=4)
-    one = command("recall", out=False)
+    one = command("recall")
     one.add_argument("--store", required=True)
     one.add_argument("--page-id", action="append", default=[])
     one.add_argument("--page-ids", default="")
     one.add_argument("--query")
     one.add_argument("--top-k", type=int, default=5)
     one.add_argument("--method", default="keyword", choices=["keyword", "embedding"])
-    one.add_argument("--out")
-    command("suite", out=False)
+    one.add_argument("--out", "-o")
+    command("suite")
     return top
 
 

@@ -24,9 +24,9 @@ HIGH_VALUE = (
 )
 #: Cues of each typology (fixed patterns).
 CUES = {
-    "goal": r"(?i)\b(goal|i want|i need|aim to|objective|intend|purpose)\b.{0,80}",
-    "constraint": r"(?i)\b(cannot|can't|must not|constraint|budget|deadline|require|only if|unless)\b.{0,80}",
-    "outcome": r"(?i)\b(outcome|result|therefore|consequently|yields|leads to)\b.{0,80}",
+    "goal": r"(?i)\b(goal|i want|i need|aim to|objective|intend|purpose)\b[^\n]{0,80}",
+    "constraint": r"(?i)\b(cannot|can't|must not|constraint|budget|deadline|require|only if|unless)\b[^\n]{0,80}",
+    "outcome": r"(?i)\b(outcome|result|therefore|consequently|yields|leads to)\b[^\n]{0,80}",
 }
 
 

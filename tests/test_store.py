@@ -60,6 +60,15 @@ def test_metrics_of_a_text_and_errors(spark, source, capsys):
     assert cli.main(["suite"]) == 0
 
 
+def test_options_have_short_names_and_defaults(capsys):
+    args = cli.parser().parse_args(["compress", "-f", "in.txt"])
+    assert (args.file, args.out, args.min_freq) == ("in.txt", "packed", 3)
+    assert cli.parser().parse_args(["recall", "--store", "s", "-o", "x"]).out == "x" and cli.parser().parse_args(["compact", "-f", "m"]).out == "compacted"
+    with pytest.raises(SystemExit) as end:
+        cli.main(["--version"])
+    assert end.value.code == 0 and capsys.readouterr().out.startswith("corpuspack ")
+
+
 def test_compact_command(spark, tmp_path):
     path = tmp_path / "m.json"
     path.write_text(json.dumps([{"role": "user", "content": "hello there"}, {"role": "assistant", "content": "hi"}]))
