@@ -246,8 +246,7 @@ def _source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page_id"), "text")
 
 
-#: Small parts, so that the sources of the given tables have many of them.
-_SCOPE_OPTIONS = ScopeOptions(min_freq=3, max_dict_size=256, part_chars=50_000)
+_SCOPE_OPTIONS = ScopeOptions(min_freq=3, max_dict_size=256)
 
 
 @query(f"WITH {_SCOPE} SELECT source, ord::INT AS ord, meta, pattern, cnt FROM entries")

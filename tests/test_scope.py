@@ -23,8 +23,10 @@ def made_pages(seed, n=120):
     return [*rows, ("one", 5, "alone " * 40), ("none", 1, ""), ("a", 10**15, "far\x85out status=200 msg=ok retry=none"), ("b", -(2**62), None)]
 
 
-@pytest.mark.parametrize("seed,part_chars", [(0, 300), (1, 1 << 20), (2, 900)])
-def test_a_dictionary_over_rows_is_that_of_the_joined_text(spark, seed, part_chars):
+@pytest.mark.parametrize("seed,part_chars,sent", [(0, 300, 0), (1, 1 << 20, 10**6), (2, 900, 10**6)])
+def test_a_dictionary_over_rows_is_that_of_the_joined_text(spark, monkeypatch, seed, part_chars, sent):
+    monkeypatch.setattr(S, "SENT_PATTERNS", sent)
+    monkeypatch.setattr(S, "SENT_SCOPES", sent)
     rows = made_pages(seed)
     pages = spark.createDataFrame(rows, "k string, page_id long, text string").repartition(3)
     joined = {}
