@@ -9,8 +9,9 @@ radius plus the one bit that may differ, so it meets its near-duplicates at
 their home.  Only anchors that are the home of some fingerprint are compared.
 The halves only bring candidates together; all 64 bits decide.
 
-Groups by similarity (:func:`first_of_groups`) take twice as wide a fingerprint, compare
-at every anchor within distance 2, and verify what is near by the sets of shingles.
+Groups by similarity (:func:`first_of_groups`) take twice as wide a fingerprint of pairs of
+words, compare at every anchor within distance 2 and at the anchors of segments of the
+text, and verify what is near by the sets of shingles, until no candidate is left.
 """
 
 from __future__ import annotations
@@ -28,10 +29,14 @@ from .components import connected_components
 THRESHOLD = 3
 #: Members of an anchor that are compared in one group.
 BLOCK = 4096
-#: Words of 64 bits in a wide fingerprint.
-WIDE = 2
-#: Bits by which fingerprints may differ beyond the average at the similarity asked for: one and a half standard deviations.
-SLACK = 6
+#: Words of 64 bits in a wide fingerprint, and how many of its 32-bit parts have anchors.
+WIDE, PARTS = 2, 3
+#: Words to a feature of a wide fingerprint.  A changed word changes two of these but five of the shingles.
+FEATURE = 2
+#: Segments of a text that have an anchor of their own.
+SEGMENTS = 8
+#: Bits by which fingerprints may differ beyond the average at the similarity asked for: two and a half standard deviations.
+SLACK = 10
 
 
 def shingle_hashes(text: bytes | None, shingle: int, seed: int = 42):
@@ -72,11 +77,11 @@ def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
     return int.from_bytes(majority(shingle_hashes(text, shingle, seed)), "little")
 
 
-def wide_fingerprint(text: bytes | None, shingle: int) -> bytes:
-    """A SimHash of ``WIDE`` words of 64 bits: the first of the hashes themselves, the others of mixed ones."""
+def wide_fingerprint(text: bytes | None) -> bytes:
+    """A SimHash of ``WIDE`` words of 64 bits over the set of runs of ``FEATURE`` words: the first of their hashes, the others of mixed ones."""
     import numpy as np
 
-    hashes, found = shingle_hashes(text, shingle), []
+    hashes, found = np.unique(shingle_hashes(text, FEATURE)), []
     for _ in range(WIDE):
         found.append(majority(hashes))
         hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -84,6 +89,23 @@ def wide_fingerprint(text: bytes | None, shingle: int) -> bytes:
     return b"".join(found)
 
 
+def segment_anchors(hashes):
+    """The anchors of a text's segments: the homes of both halves of each segment's fingerprint, as signed numbers.
+
+    A text is cut at the ``SEGMENTS - 1`` least hashes of its shingles, so that most cuts stay where they are
+    when something is put in or taken out elsewhere.
+    """
+    import numpy as np
+
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    least = np.argpartition(hashes, SEGMENTS - 2)[: SEGMENTS - 1] if len(hashes) >= SEGMENTS else np.arange(len(hashes))
+    parts = [part for part in np.split(hashes, np.sort(least)) if len(part)]
+    fps = np.frombuffer(b"".join(map(majority, parts)), dtype="<u8")
+    low, high = (next(covering(fps >> np.uint64(32 * half)))[0].astype(np.int64) for half in (0, 1))
+    return np.unique(low | (high << 32))
+
+
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """``(doc_id, fp)``, a row for each document; ``fp`` has the fingerprint's bits as a signed long."""
 
@@ -99,17 +121,34 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, text_hash, fp)``, a row for each document, with its wide fingerprint."""
+    """``(doc_id, text_hash, node, fp0, fp1, segments)``, a row for each document: what its text is known by.
+
+    ``node`` is a hash of the set of its shingles, ``fp0`` and ``fp1`` are its wide fingerprint, and ``segments``
+    the anchors of its segments.
+    """
 
     def run(batches) -> Iterator:
+        import numpy as np
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
-            fps = [wide_fingerprint(t.as_py(), shingle) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], names=["doc_id", "text_hash", "fp"])
+            nodes, fps, segments = [], [], []
+            for text in batch.column(2):
+                text = text.as_py()
+                hashes = shingle_hashes(text, shingle)
+                nodes.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes()))
+                fps.append(wide_fingerprint(text))
+                segments.append(segment_anchors(hashes))
+            words = np.frombuffer(b"".join(fps), dtype="<i8").reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), *map(pa.array, words.T.copy()),
+                 pa.array(segments, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "node", "fp0", "fp1", "segments"],
+            )
 
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("binary"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, fp binary")
+    return source.mapInArrow(run, "doc_id long, text_hash long, node long, fp0 long, fp1 long, segments array<long>")
 
 
 def covering(half):
@@ -149,21 +188,27 @@ def anchors(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
 
 
-def wide_anchors(fps: DataFrame) -> DataFrame:
-    """``(anchor, fp)``: each wide fingerprint at every anchor of its halves within distance 2."""
+def wide_anchors(nodes: DataFrame) -> DataFrame:
+    """``(anchor, node, fp0, fp1)``: each node at every anchor of its parts within distance 2, and at those of its segments."""
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            fp = batch.column(0)
-            words = np.frombuffer(b"".join(fp.to_pylist()), dtype="<u8").reshape(-1, WIDE)
-            for half in range(2 * WIDE):
-                for word, rows, _ in covering(words[:, half // 2] >> np.uint64(32 * (half % 2))):
-                    yield pa.record_batch({"anchor": pa.array(word.astype(np.int64) + (half << 31)), "fp": fp.take(pa.array(rows))})
+            words = np.column_stack([batch.column(i).to_numpy() for i in (1, 2)]).view(np.uint64)
+            known = pa.RecordBatch.from_arrays(batch.columns[:3], names=["node", "fp0", "fp1"])
 
-    return fps.select("fp").mapInArrow(run, "anchor long, fp binary")
+            def at(anchor, rows):
+                return pa.RecordBatch.from_arrays([pa.array(anchor), *known.take(pa.array(rows)).columns], names=["anchor", "node", "fp0", "fp1"])
+
+            for part in range(PARTS):
+                for word, rows, _ in covering(words[:, part // 2] >> np.uint64(32 * (part % 2))):
+                    yield at(word.astype(np.int64) + (part << 31), rows)
+            of = batch.column(3)
+            yield at(of.flatten().to_numpy(), np.repeat(np.arange(len(of)), np.diff(of.offsets.to_numpy())))
+
+    return nodes.select("node", "fp0", "fp1", "segments").mapInArrow(run, "anchor long, node long, fp0 long, fp1 long")
 
 
 def _near(table, starts, fp, bits: int) -> Iterator:
@@ -215,12 +260,14 @@ def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select(*keys, "fp", "own").mapInArrow(run, "a long, b long").distinct()
 
 
-def wide_links(fps: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
-    """``(a, b)``: pairs of wide fingerprints of ``fps`` (distinct) that share an anchor and differ in at most ``bits`` bits.
+def candidates(members: DataFrame, bits: int, most: int) -> DataFrame:
+    """The next ``most`` nearest candidates of each member within its group.
 
-    Not all pairs: in a group each member is linked with the nearest one before it and the nearest one after it.
+    ``members`` has ``(anchor, bi, bj, own, node, fp0, fp1)``, and where they come from an earlier call also
+    ``label``, ``at`` and ``past``: a member's component and how far its candidates have been given.
+    Candidates are of another component and differ in at most ``bits`` bits; they go by the number of these
+    and a hash.  Members with candidates come back with ``next``, ``at``, ``past`` and ``more``, whether there are further ones.
     """
-    groups = split_hot(wide_anchors(fps), ["anchor"], "fp", block)
     keys = ["anchor", "bi", "bj"]
 
     def run(batches) -> Iterator:
@@ -228,33 +275,53 @@ def wide_links(fps: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
         import pyarrow as pa
 
         for table, starts in sorted_runs(batches, keys):
-            column = table.column("fp").combine_chunks() if table.column("fp").num_chunks != 1 else table.column("fp").chunk(0)
-            fp = np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, WIDE)
-            after, before = np.full((2, len(fp)), bits + 1), np.full((2, len(fp)), -1)
-            for i, j, differing in _near(table, starts, fp, bits):
-                for side, (one, other) in enumerate(((i, j), (j, i))):  # each row stands once on a side
-                    nearer = differing < after[side, one]
-                    after[side, one[nearer]] = differing[nearer]
-                    before[side, one[nearer]] = other[nearer]
-            side, one = np.nonzero(before >= 0)
-            if len(one):
-                other = before[side, one]
-                yield pa.record_batch({"a": column.take(pa.array(np.minimum(one, other))), "b": column.take(pa.array(np.maximum(one, other)))})
-
-    dealt = groups.repartition(*keys).sortWithinPartitions(*keys)
-    found = dealt.select(*keys, "fp", "own").mapInArrow(run, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            node, *words = (table.column(c).to_numpy() for c in ("node", "fp0", "fp1"))
+            seen = "label" in table.column_names
+            label = table.column("label").to_numpy() if seen else node
+            at = table.column("at").to_numpy() if seen else np.full(len(node), -1)
+            past = table.column("past").to_numpy() if seen else node
+            place = (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)  # one to one
+            more, held = np.zeros(len(node), dtype=bool), [np.zeros((3, 0), dtype=np.int64)]
+
+            def best():
+                row, other, differing = np.concatenate(held, axis=1)
+                order = np.lexsort((place[other], differing, row))
+                row, other, differing = row[order], other[order], differing[order]
+                opens = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, dtype=np.int64)
+                rank = np.arange(len(row)) - np.repeat(opens, np.diff(np.append(opens, len(row))))
+                more[row[rank >= most]] = True
+                return np.stack((row, other, differing))[:, rank < most]
+
+            for i, j, differing in _near(table, starts, np.column_stack(words).view(np.uint64), bits):
+                apart = label[i] != label[j]
+                for row, other in ((i, j), (j, i)):
+                    open_ = apart & ((differing > at[row]) | (differing == at[row]) & (place[other] > past[row]))
+                    held.append(np.stack((row[open_], other[open_], differing[open_])))
+                if sum(h.shape[1] for h in held[1:]) > 1_000_000:
+                    held = [best()]
+            row, other, differing = best()
+            if not len(row):
+                continue
+            last = np.flatnonzero(np.append(row[1:] != row[:-1], True))
+            members = table.select([*keys, "own", "node", "fp0", "fp1"]).take(pa.array(row[last])).combine_chunks()
+            given = pa.ListArray.from_arrays(pa.array(np.append(0, last + 1), pa.int32()), pa.array(node[other]))
+            yield from members.append_column("next", given).append_column("at", pa.array(differing[last])).append_column(
+                "past", pa.array(place[other[last]])).append_column("more", pa.array(more[row[last]])).to_batches()
+
+    dealt = members.repartition(*keys).sortWithinPartitions(*keys)
+    schema = "anchor long, bi int, bj int, own int, node long, fp0 long, fp1 long, next array<long>, at long, past long, more boolean"
+    return dealt.mapInArrow(run, schema)
 
 
 def similar(links: DataFrame, docs: DataFrame, vertices: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The ``links`` whose documents have at least this Jaccard similarity of their sets of shingles.
 
-    ``vertices(fp, first)`` names the document, ``docs`` has its text.  Only linked documents are read for it.
+    ``vertices(node, first)`` names the document, ``docs`` has its text.  Only linked documents are read for it.
     """
-    linked = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "fp")
-    named = vertices.join(linked, "fp").select("fp", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    linked = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "node")
+    named = vertices.join(linked, "node").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(named, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("fp", "text")
+    texts = texts.join(named, (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -264,20 +331,47 @@ def similar(links: DataFrame, docs: DataFrame, vertices: DataFrame, shingle: int
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    sets = cut(texts.mapInArrow(run, "fp binary, set array<long>").dropDuplicates(["fp"]))
-    of = lambda end: sets.select(F.col("fp").alias(end), F.col("set").alias(f"set_{end}"))
+    sets = cut(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]))
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     near = both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both)
     return links.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
 
 
-def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
-    """``(fp, first, component)`` for ``vertices(fp, first)``: the least fingerprint that each one reaches over ``links``."""
+def components(vertices: DataFrame, links: DataFrame, key: str = "fp") -> DataFrame:
+    """``(key, first, component)`` for ``vertices(key, first)``: the least key that each one reaches over ``links``."""
     component = connected_components(links)
-    group = vertices.join(component.withColumnRenamed("node", "fp"), "fp", "left")
-    return group.select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    group = vertices.join(component.withColumnRenamed("node", key), key, "left")
+    return group.select(key, "first", F.coalesce("component", key).alias("component"))
+
+
+def similar_groups(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+    """``(node, first, component)`` for ``nodes``: the least node that each one reaches over pairs of this similarity.
+
+    The nearest candidate of every member of an anchor is verified first.  Later rounds take up members that have further
+    candidates in other components than their own by then, eight times as many at once in each round, until there are none.
+    So each candidate is verified or joined by others, but a group of copies with edits is not listed in pairs.
+    """
+    vertices = nodes.select("node", "first")
+    members = split_hot(wide_anchors(nodes), ["anchor"], "node", block).select("anchor", "bi", "bj", "own", "node", "fp0", "fp1")
+    bits, most, tested, good = differing_bits(similarity) + SLACK, 1, None, None
+    while True:
+        found = cut(candidates(members, bits, most))
+        ends = found.select("node", F.explode("next").alias("other"))
+        links = ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        links = cut(links if tested is None else links.join(tested, ["a", "b"], "left_anti"))
+        near = similar(links, docs, vertices, shingle, similarity)
+        tested, good = (links, near) if tested is None else (tested.union(links), good.union(near))
+        good = cut(good)
+        group = components(vertices, good, "node")
+        open_ = found.where("more")
+        if open_.isEmpty():
+            return group
+        group = cut(group)
+        members = open_.drop("next", "more").join(group.select("node", F.col("component").alias("label")), "node")
+        most *= 8
 
 
 def differing_bits(similarity: float) -> int:
@@ -289,28 +383,27 @@ def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """``docs`` with one row for each group of near-duplicates, whatever ids the rows have.
 
     Near are texts with at least this Jaccard ``similarity`` of their sets of shingles of
-    ``shingle`` words.  Pairs are looked for at the anchors of the four halves of wide
-    fingerprints, among those that differ in no more bits than such sets do, give or take;
-    the sets themselves decide.  Of pairs at a similarity of 0.8 the anchors bring about half
-    together, at 0.85 three quarters, at 0.9 nine tenths, at 0.95 nearly all.  In a group of
-    many near texts each is compared with the nearest ones only.  Copies are one vertex.
+    ``shingle`` words.  Pairs are looked for at the anchors of wide fingerprints and of
+    segments, among those whose fingerprints differ in no more bits than such sets do, give
+    or take; the sets themselves decide, for every candidate (:func:`similar_groups`).
+    Fingerprints find words changed here and there, segments what is put in or taken out
+    in one place.  Texts of equal sets are one vertex.
 
     That with the smallest ``doc_id`` stays, null ids last; of rows that repeat the id,
     that with the smallest hash of its text.  Ids don't bring rows together: texts
     that are not near each other stay, also where they share an id or have none.  Null and
-    empty texts are one group.  An empty table gives an empty result; all columns stay.
+    empty texts are one group.  An empty table gives an empty result; all columns stay, whatever their names.
     """
-    seen = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    vertices = cut(wide_fingerprints(docs, shingle).groupBy("fp").agg(F.min(seen).alias("first")))
-    links = cut(wide_links(vertices, differing_bits(similarity) + SLACK, block))
-    group = components(vertices, similar(links, docs, vertices, shingle, similarity))
+    seen = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "fp0", "fp1", "segments")
+    nodes = wide_fingerprints(docs, shingle).groupBy("node").agg(F.min(seen).alias("s"))
+    nodes = cut(nodes.select("node", F.struct("s.none", "s.doc_id", "s.text_hash").alias("first"), "s.fp0", "s.fp1", "s.segments"))
+    group = similar_groups(docs, nodes, shingle, similarity, block)
     first = group.groupBy("component").agg(F.min("first").alias("first"))
-    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    met = keyed.join(first, (F.col("_text") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    once = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy(*(rest or ["doc_id"])))  # equal rows stay once
-    return met.withColumn("_n", once).where("_n = 1").select(*docs.columns)
+    first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("text_hash"), F.col("doc_id").cast("long").alias("id"))
+    met = keyed.join(first, (F.col("text_hash") == F.col("first_hash")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+    once = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("row"))  # equal rows stay once
+    return met.withColumn("nth", once).where("nth = 1").select("row.*")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, block: int = BLOCK) -> DataFrame:

@@ -128,6 +128,64 @@ def test_first_of_groups(spark, block):
     assert first_of_groups(df.limit(0)).count() == 0
 
 
+def test_pairs_at_the_similarity(spark):
+    """Of pairs at 0.8 to 0.85, with words changed here and there or a part put in, at the end or taken off, 0.9 are found."""
+    rng = random.Random(23)
+    words, odds = [f"w{i}" for i in range(20_000)], [1 / (i + 3) for i in range(20_000)]
+    sets = lambda t: set(shingle_hashes(t.encode(), 5).tolist())
+    rows = []
+    for k in range(160):
+        n = (80, 200, 400, 2500)[k % 4]
+        text = rng.choices(words, odds, k=n)
+        while True:
+            w, new = list(text), rng.choices(words, odds, k=round(n * rng.uniform(0.1, 0.26)))
+            at = (rng.randrange(n), n, None, 0)[k // 4 % 4]
+            if at is None:
+                for i in rng.sample(range(n), max(1, round(n * rng.uniform(0.015, 0.03)))):
+                    w[i] = rng.choice(words)
+            elif at:
+                w[at:at] = new
+            else:
+                w = w[len(new):]
+            a, b = sets(" ".join(text)), sets(" ".join(w))
+            if 0.8 <= len(a & b) / len(a | b) < 0.85:
+                break
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(w))]
+    kept = {r.doc_id for r in first_of_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * k for k in range(160)} <= kept
+    assert sum(2 * k + 1 not in kept for k in range(160)) >= 0.9 * 160
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_farther_candidates_are_verified(spark, block):
+    """Families whose members are all near in bits, some of them similar: groups are those of brute force."""
+    rng = random.Random(29)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for _ in range(6):
+        family = [[rng.choice(words) for _ in range(250)]]
+        for _ in range(24):
+            w = list(rng.choice(family))
+            for at in rng.sample(range(250), rng.choice((2, 4, 7, 9))):
+                w[at] = rng.choice(words)
+            family.append(w)
+        rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate(family)]
+    sets = {i: set(shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = least_reachable(sorted(sets), linked)
+    kept = {r.doc_id for r in first_of_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    firsts = set(want.values())
+    assert len(firsts) > 12 and firsts <= kept and len(kept - firsts) <= 3
+
+
+def test_equal_fingerprints_of_other_sets(spark):
+    """Texts with the same pairs of words but other shingles stay apart; columns may have any name."""
+    rows = [(1, "a b a b a b a b"), (2, "a b a b"), (3, "a b a b a b"), (4, "A b a B")]
+    df = spark.createDataFrame([(i, t, "x", 1, "y", 2, 3) for i, t in rows], "doc_id long, text string, _id string, _hash int, _text string, _n int, node int")
+    got = first_of_groups(df).collect()
+    assert {r.doc_id for r in got} == {1, 2} and all(r[2:] == ("x", 1, "y", 2, 3) for r in got)
+
+
 def test_plan_tables_and_rotation():
     for bits in (3, 8, 13):
         tables = plan_tables(bits, 0.93)
