@@ -102,13 +102,24 @@ def shard_by_hilbert(docs: DataFrame, shards: int = 8, bits: int = BITS, slices:
     rows that repeat a ``doc_id`` each have a slot.  An empty table gives an
     empty result; other columns are ignored.
     """
+    columns = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert")
+    return _placed(docs, shards, bits, slices).select(*columns)
+
+
+def _group(text: Column) -> Column:
+    """What equal texts share."""
+    return F.coalesce(F.md5(F.encode(text, "UTF-8")), F.lit("null"))
+
+
+def _placed(docs: DataFrame, shards: int, bits: int, slices: int) -> DataFrame:
+    """The rows of :func:`shard_by_hilbert` with their ``group``."""
     text = F.col("text")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     top = (1 << bits) - 1
 
     thin = cut(docs.select(
         "doc_id", size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.coalesce(F.md5(F.encode(text, "UTF-8")), F.lit("null")).alias("group"),
+        _group(text).alias("group"),
         F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), F.col("source").cast("string"), F.col("lang").cast("string"),
     ))
     graded = thin.select("group", "slice", "size", "source", "lang")
@@ -148,16 +159,22 @@ def shard_by_hilbert(docs: DataFrame, shards: int = 8, bits: int = BITS, slices:
     slot = F.col("row") - F.col("opens") + F.col("ahead") + F.row_number().over(in_slice) - 1
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "hilbert",
+        F.lit(None).cast("int").alias("grown_shard"), "hilbert", "group",
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, file_rows: int = 1_000_000) -> None:
     """Writes ``docs`` as Parquet, a folder for each shard, rows in curve order, so that files can be skipped by any dimension.
 
-    Joined by ``doc_id``, which has to be unique and not null.
+    Every row is written once: those with a null ``doc_id`` and those that repeat one too.  Columns
+    that are already called ``shard``, ``slot`` or ``hilbert`` are replaced; others may have any name.
     """
-    placed = shard_by_hilbert(docs, shards).select("doc_id", "shard", "slot", "hilbert")
-    named = docs.drop("shard", "slot", "hilbert").join(placed, "doc_id")
+    nth = F.row_number().over(Window.partitionBy("id", "group").orderBy(F.lit(1)))  # rows of one id and text share out their slots
+    placed = _placed(docs, shards, BITS, SLICES).select(F.col("doc_id").alias("id"), "group", "shard", "slot", "hilbert").withColumn("nth", nth)
+    row = F.struct("*").alias("row")
+    rows = docs.drop("shard", "slot", "hilbert").select(row, F.col("doc_id").alias("id"), _group(F.col("text")).alias("group")).withColumn("nth", nth)
+    r, p = rows.alias("r"), placed.alias("p")
+    same = (F.col("r.group") == F.col("p.group")) & (F.col("r.nth") == F.col("p.nth")) & F.col("r.id").eqNullSafe(F.col("p.id"))
+    named = r.join(p, same).select("r.row.*", "p.shard", "p.slot", "p.hilbert")
     dealt = named.repartition("shard", F.floor(F.col("slot") / file_rows)).sortWithinPartitions("shard", "slot")
     dealt.write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -111,20 +111,21 @@ def recurring(lines: DataFrame) -> DataFrame:
 
 
 def _drops(lines: DataFrame, found: DataFrame, keep_first: bool) -> DataFrame:
-    """``(_id, _th, _drop)``: which lines and parts a text is to lose."""
+    """``(id, th, drop, parts)``: which lines and parts a text is to lose."""
     # a table of its own, so that the join can split a line that very many documents share
     hit = lines.select("doc_id", "th", "pos", "part", "h").join(cut(found), "h")
     if keep_first:
         hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return hit.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(
-        F.collect_set(F.when(F.col("part") < 0, F.col("pos"))).alias("_drop"),
-        F.collect_set(F.when(F.col("part") >= 0, F.struct("pos", "part"))).alias("_parts"),
+    return hit.groupBy(F.col("doc_id").alias("id"), "th").agg(
+        F.collect_set(F.when(F.col("part") < 0, F.col("pos"))).alias("drop"),
+        F.collect_set(F.when(F.col("part") >= 0, F.struct("pos", "part"))).alias("parts"),
     )
 
 
 def _met(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
-    return docs.join(drops, on, "left").drop("_id", "_th")
+    """``(row, drop, parts)``: each row of ``docs`` as a struct, so that its columns may have any names."""
+    on = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("th"))
+    return docs.select(F.struct("*").alias("row")).join(drops, on, "left").select("row", "drop", "parts")
 
 
 def _once(value: Column, f) -> Column:
@@ -159,11 +160,11 @@ def drop_recurring_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     plain = docs.drop("n_lines", "n_dropped")
     lines = units(plain)
     met = _met(plain, _drops(lines, recurring(lines), keep_first))
-    gone = F.coalesce(F.size("_drop"), F.lit(0)).cast("long")
-    left = F.array_join(_stay(F.split("text", "\n"), F.col("_drop")), "\n")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left)
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    return met.select(*[text.alias("text") if c == "text" else F.col(c) for c in plain.columns], n_lines.alias("n_lines"), gone.alias("n_dropped"))
+    gone, own = F.coalesce(F.size("drop"), F.lit(0)).cast("long"), F.col("row.text")
+    left = F.array_join(_stay(F.split(own, "\n"), F.col("drop")), "\n")
+    text = F.when(F.col("drop").isNull(), own).otherwise(left)
+    n_lines = F.coalesce(F.length(own) - F.length(F.replace(own, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    return met.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in plain.columns], n_lines.alias("n_lines"), gone.alias("n_dropped"))
 
 
 def drop_recurring_passages(docs: DataFrame, keep_first: bool = True) -> DataFrame:
@@ -181,20 +182,21 @@ def drop_recurring_passages(docs: DataFrame, keep_first: bool = True) -> DataFra
     found = exact.unionByName(recurring(lines)).groupBy("h").agg(F.min("first").alias("first"))
     met = _met(docs, _drops(lines, found, keep_first))
 
-    marked = F.split(F.when(F.contains("text", F.lit(MARK)), F.col("text")).otherwise(F.regexp_replace("text", SENTENCE, f"$1{MARK}")), "\n")
-    lost = F.array_distinct(F.transform("_parts", lambda p: p["pos"]))
+    own = F.col("row.text")
+    texts_own = F.contains(own, F.lit(MARK))  # then there are no parts, and the mark stays
+    marked = F.split(F.when(texts_own, own).otherwise(F.regexp_replace(own, SENTENCE, f"$1{MARK}")), "\n")
+    lost = F.array_distinct(F.transform("parts", lambda p: p["pos"]))
 
     def rest(x: Column, i: Column) -> Column:
         """A line without its lost parts; null if none is left of those that it had."""
-        gone = F.transform(F.filter("_parts", lambda p: p["pos"] == i), lambda p: p["part"])
+        gone = F.transform(F.filter("parts", lambda p: p["pos"] == i), lambda p: p["part"])
         left = F.array_join(_stay(F.split(x, MARK), gone), "")
         return F.when(~F.array_contains(lost, i), F.translate(x, MARK, "")).when(left != "", left)
 
-    texts_own = F.contains("text", F.lit(MARK))  # then there are no parts, and the mark stays
-    split = F.when(texts_own, F.split("text", "\n")).otherwise(F.transform(marked, rest))
-    left = F.array_join(F.filter(_stay(split, F.col("_drop")), lambda x: x.isNotNull()), "\n")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left)
-    return met.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    split = F.when(texts_own, F.split(own, "\n")).otherwise(F.transform(marked, rest))
+    left = F.array_join(F.filter(_stay(split, F.col("drop")), lambda x: x.isNotNull()), "\n")
+    text = F.when(F.col("drop").isNull(), own).otherwise(left)
+    return met.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""

@@ -134,18 +134,18 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` as the mix takes them: documents of 0 copies go, others are repeated; all columns stay.
+    """``docs`` as the mix takes them: documents of 0 copies go, others are repeated; all columns stay, whatever their names.
 
     Parameters as for :func:`mix_sources`.  Decisions are joined back by id, source
     and a hash of the text; rows that agree in these share out their copies.
     """
-    a, b = F.xxhash64("doc_id", "source").alias("_ka"), F.xxhash64("text", F.lit(17)).alias("_kb")
-    decided = mix_sources(docs, keep=(a, b), **parameters).groupBy("_ka", "_kb")
-    decided = decided.agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")).where("_copies[0] > 0")
-    met = docs.select("*", a, b).join(decided, ["_ka", "_kb"])
-    nth = F.row_number().over(Window.partitionBy("_ka", "_kb").orderBy(F.lit(1)))
-    met = met.withColumn("_n", F.get("_copies", nth - 1)).where("_n > 0")
-    return met.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    a, b = F.xxhash64("doc_id", "source").alias("ka"), F.xxhash64("text", F.lit(17)).alias("kb")
+    decided = mix_sources(docs, keep=(a, b), **parameters).groupBy("ka", "kb")
+    decided = decided.agg(F.sort_array(F.collect_list("copies"), asc=False).alias("dealt")).where("dealt[0] > 0")
+    met = docs.select(F.struct("*").alias("row"), a, b).join(decided, ["ka", "kb"])
+    nth = F.row_number().over(Window.partitionBy("ka", "kb").orderBy(F.lit(1)))
+    met = met.withColumn("n", F.get("dealt", nth - 1)).where("n > 0")
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
 
 
 ORACLE_SQL = r"""

@@ -51,6 +51,8 @@ class Encoder:
     show where each part does.
 
     The text ``<|endoftext|>`` is the added token of that name, as the library has it.
+
+    A file of another kind (see :meth:`_can_cut`) is used on whole texts.
     """
 
     def __init__(self, path: str):
@@ -61,11 +63,25 @@ class Encoder:
         #: ids of parts that follow a space or begin with a line end: those met lately, and those met before that
         self._recent: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
+        self._cuts = self._can_cut()
         names = self._tokenizer.get_vocab()
         self._opens = np.zeros(max(names.values()) + 1, dtype=bool)  # whether a piece begins with a space
         self._opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         self._marks = dict(zip(MARKS, self._whole(list(MARKS))))
 
+    def _can_cut(self) -> bool:
+        """Whether the file is a byte-level BPE with the library's own pattern, no normaliser, and no added token with white space or options."""
+        import json
+
+        said = json.loads(self._tokenizer.to_str())
+        before, model = said["pre_tokenizer"] or {}, said["model"]
+        return (
+            said["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
+            and model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+            and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in said["added_tokens"])
+        )
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         said = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in said]
@@ -116,6 +132,9 @@ class Encoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        if not self._cuts:
+            said = [ids + end for ids in self._whole([t or "" for t in texts])]
+            return np.frombuffer(b"".join(said), dtype="<u4"), np.append(0, np.cumsum([len(x) // 4 for x in said], dtype=np.int64))
         if len(self._recent) > REMEMBERED // 2:  # what isn't met again by the next time is forgotten
             self._older, self._recent = self._recent, {}
         known = self._recent

@@ -7,7 +7,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuspack.llm import common, queries, simhash
+from corpuspack.llm import common, line_templates, mixing, queries, simhash
 from tests.test_queries import compare
 
 SF = "/root/testdata/sf0.001"
@@ -77,6 +77,19 @@ def test_stages_on_odd_tables(spark):
             assert set(out.text.dropna()) <= {r[1] for r in rows}
 
 
+def test_clashing_names(spark):
+    """Columns that operators use names like keep their values."""
+    text = ["the first line of a text that is here twice over\nown words", "the first line of a text that is here twice over\nother words", "alone"]
+    names = ["_id", "_th", "_drop", "_parts", "_ka", "_kb", "_copies", "_n", "_text", "_hash", "id", "th", "drop", "parts", "row", "ka", "kb", "dealt", "n", "nth", "node", "first"]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(text)], "doc_id long, text string, lang string, source string")
+    docs = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for f in (line_templates.drop_recurring_lines, line_templates.drop_recurring_passages, simhash.first_of_groups, mixing.mixed_documents):
+        got = f(docs).collect()
+        assert len(got) >= 2 and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names), f
+        if f in (line_templates.drop_recurring_lines, line_templates.drop_recurring_passages):
+            assert {r.text for r in got} == {text[0], "other words", "alone"}
+
+
 def test_passages_that_two_documents_share(spark):
     said = lambda tag, n=12: " ".join(f"{tag}{chr(97 + i)}" for i in range(n)) + "."
     passage = " ".join(said(f"p{chr(97 + i)}") for i in range(5))

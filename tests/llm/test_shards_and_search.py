@@ -147,6 +147,10 @@ def test_shards(spark, tmp_path):
     group = max(sum(r.size for r in got if text[r.doc_id] == t) for t in set(text.values()))
     assert max(sizes) - min(sizes) <= 2 * group
     assert shard_by_hilbert(df.limit(0)).count() == 0
-    unique = df.where("doc_id < 2000")
-    write_shards(unique, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == unique.count()
+    odd = df.withColumn("group", F.lit("g")).withColumn("nth", F.lit(3)).withColumn("id", F.lit("i"))  # nulls, repeats and clashing names
+    write_shards(odd, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    of = lambda d: sorted(map(str, ((r.doc_id, r.text, r.source, r.lang, r.group, r.nth, r.id) for r in d.collect())))
+    assert of(back) == of(odd)
+    places = sorted((r.shard, r.slot) for r in back.collect())
+    assert places == sorted((r.shard, r.slot) for r in got)
