@@ -37,6 +37,8 @@ FEATURE = 2
 SEGMENTS = 8
 #: Bits by which fingerprints may differ beyond the average at the similarity asked for: two and a half standard deviations.
 SLACK = 10
+#: Bins of a sketch, a byte each; and by how many standard deviations its estimate may fall short of the similarity asked for.
+BINS, SURE = 256, 3
 
 
 def shingle_hashes(text: bytes | None, shingle: int, seed: int = 42):
@@ -106,6 +108,40 @@ def segment_anchors(hashes):
     return np.unique(low | (high << 32))
 
 
+def sketch(distinct) -> bytes:
+    """A byte for each bin of a set of sorted hashes: of the least hash that falls into it, 0 if none does."""
+    import numpy as np
+
+    if not len(distinct):
+        return bytes(BINS)
+    width = (1 << 64) // BINS
+    edges = np.arange(BINS + 1).astype(object) * width
+    opens = np.append(np.searchsorted(distinct, edges[:-1].astype(np.uint64)), len(distinct))
+    least = distinct[np.minimum(opens[:-1], len(distinct) - 1)]
+    return np.where(opens[1:] > opens[:-1], least % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
+
+
+def may_reach(similarity: float, sizes, sketches, i, j):
+    """Which of the pairs ``(i, j)`` of sets may have this Jaccard similarity, by their sizes (exactly) and sketches.
+
+    Of the bins that either set has, the share with the same least hash estimates the similarity.  Its deviation
+    is that of as many draws without replacement from the union, which for short texts is hardly any.
+    """
+    import numpy as np
+
+    a, b = sizes[i], sizes[j]
+    passed = np.flatnonzero(np.minimum(a, b) >= similarity * np.maximum(a, b))
+    for at in range(0, len(passed), 50_000):
+        some = passed[at : at + 50_000]
+        x, y = sketches[i[some]], sketches[j[some]]
+        filled = np.maximum(((x | y) > 0).sum(1), 1)
+        agree = ((x == y) & (x > 0)).sum(1)
+        drawn = np.clip(1 - filled * (1 + similarity) / np.maximum(a[some] + b[some], 1), 0.1, 1)
+        slack = SURE * np.sqrt(similarity * (1 - similarity) * drawn / filled)
+        passed[at : at + 50_000] = np.where(agree >= (similarity - slack) * filled, some, -1)
+    return passed[passed >= 0]
+
+
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """``(doc_id, fp)``, a row for each document; ``fp`` has the fingerprint's bits as a signed long."""
 
@@ -121,10 +157,10 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, text_hash, node, fp0, fp1, segments)``, a row for each document: what its text is known by.
+    """``(doc_id, text_hash, node, fp0, fp1, segments, size, sketch)``, a row for each document: what its text is known by.
 
-    ``node`` is a hash of the set of its shingles, ``fp0`` and ``fp1`` are its wide fingerprint, and ``segments``
-    the anchors of its segments.
+    ``node`` is a hash of the set of its shingles, ``fp0`` and ``fp1`` are its wide fingerprint, ``segments``
+    the anchors of its segments, ``size`` and ``sketch`` those of the set.
     """
 
     def run(batches) -> Iterator:
@@ -133,22 +169,25 @@ def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            nodes, fps, segments = [], [], []
+            nodes, fps, segments, sizes, sketches = [], [], [], [], []
             for text in batch.column(2):
                 text = text.as_py()
                 hashes = shingle_hashes(text, shingle)
-                nodes.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes()))
+                distinct = np.unique(hashes)
+                nodes.append(xxhash.xxh64_intdigest(distinct.tobytes()))
+                sizes.append(len(distinct))
+                sketches.append(sketch(distinct))
                 fps.append(wide_fingerprint(text))
                 segments.append(segment_anchors(hashes))
             words = np.frombuffer(b"".join(fps), dtype="<i8").reshape(-1, WIDE)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), *map(pa.array, words.T.copy()),
-                 pa.array(segments, pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "node", "fp0", "fp1", "segments"],
+                 pa.array(segments, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())],
+                names=["doc_id", "text_hash", "node", "fp0", "fp1", "segments", "size", "sketch"],
             )
 
     source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("binary"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, node long, fp0 long, fp1 long, segments array<long>")
+    return source.mapInArrow(run, "doc_id long, text_hash long, node long, fp0 long, fp1 long, segments array<long>, size int, sketch binary")
 
 
 def covering(half):
@@ -260,12 +299,12 @@ def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select(*keys, "fp", "own").mapInArrow(run, "a long, b long").distinct()
 
 
-def candidates(members: DataFrame, bits: int, most: int) -> DataFrame:
+def candidates(members: DataFrame, bits: int, similarity: float, most: int) -> DataFrame:
     """The next ``most`` nearest candidates of each member within its group.
 
-    ``members`` has ``(anchor, bi, bj, own, node, fp0, fp1)``, and where they come from an earlier call also
+    ``members`` has ``(anchor, bi, bj, own, node, fp0, fp1, size, sketch)``, and where they come from an earlier call also
     ``label``, ``at`` and ``past``: a member's component and how far its candidates have been given.
-    Candidates are of another component and differ in at most ``bits`` bits; they go by the number of these
+    Candidates are of another component, differ in at most ``bits`` bits and may have this ``similarity``; they go by the number of bits
     and a hash.  Members with candidates come back with ``next``, ``at``, ``past`` and ``more``, whether there are further ones.
     """
     keys = ["anchor", "bi", "bj"]
@@ -281,6 +320,8 @@ def candidates(members: DataFrame, bits: int, most: int) -> DataFrame:
             at = table.column("at").to_numpy() if seen else np.full(len(node), -1)
             past = table.column("past").to_numpy() if seen else node
             place = (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)  # one to one
+            sizes = table.column("size").to_numpy().astype(np.int64)
+            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
             more, held = np.zeros(len(node), dtype=bool), [np.zeros((3, 0), dtype=np.int64)]
 
             def best():
@@ -293,9 +334,11 @@ def candidates(members: DataFrame, bits: int, most: int) -> DataFrame:
                 return np.stack((row, other, differing))[:, rank < most]
 
             for i, j, differing in _near(table, starts, np.column_stack(words).view(np.uint64), bits):
-                apart = label[i] != label[j]
+                apart = np.flatnonzero(label[i] != label[j])
+                apart = apart[may_reach(similarity, sizes, sketches, i[apart], j[apart])]
+                i, j, differing = i[apart], j[apart], differing[apart]
                 for row, other in ((i, j), (j, i)):
-                    open_ = apart & ((differing > at[row]) | (differing == at[row]) & (place[other] > past[row]))
+                    open_ = ((differing > at[row]) | (differing == at[row]) & (place[other] > past[row]))
                     held.append(np.stack((row[open_], other[open_], differing[open_])))
                 if sum(h.shape[1] for h in held[1:]) > 1_000_000:
                     held = [best()]
@@ -303,13 +346,13 @@ def candidates(members: DataFrame, bits: int, most: int) -> DataFrame:
             if not len(row):
                 continue
             last = np.flatnonzero(np.append(row[1:] != row[:-1], True))
-            members = table.select([*keys, "own", "node", "fp0", "fp1"]).take(pa.array(row[last])).combine_chunks()
+            members = table.select([*keys, "own", "node", "fp0", "fp1", "size", "sketch"]).take(pa.array(row[last])).combine_chunks()
             given = pa.ListArray.from_arrays(pa.array(np.append(0, last + 1), pa.int32()), pa.array(node[other]))
             yield from members.append_column("next", given).append_column("at", pa.array(differing[last])).append_column(
                 "past", pa.array(place[other[last]])).append_column("more", pa.array(more[row[last]])).to_batches()
 
     dealt = members.repartition(*keys).sortWithinPartitions(*keys)
-    schema = "anchor long, bi int, bj int, own int, node long, fp0 long, fp1 long, next array<long>, at long, past long, more boolean"
+    schema = "anchor long, bi int, bj int, own int, node long, fp0 long, fp1 long, size int, sketch binary, next array<long>, at long, past long, more boolean"
     return dealt.mapInArrow(run, schema)
 
 
@@ -355,11 +398,14 @@ def similar_groups(docs: DataFrame, nodes: DataFrame, shingle: int, similarity:
     So each candidate is verified or joined by others, but a group of copies with edits is not listed in pairs.
     """
     vertices = nodes.select("node", "first")
-    members = split_hot(wide_anchors(nodes), ["anchor"], "node", block).select("anchor", "bi", "bj", "own", "node", "fp0", "fp1")
+    members = split_hot(wide_anchors(nodes), ["anchor"], "node", block).join(nodes.select("node", "size", "sketch"), "node")
     bits, most, tested, good = differing_bits(similarity) + SLACK, 1, None, None
+
     while True:
-        found = cut(candidates(members, bits, most))
-        ends = found.select("node", F.explode("next").alias("other"))
+        found = cut(candidates(members, bits, similarity, most))
+        # a pair that meets at several anchors is listed once
+        each = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
+        ends = each.select("node", F.explode("next").alias("other"))
         links = ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         links = cut(links if tested is None else links.join(tested, ["a", "b"], "left_anti"))
         near = similar(links, docs, vertices, shingle, similarity)
@@ -385,7 +431,7 @@ def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     Near are texts with at least this Jaccard ``similarity`` of their sets of shingles of
     ``shingle`` words.  Pairs are looked for at the anchors of wide fingerprints and of
     segments, among those whose fingerprints differ in no more bits than such sets do, give
-    or take; the sets themselves decide, for every candidate (:func:`similar_groups`).
+    or take, and whose sizes and sketches allow for it; the sets themselves decide, for every candidate (:func:`similar_groups`).
     Fingerprints find words changed here and there, segments what is put in or taken out
     in one place.  Texts of equal sets are one vertex.
 
@@ -394,9 +440,9 @@ def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     that are not near each other stay, also where they share an id or have none.  Null and
     empty texts are one group.  An empty table gives an empty result; all columns stay, whatever their names.
     """
-    seen = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "fp0", "fp1", "segments")
+    seen = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "fp0", "fp1", "segments", "size", "sketch")
     nodes = wide_fingerprints(docs, shingle).groupBy("node").agg(F.min(seen).alias("s"))
-    nodes = cut(nodes.select("node", F.struct("s.none", "s.doc_id", "s.text_hash").alias("first"), "s.fp0", "s.fp1", "s.segments"))
+    nodes = cut(nodes.select("node", F.struct("s.none", "s.doc_id", "s.text_hash").alias("first"), "s.fp0", "s.fp1", "s.segments", "s.size", "s.sketch"))
     group = similar_groups(docs, nodes, shingle, similarity, block)
     first = group.groupBy("component").agg(F.min("first").alias("first"))
     first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
