@@ -11,6 +11,7 @@ _OFFERED = {
     "operators.codebook": ("decode", "encode"),
     "operators.paging": ("line_pages", "paginate"),
     "operators.budget": ("BudgetOptions", "budget_pack", "cold_rows", "decoded_page", "decoded_pages", "decoded_texts"),
+    "operators.directory": ("directory_tree", "sheets_of_page", "shown_sheets"),
     "operators.scope": ("ScopeOptions", "decode_scopes", "encode_scopes", "scope_dictionary"),
     "operators.compaction": ("CompactOptions", "compact_messages", "expand_messages", "expand_recursive"),
     "operators.recall": ("fragment", "keyword_scores", "keyword_search", "recall", "recall_by_ids"),
