@@ -87,5 +87,5 @@ def shown_sheets(tree: DataFrame, keys: Sequence[str], token_budget: int) -> Dat
 
 
 def sheets_of_page(tree: DataFrame, page_id) -> DataFrame:
-    """The sheets that lead to a page, one a level of each scope: a filter on their ranges, which reaches the scan of a stored tree."""
+    """The sheets that lead to a page, one a level of each scope: a filter on their ranges."""
     return tree.where((F.col("first_page") <= F.lit(page_id)) & (F.col("last_page") >= F.lit(page_id)))
