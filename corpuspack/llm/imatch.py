@@ -12,13 +12,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_path
+from .common import cut
 from .words import utf8, words_in_pieces
 
-#: Terms of a lexicon, at most; a larger band is thinned by hash, to a half of it as often as needed.
+#: Terms that are sent to the tasks, at most; of a larger band a half by hash is sent, as often halved as needed, and the rest is joined.
 MAX_TERMS = 1 << 20
 SUBSETS = 32
 #: Each rate is half the one before.
@@ -48,11 +48,11 @@ def terms(text: bytes):
     return hashed
 
 
-def lexicon(docs: DataFrame, options: ImatchOptions = ImatchOptions()):
-    """Sorted hashes of the terms in the band, counted over all ``docs``.
+def band_of(docs: DataFrame, options: ImatchOptions = ImatchOptions()):
+    """The terms in the band, counted over all ``docs``: those that are sent to tasks, as sorted hashes, and a table ``(term)`` of all others, or None.
 
     A term of the band is in a share of exp(-most_idf) of the documents or more, so the band has at most exp(most_idf) times as many terms
-    as a document has on average; beyond ``max_terms`` it is thinned by hash.
+    as a document has on average.  Beyond ``max_terms`` those that are sent are chosen by hash.
     """
     def count(batches) -> Iterator:
         import pyarrow as pa
@@ -68,13 +68,38 @@ def lexicon(docs: DataFrame, options: ImatchOptions = ImatchOptions()):
     idf = F.log(F.lit(float(n_docs)) / F.col("n"))
     band = cut(counted.where(idf.between(options.least_idf, options.most_idf)).select("term"))
     size, mask = band.count(), 0
+    some = lambda: F.col("term").bitwiseAND(F.lit(mask)) == 0
     while size > options.max_terms:
         mask = 2 * mask + 1
-        band = band.where(F.col("term").bitwiseAND(F.lit(mask)) == 0)
-        size = band.count()
-    found = np.array([r.term for r in band.collect()], dtype=np.int64).view(np.uint64)  # max_terms at most
+        size = band.where(some()).count()
+    found = np.array([r.term for r in band.where(some()).collect()], dtype=np.int64).view(np.uint64)  # max_terms at most
     found.sort()
-    return found
+    return found, band.where(~some()) if mask else None
+
+
+def lexicon(docs: DataFrame, options: ImatchOptions = ImatchOptions()):
+    """Sorted hashes of the terms in the band that are sent to tasks: all of them up to ``max_terms``."""
+    return band_of(docs, options)[0]
+
+
+def with_rest(rows: DataFrame, rest: DataFrame, texts) -> DataFrame:
+    """``rows`` with ``more``: which terms of ``rest`` are in their texts.  ``texts`` gives those of a row of an Arrow batch; a row has its number in ``row``."""
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for row, some in zip(batch.column(batch.schema.get_field_index("row")).to_pylist(), texts(batch)):
+                found = np.unique(np.concatenate([terms(t) for t in some])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row)), pa.array(found)], names=["row", "term"])
+
+    met = rows.mapInArrow(run, "row long, term long").join(rest, "term").groupBy("row").agg(F.collect_list("term").alias("more"))
+    return rows.join(met, "row", "left")
+
+
+def _more(batch) -> Iterator:
+    """The column ``more`` of a batch, as hashes."""
+    for terms_ in batch.column(batch.schema.get_field_index("more")):
+        yield np.array(terms_.as_py() or [], dtype=np.int64).view(np.uint64)
 
 
 def _rate(n: int) -> int:
@@ -112,9 +137,9 @@ def _sections(every, band) -> dict:
 
 
 class Fingerprint:
-    """``signature``, the hash of the sorted terms, and ``sections``, the hashes of subsets."""
+    """``signature``, the hash of the sorted terms, and ``sections``, the hashes of subsets.  Terms in ``lexicon`` or ``more`` are in the band."""
 
-    def __init__(self, text: bytes, lexicon):
+    def __init__(self, text: bytes, lexicon, more=None):
         import xxhash
 
         every = terms(text)
@@ -122,6 +147,8 @@ class Fingerprint:
             band = lexicon[np.minimum(np.searchsorted(lexicon, every), len(lexicon) - 1)] == every
         else:
             band = np.zeros(len(every), dtype=bool)
+        if more is not None:
+            band |= np.isin(every, more)
         known = every[band] if band.sum() >= LEAST_TERMS else every
         self.signature = xxhash.xxh3_64_hexdigest(known.tobytes())
         self.sections = _sections(every, band)
@@ -151,7 +178,8 @@ def fingerprints(docs: DataFrame, options: ImatchOptions = ImatchOptions()) -> D
     Equal texts have equal fingerprints.  Null texts count as empty; a text without words is known by itself.  All
     rows and columns stay; a column ``fingerprint`` is replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs, options))  # MAX_TERMS numbers at most
+    few, rest = band_of(docs, options)
+    sent = docs.sparkSession.sparkContext.broadcast(few)  # MAX_TERMS numbers at most
     plain = docs.drop("fingerprint")
     at = plain.columns.index("text")
 
@@ -162,7 +190,20 @@ def fingerprints(docs: DataFrame, options: ImatchOptions = ImatchOptions()) -> D
             said = [str(Fingerprint(t, sent.value)) for t in utf8(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], names=[*batch.schema.names, "fingerprint"])
 
-    return plain.mapInArrow(run, _with(plain, "fingerprint string"))
+    def finish(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            said = [str(Fingerprint(t, sent.value, more)) for t, more in zip(utf8(batch.column(0)), _more(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(said, pa.string())], names=["row", "fingerprint"])
+
+    if rest is None:
+        return plain.mapInArrow(run, _with(plain, "fingerprint string"))
+    # a row's other columns go round the lookup, whatever their names
+    rows = cut(plain.select(F.col("text"), F.monotonically_increasing_id().alias("row"), F.struct("*").alias("all")))
+    said = with_rest(rows.select("text", "row"), rest, lambda batch: ([t] for t in utf8(batch.column(0))))
+    said = said.select("text", "row", "more").mapInArrow(finish, "row long, fingerprint string")
+    return rows.select("row", "all").join(said, "row").select("all.*", "fingerprint")
 
 
 def _with(df: DataFrame, more: str) -> str:
@@ -181,66 +222,95 @@ def edit_robustness(docs: DataFrame, options: ImatchOptions = ImatchOptions(), r
 
     Rows that repeat an id follow each other by a hash of their text; null ids come last.  Null texts are empty.  A single document is followed by itself.
 
-    Documents are sorted by ranges of their id once; in a range each document meets its successor as the rows stream by.  A range's first and
-    last documents are kept with the results, and meet across ranges afterwards.
+    Ids alone are cut into ranges first, so that texts are shuffled once, to the range of their id, and the first document of a range
+    also to the one before.  In a range each document meets its successor as the rows stream by; nothing is stored.
     """
     from hashlib import sha256
 
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(lexicon(docs, options))  # MAX_TERMS numbers at most
+    few, rest = band_of(docs, options)
+    sent = docs.sparkSession.sparkContext.broadcast(few)  # MAX_TERMS numbers at most
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    def met(doc, following):
-        doc_id, text, own = doc
+    def edit(text: bytes, following: bytes):
+        text, following = text.decode("utf-8", "replace"), following.decode("utf-8", "replace")
         put = len(text) // replaced
-        edited = (text[: len(text) - put] + following[1][:put]).encode("utf-8", "replace")
-        other = Fingerprint(edited, sent.value)
-        return doc_id, len(text), sha256(edited).hexdigest(), str(own), str(other), own.likeness(other), own.likeness(following[2])
-
-    def document(doc_id, text: bytes):
-        return doc_id, text.decode("utf-8", "replace"), Fingerprint(text, sent.value)
+        return len(text), (text[: len(text) - put] + following[:put]).encode("utf-8", "replace")
 
-    def batch_of(rows, arrow):
-        import pyarrow as pa
+    def met(doc, following, more=None):
+        doc_id, text, own = doc
+        n, edited = edit(text, following[1])
+        other = Fingerprint(edited, sent.value, more)
+        return doc_id, n, sha256(edited).hexdigest(), str(own), str(other), own.likeness(other), own.likeness(following[2])
 
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow)], names=[*RESULT, "part", "edge", "text"][: len(arrow)])
+    def document(doc_id, text: bytes, more=None):
+        return doc_id, text, Fingerprint(text, sent.value, more)
 
-    def arrow_types(id_type):
+    def batch_of(rows, id_type):
         import pyarrow as pa
 
-        return [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+        kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=list(RESULT))
 
-    def stream(batches) -> Iterator:
-        from pyspark import TaskContext
-
-        part, last, kinds = TaskContext.get().partitionId(), None, None
-        edge = lambda doc, which: (doc[0], *[None] * 6, part, which, doc[1])
+    def paired(batches, document) -> Iterator:
+        """For each batch of ``(part, follows, doc_id, text)`` the pairs of a document and its successor that it completes."""
+        at, last = None, None
         for batch in batches:
-            kinds, rows = arrow_types(batch.column(0).type), []
-            for doc_id, text in zip(batch.column(0), utf8(batch.column(1))):
+            pairs = []
+            for part, follows, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), utf8(batch.column(3))):
+                if part != at:
+                    at, last = part, None
+                elif last is None:
+                    continue  # one of several that could follow the range's last
                 doc = document(doc_id.as_py(), text)
-                rows.append(edge(doc, "first") if last is None else (*met(last, doc), part, None, None))
-                last = doc
-            if rows:
-                yield batch_of(rows, kinds)
-        if last is not None:
-            yield batch_of([edge(last, "last")], kinds)
+                if last is not None:
+                    pairs.append((last, doc))
+                last = None if follows else doc
+            if pairs:
+                yield batch.column(2).type, pairs
+
+    def stream(batches) -> Iterator:
+        for id_type, pairs in paired(batches, document):
+            yield batch_of([met(*pair) for pair in pairs], id_type)
+
+    def texts_of_pairs(batches) -> Iterator:
+        import pyarrow as pa
+
+        for id_type, pairs in paired(batches, lambda *doc: doc):
+            columns = zip(*[(i, a, b) for (i, a), (_, b) in pairs])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (id_type, pa.binary(), pa.binary()))], names=["doc_id", "text", "following"])
 
     def finish(batches) -> Iterator:
         for batch in batches:
-            rows = [met(document(i.as_py(), a), document(None, b)) for i, a, b in zip(batch.column(0), utf8(batch.column(1)), utf8(batch.column(2)))]
+            rows = [
+                met(document(i.as_py(), a, more), document(None, b, more), more)
+                for i, a, b, more in zip(batch.column(0), utf8(batch.column(1)), utf8(batch.column(2)), _more(batch))
+            ]
             if rows:
-                yield batch_of(rows, arrow_types(batch.column(0).type)[: len(RESULT)])
-
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    path = scratch_path(spark, "fingerprints")
-    ordered.mapInArrow(stream, f"{schema}, part int, edge string, text string").write.parquet(path)
-    stored = spark.read.parquet(path)
-    edges = stored.where("edge is not null").select("doc_id", "part", "edge", "text")
-    parts = sorted(r.part for r in edges.where("edge = 'first'").select("part").collect())  # a number a range
-    follows = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]])), "part int, then int")
-    firsts = edges.where("edge = 'first'").select(F.col("part").alias("then"), F.col("text").alias("following"))
-    lasts = edges.where("edge = 'last'").join(follows, "part").join(firsts, "then").select("doc_id", "text", "following")
-    return stored.where("edge is null").select(*RESULT).unionByName(lasts.mapInArrow(finish, schema))
+                yield batch_of(rows, batch.column(0).type)
+
+    dealt = in_ranges(docs)
+    if rest is None:
+        return dealt.mapInArrow(stream, schema)
+    pairs = dealt.mapInArrow(texts_of_pairs, f"doc_id {kind}, text binary, following binary")
+    rows = cut(pairs.withColumn("row", F.monotonically_increasing_id()))
+    every = lambda batch: ([a, b, edit(a, b)[1]] for a, b in zip(utf8(batch.column(1)), utf8(batch.column(2))))
+    return with_rest(rows, rest, every).select("doc_id", "text", "following", "more").mapInArrow(finish, schema)
+
+
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """``(part, follows, doc_id, text)`` in ranges of ids, each in one partition and sorted.
+
+    Behind a range, with ``follows``, stands the first document of the next one, and behind the last range that of the first.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash")).alias("key")
+    keyed = docs.select(key, "doc_id", "text")
+    ranges = keyed.select("key").repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    firsts = cut(ranges.groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("opens")))
+    along = Window.orderBy("opens")  # a row a range
+    spans = firsts.select("part", "opens", F.lead("opens").over(along).alias("ends"), F.min("opens").over(Window.partitionBy()).alias("least"))
+    after = F.coalesce("ends", "least")
+    places = spans.select("part", F.lit(False).alias("follows"), "opens", "ends").union(spans.select("part", F.lit(True), after, after))
+    within = (F.col("key") >= F.col("opens")) & F.coalesce(F.col("key") < F.col("ends"), F.lit(True))
+    met = keyed.join(F.broadcast(places), F.when(F.col("follows"), F.col("key").eqNullSafe(F.col("opens"))).otherwise(within))
+    return met.repartitionByRange("part").sortWithinPartitions("part", "follows", "key").select("part", "follows", "doc_id", "text")

@@ -142,6 +142,17 @@ def test_lexicon_is_the_band(spark, rows):
     assert 0 < len(thin) <= 50 and set(thin) < set(want)
 
 
+def test_terms_of_the_band_that_are_not_sent_count_too(spark, rows):
+    docs = table(spark, [r for r in rows if r[0] is not None])
+    whole, thin = ImatchOptions(1.0, 3.5), ImatchOptions(1.0, 3.5, max_terms=50)
+    few, rest = imatch.band_of(docs, thin)
+    assert sorted([*few.tolist(), *(r.term % 2**64 for r in rest.collect())]) == imatch.lexicon(docs, whole).tolist()
+    said = lambda options: sorted(map(str, edit_robustness(docs, options).collect()))
+    assert said(thin) == said(whole)
+    said = lambda options: sorted(map(str, fingerprints(docs, options).collect()))
+    assert said(thin) == said(whole)
+
+
 def test_fingerprints_of_odd_tables(spark, rows):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert edit_robustness(none).count() == 0 and fingerprints(none).count() == 0
