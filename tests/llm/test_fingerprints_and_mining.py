@@ -153,6 +153,14 @@ def test_terms_of_the_band_that_are_not_sent_count_too(spark, rows):
     assert said(thin) == said(whole)
 
 
+def test_edited_texts_are_not_stored_on_the_way(spark, rows):
+    plan = edit_robustness(table(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan.lower()
+    nulls = [(None, f"text {i} without an id") for i in range(40)]
+    got = edit_robustness(table(spark, nulls)).collect()
+    assert len(got) == 40 and len({r.edited_sha256 for r in got}) == 40
+
+
 def test_fingerprints_of_odd_tables(spark, rows):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert edit_robustness(none).count() == 0 and fingerprints(none).count() == 0
