@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a cut table that may lie in one partition, or be sent to all tasks.
+FEW = 10_000
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A cut table of few rows in one partition, so that sums and joins over it need no shuffle; a larger one as it is.  And whether it has few rows."""
+    few = df.count() <= FEW
+    return (df.coalesce(1) if few else df), few
+
+
 def crc32_text(col: Column) -> Column:
     """Unsigned crc32 of the column's text."""
     return F.crc32(F.encode(col.cast("string"), "UTF-8"))

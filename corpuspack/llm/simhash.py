@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, merge_labels, sorted_runs, split_hot
+from .common import cut, gathered, merge_labels, sorted_runs, split_hot
 from .components import connected_components
 
 #: Bits in which linked fingerprints may differ.  The cover above is made for it.
@@ -228,7 +228,7 @@ def anchors(fps: DataFrame) -> DataFrame:
 
 
 def wide_anchors(nodes: DataFrame) -> DataFrame:
-    """``(anchor, node, fp0, fp1)``: each node at every anchor of its parts within distance 2, and at those of its segments."""
+    """``(anchor, node)``: each node at every anchor of its parts within distance 2, and at those of its segments."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -236,10 +236,10 @@ def wide_anchors(nodes: DataFrame) -> DataFrame:
 
         for batch in batches:
             words = np.column_stack([batch.column(i).to_numpy() for i in (1, 2)]).view(np.uint64)
-            known = pa.RecordBatch.from_arrays(batch.columns[:3], names=["node", "fp0", "fp1"])
+            node = batch.column(0)
 
             def at(anchor, rows):
-                return pa.RecordBatch.from_arrays([pa.array(anchor), *known.take(pa.array(rows)).columns], names=["anchor", "node", "fp0", "fp1"])
+                return pa.RecordBatch.from_arrays([pa.array(anchor), node.take(pa.array(rows))], names=["anchor", "node"])
 
             for part in range(PARTS):
                 for word, rows, _ in covering(words[:, part // 2] >> np.uint64(32 * (part % 2))):
@@ -247,7 +247,7 @@ def wide_anchors(nodes: DataFrame) -> DataFrame:
             of = batch.column(3)
             yield at(of.flatten().to_numpy(), np.repeat(np.arange(len(of)), np.diff(of.offsets.to_numpy())))
 
-    return nodes.select("node", "fp0", "fp1", "segments").mapInArrow(run, "anchor long, node long, fp0 long, fp1 long")
+    return nodes.select("node", "fp0", "fp1", "segments").mapInArrow(run, "anchor long, node long")
 
 
 def _near(table, starts, fp, bits: int) -> Iterator:
@@ -356,15 +356,17 @@ def candidates(members: DataFrame, bits: int, similarity: float, most: int) -> D
     return dealt.mapInArrow(run, schema)
 
 
-def similar(links: DataFrame, docs: DataFrame, vertices: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def similar(links: DataFrame, docs: DataFrame, vertices: DataFrame, shingle: int, similarity: float, few: bool) -> DataFrame:
     """The ``links`` whose documents have at least this Jaccard similarity of their sets of shingles.
 
-    ``vertices(node, first)`` names the document, ``docs`` has its text.  Only linked documents are read for it.
+    ``vertices(node, first)`` names the document, ``docs`` has its text.  Only linked documents are read for it; where links
+    are ``few``, they are sent to the tasks that read documents, and no text is shuffled.
     """
-    linked = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "node")
-    named = vertices.join(linked, "node").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    sent = F.broadcast if few else (lambda df: df)
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = vertices.join(sent(linked), "node").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(named, (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
+    texts = texts.join(sent(named), (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -383,10 +385,10 @@ def similar(links: DataFrame, docs: DataFrame, vertices: DataFrame, shingle: int
     return links.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
 
 
-def components(vertices: DataFrame, links: DataFrame, key: str = "fp") -> DataFrame:
-    """``(key, first, component)`` for ``vertices(key, first)``: the least key that each one reaches over ``links``."""
-    component = connected_components(links)
-    group = vertices.join(component.withColumnRenamed("node", key), key, "left")
+def components(vertices: DataFrame, links: DataFrame, key: str = "fp", few: bool = False) -> DataFrame:
+    """``(key, first, component)`` for ``vertices(key, first)``: the least key that each one reaches over ``links``, which may be said to be ``few``."""
+    component = connected_components(links).withColumnRenamed("node", key)
+    group = vertices.join(F.broadcast(component) if few else component, key, "left")
     return group.select(key, "first", F.coalesce("component", key).alias("component"))
 
 
@@ -398,25 +400,26 @@ def similar_groups(docs: DataFrame, nodes: DataFrame, shingle: int, similarity:
     So each candidate is verified or joined by others, but a group of copies with edits is not listed in pairs.
     """
     vertices = nodes.select("node", "first")
-    members = split_hot(wide_anchors(nodes), ["anchor"], "node", block).join(nodes.select("node", "size", "sketch"), "node")
-    bits, most, tested, good = differing_bits(similarity) + SLACK, 1, None, None
+    members = split_hot(wide_anchors(nodes), ["anchor"], "node", block).join(nodes.select("node", "fp0", "fp1", "size", "sketch"), "node")
+    bits, most, tested, good, group = differing_bits(similarity) + SLACK, 1, None, None, None
 
     while True:
-        found = cut(candidates(members, bits, similarity, most))
+        found, few = gathered(cut(candidates(members, bits, similarity, most)))
         # a pair that meets at several anchors is listed once
         each = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
         ends = each.select("node", F.explode("next").alias("other"))
         links = ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        links = cut(links if tested is None else links.join(tested, ["a", "b"], "left_anti"))
-        near = similar(links, docs, vertices, shingle, similarity)
-        tested, good = (links, near) if tested is None else (tested.union(links), good.union(near))
-        good = cut(good)
-        group = components(vertices, good, "node")
+        links, few_links = gathered(cut(links if tested is None else links.join(tested, ["a", "b"], "left_anti")))
+        if group is None or not links.isEmpty():
+            near = similar(links, docs, vertices, shingle, similarity, few_links)
+            tested, good = (links, near) if tested is None else (tested.union(links), good.union(near))
+            good, few_good = gathered(cut(good))
+            group = cut(components(vertices, good, "node", few_good))
         open_ = found.where("more")
         if open_.isEmpty():
             return group
-        group = cut(group)
-        members = open_.drop("next", "more").join(group.select("node", F.col("component").alias("label")), "node")
+        open_ = open_.drop("next", "more")
+        members = (F.broadcast(open_) if few else open_).join(group.select("node", F.col("component").alias("label")), "node")
         most *= 8
 
 
@@ -445,11 +448,14 @@ def first_of_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     nodes = cut(nodes.select("node", F.struct("s.none", "s.doc_id", "s.text_hash").alias("first"), "s.fp0", "s.fp1", "s.segments", "s.size", "s.sketch"))
     group = similar_groups(docs, nodes, shingle, similarity, block)
     first = group.groupBy("component").agg(F.min("first").alias("first"))
-    first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("text_hash"), F.col("doc_id").cast("long").alias("id"))
-    met = keyed.join(first, (F.col("text_hash") == F.col("first_hash")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
-    once = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("row"))  # equal rows stay once
-    return met.withColumn("nth", once).where("nth = 1").select("row.*")
+    # the join's keys are the window's, so that texts are shuffled once
+    once = [F.col("hash"), F.col("id"), F.col("none")]
+    first = first.select(F.col("first.text_hash").alias("hash"), F.coalesce("first.doc_id", F.lit(0)).alias("id"), F.col("first.doc_id").isNull().alias("none"))
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("hash"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"))
+    met = keyed.join(first, ["hash", "id", "none"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy(*once).orderBy("row"))  # equal rows stay once
+    return met.withColumn("nth", nth).where("nth = 1").select("row.*")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, block: int = BLOCK) -> DataFrame:

@@ -321,3 +321,13 @@ def test_the_given_labels_go_through_codes(spark, sf):
     got = near_vectors(spark.createDataFrame(every, "vec_id long, embedding array<double>, label int"), 0.93)
     found = got.where("vec_id >= 1000000 and component_id = vec_id - 1000000").count()
     assert found >= 0.98 * len(rows)
+
+
+def test_few_links_stay_in_one_partition_and_texts_are_shuffled_once(spark):
+    links = spark.createDataFrame([(i, i // 2) for i in range(1, 300)], "a long, b long").repartition(7)
+    component = connected_components(links)
+    assert component.rdd.getNumPartitions() == 1
+    assert {(r.node, r.component) for r in component.collect()} == {(i, 0) for i in range(300)}
+    docs = spark.createDataFrame([(i if i % 3 else None, f"some words of text {i // 2} and more of them") for i in range(60)], "doc_id long, text string")
+    said = first_of_groups(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in said[said.index("Window [") : said.index("Join [")]
