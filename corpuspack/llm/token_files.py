@@ -9,7 +9,9 @@ tokens of a few documents, or the counts of all, without the rest.
 from __future__ import annotations
 
 import functools
+import os
 import re
+import string
 from array import array
 from collections.abc import Iterator
 
@@ -19,25 +21,29 @@ from pyspark.sql import types as T
 
 #: Bytes of a row group and of a page, uncompressed; rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2000
-#: Parts of texts whose ids a worker remembers, at most: half of them met lately, half before that.
-REMEMBERED = 500_000
-#: Parts longer than this aren't remembered, so that the memory has a bound in bytes; parts that are encoded as one text.
-LONGEST, TOGETHER = 64, 200
+#: Parts of texts whose ids a worker remembers, about: half of them met lately, half before that.
+REMEMBERED = 700_000
+#: Parts longer than this aren't remembered, so that the memory has a bound in bytes; parts that are encoded as one text, such texts a call.
+LONGEST, TOGETHER, CALL = 64, 200, 50
+#: Bytes of texts that are taken apart at once (a longer text alone), so that a distinct part is looked up once for all of them.
+AT_ONCE = 4 << 20
 
-#: Marks that are pieces of their own behind a letter; letters up to this one are such in every Unicode version.
-MARKS, LAST_LETTER = ",.!?;:", "\u017f"
+#: Marks; a run of them behind letters is a piece of its own. Letters up to this one are such in every Unicode version.
+MARKS, LAST_LETTER = string.punctuation, "\u017f"
+_MARKS = frozenset(MARKS)
 
 _CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
-#: White space but the space and the line end.
-_OTHER = re.compile(r"[^\S \n]")
+#: Two white spaces, or one that is neither a space nor a line end (as Python has it), for Arrow's expressions.
+_UNEVEN = r"[ \n][ \n]|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def _even(text: str) -> bool:
-    """Whether all white space of a text is single spaces and line ends between other characters."""
-    return not (
-        "  " in text or " \n" in text or "\n" in text and ("\n\n" in text or "\n " in text)
-        or text[0] in " \n" or text[-1] in " \n" or _OTHER.search(text) is not None
-    )
+def _even(texts):
+    """Of each text, whether it has characters and all its white space is single spaces and line ends between others."""
+    import pyarrow.compute as pc
+
+    uneven = [pc.match_substring_regex(texts, _UNEVEN), pc.equal(pc.binary_length(texts), 0)]
+    uneven += [f(texts, x) for f in (pc.starts_with, pc.ends_with) for x in (" ", "\n")]
+    return pc.invert(functools.reduce(pc.or_, uneven))
 
 
 class Encoder:
@@ -48,7 +54,7 @@ class Encoder:
     cut there, and the ids of its parts, each with what it begins with, are the text's.
     Parts without an inner space are encoded many to a text, a space between them: the
     byte of a space stands only where a piece begins, so the pieces that begin with it
-    show where each part does.
+    show where each part does.  Letters with marks behind them are put together from both.
 
     The text ``<|endoftext|>`` is the added token of that name, as the library has it.
 
@@ -67,7 +73,10 @@ class Encoder:
         names = self._tokenizer.get_vocab()
         self._opens = np.zeros(max(names.values()) + 1, dtype=bool)  # whether a piece begins with a space
         self._opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True
-        self._marks = dict(zip(MARKS, self._whole(list(MARKS))))
+        #: ids of runs of marks; none are taken off where an added token may begin in the letters before them
+        self._marks: dict[str, bytes] = {}
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._takes_off = not any(t.content.rstrip(MARKS).isalpha() and t.content[-1] in MARKS for t in added)
 
     def _can_cut(self) -> bool:
         """Whether the file is a byte-level BPE with the library's own pattern, no normaliser, and no added token with white space or options."""
@@ -86,80 +95,104 @@ class Encoder:
         said = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in said]
 
-    def _learn(self, plain: set[str], odd: set[str]) -> dict[str, bytes]:
-        """Looks up inner parts that aren't remembered; those too long to remember are returned."""
+    def _stem(self, part: str) -> str:
+        """The letters of a part that is letters and marks behind them, else the whole part."""
+        stem = part.rstrip(MARKS)
+        bare = stem[1:] if stem[:1] == "\n" else stem
+        return stem if bare.isalpha() and (bare.isascii() or max(bare) <= LAST_LETTER) else part
+
+    def _of_marks(self, run: str) -> bytes:
+        if (ids := self._marks.get(run)) is None:
+            ids = self._whole([run])[0]
+            if len(run) <= LONGEST and len(self._marks) < 10_000:
+                self._marks[run] = ids
+        return ids
+
+    def _ask(self, parts: list[str], plain: bool) -> Iterator[tuple[str, bytes]]:
+        """Parts with their ids from the library."""
         import numpy as np
 
-        recent, older, passing = self._recent, self._older, {}
-        again = older.keys() & plain | older.keys() & odd
-        recent.update(zip(again, map(older.__getitem__, again)))
-        plain = plain - again
-        alone = list(odd - plain - again)
-        # letters before a mark, and the mark, are pieces of their own: such a part is put together from its letters'
-        marked = [p for p in plain if p[-1:] in self._marks and p[:-1].isalpha() and (p.isascii() or max(p) <= LAST_LETTER)]
-        plain.difference_update(marked)
-        plain.update({p[:-1] for p in marked}.difference(recent))
-        again = older.keys() & plain
-        recent.update(zip(again, map(older.__getitem__, again)))
-        new = list(plain - again)
-        if new and max(map(len, new)) > LONGEST:
-            alone += [p for p in new if len(p) > LONGEST]
-            new = [p for p in new if len(p) <= LONGEST]
+        alone = [p for p in parts if not plain or len(p) > LONGEST]
+        parts = [p for p in parts if len(p) <= LONGEST] if plain else []
         rows = [(x[at : at + TOGETHER], skip) for x, skip in (
-            ([p for p in new if p[0] != "\n"], 0), ([p for p in new if p[0] == "\n"], 4),  # these have no space before them
+            ([p for p in parts if p[0] != "\n"], 0), ([p for p in parts if p[0] == "\n"], 4),  # these have no space before them
         ) for at in range(0, len(x), TOGETHER)]
-        said = self._tokenizer.encode_batch_fast([" " + " ".join(x) for x, _ in rows], add_special_tokens=False)
-        for (some, skip), found in zip(rows, said):
-            ids = np.array(found.ids, dtype="<u4")
-            starts = np.flatnonzero(self._opens[ids])
-            if len(starts) != len(some):
-                alone += some
-                continue
-            raw, ends = ids.tobytes(), (4 * np.append(starts[1:], len(ids))).tolist()
-            recent.update(zip(some, [raw[a:b] for a, b in zip((4 * starts + skip).tolist(), ends)]))
+        for at in range(0, len(rows), CALL):
+            call = rows[at : at + CALL]
+            said = self._tokenizer.encode_batch_fast([" " + " ".join(x) for x, _ in call], add_special_tokens=False)
+            for (some, skip), found in zip(call, said):
+                ids = np.array(found.ids, dtype="<u4")
+                starts = np.flatnonzero(self._opens[ids])
+                if len(starts) != len(some):
+                    alone += some
+                    continue
+                raw, ends = ids.tobytes(), (4 * np.append(starts[1:], len(ids))).tolist()
+                yield from zip(some, [raw[a:b] for a, b in zip((4 * starts + skip).tolist(), ends)])
         for at in range(0, len(alone), 2000):
             some = alone[at : at + 2000]
-            for part, ids in zip(some, self._whole([p if p.startswith("\n") else " " + p for p in some])):
-                (recent if len(part) <= LONGEST else passing)[part] = ids
-        for part in marked:
-            stem = part[:-1]
-            (recent if len(part) <= LONGEST else passing)[part] = (recent.get(stem) or passing[stem]) + self._marks[part[-1]]
-        return passing
-
-    def encode(self, texts: list[str | None], end: bytes = b""):
-        """The ids of all texts one after the other, each followed by ``end``, and the offsets of each text's ids, as arrays."""
+            yield from zip(some, self._whole([p if p.startswith("\n") else " " + p for p in some]))
+
+    def _inner(self, parts: list[str], plain: bool = True) -> list[bytes]:
+        """The ids of distinct parts that follow a space or begin with a line end; ``plain``: without inner white space."""
+        recent, older = self._recent, self._older
+        known = list(map(recent.get, parts))
+        lacking = [p for p, ids in zip(parts, known) if ids is None]
+        if not lacking:
+            return known
+        again = [*map(older.get, lacking)]
+        found = {p: ids for p, ids in zip(lacking, again) if ids is not None}
+        new = [p for p, ids in zip(lacking, again) if ids is None]
+        put = []  # letters with marks: not remembered, as their letters are
+        if plain and self._takes_off:
+            put = [(p, stem) for p in new if p[-1] in _MARKS and (stem := self._stem(p)) is not p]
+            stems = {stem for _, stem in put}.difference(recent, found)
+            again = older.keys() & stems
+            found.update(zip(again, map(older.__getitem__, again)))
+            new = [*stems.difference(again, new), *(set(new).difference(p for p, _ in put) if put else new)]
+        long = [p for p in new if len(p) > LONGEST]
+        found.update(self._ask(new, plain))
+        recent.update(found)
+        found.update([(p, (recent.get(stem) or found[stem]) + self._of_marks(p[len(stem) :])) for p, stem in put])
+        for p in long:
+            del recent[p]
+        learned = map(found.__getitem__, lacking)
+        return [next(learned) if ids is None else ids for ids in known]
+
+    def encode(self, texts, end: bytes = b""):
+        """The ids of all texts (a list or an Arrow array) one after the other, each followed by ``end``, and the offsets of each text's ids, as arrays."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self._cuts:
-            said = [ids + end for ids in self._whole([t or "" for t in texts])]
+            said = [ids + end for ids in self._whole(texts.to_pylist())]
             return np.frombuffer(b"".join(said), dtype="<u4"), np.append(0, np.cumsum([len(x) // 4 for x in said], dtype=np.int64))
         if len(self._recent) > REMEMBERED // 2:  # what isn't met again by the next time is forgotten
             self._older, self._recent = self._recent, {}
-        known = self._recent
-        even = [bool(t) and _even(t) for t in texts]
-        cut = pc.split_pattern(pa.array([t.replace("\n", " \n") for t, e in zip(texts, even) if e], pa.large_string()), " ")
-        parts = cut.flatten().dictionary_encode()
+        iseven = _even(texts)
+        even = iseven.to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.replace_substring(texts.filter(iseven), "\n", " \n"), " ")
+        parts, starts = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
+        del cut
         words = parts.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
-        odd = [_CUT.split(t) for t, e in zip(texts, even) if t and not e]
-        passing = self._learn(set(words).difference(known), set().union(*(x[1:] for x in odd)).difference(known))
-        get = known.__getitem__ if not passing else lambda p: known[p] if p in known else passing[p]
+        places = parts.indices.to_numpy()
+        odd = [_CUT.split(t) for t in texts.filter(pc.invert(iseven)).to_pylist() if t]
 
         # what texts are put together from: inner parts, the parts that texts begin with, whole odd texts, and the end
-        starts = cut.offsets.to_numpy()
-        places = parts.indices.to_numpy()
-        opening = parts.take(pa.array(starts[:-1])).cast(pa.large_string()).to_pylist() if len(starts) > 1 else []
-        first = self._whole(opening + [x[0] for x in odd])
-        whole = [f + b"".join(map(get, x[1:])) for f, x in zip(first[len(opening) :], odd)]
-        pieces = [*map(get, words), *first[: len(opening)], *whole, end]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        ids, at = np.frombuffer(b"".join(pieces), dtype="<u4"), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        pieces = self._inner(words)
+        openings, opening = np.unique(places[starts[:-1]], return_inverse=True)
+        first = self._whole([words[i] for i in openings] + [x[0] for x in odd])
+        more = list(set().union(*(x[1:] for x in odd)))
+        get = dict(zip(more, self._inner(more, plain=False))).__getitem__
+        whole = [f + b"".join(map(get, x[1:])) for f, x in zip(first[len(openings) :], odd)]
+        pieces = pa.array([*pieces, *first[: len(openings)], *whole, end], pa.large_binary())
 
         # the pieces of each text, an end behind them
         counts = np.ones(len(texts), dtype=np.int64)
         counts[even] += np.diff(starts)
-        isodd = np.array([bool(t) and not e for t, e in zip(texts, even)], dtype=bool)
+        isodd = ~even & (pc.binary_length(texts).to_numpy() > 0)
         counts[isodd] += 1
         bounds = np.concatenate([[0], np.cumsum(counts)])
         order = np.empty(bounds[-1], dtype=np.int64)
@@ -167,22 +200,32 @@ class Encoder:
         inner[bounds[1:] - 1] = False
         inner[bounds[:-1][isodd]] = False
         order[inner] = places
-        order[bounds[:-1][even]] = len(words) + np.arange(len(opening))
-        order[bounds[:-1][isodd]] = len(words) + len(opening) + np.arange(len(odd))
+        order[bounds[:-1][even]] = len(words) + opening
+        order[bounds[:-1][isodd]] = len(words) + len(openings) + np.arange(len(odd))
         order[bounds[1:] - 1] = len(pieces) - 1
 
-        lengths = sizes[order]
-        ends = np.cumsum(lengths)
-        flat = ids[np.repeat(at[order] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        return flat, np.concatenate([[0], ends])[bounds]
+        _, ends, laid = pieces.take(pa.array(order)).buffers()
+        at = np.frombuffer(ends, dtype=np.int64)[bounds] // 4
+        return np.frombuffer(laid or b"", dtype=np.uint8)[: 4 * at[-1]].view("<u4"), at
 
 
 @functools.lru_cache(1)
 def encoder(path: str) -> Encoder:
-    """A worker's encoder, which the tasks that it runs share."""
+    """A worker's encoder, which the tasks that it runs share; a task has one core, so the library starts no threads of its own."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
 
 
+def _slices(texts) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of runs of texts that begin within the same :data:`AT_ONCE` bytes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    firsts = np.flatnonzero(np.diff(np.append(0, ends[:-1]) // AT_ONCE, prepend=-1)) if len(ends) else ends
+    yield from zip(firsts.tolist(), np.diff(firsts, append=len(ends)).tolist())
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """``(doc_id, n_tokens, ids)``, the end id appended to each document."""
 
@@ -192,9 +235,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         codec, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                flat, offsets = codec.encode(part.column(1).to_pylist(), end)
+            for at, n in _slices(batch.column(1)):
+                part = batch.slice(at, n)
+                flat, offsets = codec.encode(part.column(1), end)
                 yield pa.record_batch({
                     "doc_id": part.column(0), "n_tokens": pa.array(np.diff(offsets).astype(np.int32)),
                     "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view("<i4"))),

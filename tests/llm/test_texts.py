@@ -6,12 +6,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuspack.llm import langid, sentencepieces, toxicity
+from corpuspack.llm import langid, sentencepieces, token_files, toxicity
 from corpuspack.llm.common import held_out
 from corpuspack.llm.line_templates import drop_recurring_lines
 from corpuspack.llm.mixing import mix_sources, mixed_documents
@@ -43,6 +44,42 @@ def test_byte_bpe_parts_give_the_ids_of_the_text():
     assert [x.tolist() for x in mine.encode([None])] == [[], [0, 0]] and [x.tolist() for x in mine.encode([])] == [[], [0]]
 
 
+def test_byte_bpe_asks_for_letters_once_whatever_marks_follow():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, mine = Tokenizer.from_file(path), Encoder(path)
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(w for t in texts for w in t.split())
+            return whole.encode_batch_fast(texts, **more)
+
+    mine._tokenizer = Counting()
+    words, runs = ["geie", "anrétre", "\nInth", "x" * 90], ["", "***", ".&&&", "'", "_,", "-" * 90, "'s", "|>"]
+    texts = [f"The {w}{m} the" if w[0] != "\n" else f"The{w}{m} the" for w in words for m in runs for _ in range(3)]
+    for _ in range(2):
+        flat, at = mine.encode(texts)
+        for text, a, b in zip(texts, at, at[1:]):
+            assert flat[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    assert all(asked.count(w.strip()) == 1 for w in words[:3]) and not any(w.startswith("geie*") for w in asked)
+
+
+def test_byte_bpe_keeps_an_added_token_of_letters_and_marks(tmp_path):
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    other.add_special_tokens(["ab.", "##"])
+    other.save(str(tmp_path / "t.json"))
+    whole, mine = Tokenizer.from_file(str(tmp_path / "t.json")), Encoder(str(tmp_path / "t.json"))
+    texts = ["a ab. b", "a xab. b##", "a xab.! ab"]
+    flat, at = mine.encode(texts)
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_texts_are_taken_apart_in_slices_of_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "AT_ONCE", 10)
+    for texts, cuts in ((["abcd"] * 6, [(0, 3), (3, 2), (5, 1)]), (["a" * 35, None, "b", ""], [(0, 1), (1, 3)]), ([None, None], [(0, 2)]), ([], [])):
+        assert list(token_files._slices(pa.array(texts, pa.string()))) == cuts
+
+
 def test_piece_parts_give_the_ids_of_the_text():
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         message = f.read()
