@@ -137,3 +137,13 @@ def test_packing_shuffles_the_texts_once(spark, tmp_path):
     assert sum("ReusedExchange" not in x for x in shuffles) == 1 and len(shuffles) >= 4
     below = plan.split("REPARTITION_BY_COL")[-1]
     assert "split(" not in below.split("FileScan")[0]
+
+
+def test_occurrences_never_become_rows(spark):
+    """The miners give a text's patterns as rows, not each place where they stand."""
+    from corpuspack.operators.mining import mine_chars, mine_ngrams
+
+    for mined in (mine_ngrams(rows(spark, [LOG]), ["id"]), mine_chars(rows(spark, [LOG]), ["id"])):
+        plan = mined._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate ") == 1 and "posexplode(_found" in plan
+        assert 0 < mined.count() <= 500
