@@ -159,6 +159,20 @@ def test_conditions(spark):
     assert got == {"goal": (1, 1, 0), "constraint": (0, 0, 1), "outcome": (0, 0, 1)}
 
 
+def test_conditions_keep_figures_and_not_texts(spark, monkeypatch):
+    words = ["GOAL: ship it", "must not exceed", "alpha beta gamma delta", "result: done", "x"]
+    traces = spark.createDataFrame([(c, i, "user" if i % 2 else "assistant", " ".join(words[(c * i + j) % 5] for j in range(12))) for c in range(4) for i in range(9)], "conv_id int, turn int, role string, content string")
+    gold = spark.createDataFrame([(0, "goal", "ship it"), (0, "constraint", "must not exceed alpha"), (0, "constraint", None), (1, "goal", ""), (1, "goal", "no such thing here at all"), (2, "outcome", "X alpha  beta")], "conv_id int, type string, phrase string")
+    conditions = C.cut(E.run_conditions(traces, ["conv_id"], 60))
+    kept, cut = [], E.cut
+    monkeypatch.setattr(E, "cut", lambda df: kept.append(df.columns) or cut(df))
+    shown = lambda: sorted(map(str, E.score_conditions(conditions, gold, traces, ["conv_id"]).collect()))
+    few = shown()
+    assert len(few) == 20 and not any("text" in c for columns in kept for c in columns)
+    monkeypatch.setattr(E, "LISTED", 1)  # traces with more phrases are joined by pairs of words
+    assert shown() == few
+
+
 def test_stream_into_a_cold_store(spark, pages, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "cold")
     plain = pages.select("page_id", "text")
