@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import cut
+from ..functions.session import scratch_path
 
 ENTRY = "struct<ord:int,meta:string,pattern:string>"
 COLD_STORE = f"page_id bigint, template_id string, fingerprint string, original_chars bigint, original_tokens_est bigint, encoded string, local_dictionary array<{ENTRY}>"
@@ -43,8 +43,10 @@ def write_cold_store(rows: DataFrame, path: str, form: str = "parquet") -> None:
 
     Key columns of the rows are kept, and in Parquet ``exemplar``, which a prompt over the store is made from.
     """
-    own = cut(rows if form == "parquet" else rows.drop("exemplar"))  # ranges are sampled first: encode once
-    own.repartitionByRange("page_id").sortWithinPartitions("page_id").write.mode("overwrite").format(form).save(path)
+    spark, kept = rows.sparkSession, scratch_path(rows.sparkSession, "encoded")
+    # ranges are sampled first: encode once; as Parquet, a third of a checkpoint
+    (rows if form == "parquet" else rows.drop("exemplar")).write.option("compression", "zstd").parquet(kept)
+    spark.read.parquet(kept).repartitionByRange("page_id").sortWithinPartitions("page_id").write.mode("overwrite").format(form).save(path)
 
 
 def read_cold_store(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:

@@ -101,3 +101,20 @@ def test_join_on_null_keys(spark):
     b = spark.createDataFrame([(None, 1, "p"), ("k", None, "q")], "k string, n int, w string")
     assert sorted(map(str, (tuple(r) for r in join_on(a, b, ["k", "n"]).collect()))) == sorted(map(str, [(None, 1, "x", "p"), ("k", None, "y", "q")]))
     assert join_on(a, b, ["k", "n"], "left").count() == 3
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_budgets_keep_no_texts(spark, monkeypatch, sent):
+    """What a pack keeps between its steps has no text of a page but the dictionary; the input cap keeps nothing where it cuts nothing."""
+    from corpuspack.operators import running
+
+    pages = spark.createDataFrame([("ab"[i % 2], i, f"page {i} of a source says the same " * 9) for i in range(24)], "source string, page_id long, text string")
+    cold = B.cut(B.cold_rows(pages, ["source"]))
+    options = B.BudgetOptions(hot_page_fraction=0.5, max_global_dict=8)
+    want = B.budget_pack(cold, ["source"], options).orderBy("source").collect()
+    kept, cut = [], B.cut
+    for of in (B, running):
+        monkeypatch.setattr(of, "cut", lambda df: kept.append(set(df.columns)) or cut(df))
+    monkeypatch.setattr(B, "SENT_PAGES", sent)
+    assert B.budget_pack(cold, ["source"], options).orderBy("source").collect() == want and [r.hot_pages for r in want] == [6, 6]
+    assert not any(c & {"encoded", "exemplar", "body", "yes", "no", "local_dictionary"} for c in kept)
