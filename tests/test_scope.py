@@ -118,3 +118,12 @@ def test_budgets_keep_no_texts(spark, monkeypatch, sent):
     monkeypatch.setattr(B, "SENT_PAGES", sent)
     assert B.budget_pack(cold, ["source"], options).orderBy("source").collect() == want and [r.hot_pages for r in want] == [6, 6]
     assert not any(c & {"encoded", "exemplar", "body", "yes", "no", "local_dictionary"} for c in kept)
+
+
+def test_short_pages_ask_for_more_than_the_next(spark):
+    texts = ["a b", "c", "", "d " * 30, "e f g", "h"]
+    pages = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "k string, page_id long, text string")
+    stored, _ = S._dealt(pages, ["k"], S.ScopeOptions(max_ngram=5))
+    after = [" ".join(texts[i + 1 :]).split()[:4] for i in range(len(texts))]
+    assert {r.page_id: list(r.ahead) for r in stored.collect()} == dict(enumerate(after))
+    assert all(f.endswith(".zstd.parquet") for f in stored.inputFiles())
