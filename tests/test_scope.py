@@ -127,3 +127,16 @@ def test_short_pages_ask_for_more_than_the_next(spark):
     after = [" ".join(texts[i + 1 :]).split()[:4] for i in range(len(texts))]
     assert {r.page_id: list(r.ahead) for r in stored.collect()} == dict(enumerate(after))
     assert all(f.endswith(".zstd.parquet") for f in stored.inputFiles())
+
+
+def test_dictionaries_go_to_the_pages(spark, tmp_path):
+    spark.createDataFrame([("s", i, f"page {i} says it") for i in range(9)], "k string, page_id long, text string").write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    entries = spark.createDataFrame([("s", 0, "⟦A⟧", "says it", 9)], "k string, ord int, meta string, pattern string, cnt long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        encoded = S.encode_scopes(pages, entries, ["k"])
+        assert "Exchange hashpartitioning" not in encoded._jdf.queryExecution().executedPlan().toString()
+        assert encoded.where("coded").count() == 9
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
